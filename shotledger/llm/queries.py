@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from shotledger.llm import quality
+from shotledger.llm import licenses, mixing, quality, urls
 from shotledger.llm.common import table
 
 
+def op5_license_scans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.known_table(spark)).select(*licenses.COLUMNS)
+
+
+def op6_url_filters(spark, sf_dir):
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select(*urls.COLUMNS)
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*mixing.COLUMNS)
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLE = {"op10_quality_rules": quality.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op5_license_scans, op6_url_filters, op9_mixing, op10_quality_rules)}
+ORACLE = {
+    "op5_license_scans": licenses.oracle_sql(),
+    "op6_url_filters": urls.oracle_sql(),
+    "op9_mixing": mixing.oracle_sql(),
+    "op10_quality_rules": quality.oracle_sql(),
+}
