@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from shotledger.llm import licenses, mixing, quality, urls
+from shotledger.llm import licenses, mixing, quality, simhash, urls
 from shotledger.llm.common import table
 
 
+def op4_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*simhash.COLUMNS)
+
+
 def op5_license_scans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.known_table(spark)).select(*licenses.COLUMNS)
@@ -24,7 +28,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scans, op6_url_filters, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op9_mixing, op10_quality_rules)}
 ORACLE = {
     "op5_license_scans": licenses.oracle_sql(),
     "op6_url_filters": urls.oracle_sql(),
