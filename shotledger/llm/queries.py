@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shotledger.llm import licenses, mixing, quality, simhash, urls
+from shotledger.llm import bpe, licenses, mixing, quality, simhash, urls
 from shotledger.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op6_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select(*urls.COLUMNS)
 
 
+def op7_byte_bpe(spark, sf_dir):
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*mixing.COLUMNS)
 
@@ -28,7 +32,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op9_mixing, op10_quality_rules)}
 ORACLE = {
     "op5_license_scans": licenses.oracle_sql(),
     "op6_url_filters": urls.oracle_sql(),
