@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from shotledger.llm import bpe, licenses, mixing, quality, simhash, urls
+from pyspark.sql import functions as F
+
+from shotledger.llm import bpe, html, language, licenses, mixing, quality, simhash, urls
 from shotledger.llm.common import table
 
 
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return named.withColumn("held_out", F.coalesce(language.held_out("doc_id"), F.lit(False))).select(*language.COLUMNS)
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*simhash.COLUMNS)
 
@@ -24,6 +32,10 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(*html.COLUMNS)
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*mixing.COLUMNS)
 
@@ -32,7 +44,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules)}
 ORACLE = {
     "op5_license_scans": licenses.oracle_sql(),
     "op6_url_filters": urls.oracle_sql(),
