@@ -122,7 +122,9 @@ def blocks(page: str | None) -> list[Block]:
 
 
 #: What the tree sees of a block.
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "side", "inside", "page_has_article", "heading")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "side", "place", "heading")
+#: A block's place: outside the page's article, on a page without one, or inside.
+OUTSIDE, NONE, INSIDE = 0, 1, 2
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -130,25 +132,27 @@ def features(page: list[Block]) -> np.ndarray:
     density = np.array([b.linked / b.words for b in page])
     shift = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
     article = any(b.inside for b in page)
-    flags = np.array([(b.side, b.inside, article, b.heading) for b in page], float)
+    flags = np.array([(b.side, (INSIDE if b.inside else OUTSIDE) if article else NONE, b.heading) for b in page], float)
     return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), flags])
 
 
 #: The labelled table. Features in their order, then 1 for a block of the article.
 LABELLED = (
-    (60, 0.0, 8, 0.0, 75, 0.0, 0, 1, 1, 0, 1), (8, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1, 1, 1), (2, 0.0, 40, 0.0, 55, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1, 0, 1), (3, 1.0, 30, 0.0, 45, 0.1, 0, 1, 1, 0, 1),
-    (120, 0.2, 90, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (25, 0.0, 3, 0.0, 6, 0.0, 0, 1, 1, 0, 1), (12, 0.5, 35, 0.0, 20, 0.0, 0, 1, 1, 0, 1), (4, 0.0, 100, 0.0, 9, 0.0, 0, 1, 1, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 0), (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (45, 0.0, 80, 0.0, 30, 0.0, 1, 0, 1, 0, 0),
-    (30, 0.0, 60, 0.0, 60, 0.0, 1, 1, 1, 0, 0), (50, 0.1, 70, 0.0, 4, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 30, 0.0, 40, 0.0, 1, 1, 1, 1, 0), (6, 0.5, 90, 0.0, 3, 1.0, 1, 1, 1, 0, 0), (2, 0.0, 5, 0.0, 50, 0.0, 1, 0, 1, 1, 0),
-    (10, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 0, 0), (30, 0.0, 6, 0.0, 70, 0.0, 0, 0, 1, 0, 0), (55, 0.0, 90, 0.0, 5, 0.0, 0, 0, 1, 0, 0), (4, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1, 0), (2, 1.0, 2, 1.0, 9, 0.0, 0, 0, 1, 0, 0),
-    (60, 0.0, 9, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (85, 0.1, 60, 0.0, 75, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 85, 0.0, 4, 0.5, 0, 0, 0, 0, 1), (18, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (16, 0.2, 3, 0.0, 5, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 50, 0.0, 65, 0.0, 0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (20, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (35, 0.8, 60, 0.0, 20, 0.9, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.5, 0, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 1, 0), (6, 0.7, 5, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (22, 0.0, 70, 0.0, 4, 0.0, 1, 0, 0, 0, 0),
-    (30, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0, 0, 1), (18, 0.1, 24, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (22, 0.0, 3, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (50, 0.05, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 1),
-    (14, 0.3, 1, 0.5, 3, 0.5, 0, 0, 0, 0, 1), (33, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 1, 1.0, 20, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 30, 0.0, 18, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 22, 0.0, 1, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 5, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (13, 0.9, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 0), (4, 0.2, 1, 1.0, 1, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (11, 0.8, 50, 0.0, 3, 0.0, 0, 0, 0, 0, 0),
-    (40, 0.0, 10, 0.0, 60, 0.0, 1, 0, 0, 0, 0), (1, 0.0, 60, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (28, 0.0, 28, 0.0, 31, 0.0, 1, 0, 0, 0, 0), (7, 0.0, 50, 0.0, 50, 0.0, 1, 0, 0, 1, 0),
+    (60, 0.0, 8, 0.0, 75, 0.0, 0, 2, 0, 1), (8, 0.0, 4, 1.0, 60, 0.0, 0, 2, 1, 1), (2, 0.0, 40, 0.0, 55, 0.0, 0, 2, 0, 1), (1, 0.0, 1, 0.0, 2, 0.0, 0, 2, 0, 1), (3, 1.0, 30, 0.0, 45, 0.1, 0, 2, 0, 1), (120, 0.2, 90, 0.0, 0, 0.0, 0, 2, 0, 1),
+    (25, 0.0, 3, 0.0, 6, 0.0, 0, 2, 0, 1), (12, 0.5, 35, 0.0, 20, 0.0, 0, 2, 0, 1), (4, 0.0, 100, 0.0, 9, 0.0, 0, 2, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 0, 2, 0, 1), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0),
+    (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0), (45, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 0), (30, 0.0, 60, 0.0, 60, 0.0, 1, 2, 0, 0), (50, 0.1, 70, 0.0, 4, 0.0, 1, 2, 0, 0), (3, 0.0, 30, 0.0, 40, 0.0, 1, 2, 1, 0),
+    (6, 0.5, 90, 0.0, 3, 1.0, 1, 2, 0, 0), (2, 0.0, 5, 0.0, 50, 0.0, 1, 0, 1, 0), (10, 0.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0), (30, 0.0, 6, 0.0, 70, 0.0, 0, 0, 0, 0), (55, 0.0, 90, 0.0, 5, 0.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 0),
+    (2, 1.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0), (60, 0.0, 9, 0.0, 80, 0.0, 0, 1, 0, 1), (85, 0.1, 60, 0.0, 75, 0.0, 0, 1, 0, 1), (40, 0.0, 85, 0.0, 4, 0.5, 0, 1, 0, 1), (18, 0.0, 70, 0.0, 45, 0.0, 0, 1, 0, 1), (16, 0.2, 3, 0.0, 5, 0.0, 0, 1, 0, 1),
+    (5, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 1), (9, 0.0, 1, 1.0, 70, 0.0, 0, 1, 1, 1), (6, 0.0, 45, 0.0, 50, 0.0, 0, 1, 0, 1), (3, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 1), (12, 0.0, 50, 0.0, 65, 0.0, 0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0),
+    (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0, 0), (20, 0.9, 3, 1.0, 4, 1.0, 0, 1, 0, 0), (35, 0.8, 60, 0.0, 20, 0.9, 0, 1, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (3, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 0), (5, 0.0, 4, 0.5, 0, 0.0, 0, 1, 0, 0),
+    (2, 0.0, 1, 1.0, 3, 0.0, 0, 1, 1, 0), (6, 0.7, 5, 1.0, 2, 1.0, 0, 1, 0, 0), (22, 0.0, 70, 0.0, 4, 0.0, 1, 1, 0, 0), (30, 0.0, 2, 1.0, 2, 0.0, 0, 1, 0, 1), (18, 0.1, 24, 0.0, 2, 0.0, 0, 1, 0, 1), (22, 0.0, 3, 0.0, 1, 1.0, 0, 1, 0, 1),
+    (15, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (50, 0.05, 1, 1.0, 1, 1.0, 0, 1, 0, 1), (14, 0.3, 1, 0.5, 3, 0.5, 0, 1, 0, 1), (33, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 1), (5, 0.0, 1, 1.0, 20, 0.0, 0, 1, 1, 1), (4, 0.0, 30, 0.0, 18, 0.0, 0, 1, 0, 1),
+    (5, 0.0, 22, 0.0, 1, 0.0, 0, 1, 0, 1), (3, 0.0, 5, 0.0, 2, 1.0, 0, 1, 0, 0), (13, 0.9, 2, 1.0, 40, 0.0, 0, 1, 0, 0), (4, 0.2, 1, 1.0, 1, 0.0, 0, 1, 0, 0), (2, 0.0, 4, 0.0, 0, 0.0, 0, 1, 0, 0), (11, 0.8, 50, 0.0, 3, 0.0, 0, 1, 0, 0),
+    (40, 0.0, 10, 0.0, 60, 0.0, 1, 1, 0, 0), (1, 0.0, 60, 0.0, 1, 1.0, 1, 1, 0, 0), (3, 1.0, 2, 1.0, 1, 1.0, 1, 1, 0, 0), (28, 0.0, 28, 0.0, 31, 0.0, 1, 1, 0, 0), (7, 0.0, 50, 0.0, 50, 0.0, 1, 1, 1, 0), (1, 0, 0, 0, 1, 1, 0, 2, 0, 1),
+    (1, 1, 1, 0, 0, 0, 0, 2, 0, 1), (2, 0.5, 2, 1, 3, 0, 0, 2, 0, 1), (4, 0, 4, 0, 0, 0, 0, 2, 0, 1), (4, 0, 0, 0, 4, 0, 0, 2, 1, 1), (6, 0, 1, 1, 2, 0, 0, 2, 1, 1), (3, 0, 9, 1, 0, 0, 0, 2, 0, 1),
+    (5, 0.8, 3, 0.3, 2, 0, 0, 2, 0, 1), (9, 0, 0, 0, 0, 0, 0, 2, 0, 1), (2, 1, 1, 1, 1, 1, 0, 2, 0, 1), (7, 0.9, 2, 0, 25, 1, 0, 2, 0, 1), (3, 0, 2, 0.6, 1, 0.7, 0, 2, 0, 1), (40, 0.9, 2, 0, 3, 1, 0, 2, 0, 1),
+    (1, 0, 35, 0, 0, 0, 0, 2, 0, 1), (15, 0.7, 0, 0, 1, 1, 0, 2, 0, 1), (200, 0, 1, 1, 1, 0, 0, 2, 0, 1), (90, 0, 70, 0, 60, 0, 0, 0, 0, 0), (18, 0.1, 30, 0, 40, 0, 0, 0, 0, 0), (70, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (6, 0, 25, 0, 40, 0, 0, 0, 1, 0), (120, 0.05, 2, 1, 50, 0, 0, 0, 0, 0),
 )
 
 
