@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotledger.llm import bpe, html, language, licenses, mixing, quality, simhash, urls
+from shotledger.llm import bpe, fingerprints, html, language, licenses, mixing, quality, simhash, urls
 from shotledger.llm.common import table
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*fingerprints.COLUMNS)
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     named = language.identify(docs.select("doc_id", "text"), language.train(docs))
@@ -44,7 +48,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules)}
 ORACLE = {
     "op5_license_scans": licenses.oracle_sql(),
     "op6_url_filters": urls.oracle_sql(),
