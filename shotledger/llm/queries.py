@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotledger.llm import bpe, fingerprints, html, language, licenses, mixing, quality, simhash, urls
+from shotledger.llm import bpe, fingerprints, html, language, licenses, mixing, quality, simhash, suffixes, urls
 from shotledger.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark, sf_dir):
     return named.withColumn("held_out", F.coalesce(language.held_out("doc_id"), F.lit(False))).select(*language.COLUMNS)
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*suffixes.COLUMNS)
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*simhash.COLUMNS)
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules)}
 ORACLE = {
     "op5_license_scans": licenses.oracle_sql(),
     "op6_url_filters": urls.oracle_sql(),
