@@ -1,0 +1,4 @@
+"""Registered queries and their SQL."""
+
+from shotledger.plans import rollups, shots  # noqa: F401
+from shotledger.plans.base import ORACLE, QUERIES  # noqa: F401
