@@ -94,12 +94,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(rows[text].tolist(), rows[lang].tolist())
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1); columns of those names are replaced.
-
-    A null text, one without a letter, or any text where there was nothing to learn from is "und" with score 0. Whole
-    texts are read in batches, each scored by two matrix products; rows never move and equal texts score alike.
-    """
+def predictor(docs: DataFrame, model: Model | None):
+    """A column of struct<lang_pred, score> from one of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -115,13 +111,23 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 scores[at] = np.clip((found.max(axis=1) + 1) / 2, 0, 1)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_p", predict(text)).withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+    return predict
+
+
+def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score (0 to 1); columns of those names are replaced.
+
+    A null text, one without a letter, or any text where there was nothing to learn from is "und" with score 0. Whole
+    texts are read in batches, each scored by two matrix products; rows never move and equal texts score alike.
+    """
+    named = docs.withColumn("_p", predictor(docs, model)(text))
+    return named.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that are in a known language, with the columns of docs."""
-    named = identify(docs, train(docs, key, text, lang), text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return named.select(*docs.columns)
+    named = docs.withColumn("_p", predictor(docs, train(docs, key, text, lang))(text))
+    return named.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= min_score)).drop("_p")
 
 
 COLUMNS = ["doc_id", "held_out", "lang_pred", "score"]

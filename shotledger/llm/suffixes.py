@@ -300,15 +300,15 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (key and text) with spans, array<struct<start, stop>> of bytes to remove, sorted and apart; [] where there are none.
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """docs (key, text and more) with spans, array<struct<start, stop>> of bytes to remove, sorted and apart; [] where there are none.
 
     A string of LENGTH bytes that occurs twice holds one anchor at one place in both. Anchors are counted over all
     texts; a text gives the surroundings of those that occur again, LENGTH bytes in all to either side, and these meet
     by anchor. Matches never cross texts. Null and empty texts have no spans; repeated rows repeat each other; a string
     may repeat in one text, and overlap itself. A frequent anchor's surroundings are dealt in slices, pair by pair.
     """
-    rows = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string")).alias("_a"), F.xxhash64(text).alias("_b"))
+    rows = docs.select(key, *more, F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string")).alias("_a"), F.xxhash64(text).alias("_b"))
     marks = rows.select("_a", "_b", "_text").mapInArrow(_anchor_rows, "_a long, _b long, anchor long, times long")
     frequent = marks.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1")
     own = marks.select("_a", "_b", "anchor").join(frequent, "anchor").groupBy("_a", "_b").agg(F.collect_set(F.struct("anchor", "times")).alias("repeated"))
@@ -322,7 +322,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def joined(found: pd.Series) -> pd.Series:
         return pd.Series([[{"start": x, "stop": y} for x, y in merged([(s["start"], s["stop"]) for s in (f if f is not None else [])])] for f in found], dtype=object)
 
-    return out.select(key, F.col("_text").alias(text), joined("spans").alias("spans"))
+    return out.select(key, *more, F.col("_text").alias(text), joined("spans").alias("spans"))
 
 
 def cut_text(text: str | None, spans) -> bytes:
@@ -347,4 +347,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return repeated_spans(docs, key, text).withColumn("_o", apart(text, "spans")).select(key, "_o.*")
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """docs, with the texts that remain and their lengths. A character that loses some of its bytes goes; a text may become empty."""
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_text(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    others = [c for c in docs.columns if c != text]
+    out = repeated_spans(docs.withColumn("_row", F.struct(*others)), key, text, "_row").withColumn("_kept", kept(text, "spans"))
+    columns = {c: F.col(f"_row.{c}") for c in others} | {text: F.col("_kept")} | ({chars: F.length("_kept").cast(docs.schema[chars].dataType)} if chars in others else {})
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
+
+
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
