@@ -20,10 +20,10 @@ from shotledger.llm.common import let
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Documents are taken together up to so many characters; their distinct words are merged once.
 GROUP_CHARS = 8_000_000
+#: A prime; pairs of tokens are spread over so many lists of the rank map.
+LISTS = 65_521
 #: A longer word is merged with a heap in the task that read it: a fold's steps over it would grow with its square.
 MAX_FOLD_BYTES = 512
-#: A prime; pairs of tokens are spread over so many lists of the rank map.
-LISTS = 262_139
 #: White space of the pattern as Unicode has it, for an engine whose own \s differs.
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
@@ -58,11 +58,14 @@ def heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 def _rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """A literal: lists by (a * 65536 + b) mod LISTS, of key * 65536 + rank. Constant folding parses the text once, when the query is planned."""
-    lists: list[list[int]] = [[] for _ in range(LISTS)]
+    """A literal: lists k of keys (first token * 65536 + second) by remainder, and lists r of their ranks. Constant
+    folding parses the text once, when the query is planned."""
+    lists: dict[str, list[list[int]]] = {"k": [[] for _ in range(LISTS)], "r": [[] for _ in range(LISTS)]}
     for (a, b), rank in pairs.items():
-        lists[(key := (a << 16) + b) % LISTS].append((key << 16) + rank)
-    return F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "array<array<bigint>>")
+        key = (a << 16) + b
+        lists["k"][key % LISTS].append(key)
+        lists["r"][key % LISTS].append(rank)
+    return F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "struct<k:array<array<bigint>>,r:array<array<int>>>")
 
 
 def _pieces(ranks: dict[bytes, int]) -> Column:
@@ -74,34 +77,38 @@ def _pieces(ranks: dict[bytes, int]) -> Column:
 
 
 def fold(ids: Column, rank_map: Column) -> Column:
-    """ids after all merges: a step for each token but the first merges the first pair of the least rank, if any is left."""
+    """ids after all merges: a step for each token but the first merges the first pair of the least rank, if any is left.
+
+    The state is the tokens t and, for each, the rank r of its pair with the next, null if the two are no token.
+    """
+    none = F.array().cast("array<int>")
 
     def rank(a: Column, b: Column) -> Column:
-        key = a.cast("long") * 65536 + b
-        hit = F.filter(F.get(rank_map, F.pmod(key, F.lit(LISTS)).cast("int")), lambda e: F.shiftright(e, 16) == key)
-        return (F.get(hit, 0) % 65536).cast("int")
+        def found(key: Column) -> Column:
+            at = F.pmod(key, F.lit(LISTS)).cast("int")
+            return F.get(F.get(rank_map["r"], at), F.array_position(F.get(rank_map["k"], at), key).cast("int") - 1)
 
-    def step(state: Column) -> Column:
-        def merged(least: Column) -> Column:
-            at = F.array_position(state["r"], least).cast("int")
-            t, r = state["t"], state["r"]
-            before = F.when(at > 1, F.array(rank(F.get(t, at - 2), least))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at < F.size(r), F.array(rank(least, F.get(t, at + 1)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(t, 1, at - 1), F.array(least), F.slice(t, at + 2, F.size(t))).alias("t"),
-                F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
+        return let(a * F.lit(65536).cast("long") + b, found)
 
-        return let(F.array_min(state["r"]), lambda least: F.when(least.isNull(), state).otherwise(merged(least)))
+    def merged(state: Column, least: Column, at: Column) -> Column:
+        t, r = state["t"], state["r"]
+        before = F.when(at > 1, F.array(rank(F.get(t, at - 2), least))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(t, 1, at - 1), F.array(least), F.slice(t, at + 2, F.size(t))).alias("t"),
+            F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), before, F.array(rank(least, F.get(t, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
+        )
 
-    ranks = F.filter(F.zip_with(ids, F.slice(ids, 2, F.size(ids)), lambda a, b: F.struct(rank(a, b).alias("r"), b.alias("b"))), lambda x: x["b"].isNotNull())
-    start = F.struct(ids.alias("t"), F.transform(ranks, lambda x: x["r"]).alias("r"))
-    steps = F.slice(ids, 2, F.size(ids))
-    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(steps, start, lambda state, _: step(state), lambda state: state["t"]))
+    def step(state: Column) -> Column:
+        place = lambda least: let(F.array_position(state["r"], least).cast("int"), lambda at: merged(state, least, at))
+        return let(F.array_min(state["r"]), lambda least: F.when(least.isNull(), state).otherwise(place(least)))
+
+    others = F.slice(ids, 2, F.size(ids))
+    start = F.struct(ids.alias("t"), F.zip_with(ids, others, rank).alias("r"))
+    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(others, start, lambda state, _: step(state), lambda state: state["t"]))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """A row for each document: the key, n_tokens, ids (decimal, joined by commas) and decoded (the bytes of the ids).
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, group_chars: int = GROUP_CHARS, packed: bool = False) -> DataFrame:
+    """A row for each document: the key, n_tokens, ids (decimal, joined by commas; packed: 32-bit little-endian) and decoded (the bytes of the ids).
 
     The text is split by the tokenizer's pattern; special tokens are plain text. Null and empty texts have no ids;
     repeated rows stay rows; an empty table gives no rows. Documents that one task reads are taken together up to
@@ -150,23 +157,31 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, at, ids, decoded = (batch.column(i)[row].values for i in range(4))
-                sizes = np.diff(ids.offsets.to_numpy())
-                texts = [",".join(map(str, x)) for x in ids.to_pylist()]
+                flat, starts = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+                sizes, starts = np.diff(starts), starts[:-1]
+                texts = None if packed else [",".join(map(str, x)) for x in ids.to_pylist()]
                 pieces = decoded.to_pylist()
                 numbers, ends = at.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py()
+
+                def joined(words: np.ndarray) -> bytes | str:
+                    if texts is not None:
+                        return ",".join([texts[i] for i in words.tolist()])
+                    n = sizes[words]
+                    return flat[np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+
                 for lo in range(0, len(keys), 256):
                     own = [numbers[ends[i] : ends[i + 1]] for i in range(lo, min(lo + 256, len(keys)))]
                     counts = pa.array([int(sizes[x].sum()) for x in own], pa.int64())
-                    joined = pa.array([",".join([texts[i] for i in x.tolist()]) for x in own], pa.string())
+                    tokens = pa.array([joined(x) for x in own], pa.binary() if packed else pa.string())
                     back = pa.array([b"".join([pieces[i] for i in x.tolist()]) for x in own], pa.binary())
-                    yield pa.RecordBatch.from_arrays([keys.slice(lo, 256), counts, joined, back], [key, "n_tokens", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([keys.slice(lo, 256), counts, tokens, back], [key, "n_tokens", "ids", "decoded"])
 
     grouped = docs.select(key, text).mapInArrow(split, out_kind)
     ids = let(_rank_map(pairs), lambda m: F.zip_with("words", "long", lambda w, done: F.when(done, w).otherwise(fold(w, m))))
     merged = grouped.select("keys", "at", ids.alias("ids"))
     bytes_of = lambda x, by_id: F.aggregate(x, F.lit(b""), lambda a, i: F.concat(a, F.get(by_id, i)))
     merged = merged.select("keys", "at", "ids", let(_pieces(ranks), lambda by_id: F.transform("ids", lambda x: bytes_of(x, by_id))).alias("decoded"))
-    return merged.mapInArrow(assemble, f"`{key}` {kind.simpleString()}, n_tokens long, ids string, decoded binary")
+    return merged.mapInArrow(assemble, f"`{key}` {kind.simpleString()}, n_tokens long, ids {'binary' if packed else 'string'}, decoded binary")
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
