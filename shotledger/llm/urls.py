@@ -99,7 +99,8 @@ def _join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pairs = parsed.select("host", "path").distinct()
-    keys = pairs.withColumn("_host", F.explode(suffixes)).withColumn("_n", F.explode(F.filter(lengths.scalar(), lambda n: n <= F.length("path"))))
+    pairs = pairs.withColumn("_lengths", lengths.scalar())
+    keys = pairs.withColumn("_host", F.explode(suffixes)).withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))))
     keys = keys.withColumn("_path", F.expr("substring(path, 1, _n)"))
     named = rules.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.min("verdict").alias("_verdict"))
     hits = keys.join(named, ["_host", "_path"]).groupBy("host", "path")
