@@ -312,7 +312,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     marks = rows.select("_a", "_b", "_text").mapInArrow(_anchor_rows, "_a long, _b long, anchor long, times long")
     frequent = marks.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1")
     own = marks.select("_a", "_b", "anchor").join(frequent, "anchor").groupBy("_a", "_b").agg(F.collect_set(F.struct("anchor", "times")).alias("repeated"))
-    windows = rows.join(own, ["_a", "_b"]).select("_a", "_b", "_text", "repeated").mapInArrow(_window_rows, WINDOWS)
+    # All columns of rows, so that the texts' move to their rows' keys is the one that the last join uses, too.
+    windows = rows.join(own, ["_a", "_b"]).mapInArrow(_window_rows, WINDOWS)
     dealt = windows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
     spans = dealt.mapInArrow(_span_rows, "_a long, _b long, start int, stop int")
     spans = spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -354,9 +355,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_text(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    others = [c for c in docs.columns if c != text]
+    # The other columns travel as one, whose names meet no others; chars is counted anew.
+    others = [c for c in docs.columns if c not in (text, chars)]
     out = repeated_spans(docs.withColumn("_row", F.struct(*others)), key, text, "_row").withColumn("_kept", kept(text, "spans"))
-    columns = {c: F.col(f"_row.{c}") for c in others} | {text: F.col("_kept")} | ({chars: F.length("_kept").cast(docs.schema[chars].dataType)} if chars in others else {})
+    columns = {c: F.col("_row").getField(c) for c in others} | {text: F.col("_kept")} | ({chars: F.length("_kept").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
     return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
