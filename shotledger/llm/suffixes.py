@@ -356,9 +356,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
         return pd.Series([None if t is None else cut_text(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     # The other columns travel as one, whose names meet no others; chars is counted anew.
-    others = [c for c in docs.columns if c not in (text, chars)]
-    out = repeated_spans(docs.withColumn("_row", F.struct(*others)), key, text, "_row").withColumn("_kept", kept(text, "spans"))
-    columns = {c: F.col("_row").getField(c) for c in others} | {text: F.col("_kept")} | ({chars: F.length("_kept").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
+    others = [c for c in docs.columns if c not in (key, text, chars)]
+    out = repeated_spans(docs.withColumn("_row", F.struct(*others) if others else F.lit(0)), key, text, "_row").withColumn("_kept", kept(text, "spans"))
+    columns = {c: F.col("_row").getField(c) for c in others} | {key: F.col(key), text: F.col("_kept")} | ({chars: F.length("_kept").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
     return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
