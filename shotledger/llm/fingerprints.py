@@ -10,30 +10,53 @@ from pyspark.sql import functions as F
 
 from shotledger.llm.common import let
 
-#: A paragraph ends with its line or sentence: texts of few lines are told apart, too.
+#: A sentence ends with its line or its mark.
 BREAKS = r"\n|(?<=[.!?]) +"
-#: Cells of a fingerprint, of a group's first sketch and of its retries; each a multiple of the three cells of a digest.
-BASE, GROUP, RETRIES = 12, 18, (72, 288, 1152)
+#: (sentences, one in how many of them ends a paragraph): texts of few sentences are told apart by each, long ones by runs of them.
+GRAIN = ((32, 1), (256, 4), (2048, 16), (None, 128))
+#: Cells of a fingerprint and of a group's first sketch, and of its retries: three tables of a power of two.
+CELLS, RETRIES = 12, (48, 192, 768)
 #: Digests in a group of the larger text, about, and rounds of peeling.
-IN_GROUP, ROUNDS = 3, 9
+IN_GROUP, ROUNDS = 2, 8
 #: Documents in a bucket of neighbouring keys, at least, and buckets at the most.
 BUCKET, BUCKETS = 256, 1000
 CELL = "struct<c:int,k:bigint,h:bigint>"
 
 
-def paragraphs(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs that hold more than blanks."""
+def sentences(text: Column) -> Column:
+    """Digests of a text's sentences that hold more than blanks, in order."""
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda p: F.trim(p) != "")
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
+    return F.transform(pieces, lambda p: F.xxhash64(F.trim(p)))
+
+
+def grain(n: Column) -> Column:
+    out = F.lit(GRAIN[-1][1])
+    for most, every in reversed(GRAIN[:-1]):
+        out = F.when(n <= most, F.lit(every)).otherwise(out)
+    return out
+
+
+def paragraphs(digests: Column, every: Column) -> Column:
+    """The distinct digests of runs of sentences. A run ends with a sentence whose digest says so, one in `every`: an edit changes its own run alone."""
+
+    def add(state: Column, d: Column) -> Column:
+        whole = F.xxhash64(state["run"], d)
+        ends = F.pmod(F.shiftright(d, 50), every) == 0
+        none = F.lit(None).cast("bigint")
+        return F.when(ends, F.struct(F.concat(state["done"], F.array(whole)).alias("done"), none.alias("run"))).otherwise(F.struct(state["done"].alias("done"), whole.alias("run")))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(None).cast("bigint").alias("run"))
+    runs = F.aggregate(digests, start, add, lambda x: F.when(x["run"].isNull(), x["done"]).otherwise(F.concat(x["done"], F.array(x["run"]))))
+    return F.array_distinct(F.when(every == 1, digests).otherwise(runs))
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(1))
 
 
-def _place(digest: Column, table: Column, cells: int) -> Column:
-    """The digest's cell in one of three tables of equal size, each from other bits of it."""
-    return table * (cells // 3) + F.pmod(F.call_function("shiftright", digest, 20 * table), F.lit(cells // 3))
+def _in(digest: Column, cell: Column, cells: int) -> Column:
+    """Whether a digest has a cell: each table takes it by bits of its own."""
+    return F.call_function("shiftright", digest, cell["s"]).bitwiseAND(cells // 3 - 1) == cell["i"]
 
 
 def _put(cell: Column, digest: Column, count: Column) -> Column:
@@ -44,18 +67,15 @@ def _put(cell: Column, digest: Column, count: Column) -> Column:
 
 
 def _at(cells: int) -> Column:
-    """(table, cell) of each cell."""
+    """Of each cell the shift of its table and its number in it."""
     each = cells // 3
-    return F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * each + i).alias("i")) for t in range(3) for i in range(each))) if cells <= BASE else F.transform(
-        F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.struct(F.floor(i / each).cast("int").alias("t"), i.alias("i"))
-    )
+    return F.from_json(F.lit(str([{"s": 10 * t, "i": i} for t in range(3) for i in range(each)]).replace("'", '"')), "array<struct<s:int,i:bigint>>")
 
 
 def sketch(digests: Column, cells: int) -> Column:
     """An array of cells (count, xor of digests, xor of their checks)."""
-    empty = F.lit(None).cast(CELL)
-    zero = F.coalesce(empty, F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h")))
-    return F.transform(_at(cells), lambda a: F.aggregate(F.filter(digests, lambda d: _place(d, a["t"], cells) == a["i"]), zero, lambda x, d: _put(x, d, F.lit(1))))
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    return F.transform(_at(cells), lambda a: F.aggregate(F.filter(digests, lambda d: _in(d, a, cells)), zero, lambda x, d: _put(x, d, F.lit(1))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -74,7 +94,7 @@ def peel(difference: Column, cells: int, rounds: int = ROUNDS) -> Column:
 
         def taken(out: Column) -> Column:
             left = F.zip_with(
-                state["cells"], _at(cells), lambda x, a: F.aggregate(F.filter(out, lambda p: _place(p["digest"], a["t"], cells) == a["i"]), x, lambda y, p: _put(y, p["digest"], -p["side"]))
+                state["cells"], _at(cells), lambda x, a: F.aggregate(F.filter(out, lambda p: _in(p["digest"], a, cells)), x, lambda y, p: _put(y, p["digest"], -p["side"]))
             )
             return F.struct(left.alias("cells"), F.concat(state["found"], out).alias("found"), (F.size(out) > 0).alias("open"))
 
@@ -94,16 +114,18 @@ def differing(a: Column, b: Column) -> Column:
     """
 
     def group(x: Column, y: Column) -> Column:
-        tries = [peel(subtract(sketch(x, n), sketch(y, n)), n, ROUNDS if n == GROUP else 4 * ROUNDS) for n in (GROUP, *RETRIES)]
+        tries = [peel(subtract(sketch(x, n), sketch(y, n)), n, ROUNDS if n == CELLS else 4 * ROUNDS) for n in (CELLS, *RETRIES)]
         whole = lambda s, side: F.transform(s, lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side")))
         return F.coalesce(*tries, F.concat(whole(x, 1), whole(y, -1)))
 
-    def groups(n: Column) -> Column:
-        own = lambda s, g: F.filter(s, lambda d: F.pmod(F.shiftright(d, 7), n) == g)
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda g: let(F.struct(own(a, g).alias("x"), own(b, g).alias("y")), lambda s: group(s["x"], s["y"]))))
+    def dealt(x: Column, y: Column, n: Column, shift: int, body) -> Column:
+        own = lambda s, g: F.filter(s, lambda d: F.pmod(F.shiftright(d, shift), n) == g)
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda g: let(F.struct(own(x, g).alias("x"), own(y, g).alias("y")), lambda s: body(s["x"], s["y"]))))
 
-    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.size(a), F.size(b)) / IN_GROUP).cast("int"))
-    first = F.when(F.abs(F.size(a) - F.size(b)) < BASE, peel(subtract(sketch(a, BASE), sketch(b, BASE)), BASE))
+    # In two steps, so that a digest is looked at by twice the root of the number of groups.
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(F.size(a), F.size(b)) / IN_GROUP)).cast("int"))
+    groups = lambda n: dealt(a, b, n, 30, lambda x, y: dealt(x, y, n, 41, group))
+    first = F.when(F.abs(F.size(a) - F.size(b)) < CELLS, peel(subtract(sketch(a, CELLS), sketch(b, CELLS)), CELLS))
     return F.coalesce(first, let(n, groups))
 
 
@@ -115,7 +137,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(digests: Column) -> Column:
     """A fingerprint: the number of digests and the cells of their sketch, in hexadecimal."""
-    cells = F.transform(sketch(digests, BASE), lambda x: F.concat(F.hex(x["c"]), F.lit("."), F.hex(x["k"]), F.lit("."), F.hex(x["h"])))
+    cells = F.transform(sketch(digests, CELLS), lambda x: F.concat(F.hex(x["c"]), F.lit("."), F.hex(x["k"]), F.lit("."), F.hex(x["h"])))
     return F.lower(F.concat_ws(":", F.hex(F.size(digests)), F.array_join(cells, ":")))
 
 
@@ -156,12 +178,15 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = rows.select(key, text, "next", edited.alias("edited"))
     rows = rows.select(
         key, F.length(text).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        paragraphs(F.col(text)).alias("a"), paragraphs(F.col("edited")).alias("b"), paragraphs(F.col("next")).alias("c"),
+        sentences(F.col(text)).alias("a"), sentences(F.col("edited")).alias("b"), sentences(F.col("next")).alias("c"),
     )
     a, b, c = F.col("a"), F.col("b"), F.col("c")
+    rows = rows.withColumn("_ab", grain(F.greatest(F.size(a), F.size(b)))).withColumn("_ac", grain(F.greatest(F.size(a), F.size(c))))
+    sets = {"a0": (a, grain(F.size(a))), "b0": (b, grain(F.size(b))), "a1": (a, F.col("_ab")), "b1": (b, F.col("_ab")), "a2": (a, F.col("_ac")), "c2": (c, F.col("_ac"))}
+    rows = rows.select(key, "n_chars", "edited_sha256", *(paragraphs(*v).alias(k) for k, v in sets.items()))
     return rows.select(
-        key, "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"),
-        likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"),
+        key, "n_chars", "edited_sha256", as_text(F.col("a0")).alias("fingerprint"), as_text(F.col("b0")).alias("edited_fingerprint"),
+        likeness(F.col("a1"), F.col("b1")).alias("near_edited"), likeness(F.col("a2"), F.col("c2")).alias("near_next"),
     )
 
 
