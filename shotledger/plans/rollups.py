@@ -84,8 +84,7 @@ def value_histogram(spark, sf_dir):
     return rollup.histogram(e, "v")
 
 
-@query(f"""WITH {RESULTS}, d AS (SELECT task_id, sample_id, list(struct_pack(k := k, psq := round(psq, 6)) ORDER BY k) AS detail FROM results WHERE psq IS NOT NULL GROUP BY ALL)
-SELECT task_id, sample_id, list_transform(detail, lambda x: x.k || ':' || format('{{:.4f}}', x.psq)) AS per_sample, len(detail) AS n FROM d""")
+@query(f"""WITH {RESULTS} SELECT task_id, sample_id, list(k ORDER BY k) AS ks, list(round(psq, 6) ORDER BY k) AS psqs FROM results WHERE psq IS NOT NULL GROUP BY ALL""")
 def nested_details(spark, sf_dir):
     rows = results(spark, sf_dir).filter("psq IS NOT NULL").groupBy("task_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("k", "psq"))).alias("d"))
-    return rows.select("task_id", "sample_id", F.transform("d", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), F.format_string("%.4f", r6(x["psq"])))).alias("per_sample"), F.size("d").cast("long").alias("n"))
+    return rows.select("task_id", "sample_id", F.transform("d", lambda x: x["k"]).alias("ks"), F.transform("d", lambda x: r6(x["psq"])).alias("psqs"))
