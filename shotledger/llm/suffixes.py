@@ -17,8 +17,10 @@ LENGTH = 200
 #: Bytes of an anchor. Each string of LENGTH bytes holds an anchor at a place that its bytes alone decide.
 ANCHOR = 32
 REACH = LENGTH - ANCHOR
-#: Places of one anchor that are compared at a time; those of a more frequent anchor meet in pairs of slices.
-SLICE = 512
+#: Surroundings of anchors with more places are told apart by a longer core before they meet.
+FREQUENT = 512
+#: The strings around a frequent anchor by how far they reach to its left: classes of so many bytes, each with a core that its strings share.
+CLASSES = tuple((x, min(x + 41, REACH)) for x in range(0, REACH + 1, 42))
 #: More different surroundings of an anchor than these are compared by digests of all their strings, not by a suffix array.
 MOST_SORTED = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -223,11 +225,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("_a").take(rows), b.column("_b").take(rows), pa.array(np.concatenate(found)), pa.array(np.concatenate(times).astype(np.int64))], ["_a", "_b", "anchor", "times"])
 
 
-WINDOWS = "_a long, _b long, anchor long, i int, j int, at int, window binary, starts array<int>"
+WINDOWS = "_a long, _b long, anchor long, core int, at int, window binary, starts array<int>"
+
+
+def _cores(data: bytes, p: int, anchor: int) -> Iterator[tuple[int, int, int, bytes, int]]:
+    """Of a frequent anchor at p and each class: a digest of the anchor's core, its length, what stands before it, the bytes around it, their start.
+
+    A string of the class reaches to the core's left and right; the core is in all of them, so it is left out and stands for itself in the digest.
+    """
+    for low, high in CLASSES:
+        x, y = p - low, p + LENGTH - high
+        if x >= 0 and y <= len(data):
+            before, after = max(0, p - high), p + LENGTH - low
+            digest = hashlib.blake2b(data[x:y], digest_size=8, key=f"{anchor} {low}".encode()).digest()
+            yield int.from_bytes(digest, "little", signed=True), y - x, x - before, data[before:x] + data[y:after], before
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("anchor", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("at", pa.int32()), ("window", pa.binary()), ("starts", pa.list_(pa.int32()))])
+    kind = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("anchor", pa.int64()), ("core", pa.int32()), ("at", pa.int32()), ("window", pa.binary()), ("starts", pa.list_(pa.int32()))])
     for b in batches:
         out: list[tuple] = []
         for a, b_, text, repeated in zip(*(b.column(c).to_pylist() for c in ("_a", "_b", "_text", "repeated")), strict=True):
@@ -235,13 +250,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             times = {r["anchor"]: r["times"] for r in repeated}
             own: dict[tuple, list[int]] = {}
             for p, h in zip(*(x.tolist() for x in (lambda y: (y[0], y[1].view(np.int64)))(anchors(np.frombuffer(data, np.uint8)))), strict=True):
-                if h in times:
+                if times.get(h, 0) > FREQUENT:
+                    for digest, core, at, around, lo in _cores(data, p, h):
+                        own.setdefault((digest, core, at, around), []).append(lo)
+                elif h in times:
                     lo = max(0, p - REACH)
-                    own.setdefault((h, p - lo, data[lo : p + LENGTH]), []).append(lo)
-            for (h, at, window), starts in own.items():
-                slices = -(-times[h] // SLICE)
-                mine = (a ^ starts[0] * 0x9E3779B1) % slices
-                out += [(a, b_, h, min(mine, k), max(mine, k), at, window, starts) for k in range(slices)]
+                    own.setdefault((h, 0, p - lo, data[lo : p + LENGTH]), []).append(lo)
+            out += [(a, b_, *key, starts) for key, starts in own.items()]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
                 out = []
@@ -249,24 +264,24 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
 
-def _covered(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """group: (_a, _b, at, window, starts) around one anchor. (_a, _b, start, stop) of what to remove."""
+def _covered(group: list[tuple], core: int) -> Iterator[tuple[int, int, int, int]]:
+    """group: (_a, _b, at, window, starts) around one anchor or, less its bytes, one core. (_a, _b, start, stop) of what to remove."""
     held: dict[tuple[int, bytes], list[tuple[int, int, list[int]]]] = {}
     for a, b, at, window, starts in group:
         held.setdefault((at, window), []).append((a, b, starts))
-    windows = list(held)
+    windows, length = list(held), LENGTH - core
     alone = [len(m) == 1 and len(m[0][2]) == 1 for m in held.values()]
     if any(alone) and len(windows) > 1:
-        parts = (by_suffix_array if len(windows) <= MOST_SORTED else by_digests)(windows)
+        parts = by_suffix_array(windows, length) if len(windows) <= MOST_SORTED else by_digests(windows, length)
     else:
         parts = [[] for _ in windows]
     for (at, window), one, spans in zip(windows, alone, parts, strict=True):
-        if not one and len(window) >= LENGTH:
+        if not one and len(window) >= length:
             spans = [(0, len(window))]
         for x, y in merged(spans):
             for a, b, starts in held[at, window]:
                 for lo in starts:
-                    yield a, b, lo + x, lo + y
+                    yield a, b, lo + x, lo + y + core
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,18 +298,18 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups come sorted, and may go on in the next batch."""
 
     def flush(group: list[tuple]) -> pa.RecordBatch | None:
-        found = [*_covered(group)] if len(group) > 1 or group and len(group[0][4]) > 1 else []
+        found = [*_covered(group, of[1])] if len(group) > 1 or group and len(group[0][4]) > 1 else []
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_a", "_b", "start", "stop"])
 
     group, of = [], None
     for b in batches:
-        for a, b_, h, i, j, at, window, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (h, i, j) != of:
+        for a, b_, h, core, at, window, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (h, core) != of:
                 if group and (out := flush(group)) is not None:
                     yield out
-                group, of = [], (h, i, j)
+                group, of = [], (h, core)
             group.append((a, b_, at, window, starts))
     if group and (out := flush(group)) is not None:
         yield out
@@ -306,7 +321,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     A string of LENGTH bytes that occurs twice holds one anchor at one place in both. Anchors are counted over all
     texts; a text gives the surroundings of those that occur again, LENGTH bytes in all to either side, and these meet
     by anchor. Matches never cross texts. Null and empty texts have no spans; repeated rows repeat each other; a string
-    may repeat in one text, and overlap itself. A frequent anchor's surroundings are dealt in slices, pair by pair.
+    may repeat in one text, and overlap itself. The surroundings of a frequent anchor meet by longer cores, and without
+    the cores' bytes: their rows grow with its places, not with its pairs.
     """
     rows = docs.select(key, *more, F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string")).alias("_a"), F.xxhash64(text).alias("_b"))
     marks = rows.select("_a", "_b", "_text").mapInArrow(_anchor_rows, "_a long, _b long, anchor long, times long")
@@ -314,7 +330,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     own = marks.select("_a", "_b", "anchor").join(frequent, "anchor").groupBy("_a", "_b").agg(F.collect_set(F.struct("anchor", "times")).alias("repeated"))
     # All columns of rows, so that the texts' move to their rows' keys is the one that the last join uses, too.
     windows = rows.join(own, ["_a", "_b"]).mapInArrow(_window_rows, WINDOWS)
-    dealt = windows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    dealt = windows.repartition("anchor", "core").sortWithinPartitions("anchor", "core")
     spans = dealt.mapInArrow(_span_rows, "_a long, _b long, start int, stop int")
     spans = spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = rows.join(spans, ["_a", "_b"], "left")

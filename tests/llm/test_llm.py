@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -179,19 +180,22 @@ def test_repeats_are_removed_wherever_they_are(spark, docs):
         assert got == brute_removed(rows)
 
 
-def test_frequent_anchors_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "SLICE", 3)
-    rows = [("k" * 10 + str(i), "the same passage, again and again " * 8 + f" then {i}") for i in range(9)]
-    windows = [w for i, (k, t) in enumerate(rows) for b in suffixes._window_rows(iter([_window_batch(i, t, 9)])) for w in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    assert len({(w[3], w[4]) for w in windows}) > 1
-
-
-def _window_batch(i, text, times):
-    import pyarrow as pa
-
-    _, found = suffixes.anchors(np.frombuffer(text.encode(), np.uint8))
-    repeated = [{"anchor": int(h), "times": times} for h in set(found.view(np.int64).tolist())]
-    return pa.RecordBatch.from_pydict({"_a": pa.array([i * 7919], pa.int64()), "_b": pa.array([i], pa.int64()), "_text": pa.array([text]), "repeated": pa.array([repeated])})
+def test_cores_of_frequent_anchors_find_the_same(monkeypatch):
+    """The spans of rows of cores, put together by hand, are those of a plain search."""
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(99)}" for _ in range(150))
+    texts = [base, base[:300] + "x" + base[301:], "y" * 50 + base[100:420], base[60:300], "".join(rng.choice("abc") for _ in range(500)), "ab" * 200]
+    batches = []
+    for i, t in enumerate(texts):
+        _, found = suffixes.anchors(np.frombuffer(t.encode(), np.uint8))
+        repeated = [{"anchor": int(h), "times": 2} for h in set(found.view(np.int64).tolist())]
+        batches.append(pa.RecordBatch.from_pydict({"_a": pa.array([i], pa.int64()), "_b": pa.array([i], pa.int64()), "_text": pa.array([t]), "repeated": pa.array([repeated])}))
+    for frequent in (1, 512):
+        monkeypatch.setattr(suffixes, "FREQUENT", frequent)
+        windows = pa.Table.from_batches([*suffixes._window_rows(iter(batches))]).sort_by([("anchor", "ascending"), ("core", "ascending")])
+        spans = [r for b in suffixes._span_rows(iter(windows.to_batches())) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got = sorted((i, len(t), sum(y - x for x, y in suffixes.merged([(x, y) for a, _, x, y in spans if a == i]))) for i, t in enumerate(texts))
+        assert got == [r[:3] for r in brute_removed(list(enumerate(texts)))]
 
 
 # 4 simhash
