@@ -122,6 +122,22 @@ def _cuts(sides: list[bytes], full: int) -> list[int]:
     return sorted({0, *(_shared(a, b) for a, b in zip(ordered, ordered[1:], strict=False)), *map(len, sides), full})
 
 
+def _reach(sides: list[bytes]) -> list[int]:
+    """Of each string the most bytes that it shares with another, from the start."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    best = [0] * len(sides)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _shared(sides[i], sides[j])
+        best[i], best[j] = max(best[i], n), max(best[j], n)
+    return best
+
+
+def able(windows: list[tuple[int, bytes]], length: int) -> list[int]:
+    """The windows that may share length bytes with another: what they share at the most to both sides of the anchor comes to that."""
+    right, left = _reach([w[a:] for a, w in windows]), _reach([w[:a][::-1] for a, w in windows])
+    return [i for i, (x, y) in enumerate(zip(right, left, strict=True)) if x + y >= length]
+
+
 def by_suffix_array(windows: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """windows: (place of the anchor, bytes), all different. Of each, the parts that a string of length bytes or more
     covers which another window has at the same place from the anchor.
@@ -271,10 +287,12 @@ def _covered(group: list[tuple], core: int) -> Iterator[tuple[int, int, int, int
         held.setdefault((at, window), []).append((a, b, starts))
     windows, length = list(held), LENGTH - core
     alone = [len(m) == 1 and len(m[0][2]) == 1 for m in held.values()]
+    parts: list[list[tuple[int, int]]] = [[] for _ in windows]
     if any(alone) and len(windows) > 1:
-        parts = by_suffix_array(windows, length) if len(windows) <= MOST_SORTED else by_digests(windows, length)
-    else:
-        parts = [[] for _ in windows]
+        some = able(windows, length)
+        found = (by_suffix_array if len(some) <= MOST_SORTED else by_digests)([windows[i] for i in some], length) if any(alone[i] for i in some) else [[] for _ in some]
+        for i, spans in zip(some, found, strict=True):
+            parts[i] = spans
     for (at, window), one, spans in zip(windows, alone, parts, strict=True):
         if not one and len(window) >= length:
             spans = [(0, len(window))]
