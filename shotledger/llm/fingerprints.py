@@ -12,8 +12,8 @@ from shotledger.llm.common import let
 
 #: A sentence ends with its line or its mark.
 BREAKS = r"\n|(?<=[.!?]) +"
-#: (sentences, one in how many of them ends a paragraph): texts of few sentences are told apart by each, long ones by runs of them.
-GRAIN = ((32, 1), (256, 4), (2048, 16), (None, 128))
+#: (sentences, one in how many of them ends a paragraph): each sentence is a paragraph, whatever the text's size.
+GRAIN = ((None, 1),)
 #: Cells of a fingerprint and of a group's first sketch, and of its retries: three tables of a power of two.
 CELLS, RETRIES = 12, (48, 192, 768)
 #: Digests in a group of the larger text, about, and rounds of peeling.
@@ -23,31 +23,10 @@ BUCKET, BUCKETS = 256, 1000
 CELL = "struct<c:int,k:bigint,h:bigint>"
 
 
-def sentences(text: Column) -> Column:
-    """Digests of a text's sentences that hold more than blanks, in order."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda p: F.trim(p) != "")
-    return F.transform(pieces, lambda p: F.xxhash64(F.trim(p)))
-
-
-def grain(n: Column) -> Column:
-    out = F.lit(GRAIN[-1][1])
-    for most, every in reversed(GRAIN[:-1]):
-        out = F.when(n <= most, F.lit(every)).otherwise(out)
-    return out
-
-
-def paragraphs(digests: Column, every: Column) -> Column:
-    """The distinct digests of runs of sentences. A run ends with a sentence whose digest says so, one in `every`: an edit changes its own run alone."""
-
-    def add(state: Column, d: Column) -> Column:
-        whole = F.xxhash64(state["run"], d)
-        ends = F.pmod(F.shiftright(d, 50), every) == 0
-        none = F.lit(None).cast("bigint")
-        return F.when(ends, F.struct(F.concat(state["done"], F.array(whole)).alias("done"), none.alias("run"))).otherwise(F.struct(state["done"].alias("done"), whole.alias("run")))
-
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(None).cast("bigint").alias("run"))
-    runs = F.aggregate(digests, start, add, lambda x: F.when(x["run"].isNull(), x["done"]).otherwise(F.concat(x["done"], F.array(x["run"]))))
-    return F.array_distinct(F.when(every == 1, digests).otherwise(runs))
+def paragraphs(text: Column) -> Column:
+    """The distinct digests of a text's sentences that hold more than blanks."""
+    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAKS), F.trim), lambda p: p != "")
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def _check(digest: Column) -> Column:
@@ -75,7 +54,7 @@ def _at(cells: int) -> Column:
 def sketch(digests: Column, cells: int) -> Column:
     """An array of cells (count, xor of digests, xor of their checks)."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    return F.transform(_at(cells), lambda a: F.aggregate(F.filter(digests, lambda d: _in(d, a, cells)), zero, lambda x, d: _put(x, d, F.lit(1))))
+    return F.transform(_at(cells), lambda a: F.aggregate(digests, zero, lambda x, d: F.when(_in(d, a, cells), _put(x, d, F.lit(1))).otherwise(x)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -85,18 +64,29 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(difference: Column, cells: int, rounds: int = ROUNDS) -> Column:
     """The digests (struct of digest and side, 1 or -1) that only one of the two sets has; null if peeling gets stuck.
 
-    A cell that one digest alone is left in shows it by its check. Each round takes out all that show, from all cells.
+    A cell that one digest alone is left in shows it by its check. Each round takes out all that show, from all cells;
+    the last is known by the first table, of which they leave nothing.
     """
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
     def turn(state: Column) -> Column:
         shown = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
         alone = F.array_distinct(F.transform(shown, lambda x: F.struct(x["k"].alias("digest"), x["c"].alias("side"))))
 
         def taken(out: Column) -> Column:
+            found = F.concat(state["found"], out).alias("found")
+            table = F.aggregate(
+                F.slice(state["cells"], 1, cells // 3), zero,
+                lambda x, y: F.struct((x["c"] + y["c"]).cast("int").alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")),
+            )
+            rest = F.aggregate(out, table, lambda y, p: _put(y, p["digest"], -p["side"]))
             left = F.zip_with(
                 state["cells"], _at(cells), lambda x, a: F.aggregate(F.filter(out, lambda p: _in(p["digest"], a, cells)), x, lambda y, p: _put(y, p["digest"], -p["side"]))
             )
-            return F.struct(left.alias("cells"), F.concat(state["found"], out).alias("found"), (F.size(out) > 0).alias("open"))
+            last = F.struct(F.slice(state["cells"], 1, 0).alias("cells"), found, F.lit(False).alias("open"))
+            return F.when(rest == zero, last).when(F.size(out) == 0, F.struct(state["cells"].alias("cells"), found, F.lit(False).alias("open"))).otherwise(
+                F.struct(left.alias("cells"), found, F.lit(True).alias("open"))
+            )
 
         return F.when(~state["open"], state).otherwise(let(alone, taken))
 
@@ -105,39 +95,46 @@ def peel(difference: Column, cells: int, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: turn(s), done)
 
 
-def differing(a: Column, b: Column) -> Column:
-    """The digests that only one of two sets has, by sketches alone.
+def dealt(a: Column, b: Column) -> Column:
+    """Structs (x, y) of the digests of two sets in one group, by bits of their own: in two steps, so that a digest is
+    looked at by twice the root of the number of groups."""
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(F.size(a), F.size(b)) / IN_GROUP)).cast("int"))
+    own = lambda s, shift, g: F.filter(s, lambda d: F.pmod(F.shiftright(d, shift), n) == g)
+
+    def step(groups: Column, shift: int) -> Column:
+        parts = lambda q: F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.struct(own(q["x"], shift, g).alias("x"), own(q["y"], shift, g).alias("y")))
+        return F.flatten(F.transform(groups, parts))
+
+    return step(step(F.array(F.struct(a.alias("x"), b.alias("y"))), 30), 41)
+
+
+def differing(a: Column, b: Column, of_a: Column | None = None, of_b: Column | None = None) -> Column:
+    """The digests that only one of two sets has, by sketches alone; of_a and of_b are their fingerprints' sketches, where known.
 
     First from the two fingerprints. Where peeling those fails, the digests are dealt into groups by other bits, each
     group has a sketch of its own, and a group whose peeling fails is sketched again, larger each time. A group that
     fails to the last (less than one in 10^9) counts as wholly different.
     """
+    of_a, of_b = sketch(a, CELLS) if of_a is None else of_a, sketch(b, CELLS) if of_b is None else of_b
 
     def group(x: Column, y: Column) -> Column:
         tries = [peel(subtract(sketch(x, n), sketch(y, n)), n, ROUNDS if n == CELLS else 4 * ROUNDS) for n in (CELLS, *RETRIES)]
         whole = lambda s, side: F.transform(s, lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side")))
         return F.coalesce(*tries, F.concat(whole(x, 1), whole(y, -1)))
 
-    def dealt(x: Column, y: Column, n: Column, shift: int, body) -> Column:
-        own = lambda s, g: F.filter(s, lambda d: F.pmod(F.shiftright(d, shift), n) == g)
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda g: let(F.struct(own(x, g).alias("x"), own(y, g).alias("y")), lambda s: body(s["x"], s["y"]))))
-
-    # In two steps, so that a digest is looked at by twice the root of the number of groups.
-    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(F.size(a), F.size(b)) / IN_GROUP)).cast("int"))
-    groups = lambda n: dealt(a, b, n, 30, lambda x, y: dealt(x, y, n, 41, group))
-    first = F.when(F.abs(F.size(a) - F.size(b)) < CELLS, peel(subtract(sketch(a, CELLS), sketch(b, CELLS)), CELLS))
-    return F.coalesce(first, let(n, groups))
+    first = F.when(F.abs(F.size(a) - F.size(b)) < CELLS, peel(subtract(of_a, of_b), CELLS))
+    return F.coalesce(first, F.flatten(F.transform(dealt(a, b), lambda g: group(g["x"], g["y"]))))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, of_a: Column | None = None, of_b: Column | None = None) -> Column:
     """1 - the share of differing digests among all of both sets; 1 for two empty ones."""
     every = F.size(a) + F.size(b)
-    return F.when(every == 0, F.lit(1.0)).otherwise(1 - F.size(differing(a, b)) / every)
+    return F.when(every == 0, F.lit(1.0)).otherwise(1 - F.size(differing(a, b, of_a, of_b)) / every)
 
 
-def as_text(digests: Column) -> Column:
+def as_text(digests: Column, cells: Column) -> Column:
     """A fingerprint: the number of digests and the cells of their sketch, in hexadecimal."""
-    cells = F.transform(sketch(digests, CELLS), lambda x: F.concat(F.hex(x["c"]), F.lit("."), F.hex(x["k"]), F.lit("."), F.hex(x["h"])))
+    cells = F.transform(cells, lambda x: F.concat(F.hex(x["c"]), F.lit("."), F.hex(x["k"]), F.lit("."), F.hex(x["h"])))
     return F.lower(F.concat_ws(":", F.hex(F.size(digests)), F.array_join(cells, ":")))
 
 
@@ -178,15 +175,13 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = rows.select(key, text, "next", edited.alias("edited"))
     rows = rows.select(
         key, F.length(text).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        sentences(F.col(text)).alias("a"), sentences(F.col("edited")).alias("b"), sentences(F.col("next")).alias("c"),
+        paragraphs(F.col(text)).alias("a"), paragraphs(F.col("edited")).alias("b"), paragraphs(F.col("next")).alias("c"),
     )
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    rows = rows.withColumn("_ab", grain(F.greatest(F.size(a), F.size(b)))).withColumn("_ac", grain(F.greatest(F.size(a), F.size(c))))
-    sets = {"a0": (a, grain(F.size(a))), "b0": (b, grain(F.size(b))), "a1": (a, F.col("_ab")), "b1": (b, F.col("_ab")), "a2": (a, F.col("_ac")), "c2": (c, F.col("_ac"))}
-    rows = rows.select(key, "n_chars", "edited_sha256", *(paragraphs(*v).alias(k) for k, v in sets.items()))
+    rows = rows.select("*", *(sketch(F.col(x), CELLS).alias(f"of_{x}") for x in "abc"))
+    a, b, c, of_a, of_b, of_c = (F.col(x) for x in ("a", "b", "c", "of_a", "of_b", "of_c"))
     return rows.select(
-        key, "n_chars", "edited_sha256", as_text(F.col("a0")).alias("fingerprint"), as_text(F.col("b0")).alias("edited_fingerprint"),
-        likeness(F.col("a1"), F.col("b1")).alias("near_edited"), likeness(F.col("a2"), F.col("c2")).alias("near_next"),
+        key, "n_chars", "edited_sha256", as_text(a, of_a).alias("fingerprint"), as_text(b, of_b).alias("edited_fingerprint"),
+        likeness(a, b, of_a, of_b).alias("near_edited"), likeness(a, c, of_a, of_c).alias("near_next"),
     )
 
 

@@ -116,6 +116,18 @@ def test_a_sketch_that_is_too_small_is_tried_larger(spark):
     assert row["small"] is None and sorted(x["side"] for x in row["d"]) == [-1] * 30 + [1] * 30
 
 
+def test_long_texts_are_compared_sentence_by_sentence(spark):
+    many = [f"Sentence number {i} of a long text." for i in range(300)]
+    edited = [f"{x} Edited." if i % 10 == 0 else x for i, x in enumerate(many)]
+    few = [f"Line {i % 11}." for i in range(55)]
+    texts = ["\n".join(x) for x in (many, edited, few, [*few[:50], "Another line."])]
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{p for p in re.split(fingerprints.BREAKS, t) if p} for t in texts]
+    assert all(abs(rows[i]["near_next"] - like(sets[i], sets[i - 1])) < 1e-9 for i in (1, 2, 3))
+    assert [int(rows[i]["fingerprint"].split(":")[0], 16) for i in range(4)] == list(map(len, sets))
+
+
+
 # 2 language
 
 
