@@ -272,6 +272,26 @@ def test_one_document_of_a_group_stays(spark):
     assert 0 in ids and 1 not in ids and 2 not in ids and len(ids) == len(set(ids))
 
 
+def test_near_copies_that_are_not_exact_leave_the_pipeline(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(9999)}" for _ in range(200)]
+        copy = list(words)
+        for at in range(20, 200, 60):
+            copy[at] = "changed"
+        half = words[:100] + [f"w{rng.randrange(9999)}" for _ in range(100)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(half))]
+    alike = [simhash.jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, 36, 3)]
+    assert min(alike) >= 0.8 and max(alike) < 1 and max(simhash.jaccard(rows[i][1], rows[i + 2][1]) for i in range(0, 36, 3)) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (32, 1):
+        monkeypatch.setattr(simhash.copy_links, "__defaults__", (0.8, few, 500))
+        kept = sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, df, SF).collect())
+        assert kept == [i for i in range(36) if i % 3 != 1]
+
+
+
 # 5 licences
 
 
