@@ -42,6 +42,8 @@ def single_link(rows: DataFrame, group: str, item: str, vector: str, least: floa
         now = after.drop("_moved")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"the clusters did not settle in {rounds} rounds")
     number = F.dense_rank().over(W.partitionBy(group).orderBy("root")) - 1
     return now.select(group, F.col("a").alias(item), number.alias("cluster_id"))
 

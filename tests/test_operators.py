@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,10 @@ def test_the_leaderboard_follows_and_repeats_safely(spark, tmp_path):
     assert arrive("1.json", [("m", "T1", "a", 0, 0.2, 1), ("m", "T1", "a", 1, 0.4, 1), ("m", "T2", "b", 0, 1.0, 1)]) == {("m", "T1"): (1, pytest.approx(0.3)), ("m", "T2"): (1, 1.0)}
     got = arrive("2.json", [("m", "T1", "a", 1, 0.8, 2), ("m", "T1", "c", 0, 0.1, 2)])
     assert got == {("m", "T1"): (2, pytest.approx(0.3)), ("m", "T2"): (1, 1.0)}
+
+
+def test_clusters_that_do_not_settle_are_an_error(spark):
+    angles = [i * 0.1 for i in range(20)]
+    rows = spark.createDataFrame([("v", i, [math.cos(x), math.sin(x)]) for i, x in enumerate(angles)], "g string, i long, v array<double>")
+    with pytest.raises(RuntimeError):
+        identity.single_link(rows, "g", "i", "v", 0.99, rounds=2)
