@@ -7,25 +7,48 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotledger.llm.common import let
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Documents are taken together up to so many characters; their distinct words are merged once.
-GROUP_CHARS = 8_000_000
-#: A prime; pairs of tokens are spread over so many lists of the rank map.
-LISTS = 65_521
-#: A longer word is merged with a heap in the task that read it: a fold's steps over it would grow with its square.
-MAX_FOLD_BYTES = 512
-#: White space of the pattern as Unicode has it, for an engine whose own \s differs.
-PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+#: Words of documents that travel as one row, about, and distinct words that a task knows at once; beyond them it starts anew.
+GROUP_WORDS, KNOWN_WORDS = 200_000, 1_000_000
+#: A longer word is merged with a heap in the task that read it, with the same result: a fold's steps over it would grow with its square.
+MAX_FOLD_BYTES = 4096
+#: Letters and numbers (hexadecimal ranges) that the tokenizer's library knows and Java 17's classes don't.
+NEW_LETTERS = (
+    "870-887 889-88E 8B5-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F-2C5F 9FFD-9FFF A7C0-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 "
+    "105BB-105BC 105C0-105F3 10780-10785 10787-107B0 107B2-107BA 10D4A-10D65 10D6F-10D85 10EC2-10EC4 10F70-10F81 11071-11072 11075 1123F-11240 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11740-11746 "
+    "11AB0-11ABF 11BC0-11BE0 11F02 11F04-11F10 11F12-11F33 12F90-12FF0 1342F 13441-13446 13460-143FA 16100-1611D 16A70-16ABE 16D40-16D6C 18CFF 1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 "
+    "1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD 1E4D0-1E4EB 1E5D0-1E5ED 1E5F0 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF"
+)
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA"
+
+
+def _also(ranges: str) -> str:
+    """A nested class of the ranges; most characters lie outside the span of all and are told so at once."""
+    ends = [x.split("-") for x in ranges.split()]
+    inner = "".join(f"\\x{{{e[0]}}}-\\x{{{e[-1]}}}" for e in ends)
+    return f"[\\x{{{ends[0][0]}}}-\\x{{{ends[-1][-1]}}}&&[{inner}]]"
+
+
+#: The tokenizer's pattern for Java: its classes of letters, numbers and white space as the library has them.
+LETTERS, NUMBERS, WHITE = r"\p{L}" + _also(NEW_LETTERS), r"\p{N}" + _also(NEW_NUMBERS), r"\p{IsWhite_Space}"
+PATTERN = (
+    public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", "[^@S@L@N]").replace(r"\p{L}", "[@L]").replace(r"\p{N}", "[@N]").replace(r"\s", "@S").replace(r"\S", r"\P{IsWhite_Space}")
+    .replace("@L", LETTERS).replace("@N", NUMBERS).replace("@S", WHITE)
+)
+#: In a fold, a token is one number: the rank of its pair with the next (NONE if the two are no token), the place of its first byte, its id.
+PLACE, ID = 16, (1 << 16) - 1
+RANK, NONE = 16 + 13, 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,130 +80,154 @@ def heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """A literal: lists k of keys (first token * 65536 + second) by remainder, and lists r of their ranks. Constant
-    folding parses the text once, when the query is planned."""
-    lists: dict[str, list[list[int]]] = {"k": [[] for _ in range(LISTS)], "r": [[] for _ in range(LISTS)]}
-    for (a, b), rank in pairs.items():
-        key = (a << 16) + b
-        lists["k"][key % LISTS].append(key)
-        lists["r"][key % LISTS].append(rank)
-    return F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "struct<k:array<array<bigint>>,r:array<array<int>>>")
-
-
-def _pieces(ranks: dict[bytes, int]) -> Column:
-    """A literal: the tokens' bytes by id, which JSON holds as Base64."""
-    by_id = [""] * (max(ranks.values()) + 1)
-    for t, i in ranks.items():
-        by_id[i] = base64.b64encode(t).decode()
-    return F.from_json(F.lit(json.dumps(by_id)), "array<binary>")
-
+@lru_cache(maxsize=4)
+def _tables(path: str) -> str:
+    """The rank map as JSON: lists by which the rank of tokens a and b is rank[base[a] + b] where owner[base[a] + b] is a, ids of the bytes, and the ranks of two bytes.
 
-def fold(ids: Column, rank_map: Column) -> Column:
-    """ids after all merges: a step for each token but the first merges the first pair of the least rank, if any is left.
-
-    The state is the tokens t and, for each, the rank r of its pair with the next, null if the two are no token.
+    Each token's row of followers is laid over the free places of one list, the longest rows first.
     """
-    none = F.array().cast("array<int>")
+    ranks = load_ranks(path)
+    pairs = pair_ranks(ranks)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), rank in pairs.items():
+        rows.setdefault(a, []).append((b, rank))
+    n, span = max(ranks.values()) + 1, 1 << 20
+    free, owner, rank_at = np.ones(span + n, bool), np.full(span + n, -1), np.full(span + n, -1)
+    base, top, begin, size = np.full(1 << 16, span + n), 0, 0, 0
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        followers, own = (np.array(x) for x in zip(*sorted(rows[a]), strict=True))
+        off = followers - followers[0]
+        begin, size = (0 if len(off) < min(size, 6) else begin), len(off)
+        while True:
+            places = np.flatnonzero(free[begin : begin + 2048]) + begin
+            fits = places[free[places[:, None] + off].all(axis=1)]
+            if len(fits):
+                break
+            begin += 2048
+        at = fits[0] + off
+        free[at], owner[at], rank_at[at], base[a], top = False, a, own, fits[0] - followers[0], max(top, at[-1] + 1)
+    byte = [ranks[bytes([i])] for i in range(256)]
+    two = [[pairs.get((a, b), NONE) for b in byte] for a in byte]
+    return json.dumps({"base": base.tolist(), "owner": owner[:top].tolist(), "rank": rank_at[:top].tolist(), "byte": byte, "two": two}, separators=(",", ":"))
+
+
+def rank_map(path: str) -> Column:
+    """A literal: constant folding parses the text once, when the query is planned. Its size is the vocabulary's."""
+    return F.from_json(F.lit(_tables(path)), "struct<base:array<int>,owner:array<int>,rank:array<bigint>,byte:array<int>,two:array<array<bigint>>>")
+
+
+def fold(word: Column, ranks: Column) -> Column:
+    """The ids of a word's tokens from its bytes (integers): a step for each byte but the first merges the first pair of the least rank, if any is left."""
+    long, least = (lambda x: F.lit(x).cast("long")), F.lit(NONE << RANK).cast("long")
+    token = lambda x: x.bitwiseAND(long(ID)).cast("int")
 
     def rank(a: Column, b: Column) -> Column:
-        def found(key: Column) -> Column:
-            at = F.pmod(key, F.lit(LISTS)).cast("int")
-            return F.get(F.get(rank_map["r"], at), F.array_position(F.get(rank_map["k"], at), key).cast("int") - 1)
+        at = F.get(ranks["base"], a) + b
+        return F.when(F.get(ranks["owner"], at) == a, F.get(ranks["rank"], at)).otherwise(long(NONE))
 
-        return let(a * F.lit(65536).cast("long") + b, found)
+    def first(x: Column, i: Column) -> Column:
+        pair = F.coalesce(F.get(F.get(ranks["two"], x), F.get(word, i + 1)), long(NONE))
+        return F.shiftleft(pair, RANK).bitwiseOR(F.shiftleft(i.cast("long"), PLACE)).bitwiseOR(F.get(ranks["byte"], x).cast("long"))
 
-    def merged(state: Column, least: Column, at: Column) -> Column:
-        t, r = state["t"], state["r"]
-        before = F.when(at > 1, F.array(rank(F.get(t, at - 2), least))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(t, 1, at - 1), F.array(least), F.slice(t, at + 2, F.size(t))).alias("t"),
-            F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), before, F.array(rank(least, F.get(t, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
-        )
+    def step(tokens: Column) -> Column:
+        def merged(lowest: Column, at: Column) -> Column:
+            new, before = F.shiftright(lowest, RANK).cast("int"), F.get(tokens, at - 2)
+            left = F.shiftleft(rank(token(before), new), RANK).bitwiseOR(before.bitwiseAND(long((1 << RANK) - 1)))
+            own = F.shiftleft(rank(new, token(F.get(tokens, at + 1))), RANK).bitwiseOR(lowest.bitwiseAND(long((1 << RANK) - 1 - ID))).bitwiseOR(new.cast("long"))
+            return F.concat(F.slice(tokens, 1, at - 2), F.array(left, own), F.slice(tokens, at + 2, F.size(word)))
 
-    def step(state: Column) -> Column:
-        place = lambda least: let(F.array_position(state["r"], least).cast("int"), lambda at: merged(state, least, at))
-        return let(F.array_min(state["r"]), lambda least: F.when(least.isNull(), state).otherwise(place(least)))
+        found = lambda lowest: let(F.array_position(tokens, lowest).cast("int"), lambda at: merged(lowest, at))
+        return let(F.array_min(tokens), lambda lowest: F.when(lowest >= least, tokens).otherwise(found(lowest)))
 
-    others = F.slice(ids, 2, F.size(ids))
-    start = F.struct(ids.alias("t"), F.zip_with(ids, others, rank).alias("r"))
-    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(others, start, lambda state, _: step(state), lambda state: state["t"]))
+    # A token that pairs with none stands at both ends, so that each token has two neighbours.
+    edge = F.array(F.lit(NONE << RANK | ID).cast("long"))
+    start = F.concat(edge, F.transform(word, first), edge)
+    done = lambda tokens: F.transform(F.slice(tokens, 2, F.size(tokens) - 2), token)
+    bare = F.transform(word, lambda x: F.get(ranks["byte"], x))
+    return F.when(F.size(word) < 2, bare).otherwise(F.aggregate(F.slice(word, 2, F.size(word)), start, lambda tokens, _: step(tokens), done))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, group_chars: int = GROUP_CHARS, packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, group_words: int = GROUP_WORDS, known_words: int = KNOWN_WORDS, packed: bool = False) -> DataFrame:
     """A row for each document: the key, n_tokens, ids (decimal, joined by commas; packed: 32-bit little-endian) and decoded (the bytes of the ids).
 
     The text is split by the tokenizer's pattern; special tokens are plain text. Null and empty texts have no ids;
-    repeated rows stay rows; an empty table gives no rows. Documents that one task reads are taken together up to
-    group_chars, so that each of their distinct words is merged once: the words' arrays go through Spark's expressions
-    and back to the documents' word numbers in the same task. Nothing is shuffled, kept or broadcast but the vocabulary,
-    whose size is its file's.
+    repeated rows stay rows; an empty table gives no rows; a text of any length is encoded whole; other columns are not
+    looked at. A task numbers the distinct words of what it reads: those that it has not met yet go through the fold,
+    with the documents as lists of numbers, and the end of the task keeps their tokens and joins them. Beyond
+    known_words distinct words both ends start anew. Nothing is shuffled or broadcast but the vocabulary.
     """
-    ranks = load_ranks(vocabulary or public_tokenizers.path(VOCABULARY))
-    pairs = pair_ranks(ranks)
-    first = [ranks[bytes([i])] for i in range(256)]
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    ranks = load_ranks(path)
     kind = docs.schema[key].dataType
     context = docs.sparkSession.sparkContext
-    merges = context.broadcast((pairs, first))
-    out_kind = f"keys array<{kind.simpleString()}>, at array<array<int>>, words array<array<int>>, long array<boolean>"
+    merges = context.broadcast((pair_ranks(ranks), [ranks[bytes([i])] for i in range(256)]))
+    by_id = [b""] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        by_id[i] = piece
+    tokens = context.broadcast(by_id)
+
+    def listed(values, ends: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+
+    def bytes_of(words: list[bytes]) -> tuple[pa.ListArray, pa.Array]:
+        """The words' bytes, or the ids of words that are too long, and whether they are ids."""
+        long = np.array([len(w) > MAX_FOLD_BYTES for w in words], bool)
+        if long.any():
+            pairs, byte = merges.value
+            arrays = [heap_merge([byte[x] for x in w], pairs) if done else list(w) for w, done in zip(words, long, strict=True)]
+            return pa.array(arrays, pa.list_(pa.int32())), pa.array(long)
+        values = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        return listed(pa.array(values), np.cumsum([len(w) for w in words], dtype=np.int64)), pa.array(long)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, (known, byte_ids) = regex.compile(PATTERN).findall, merges.value
-
-        def group(keys: list, at: list, numbers: dict[str, int]) -> pa.RecordBatch:
-            arrays, done = [], []
-            for w in numbers:
-                ids = [byte_ids[x] for x in w.encode("utf-8", "surrogatepass")]
-                done.append(len(ids) > MAX_FOLD_BYTES)
-                arrays.append(heap_merge(ids, known) if done[-1] else ids)
-            columns = [pa.array([pa.array(keys, key_type).to_pylist()], pa.list_(key_type)), pa.array([at], pa.list_(pa.list_(pa.int32()))), pa.array([arrays], pa.list_(pa.list_(pa.int32()))), pa.array([done], pa.list_(pa.bool_()))]
-            return pa.RecordBatch.from_arrays(columns, ["keys", "at", "words", "long"])
-
-        keys, at, numbers, chars = [], [], {}, 0
+        numbers: dict[bytes, int] = {}
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = find(t.as_py() or "")
-                for w in words:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
-                keys.append(k)
-                at.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                chars += t.as_py() and len(t.as_py()) or 0
-                if chars >= group_chars:
-                    yield group(keys, at, numbers)
-                    keys, at, numbers, chars = [], [], {}, 0
-        if keys:
-            yield group(keys, at, numbers)
+            sizes = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                before = sizes[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, before + group_words, "right")))
+                coded = batch.column(1).slice(lo, hi - lo).flatten().dictionary_encode()
+                own = coded.dictionary.cast(pa.binary()).to_pylist()
+                anew = len(numbers) > known_words or not numbers
+                if anew:
+                    numbers = {}
+                new = [w for w in own if w not in numbers]
+                numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+                at = np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))[coded.indices.to_numpy()]
+                words, done = bytes_of(new)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                columns = {"keys": one(batch.column(0).slice(lo, hi - lo)), "ends": one(pa.array(sizes[lo:hi] - before, pa.int64())), "at": pa.array([at.tobytes()]), "words": one(words), "done": one(done), "anew": pa.array([anew])}
+                yield pa.RecordBatch.from_pydict(columns)
+                lo = hi
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(tokens.value, pa.binary())
+        sizes = texts = decoded = None
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, at, ids, decoded = (batch.column(i)[row].values for i in range(4))
-                flat, starts = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-                sizes, starts = np.diff(starts), starts[:-1]
-                texts = None if packed else [",".join(map(str, x)) for x in ids.to_pylist()]
-                pieces = decoded.to_pylist()
-                numbers, ends = at.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py()
-
-                def joined(words: np.ndarray) -> bytes | str:
-                    if texts is not None:
-                        return ",".join([texts[i] for i in words.tolist()])
-                    n = sizes[words]
-                    return flat[np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
-
-                for lo in range(0, len(keys), 256):
-                    own = [numbers[ends[i] : ends[i + 1]] for i in range(lo, min(lo + 256, len(keys)))]
-                    counts = pa.array([int(sizes[x].sum()) for x in own], pa.int64())
-                    tokens = pa.array([joined(x) for x in own], pa.binary() if packed else pa.string())
-                    back = pa.array([b"".join([pieces[i] for i in x.tolist()]) for x in own], pa.binary())
-                    yield pa.RecordBatch.from_arrays([keys.slice(lo, 256), counts, tokens, back], [key, "n_tokens", "ids", "decoded"])
-
-    grouped = docs.select(key, text).mapInArrow(split, out_kind)
-    ids = let(_rank_map(pairs), lambda m: F.zip_with("words", "long", lambda w, done: F.when(done, w).otherwise(fold(w, m))))
-    merged = grouped.select("keys", "at", ids.alias("ids"))
-    bytes_of = lambda x, by_id: F.aggregate(x, F.lit(b""), lambda a, i: F.concat(a, F.get(by_id, i)))
-    merged = merged.select("keys", "at", "ids", let(_pieces(ranks), lambda by_id: F.transform("ids", lambda x: bytes_of(x, by_id))).alias("decoded"))
+                keys, ends, ids = (batch.column(i)[row].values for i in (0, 1, 2))
+                at = np.frombuffer(batch.column(3)[row].as_py(), np.int32)
+                flat, upto = ids.flatten(), ids.offsets.to_numpy()[1:] - ids.offsets[0].as_py()
+                own = np.diff(upto, prepend=0)
+                if packed:
+                    raw = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], 4 * upto]).astype(np.int32)), pa.py_buffer(flat.to_numpy().astype("<u4"))])
+                else:
+                    raw = pc.binary_join(listed(flat.cast(pa.string()), upto), ",")
+                back = pc.binary_join(listed(pieces.take(flat), upto), b"")
+                fresh = batch.column(4)[row].as_py()
+                sizes = own if fresh else np.concatenate([sizes, own])
+                texts, decoded = (raw, back) if fresh else (pa.concat_arrays([texts, raw]), pa.concat_arrays([decoded, back]))
+                ends, words = ends.to_numpy(), pa.array(at)
+                total = np.concatenate([[0], np.cumsum(sizes[at])])
+                joined = lambda x, by, e=ends, w=words: pc.binary_join(listed(x.take(w), e), by)
+                counts = pa.array(np.diff(total[ends], prepend=0))
+                yield pa.RecordBatch.from_arrays([keys, counts, joined(texts, b"" if packed else ","), joined(decoded, b"")], [key, "n_tokens", "ids", "decoded"])
+
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
+    grouped = docs.select(key, words.alias("_words")).mapInArrow(split, f"keys array<{kind.simpleString()}>, ends array<bigint>, at binary, words array<array<int>>, done array<boolean>, anew boolean")
+    ids = let(rank_map(path), lambda m: F.zip_with("words", "done", lambda w, done: F.when(done, w).otherwise(fold(w, m))))
+    merged = grouped.select("keys", "ends", ids.alias("ids"), "at", "anew")
     return merged.mapInArrow(assemble, f"`{key}` {kind.simpleString()}, n_tokens long, ids {'binary' if packed else 'string'}, decoded binary")
 
 
