@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shotledger.functions.scalars import article, filled, listed
+
 #: Tasks without an edited region, tasks without a direction in text, anchors of tasks without an entity.
 UNMASKED, UNDIRECTED = ("T3", "T5", "T6", "T7"), ("T5", "T7")
 ANCHORS = {"T3": "the original natural realistic scene", "T6": "the original camera framing of the scene"}
@@ -24,9 +26,8 @@ MARKS = (("beard", " with the beard"), ("glasses", " with glasses"), ("ponytail"
 
 
 def entity_description(characters: Column, entity: Column) -> Column:
-    """desc of the first character with that id; null if there is none or it is empty."""
-    first = F.get(F.filter(characters, lambda c: c["id"] == entity), 0)
-    return F.nullif(first["desc"], F.lit(""))
+    """desc of the first character with that id that has one; null if there is none."""
+    return F.get(F.filter(characters, lambda c: (c["id"] == entity) & (F.coalesce(c["desc"], F.lit("")) != "")), 0)["desc"]
 
 
 def _listed(*values: Column) -> Column:
@@ -85,3 +86,173 @@ def attribute_target(attribute: Column, value: Column) -> Column:
         .when(attribute.isin("jacket color", "shirt color", "glasses", "hat"), F.concat(F.lit("a person wearing "), value))
         .otherwise(F.concat(F.lit("a person with "), value, F.lit(" "), attribute))
     )
+
+
+#: Wordings of instructions by task and kind, taken in turn. In braces stand names of what fills them: a_x is x with its article, Ref a reference with a capital.
+INSTRUCTIONS = {
+    ("T1", ""): (
+        "Replace {ref} with {target}, in every shot they appear.",
+        "Throughout the video, swap {ref} for {target}.",
+        "Make {ref} into {target}; keep their actions and positions identical across all shots.",
+        "Recast {ref} as {target} for the entire scene.",
+    ),
+    ("T2", "hair color"): (
+        "Change {ref}'s hair color to {unhaired}, throughout the video.",
+        "{Ref} now has {bare} hair, in every shot.",
+        "Recolor {ref}'s hair to {bare} across all shots.",
+    ),
+    ("T2", "jacket color"): (
+        "Re-dress {ref} in {value} instead, in every shot.",
+        "Swap {ref}'s jacket for {value}, throughout the video.",
+        "{Ref} now wears {value} for the entire video.",
+    ),
+    ("T2", "shirt color"): (
+        "Change {ref}'s shirt to {value}, throughout the video.",
+        "Dress {ref} in {value} for every shot.",
+        "Replace {ref}'s shirt with {value} in all shots.",
+    ),
+    ("T2", "glasses"): (
+        "Add {value} to {ref}, in every shot.",
+        "{Ref} now wears {value}, throughout the video.",
+        "Place {value} on {ref} for the entire scene.",
+    ),
+    ("T2", "hat"): (
+        "Put {value} on {ref}, in every shot.",
+        "{Ref} now wears {value}, throughout the video.",
+        "Add {value} to {ref} across all shots.",
+    ),
+    ("T2", ""): ("Change {ref}'s {attribute} to {value}, throughout the video.",),
+    ("T3", ""): (
+        "Re-render the entire video in the visual style of {style}.",
+        "Restyle every shot as {style}.",
+        "Apply a {style} look to the whole video, preserving the action and shot order.",
+        "Make the entire video read as {style}.",
+    ),
+    ("T4", "replace"): (
+        "Replace the {old} with {new}, wherever it appears.",
+        "Throughout the video, swap the {old} for {new}.",
+        "Where the {old} would be, show {new} instead.",
+    ),
+    ("T4", "add"): (
+        "Add {new} beside the {anchor}, in every shot the {anchor} is visible.",
+        "Place {new} next to the {anchor}, throughout the video.",
+        "Insert {new} alongside the {anchor} in all shots where it appears.",
+    ),
+    ("T4", "remove"): (
+        "Remove the {old} from every shot.",
+        "Erase the {old} entirely from the video.",
+        "The {old} should not appear in any shot.",
+    ),
+    ("T4", ""): ("",),
+    ("T5", ""): (
+        "Reorder the video to shot order {order}.",
+        "Change the shot sequence to {order}, preserving each shot's content.",
+        "Make the edited video play in this shot order: {order}.",
+    ),
+    ("T6", ""): (
+        "Re-shoot shot {shot} as {a_framing} with {a_camera}.",
+        "Shot {shot} should be filmed as {a_framing}; apply {a_camera}.",
+        "Re-frame shot {shot} as {a_framing} and add {a_camera}.",
+        "Reshoot shot {shot} with {framing} framing and {a_camera}.",
+    ),
+    ("T7", ""): (
+        "Replace every hard cut with {a_transition}.",
+        "Use {transition} transitions instead of cuts between every shot.",
+        "Connect the shots with {transition} transitions rather than hard cuts.",
+        "Smooth the cuts into {transition} transitions throughout the video.",
+    ),
+}
+#: What a phrase of an attribute begins with, ends of it that are attributes of one word, and the framing that is no "shot".
+PERSON_WITH, PLAIN_ATTRIBUTES, CLOSE = "a person with ", ("glasses", "hat"), "extreme close-up"
+
+
+def attribute_of(phrase: Column) -> Column:
+    """struct<attribute, value> of "a person with <value> <attribute>": the last word, or the last two before "color"; else "attribute" and all of it."""
+    rest = F.replace(phrase, F.lit(PERSON_WITH), F.lit(""))
+    parts = F.split(rest, " ")
+    last = F.element_at(parts, -1)
+    head = lambda drop: F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - drop, F.lit(0))), " ")
+    tail = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), " ")
+    made = lambda attribute, value: F.struct(attribute.alias("attribute"), value.alias("value"))
+    several = F.size(parts) >= 2
+    return F.when(several & (last == "color"), made(tail, head(2))).when(several & last.isin(*PLAIN_ATTRIBUTES), made(last, head(1))).otherwise(made(F.lit("attribute"), rest))
+
+
+def worded(kind: Column, turn: Column, task: str, **names: Column) -> Column:
+    """The instruction of a task: the wording whose turn it is among those of its kind, filled with names."""
+    kinds = {k: texts for (t, k), texts in INSTRUCTIONS.items() if t == task}
+
+    def text(of: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, of)), (F.pmod(turn, F.lit(len(of))) + 1).cast("int"))
+
+    pattern = F.coalesce(*(F.when(kind == k, text(of)) for k, of in kinds.items() if k), text(kinds[""]))
+    return filled(pattern, **names)
+
+
+def capitalised(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
+
+
+def rewritten(task: str, turn: Column, description: Column, target: Column, extra: dict[str, Column]) -> tuple[Column, Column]:
+    """(instruction, target phrase) of a prompt in new words. turn: the prompt's number in its task, from 0. extra: op, old_object, new_object, anchor,
+    new_order (array), target_shot_id, target_framing, camera_move, transition_style, as far as the task has them; nulls are empty."""
+    x = lambda name: F.coalesce(extra.get(name, F.lit(None)).cast("string"), F.lit(""))
+    ref, none = short_reference(F.coalesce(description, F.lit(""))), F.lit("")
+    if task == "T1":
+        return worded(none, turn, task, ref=ref, target=target), target
+    if task == "T2":
+        parsed = attribute_of(target)
+        attribute, value = parsed["attribute"], parsed["value"]
+        unhaired = F.replace(value, F.lit(" hair"), F.lit(""))
+        names = {"ref": ref, "Ref": capitalised(ref), "attribute": attribute, "value": value, "unhaired": unhaired, "bare": F.trim(unhaired)}
+        return worded(attribute, turn, task, **names), attribute_target(attribute, value)
+    if task == "T3":
+        style = F.replace(target, F.lit(" look"), F.lit(""))
+        return worded(none, turn, task, style=style), F.concat(F.lit("a "), style, F.lit(" look"))
+    if task == "T4":
+        wanted = F.when(x("op") == "remove", F.concat(F.lit("a scene without the "), x("old_object"))).otherwise(extra["new_object"])
+        return worded(x("op"), turn, task, old=x("old_object"), new=x("new_object"), anchor=x("anchor")), wanted
+    if task == "T5":
+        order = F.array_join(F.coalesce(extra["new_order"].cast("array<string>"), F.array().cast("array<string>")), ", ")
+        return worded(none, turn, task, order=order), F.concat(F.lit("shots reordered to "), order)
+    if task == "T6":
+        framing, camera = x("target_framing"), x("camera_move")
+        phrase = F.when(F.endswith(framing, F.lit(" shot")) | (framing == CLOSE), article(framing)).otherwise(F.concat(article(framing), F.lit(" shot")))
+        return worded(none, turn, task, shot=x("target_shot_id"), framing=framing, a_framing=article(framing), a_camera=article(camera)), phrase
+    transition = x("transition_style")
+    return worded(none, turn, "T7", transition=transition, a_transition=article(transition)), F.concat(article(transition), F.lit(" transition"))
+
+
+def payload(fields: dict[str, Column], extra: dict[str, Column], lead: str = "Rewrite this:\n") -> Column:
+    """A message of a lead and the fields as JSON, nulls as null, with the extras that aren't null under "extra"."""
+    some = F.to_json(F.struct(*(c.alias(n) for n, c in extra.items())))
+    whole = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(lead), F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(',"extra":'), some, F.lit("}"))
+
+
+def phrases(objects: Column, characters: Column) -> Column:
+    """array<struct<phrase, kind, ref_id>>: a video's objects by their names, then its characters by their descriptions."""
+    made = lambda phrase, kind, ref: F.struct(phrase.alias("phrase"), F.lit(kind).alias("kind"), ref.cast("string").alias("ref_id"))
+    none = F.array().cast("array<struct<phrase:string,kind:string,ref_id:string>>")
+    return F.concat(
+        F.coalesce(F.transform(objects, lambda o: made(o, "object", o)), none), F.coalesce(F.transform(characters, lambda c: made(c["desc"], "character", c["id"])), none)
+    )
+
+
+def mask_queries(given: Column, task: Column, legacy: Column) -> Column:
+    """A prompt's mask queries: as given (a struct; lists as texts or JSON lists), else by its legacy policy of mask_policy().
+
+    Columns: nep_applicable, edit_scope, edit_type, source_queries, edited_queries, combine, reason.
+    """
+    names = ("nep_applicable", "edit_scope", "edit_type", "source_queries", "edited_queries", "combine", "reason")
+    whole = task.isin(*UNMASKED)
+    kept = [F.coalesce(given["nep_applicable"], F.lit(False)), given["edit_scope"], given["edit_type"], _queries(given["source_queries"]), _queries(given["edited_queries"]), F.coalesce(given["combine"], F.lit("union")), given["reason"]]
+    by_task = [
+        legacy["nep_applicable"], F.when(whole, "global_or_structural").otherwise("local"), legacy["edit_type"], legacy["source_queries"], legacy["edited_queries"],
+        F.when(whole, "none").otherwise("union"), F.when(whole, F.concat(F.lit("task "), task, F.lit(" has no local edit-region mask policy"))),
+    ]
+    return F.when(given.isNotNull(), F.struct(*(c.alias(n) for n, c in zip(names, kept, strict=True)))).otherwise(F.struct(*(c.alias(n) for n, c in zip(names, by_task, strict=True))))
+
+
+def _queries(value: Column) -> Column:
+    return F.coalesce(listed(value), F.array().cast("array<string>"))

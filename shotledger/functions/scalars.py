@@ -23,6 +23,25 @@ def picked(n: Column, most: int) -> Column:
     return F.when(n > 0, spread).otherwise(F.array().cast("array<int>"))
 
 
+def middle(first: Column, last: Column) -> Column:
+    """The middle frame of first..last, rounded down."""
+    return F.floor((first + last) / 2)
+
+
+def middle_of(n: Column, lower: bool = False) -> Column:
+    """The middle index of n items; of an even number the upper, or the lower one; null of none."""
+    return F.when(n > 0, F.floor((n - 1) / 2 if lower else n / 2))
+
+
+def keyframes(first: Column, last: Column, n: int) -> Column:
+    """n evenly spread frames of first..last, rounded half to even; all of them if there are no more, the first where last isn't after it.
+
+    One keyframe alone is the middle, rounded down, since no spread has one item."""
+    all_ = F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))
+    spread = F.array(F.floor((first + last) / 2).cast("int")) if n == 1 else F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(first + (last - first) * i / (n - 1)).cast("int"))
+    return F.when(last <= first, F.array(first.cast("int"))).when(last - first + 1 <= n, all_).otherwise(spread)
+
+
 def paired(n_source: Column, n_edit: Column, most: int) -> Column:
     """Indices of matched frames of two lists: the middle one alone, or spread evenly and rounded half to even."""
     n = F.least(n_source, n_edit)
@@ -39,11 +58,12 @@ def rating(reply: Column, most: float = 5.0) -> Column:
 
 
 def says_yes(reply: Column) -> Column:
-    """Whether a reply means yes; a leading word decides, else a yes without a no in it."""
-    text = F.lower(F.trim(F.coalesce(reply, F.lit(""))))
-    no = F.rlike(text, F.lit(r"^(no\b|false\b|否|不)"))
-    yes = F.rlike(text, F.lit(r"^(yes\b|true\b|是)"))
-    return F.when(no, F.lit(False)).when(yes, F.lit(True)).otherwise((F.instr(text, "yes") > 0) & (F.instr(text, "no") == 0))
+    """Whether a reply means yes: a leading word decides, else a yes that no "no" stands before. A word ends at what is no letter, digit or underscore of any script."""
+    text = F.lower(F.coalesce(reply, F.lit("")))
+    yes = F.rlike(text, F.lit(r"(?U)^\s*(yes|true|是)\b"))
+    no = F.rlike(text, F.lit(r"(?U)^\s*(no|false|否|不)\b"))
+    before = F.split_part(text, F.lit("yes"), F.lit(1))
+    return F.when(yes, F.lit(True)).when(no, F.lit(False)).otherwise(F.contains(text, F.lit("yes")) & ~F.contains(before, F.lit("no")))
 
 
 def lenient_json(reply: Column, schema: str) -> Column:
@@ -58,26 +78,29 @@ def winner(label: Column) -> Column:
     return F.when(first.isin("A", "B", "C"), first)
 
 
-def operation(instruction: Column, given: Column) -> Column:
-    """The kind of edit: as given, else by the instruction's words."""
+#: Words that name a new order of shots.
+REORDER = r"\b(reorder|shot order|shot sequence|trade positions|trade places)\b"
+#: Kinds of edit of older prompts and their words, in order.
+OLDER_KINDS = (("insert", r"\b(insert|add)\b"), ("delete", r"\b(delete|remove)\b"), ("swap", r"\bswap\b"))
+
+
+def operation(instruction: Column, given: Column, older: bool = False) -> Column:
+    """"reorder" where that is given or the instruction says so, else "unknown"; older also names the kinds that older prompts have."""
     text = F.lower(F.coalesce(instruction, F.lit("")))
-    return (
-        F.when(given == "reorder", given)
-        .when(F.rlike(text, F.lit(r"\b(reorder|rearrange|shot order)\b")), F.lit("reorder"))
-        .when(F.rlike(text, F.lit(r"\b(insert|add)\b")), F.lit("insert"))
-        .when(F.rlike(text, F.lit(r"\b(delete|remove)\b")), F.lit("delete"))
-        .when(F.rlike(text, F.lit(r"\bswap\b")), F.lit("swap"))
-        .otherwise(F.lit("unknown"))
-    )
+    out = F.when(F.coalesce(given == "reorder", F.lit(False)) | F.rlike(text, F.lit(REORDER)), F.lit("reorder"))
+    for kind, words in OLDER_KINDS if older else ():
+        out = out.when(F.rlike(text, F.lit(words)), F.lit(kind))
+    return out.otherwise(F.lit("unknown"))
 
 
 def expected_order(given: Column, instruction: Column) -> Column:
-    """The new order of shots as integers, from the list (null if an entry is none) or from the text after "shot order"."""
+    """The new order of shots as integers: from a list that isn't empty (null if an entry is none), else from what follows "shot order" in
+    the text, parted by commas or blanks; null where there is neither."""
     cast = F.transform(given, lambda x: x.try_cast("int"))
     listed = F.when(F.forall(cast, lambda x: x.isNotNull()), cast)
-    named = F.regexp_extract(F.coalesce(instruction, F.lit("")), r"(?i)shot order\s*([0-9,\s]+)", 1)
-    parsed = F.transform(F.filter(F.transform(F.split(named, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.try_cast("int"))
-    return F.when(given.isNotNull(), listed).otherwise(F.when(F.size(parsed) > 0, parsed))
+    named = F.regexp_extract(F.coalesce(instruction, F.lit("")), r"(?i)shot order(\s*[0-9,\s]+)", 1)
+    parsed = F.transform(F.filter(F.split(named, r"[\s,]+"), lambda x: x != ""), lambda x: x.try_cast("int"))
+    return F.when(F.size(given) > 0, listed).otherwise(F.when(named != "", parsed))
 
 
 def hash_unit(*items: Column) -> Column:
@@ -92,6 +115,13 @@ def filled(template: Column, **names: Column) -> Column:
     return template
 
 
+def listed(value: Column) -> Column:
+    """A list of the texts in a value that is one text or a JSON list of texts; empty ones and nulls are left out."""
+    many = F.from_json(value, "array<string>")
+    bare = F.when(F.rlike(value, F.lit(r"(?s)^\s*\[.*\]\s*$")) & many.isNotNull(), many).otherwise(F.array(value))
+    return F.filter(bare, lambda v: F.coalesce(v, F.lit("")) != "")
+
+
 def queries_joined(queries: Column) -> Column:
     """Non-empty queries joined by "; ", null if there are none."""
     return F.nullif(F.array_join(F.filter(queries, lambda q: q != ""), "; "), F.lit(""))

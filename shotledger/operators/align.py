@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Keywords that are broadcast, at the most.
+MAX_WORDS = 10_000
+
 
 def both_sides(source: DataFrame, edit: DataFrame, keys: list[str]) -> DataFrame:
     """All source items, with the edited one where there is one (present), for counts of what was skipped."""
@@ -40,15 +43,47 @@ def overridden(rows: DataFrame, curated: DataFrame, keys: list[str], columns: li
     return out
 
 
+def missing(rows: DataFrame, curated: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: n, and n_missing, the rows that have no curated one."""
+    have = curated.select(*keys).distinct().withColumn("_have", F.lit(True))
+    return rows.join(have, keys, "left").agg(F.count("*").alias("n"), F.count_if(F.col("_have").isNull()).alias("n_missing"))
+
+
+def looked_up(rows: DataFrame, items: DataFrame, keys: list[str], columns: dict[str, object]) -> DataFrame:
+    """rows with columns of the item of their key; the given default where there is none, or where it has none."""
+    found = items.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    out = rows.join(found, keys, "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"_new_{c}"), F.lit(default)).alias(c) for c, default in columns.items()))
+
+
+def valid_only(rows: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose key is among the valid ones; repeated valid keys repeat nothing."""
+    return rows.join(valid.select(*keys), keys, "left_semi")
+
+
+def versions(rows: DataFrame, others: dict[str, DataFrame], keys: list[str], column: str) -> DataFrame:
+    """Rows whose key every other version has, too, with the versions' values of a column as column_name."""
+    for name, other in others.items():
+        rows = rows.join(other.select(*keys, F.col(column).alias(f"{column}_{name}")), keys)
+    return rows
+
+
+def absent(shots: DataFrame, group: list[str], shot: str, applies: str) -> DataFrame:
+    """For each group the shots that an edit doesn't apply to; where none is marked, it applies to all."""
+    lists = shots.groupBy(*group).agg(F.array_sort(F.collect_list(shot)).alias("_all"), F.array_sort(F.collect_list(F.when(F.col(applies), F.col(shot)))).alias("_some"))
+    return lists.select(*group, F.when(F.size("_some") > 0, F.array_except("_all", "_some")).otherwise(F.slice("_all", 1, 0)).alias("absent"))
+
+
 def first_keyword_hit(operations: DataFrame, items: DataFrame, op: str, keywords: str, key: str, objects: str) -> DataFrame:
     """Operations that apply to an item, with the first object that holds a keyword: keywords in their order, then objects.
 
-    operations is a short table of rules; its words meet each distinct object once, and only then the items.
+    Each word meets each distinct object once, and only then the items. At most MAX_WORDS words are broadcast.
     """
     words = operations.select(op, F.posexplode(keywords).alias("_k", "_word"))
     things = items.select(key, F.posexplode(objects).alias("_o", "_object"))
     names = things.select("_object").distinct()
-    hits = names.join(F.broadcast(words), F.contains(F.lower("_object"), F.lower("_word")))
+    few = words.limit(MAX_WORDS + 1).count() <= MAX_WORDS
+    hits = names.join(F.broadcast(words) if few else words, F.contains(F.lower("_object"), F.lower("_word")))
     found = things.join(hits, "_object")
     return found.groupBy(key, op).agg(F.min_by("_object", F.struct("_k", "_o")).alias("object"))
 

@@ -2,42 +2,101 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotledger.functions.vectors import dot, mean_vectors, normalised
+from shotledger.functions.vectors import doubles, mean_vectors, normalised
+from shotledger.operators.lineage import cut, first_of_each
+
+#: Vectors of a group that are compared with each other as one matrix.
+TILE = 1024
+
+
+def _tiles(rows: DataFrame, group: str, item: str, vector: str, tile: int) -> DataFrame:
+    """group, i, j, side, item, vector: a group's vectors in slices of about `tile`, each two of which (i <= j) meet in one task."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_slices"))
+    own = rows.select(group, F.col(item).alias("item"), doubles(F.col(vector)).alias("v")).join(sizes, group)
+    own = own.withColumn("_s", F.pmod(F.xxhash64("item"), F.col("_slices").cast("long")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_slices") - 1), lambda j: F.struct(F.least("_s", j).alias("i"), F.greatest("_s", j).alias("j"), (F.col("_s") > j).cast("int").alias("side")))
+    return own.select(group, "item", "v", F.explode(others).alias("t")).select(F.col(group).alias("g"), "t.*", "item", "v")
+
+
+def _meet(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one tile the pairs (a < b) whose dot product is at least that, and it; a block of rows at a time."""
+    sides = [pdf[pdf["side"] == s] for s in (0, 1)]
+    left, right = sides[0], sides[1] if len(sides[1]) else sides[0]
+    if not len(left):
+        return np.zeros(0, object), np.zeros(0, object), np.zeros(0)
+    m, names, others = np.stack(right["v"].tolist()), left["item"].to_numpy(), right["item"].to_numpy()
+    found = []
+    for lo in range(0, len(left), 256):
+        dots = np.stack(left["v"].iloc[lo : lo + 256].tolist()) @ m.T
+        x, y = np.nonzero(dots >= least)
+        a, b = names[lo + x], others[y]
+        low = np.where(a < b, a, b)
+        good = (a < b) if right is left else (a != b)
+        found.append((low[good], np.where(a < b, b, a)[good], dots[x, y][good]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def similar_pairs(rows: DataFrame, group: str, item: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
+    """Pairs of a group's unit vectors with at least that cosine. All are compared, a matrix of two slices of a group in each task."""
+    kind, name = rows.schema[group].dataType.simpleString(), rows.schema[item].dataType.simpleString()
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, similarity = _meet(pdf, least)
+        return pd.DataFrame({group: pd.Series([pdf["g"].iloc[0]] * len(a), dtype=object), "a": a, "b": b, "similarity": similarity})
+
+    return _tiles(rows, group, item, vector, tile).groupBy("g", "i", "j").applyInPandas(pairs, f"`{group}` {kind}, a {name}, b {name}, similarity double")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """Of links those that join what they all join: no circle is left."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = find(x), find(y)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            out.append((x, y))
+    return out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+def similar_links(rows: DataFrame, group: str, item: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that join the same items as all similar_pairs(); from a tile comes a forest, which grows with its items, not its pairs."""
+    kind, name = rows.schema[group].dataType.simpleString(), rows.schema[item].dataType.simpleString()
 
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = _meet(pdf, least)
+        found = _forest(a, b)
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in ((group, [pdf["g"].iloc[0]] * len(found)), ("a", [x for x, _ in found]), ("b", [y for _, y in found]))})
 
-def similar_pairs(rows: DataFrame, group: str, item: str, vector: str, least: float) -> DataFrame:
-    """Pairs of a group's unit vectors with at least that cosine. The group (a video) bounds the pairs."""
-    a = rows.select(group, F.col(item).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(group, F.col(item).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, group).filter("a < b").withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= least).select(group, "a", "b", "similarity")
+    return _tiles(rows, group, item, vector, tile).groupBy("g", "i", "j").applyInPandas(links, f"`{group}` {kind}, a {name}, b {name}")
 
 
-def single_link(rows: DataFrame, group: str, item: str, vector: str, least: float, rounds: int = 50) -> DataFrame:
+def single_link(rows: DataFrame, group: str, item: str, vector: str, least: float, rounds: int = 50, tile: int = TILE) -> DataFrame:
     """rows' items with cluster_id: components of the graph of similar pairs, numbered from 0 by their least item in each group.
 
     The least label spreads along links, and to the label's own label, until nothing changes.
     """
-    links = similar_pairs(rows, group, item, vector, least)
-    both = _cut(links.select(group, "a", "b").union(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = _cut(rows.select(group, F.col(item).alias("a"), F.col(item).alias("root")).distinct())
+    links = similar_links(rows, group, item, vector, least, tile)
+    both = cut(links.select(group, "a", "b").union(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = cut(rows.select(group, F.col(item).alias("a"), F.col(item).alias("root")).distinct())
     for _ in range(rounds):
         near = both.join(now.select(group, F.col("a").alias("b"), "root"), [group, "b"]).groupBy(group, "a").agg(F.min("root").alias("_n"))
         step = now.join(near, [group, "a"], "left").select(group, "a", "root", F.least("root", "_n").alias("_to"))
         jump = now.select(group, F.col("a").alias("_to"), F.col("root").alias("_far"))
-        after = _cut(step.join(jump, [group, "_to"]).select(group, "a", F.least("_to", "_far").alias("root"), (F.least("_to", "_far") != F.col("root")).alias("_moved")))
+        after = cut(step.join(jump, [group, "_to"]).select(group, "a", F.least("_to", "_far").alias("root"), (F.least("_to", "_far") != F.col("root")).alias("_moved")))
         moved = after.filter("_moved").limit(1).count()
         now = after.drop("_moved")
         if not moved:
@@ -50,8 +109,7 @@ def single_link(rows: DataFrame, group: str, item: str, vector: str, least: floa
 
 def profiles(members: DataFrame, keys: list[str], shot: str, item: str, vector: str, samples: int = 5) -> DataFrame:
     """A row for each cluster: its shots, size, whether it recurs, its centroid and first members."""
-    facts = members.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(shot)).alias("appears_in_shots"), F.count("*").alias("n_crops"), F.slice(F.array_sort(F.collect_list(item)), 1, samples).alias("samples")
-    ).withColumn("recurring", F.size("appears_in_shots") >= 2)
+    facts = members.groupBy(*keys).agg(F.array_sort(F.collect_set(shot)).alias("appears_in_shots"), F.count("*").alias("n_crops")).withColumn("recurring", F.size("appears_in_shots") >= 2)
+    first = first_of_each(members.select(*keys, item), keys, samples, [item]).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("samples"))
     centre = mean_vectors(members, keys, vector).withColumn("centroid", normalised(F.col("vector"))).drop("vector")
-    return facts.join(centre, keys)
+    return facts.join(first, keys).join(centre, keys)

@@ -23,3 +23,25 @@ def measures(runs: DataFrame, keys: list[str], width: str, start: str = "run_sta
     x0, x1 = F.when(wraps, 0).otherwise(F.col(start) % F.col(width)), F.when(wraps, F.col(width) - 1).otherwise(end % F.col(width))
     out = runs.groupBy(*keys).agg(F.sum(length).alias("area"), F.min(x0).alias("x0"), F.min(F.floor(F.col(start) / F.col(width))).alias("y0"), F.max(x1).alias("x1"), F.max(F.floor(end / F.col(width))).alias("y1"))
     return out.withColumn("hit", F.col("area") >= least)
+
+
+def complement(runs: DataFrame, frames: DataFrame, keys: list[str], pixels: str, start: str = "run_start", length: str = "run_len") -> DataFrame:
+    """Runs of a frame's pixels 0..pixels-1 that none of its runs, which are apart, covers; a frame without runs is one run."""
+    line = W.partitionBy(*keys).orderBy("_at")
+    edges = runs.select(*keys, (F.col(start) + F.col(length)).alias("_at"), F.col(start).alias("_begin")).unionByName(frames.select(*keys, F.lit(0).cast("long").alias("_at"), F.lit(-1).cast("long").alias("_begin")))
+    after = edges.withColumn("_next", F.lead("_begin").over(line)).join(frames, keys)
+    out = after.select(*keys, F.col("_at").alias(start), (F.coalesce("_next", pixels) - F.col("_at")).alias(length))
+    return out.filter(F.col(length) > 0)
+
+
+def decoded(masks: DataFrame, keys: list[str], counts: str) -> DataFrame:
+    """Runs of set pixels from run lengths that alternate, unset first."""
+    ends = F.transform(counts, lambda x, i: F.struct(i.alias("i"), x.cast("long").alias("n"), F.aggregate(F.slice(counts, 1, i), F.lit(0).cast("long"), lambda a, y: a + y).alias("at")))
+    return masks.select(*keys, F.explode(ends).alias("r")).filter("r.i % 2 = 1 AND r.n > 0").select(*keys, F.col("r.at").alias("run_start"), F.col("r.n").alias("run_len"))
+
+
+def clipped(boxes: DataFrame, width: int, height: int, least: int = 16, score: str | None = None, min_score: float = 0.3) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) held to the picture; those with a side under `least` go, and those whose score is under min_score."""
+    clip = {"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.lit(width)), "y0": F.greatest("y0", F.lit(0)), "y1": F.least("y1", F.lit(height))}
+    kept = boxes.withColumns(clip).filter((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
+    return kept.filter(F.col(score) >= min_score) if score else kept

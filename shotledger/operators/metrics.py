@@ -104,3 +104,18 @@ def content_alignment(matched: DataFrame, keys: list[str], a: str, b: str) -> Da
 def structural_fidelity(content: Column, count_correct: Column | None = None) -> Column:
     """Content alignment; in the older form half of it and half the correct count."""
     return F.coalesce(content, F.lit(0.0)) if count_correct is None else 0.5 * (count_correct + content)
+
+
+#: Tasks for which a metric means nothing, and why.
+NOT_FOR = {"nep": ("T3", "T5", "T6", "T7"), "ee_v3": ("T5", "T7"), "csep_v3": ("T5", "T7"), "id_drift": ("T1",)}
+NO_NEP, NO_EFFECT = "NEP not applicable for this task", "not v3-applicable"
+
+
+def routed(rows: DataFrame, task: str = "task_id", nep_applies: str | None = None, reason: str | None = None) -> DataFrame:
+    """rows whose metrics are null where their task has none, with nep_reason and ee_reason. nep_applies and reason: columns of a prompt's own mask policy."""
+    skip = {c: F.col(task).isin(*tasks) for c, tasks in NOT_FOR.items()}
+    if nep_applies:
+        skip["nep"] = ~F.coalesce(F.col(nep_applies), F.lit(False))
+    out = rows.withColumns({c: F.when(~s, F.col(c)) for c, s in skip.items() if c in rows.columns})
+    why = F.coalesce(F.col(reason), F.lit(NO_NEP)) if reason else F.lit(NO_NEP)
+    return out.withColumn("nep_reason", F.when(skip["nep"], why)).withColumn("ee_reason", F.when(skip["ee_v3"], F.concat(F.lit("task "), task, F.lit(" " + NO_EFFECT))))

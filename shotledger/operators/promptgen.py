@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotledger.functions import prompts
+from shotledger.operators import lineage
+
+#: A bank of at most so many values is handled as one array.
+MAX_BANK = 10_000
+#: Tasks whose prompts can be put in new words, and what an edit says beside its text.
+TASKS = ("T1", "T2", "T3", "T4", "T5", "T6", "T7")
+EXTRA = ("op", "old_object", "new_object", "anchor", "new_order", "target_shot_id", "target_framing", "camera_move", "transition_style")
+
 
 def mark(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in keys)))
@@ -17,17 +26,34 @@ def sampled(rows: DataFrame, group: list[str], keys: list[str], n: int, seed: st
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def from_bank(items: DataFrame, bank: DataFrame, key: str, value: str, n: int, seed: str) -> DataFrame:
-    """n values of the bank for each item. The bank is a short list: it goes to the items as one array."""
-    values = bank.agg(F.array_sort(F.collect_set(value)).alias("v"))
-    each = items.withColumn("_v", values.scalar()).select("*", F.explode("_v").alias(value)).drop("_v")
-    return sampled(each, [key], [value], n, seed)
+def from_bank(items: DataFrame, bank: DataFrame, key: str, value: str, n: int, seed: str, most: int = MAX_BANK) -> DataFrame:
+    """n values of the bank for each item. A bank of at most `most` values goes to the items as one array, of which each keeps n; a longer one is joined."""
+    values = bank.select(value).distinct()
+    if values.limit(most + 1).count() > most:
+        return sampled(items.join(values), [key], [value], n, seed)
+    listed = values.agg(F.array_sort(F.collect_list(value)).alias("v"))
+    marked = F.array_sort(F.transform("_v", lambda v: F.struct(mark(seed, F.col(key), v).alias("m"), v.alias("v"))))
+    chosen = items.withColumn("_v", listed.scalar()).withColumn("_v", F.slice(marked, 1, n))
+    return chosen.select("*", F.posexplode("_v").alias("_i", "_x")).select(*items.columns, F.col("_x.v").alias(value), (F.col("_i") + 1).alias("rank"))
 
 
 def numbered(rows: DataFrame, video: str, task: str, order: list[str]) -> DataFrame:
     """sample_id video_task_0000, counted through each task."""
-    n = F.row_number().over(W.partitionBy(task).orderBy(video, *order)) - 1
-    return rows.withColumn("sample_id", F.format_string("%s_%s_%04d", F.col(video), F.col(task), n))
+    out = lineage.numbered(rows, [task], [video, *order], "_n")
+    return out.withColumn("sample_id", F.format_string("%s_%s_%04d", F.col(video), F.col(task), F.col("_n"))).drop("_n")
+
+
+def rewritten(rows: DataFrame, order: list[str], task: str = "task_id", description: str = "description", instruction: str = "instruction", target: str = "target_phrase", extra: tuple[str, ...] = EXTRA) -> DataFrame:
+    """rows with instruction and target phrase in new words, and what they were as *_v1. A task's wordings are taken in turn by order; a row of another task stays as it is."""
+    turns = lineage.numbered(rows, [task], order, "_turn")
+    given = {x: F.col(x) for x in extra if x in rows.columns} | {x: F.lit(None).cast("array<string>" if x == "new_order" else "string") for x in extra if x not in rows.columns}
+    texts, phrases = F.col(instruction), F.col(target)
+    for t in TASKS:
+        text, phrase = prompts.rewritten(t, F.col("_turn"), F.col(description), F.col(target), given)
+        texts, phrases = F.when(F.col(task) == t, text).otherwise(texts), F.when(F.col(task) == t, phrase).otherwise(phrases)
+    out = turns.withColumn("_text", texts).withColumn("_phrase", phrases)
+    out = out.withColumn(f"{instruction}_v1", F.col(instruction)).withColumn(f"{target}_v1", F.col(target))
+    return out.withColumn(instruction, F.col("_text")).withColumn(target, F.col("_phrase")).drop("_text", "_phrase", "_turn")
 
 
 def cycled(rows: DataFrame, group: str, order: str, patterns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotledger.operators.lineage import first_of_each
+
 
 def fold_samples(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """A row for each prompt: k_count and of each metric the mean and sample deviation of its non-null values.
@@ -60,3 +62,35 @@ def update_then(rows: DataFrame, updates: DataFrame, keys: list[str], columns: l
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     """Rows by value; null is a value."""
     return rows.groupBy(F.col(column).cast("string").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def outcomes(rows: DataFrame, keys: list[str], ok: str, skipped: str | None = None) -> DataFrame:
+    """Manifest summaries: for each key, and over all (null keys), n_total, n_ok, n_failed and n_skipped of its rows."""
+    skip = F.coalesce(F.col(skipped), F.lit(False)) if skipped else F.lit(False)
+    good = F.coalesce(F.col(ok), F.lit(False)) & ~skip
+    counts = [F.count("*").alias("n_total"), F.count_if(good).alias("n_ok"), F.count_if(~good & ~skip).alias("n_failed"), F.count_if(skip).alias("n_skipped")]
+    return rows.rollup(*keys).agg(*counts) if len(keys) == 1 else rows.groupingSets([[F.col(k) for k in keys], []], *keys).agg(*counts)
+
+
+def by_task(rows: DataFrame, task: str = "task_id", *more: str) -> DataFrame:
+    """rows in order of their task's name, nulls as an empty one."""
+    return rows.orderBy(F.coalesce(F.col(task).cast("string"), F.lit("")), *more)
+
+
+def by_hit_rate(rows: DataFrame, rate: str = "hit_rate", category: str = "category") -> DataFrame:
+    """rows from the best rate down, equal ones by category."""
+    return rows.orderBy(F.desc(rate), category)
+
+
+def limited(rows: DataFrame, order: list[str], n: int, per: list[str] | None = None) -> DataFrame:
+    """The first n rows in order, or of each group; 0 keeps all."""
+    if not n:
+        return rows
+    return first_of_each(rows, per, n, order) if per else rows.orderBy(*order).limit(n)
+
+
+def details(rows: DataFrame, keys: list[str], name: str, value: str, out: str = "details") -> DataFrame:
+    """For each key a map from name to value, of rows in which names don't repeat, and the list of its values by name."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(name), F.col(value))))
+    listed = rows.groupBy(*keys).agg(pairs.alias("_p"))
+    return listed.select(*keys, F.map_from_entries("_p").alias(out), F.transform("_p", lambda p: p[value]).alias(f"{out}_list"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotledger.functions import prompts
+from shotledger.operators import masks
 from shotledger.plans.base import query, read
 
 EDITS = """e AS (SELECT p_partkey, 'T' || (1 + p_size % 7) AS task, CASE WHEN p_partkey % 3 = 0 THEN 'young woman in ' || p_name END AS description, CASE p_partkey % 5 WHEN 0 THEN 'add' WHEN 1 THEN 'replace' WHEN 2 THEN 'remove' WHEN 3 THEN 'paint' END AS op,
@@ -57,5 +58,4 @@ WHERE least(x1, 640) - greatest(x0, 0) >= 16 AND least(y1, 360) - greatest(y0, 0
 def clipped_faces(spark, sf_dir):
     i = F.col("event_id")
     e = read(spark, sf_dir, "events").select("event_type", "event_id", (i * 31 % 700 - 20).alias("x0"), (i * 31 % 700 - 20 + F.bround("value").cast("long") % 60).alias("x1"), (i * 17 % 350).alias("y0"), (i * 17 % 350 + 24).alias("y1"))
-    clip = {"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.lit(640)), "y0": F.greatest("y0", F.lit(0)), "y1": F.least("y1", F.lit(360))}
-    return e.withColumns(clip).filter("x1 - x0 >= 16 AND y1 - y0 >= 16").select("event_type", "event_id", "x0", "x1", "y1")
+    return masks.clipped(e, 640, 360).select("event_type", "event_id", "x0", "x1", "y1")

@@ -91,14 +91,14 @@ def harmonic_propagation(spark, sf_dir):
     return out.withColumns({c: r6(c) for c in ("coverage", "consistency", "csep")})
 
 
-@query(f"""WITH {RESULTS}, x AS (SELECT task_id, sample_id, k, ee_v3 FROM results WHERE k < 4), p AS (SELECT a.task_id, a.sample_id, a.k AS i, b.k AS j, CASE WHEN (a.k + b.k) % 3 > 0 THEN a.ee_v3 END AS r FROM x a JOIN x b ON a.task_id = b.task_id AND a.sample_id = b.sample_id AND a.k < b.k),
-s AS (SELECT task_id, sample_id, avg(coalesce(r, 0)) AS con, count(*) AS n_pairs FROM p GROUP BY ALL), c AS (SELECT task_id, sample_id, avg(coalesce(ee_v3, 0)) AS cov FROM x GROUP BY ALL)
-SELECT task_id, sample_id, n_pairs, round(cov, 6) AS coverage, round(con, 6) AS consistency, round(sqrt(cov * con), 6) AS csep_v3 FROM c LEFT JOIN s USING (task_id, sample_id)""")
+@query(f"""WITH {RESULTS}, x AS (SELECT task_id, sample_id, k, ee_v3 FROM results), p AS (SELECT a.task_id, a.sample_id, a.k AS i, b.k AS j, CASE WHEN (a.k + b.k) % 3 > 0 THEN a.ee_v3 END AS r FROM x a JOIN x b ON a.task_id = b.task_id AND a.sample_id = b.sample_id AND a.k < b.k),
+s AS (SELECT task_id, sample_id, avg(coalesce(r, 0)) AS con, count(*) AS n_pairs, map(list(i || '-' || j ORDER BY i || '-' || j), list(coalesce(r, 0) ORDER BY i || '-' || j)) AS pair_scores FROM p GROUP BY ALL), c AS (SELECT task_id, sample_id, avg(coalesce(ee_v3, 0)) AS cov FROM x GROUP BY ALL)
+SELECT task_id, sample_id, n_pairs, round(cov, 6) AS coverage, round(con, 6) AS consistency, round(sqrt(cov * con), 6) AS csep_v3, pair_scores FROM c LEFT JOIN s USING (task_id, sample_id)""")
 def rated_propagation(spark, sf_dir):
-    x = results(spark, sf_dir).filter("k < 4").select("task_id", "sample_id", "k", "ee_v3")
+    x = results(spark, sf_dir).select("task_id", "sample_id", "k", "ee_v3")
     p = align.pairs_in_group(x, ["task_id", "sample_id"], "k", "ee_v3").withColumn("r", F.when((F.col("a") + F.col("b")) % 3 > 0, F.col("ee_v3_a")))
     out = metrics.propagation_rated(p, x, ["task_id", "sample_id"], "r", "ee_v3")
-    return out.select("task_id", "sample_id", "n_pairs", r6("coverage").alias("coverage"), r6("consistency").alias("consistency"), r6("csep_v3").alias("csep_v3"))
+    return out.select("task_id", "sample_id", "n_pairs", r6("coverage").alias("coverage"), r6("consistency").alias("consistency"), r6("csep_v3").alias("csep_v3"), "pair_scores")
 
 
 @query(f"""WITH {RESULTS}, o AS (SELECT task_id, sample_id, coalesce(avg(greatest(0, psq - ee_v3 - 0.02)) FILTER (n % 4 = 0 AND psq IS NOT NULL AND ee_v3 IS NOT NULL), 0) AS off, CASE WHEN sample_id % 3 > 0 THEN avg(psq) - 0.1 END AS drift FROM results GROUP BY task_id, sample_id)
@@ -131,16 +131,17 @@ def shot_spread(spark, sf_dir):
     return spread(frame_vectors(spark, sf_dir), ["sample_id", "shot_id"], "v").withColumn("spread", r6("spread"))
 
 
-@query(f"""WITH {FRAMES}, {MEANS}, e AS (SELECT sample_id, unnest([3, 1, 0, 2, 1]) AS wanted, generate_subscripts([3, 1, 0, 2, 1], 1) - 1 AS pos FROM (SELECT DISTINCT sample_id FROM frames)),
-d AS (SELECT label AS sample_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding::DOUBLE[] AS ev FROM embeddings QUALIFY pos < 4)
-SELECT e.sample_id, round({CLIP.format(x='avg(coalesce(list_dot_product(ev, v), 0))')}, 6) AS content_alignment FROM e LEFT JOIN d USING (sample_id, pos) LEFT JOIN means m ON m.sample_id = e.sample_id AND m.shot_id = e.wanted GROUP BY 1""")
+@query(f"""WITH {FRAMES}, {MEANS}, d AS (SELECT label AS sample_id, vec_id // 40 AS video, embedding::DOUBLE[] AS ev, (vec_id * 7) % 5 AS wanted FROM embeddings)
+SELECT d.sample_id, video, round({CLIP.format(x='avg(coalesce(list_dot_product(ev, v), 0))')}, 6) AS content_alignment FROM d LEFT JOIN means m ON m.sample_id = d.sample_id AND m.shot_id = d.wanted GROUP BY ALL""")
 def content_alignment(spark, sf_dir):
+    """Each forty vectors are a video, whose vectors of a label are items in order; each should be like the shot that its number names."""
     f = frame_vectors(spark, sf_dir)
-    wanted = f.select("sample_id").distinct().withColumn("order", F.array(*map(F.lit, (3, 1, 0, 2, 1))))
-    first = f.groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), 1, 4).alias("l")).select("sample_id", F.transform("l", lambda x: x["v"]).alias("items"))
-    matched = align.by_position(wanted, first, K, "order", "items")
+    keys = ["sample_id", "video"]
+    lists = f.withColumn("video", F.floor(F.col("vec_id") / 40)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("l"))
+    wanted = lists.select(*keys, F.transform("l", lambda x: x["vec_id"] * 7 % 5).alias("order"))
+    matched = align.by_position(wanted, lists.select(*keys, F.transform("l", lambda x: x["v"]).alias("items")), keys, "order", "items")
     source = mean_vectors(f, ["sample_id", "shot_id"], "v").withColumnRenamed("shot_id", "wanted")
-    out = metrics.content_alignment(matched.join(source, ["sample_id", "wanted"], "left"), K, "item", "vector")
+    out = metrics.content_alignment(matched.join(source, ["sample_id", "wanted"], "left"), keys, "item", "vector")
     return out.withColumn("content_alignment", r6("content_alignment"))
 
 
@@ -164,11 +165,11 @@ def identity_clusters(spark, sf_dir):
 
 @query(f"""WITH {FRAMES}, dims AS (SELECT sample_id, vec_id % 7 AS cluster, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM frames), m AS (SELECT sample_id, cluster, d, avg(x) AS x FROM dims GROUP BY ALL), c AS (SELECT sample_id, cluster, list(x ORDER BY d) AS v FROM m GROUP BY ALL),
 f AS (SELECT sample_id, vec_id % 7 AS cluster, list_sort(list(DISTINCT shot_id)) AS appears_in_shots, count(*) AS n_crops, list_sort(list(vec_id))[1:5] AS samples FROM frames GROUP BY ALL)
-SELECT sample_id, cluster, appears_in_shots, n_crops, samples, len(appears_in_shots) >= 2 AS recurring, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-8), 6) AS first_component FROM f JOIN c USING (sample_id, cluster)""")
+SELECT sample_id, cluster, appears_in_shots, n_crops, samples, len(appears_in_shots) >= 2 AS recurring, list_transform(v, lambda x: round(x / (sqrt(list_dot_product(v, v)) + 1e-8), 6)) AS centroid FROM f JOIN c USING (sample_id, cluster)""")
 def character_profiles(spark, sf_dir):
     f = frame_vectors(spark, sf_dir).withColumn("cluster", F.col("vec_id") % 7)
     p = identity.profiles(f, ["sample_id", "cluster"], "shot_id", "vec_id", "v")
-    return p.select("sample_id", "cluster", "appears_in_shots", "n_crops", "samples", "recurring", r6(F.get("centroid", F.lit(0))).alias("first_component"))
+    return p.select("sample_id", "cluster", "appears_in_shots", "n_crops", "samples", "recurring", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
 
 
 RUNS = """rn AS (SELECT user_id, event_type, (event_id * 7919) % 5000 AS s, value::INT % 60 AS l FROM events), p AS (SELECT user_id, event_type, s, l, s + l AS e FROM rn WHERE l > 0),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shotledger.functions import scalars
-from shotledger.operators import align, judge, promptgen, scoring
+from shotledger.operators import align, judge, lineage, promptgen, scoring
 from shotledger.plans.base import query, r6, read
 
 REPLIES = """replies AS (SELECT event_id, user_id, event_type, CASE event_id % 8 WHEN 0 THEN 'Score: ' || (value::INT % 7) || '/5' WHEN 1 THEN (value::INT % 10) || '.5 because' WHEN 2 THEN '10' WHEN 3 THEN ''
-  WHEN 4 THEN 'Yes, it is' WHEN 5 THEN 'no' WHEN 6 THEN '是的 4' ELSE 'I say yes' END AS reply FROM events)"""
+  WHEN 4 THEN 'Yes, it is' WHEN 5 THEN ' No' WHEN 6 THEN '是的 4' ELSE ['I say yes, no doubt', 'no, not a yes', 'I know: yes', '是 yes', '不, yes', 'so yes'][event_id // 8 % 6 + 1] END AS reply FROM events)"""
 
 
 def _replies(spark, sf_dir):
@@ -18,7 +17,7 @@ def _replies(spark, sf_dir):
     v, k = F.bround("value").cast("int"), F.col("event_id") % 8
     reply = (
         F.when(k == 0, F.concat(F.lit("Score: "), (v % 7).cast("string"), F.lit("/5"))).when(k == 1, F.concat((v % 10).cast("string"), F.lit(".5 because"))).when(k == 2, "10").when(k == 3, "")
-        .when(k == 4, "Yes, it is").when(k == 5, "no").when(k == 6, "是的 4").otherwise("I say yes")
+        .when(k == 4, "Yes, it is").when(k == 5, " No").when(k == 6, "是的 4").otherwise(F.element_at(F.array(*map(F.lit, ("I say yes, no doubt", "no, not a yes", "I know: yes", "是 yes", "不, yes", "so yes"))), (F.floor(F.col("event_id") / 8) % 6 + 1).cast("int")))
     )
     return e.select("event_id", "user_id", "event_type", reply.alias("reply"))
 
@@ -29,8 +28,8 @@ def judge_ratings(spark, sf_dir):
     return _replies(spark, sf_dir).select("event_id", scalars.rating(F.col("reply")).alias("rating"))
 
 
-@query(rf"""WITH {REPLIES}, r AS (SELECT event_id, lower(trim(reply)) AS t FROM replies) SELECT event_id, CASE WHEN regexp_matches(t, '^(no\b|false\b|否|不)') THEN false
-WHEN regexp_matches(t, '^(yes\b|true\b|是)') THEN true ELSE contains(t, 'yes') AND NOT contains(t, 'no') END AS yes FROM r""")
+@query(rf"""WITH {REPLIES}, r AS (SELECT event_id, lower(reply) AS t FROM replies) SELECT event_id, CASE WHEN regexp_matches(t, '^\s*(yes|true|是)($|[^\p{{L}}\p{{N}}_])') THEN true
+WHEN regexp_matches(t, '^\s*(no|false|否|不)($|[^\p{{L}}\p{{N}}_])') THEN false ELSE contains(t, 'yes') AND NOT contains(split_part(t, 'yes', 1), 'no') END AS yes FROM r""")
 def yes_no_votes(spark, sf_dir):
     return _replies(spark, sf_dir).select("event_id", scalars.says_yes(F.col("reply")).alias("yes"))
 
@@ -46,14 +45,15 @@ def verdict_json(spark, sf_dir):
     return parsed.select("doc_id", scalars.winner(F.col("v.winner")).alias("winner"), F.col("v.score").alias("score"))
 
 
-@query(r"""WITH p AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Add a ' || p_name WHEN 1 THEN 'please REMOVE it' WHEN 2 THEN 'use shot order 3, 1, 2' WHEN 3 THEN 'swap both' WHEN 4 THEN 'additive colours' ELSE NULL END AS i,
-CASE WHEN p_size % 10 = 0 THEN [3, 2, 1] END AS g FROM part), t AS (SELECT *, lower(coalesce(i, '')) AS x FROM p)
-SELECT p_partkey, CASE WHEN regexp_matches(x, '\b(reorder|rearrange|shot order)\b') THEN 'reorder' WHEN regexp_matches(x, '\b(insert|add)\b') THEN 'insert' WHEN regexp_matches(x, '\b(delete|remove)\b') THEN 'delete'
-WHEN regexp_matches(x, '\bswap\b') THEN 'swap' ELSE 'unknown' END AS op, CASE WHEN g IS NOT NULL THEN g WHEN x LIKE '%shot order%' THEN [3, 1, 2] END AS expected FROM t""")
+ORDERS = ("Add a ring", "please REORDER it", "use shot order 3 1 2", "let both trade places", "rearrange them", "Shot order 4,  2\n1 now", "trade positions, then go", "a new shot sequence", "swap both", "shot order: none")
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, [{', '.join(f"'{x}'" for x in ORDERS)}][p_partkey % 11 + 1] AS i, CASE WHEN p_size % 10 = 0 THEN [3, 2, 1] WHEN p_size % 10 = 1 THEN [] END AS g FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 11 IN (1, 2, 3, 5, 6, 7, 9) THEN 'reorder' ELSE 'unknown' END AS op, CASE WHEN len(g) > 0 THEN g WHEN p_partkey % 11 = 2 THEN [3, 1, 2] WHEN p_partkey % 11 = 5 THEN [4, 2, 1] END AS expected FROM p""")
 def edit_operations(spark, sf_dir):
-    k, name = F.col("p_size") % 6, F.concat(F.lit("Add a "), "p_name")
-    i = F.when(k == 0, name).when(k == 1, "please REMOVE it").when(k == 2, "use shot order 3, 1, 2").when(k == 3, "swap both").when(k == 4, "additive colours")
-    p = read(spark, sf_dir, "part").select("p_partkey", i.alias("i"), F.when(F.col("p_size") % 10 == 0, F.array(*map(F.lit, ("3", "2", "1")))).alias("g"))
+    i = F.get(F.array(*map(F.lit, ORDERS)), (F.col("p_partkey") % 11).cast("int"))
+    given = F.when(F.col("p_size") % 10 == 0, F.array(*map(F.lit, ("3", "2", "1")))).when(F.col("p_size") % 10 == 1, F.array().cast("array<string>"))
+    p = read(spark, sf_dir, "part").select("p_partkey", i.alias("i"), given.alias("g"))
     return p.select("p_partkey", scalars.operation(F.col("i"), F.lit(None).cast("string")).alias("op"), scalars.expected_order(F.col("g"), F.col("i")).alias("expected"))
 
 
@@ -77,27 +77,25 @@ def prompt_texts(spark, sf_dir):
     )
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, '[wide]  ' || split_part(text, ' ', 1) || chr(10) || ' x [close up] ' || split_part(text, ' ', 2) || ' ' AS caption FROM conversations)
-SELECT conv_id, turn, ['Shot 1: [wide] ' || trim(regexp_replace(split_part(split_part(caption, ']', 2), '[', 1), '\s+', ' ', 'g')), 'Shot 2: [close up] ' || trim(regexp_replace(split_part(caption, ']', 3), '\s+', ' ', 'g'))] AS shots FROM c""")
+@query(r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[\[\]]', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, ['Shot 1: [wide] ' || trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 'Shot 2: [close up] ' || trim(regexp_replace(t, '\s+', ' ', 'g'), ' ')] AS shots FROM c""")
 def caption_shots(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    caption = F.concat(F.lit("[wide]  "), word(1), F.lit("\n x [close up] "), word(2), F.lit(" "))
-    return c.select("conv_id", "turn", scalars.shots_of_caption(caption).alias("shots"))
+    text = F.regexp_replace("text", r"[\[\]]", "")
+    caption = F.concat(F.lit("[wide]  "), text, F.lit("\n [close up] "), text, F.lit(" "))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.shots_of_caption(caption).alias("shots"))
 
 
-@query("""SELECT conv_id, string_agg(role || ': ' || text[1:20], chr(10) ORDER BY turn) AS message FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS message FROM conversations GROUP BY conv_id""")
 def judge_messages(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").withColumn("head", F.substring("text", 1, 20))
-    return judge.assembled(c, ["conv_id"], "turn", "role", "head")
+    return judge.assembled(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "text")
 
 
-VERSIONS = """v AS (SELECT doc_id, unnest(['v1', 'v11', 'v12']) AS version FROM documents WHERE doc_id % 5 <> 1),
+VERSIONS = """v AS (SELECT doc_id, unnest(['v1', 'v11', 'v12']) AS version FROM documents),
 lab AS (SELECT doc_id, version, chr((64 + row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '|' || version), version))::INT) AS label FROM v)"""
 
 
 def _labels(spark, sf_dir):
-    d = read(spark, sf_dir, "documents", "doc_id").filter("doc_id % 5 <> 1")
+    d = read(spark, sf_dir, "documents", "doc_id")
     return judge.blind_labels(d.select("doc_id", F.explode(F.array(*map(F.lit, ("v1", "v11", "v12")))).alias("version")), "doc_id", "version")
 
 
@@ -106,11 +104,11 @@ def blind_labels(spark, sf_dir):
     return _labels(spark, sf_dir).select("doc_id", "version", "label")
 
 
-@query(f"""WITH {VERSIONS}, ver AS (SELECT d.doc_id, lang AS task_id, version FROM documents d JOIN lab ON lab.doc_id = d.doc_id AND label = chr((65 + d.n_chars % 3)::INT))
+@query(f"""WITH {VERSIONS}, ver AS (SELECT d.doc_id, lang AS task_id, version FROM documents d LEFT JOIN lab ON lab.doc_id = d.doc_id AND label = chr((65 + d.n_chars % 4)::INT))
 SELECT coalesce(task_id, 'all') AS task_id, count_if(version = 'v1') AS wins_v1, count_if(version = 'v11') AS wins_v11, count_if(version = 'v12') AS wins_v12, count(version) AS n_judged FROM ver GROUP BY GROUPING SETS ((task_id), ())""")
 def win_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents", "doc_id", "lang", "n_chars").filter("doc_id % 5 <> 1")
-    verdicts = d.select("doc_id", F.col("lang").alias("task_id"), F.char(F.col("n_chars") % 3 + 65).alias("winner"))
+    d = read(spark, sf_dir, "documents", "doc_id", "lang", "n_chars")
+    verdicts = d.select("doc_id", F.col("lang").alias("task_id"), F.char(F.col("n_chars") % 4 + 65).alias("winner"))
     return judge.wins(judge.decoded(verdicts, _labels(spark, sf_dir), "doc_id", "winner"), "task_id", "winner_version", ["v1", "v11", "v12"])
 
 
@@ -165,10 +163,12 @@ def keyword_operations(spark, sf_dir):
     return align.first_keyword_hit(rules, items, "op", "kws", "p_partkey", "objects")
 
 
-@query("""SELECT d.doc_id, d.lang, quality, toxic FROM documents d JOIN labels l USING (doc_id) JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 500) USING (doc_id)""")
+@query("""SELECT d.doc_id, d.lang AS text, 'q' || quality AS text_labelled, c.role || ' ' || c.turn AS text_said FROM documents d JOIN labels l USING (doc_id) JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0""")
 def three_versions(spark, sf_dir):
-    d = read(spark, sf_dir, "documents", "doc_id", "lang", "n_chars")
-    return d.select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id").join(d.filter("n_chars > 500").select("doc_id").distinct(), "doc_id")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("text"))
+    labelled = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("text"))
+    said = read(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("text"))
+    return align.versions(rows, {"labelled": labelled, "said": said}, ["doc_id"], "text")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -186,9 +186,8 @@ def curated_override(spark, sf_dir):
 @query("""WITH s AS (SELECT conv_id, list(turn ORDER BY turn) AS a, list(turn ORDER BY turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)
 SELECT conv_id, list_filter(a, lambda x: NOT list_contains(coalesce(u, a), x)) AS absent FROM s""")
 def absent_shots(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("a"), F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.col("turn")))).alias("u"))
-    applicable = F.coalesce(F.when(F.size("u") > 0, F.col("u")), F.col("a"))
-    return c.select("conv_id", F.array_except("a", applicable).alias("absent"))
+    c = read(spark, sf_dir, "conversations").withColumn("applies", F.col("role") == "user")
+    return align.absent(c, ["conv_id"], "turn", "applies")
 
 
 @query("""WITH c AS (SELECT s_nationkey AS video, s_suppkey AS cluster, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000) DESC, s_suppkey) AS r FROM supplier),
@@ -202,11 +201,9 @@ def ranked_names(spark, sf_dir):
 @query("""SELECT event_type AS task, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 5""")
 def first_of_each_task(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("event_type").alias("task"), "event_id", "value")
-    n = F.row_number().over(W.partitionBy("task").orderBy(F.desc("value"), "event_id"))
-    return e.withColumn("_n", n).filter("_n <= 5").drop("_n")
+    return lineage.first_of_each(e, ["task"], 5, [F.desc("value"), "event_id"])
 
 
 @query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events) SELECT event_id, event_type, n % 4 AS bucket FROM r""")
 def stride_buckets(spark, sf_dir):
-    n = F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1
-    return read(spark, sf_dir, "events").select("event_id", "event_type", (n % 4).cast("long").alias("bucket"))
+    return lineage.stride_buckets(read(spark, sf_dir, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], 4)

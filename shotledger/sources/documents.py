@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,15 @@ STRUCTURAL = (
 PROMPT_AGGREGATE = "sample_id STRING, task_id STRING, k_count INT, " + ", ".join(f"{m}_mean DOUBLE, {m}_std DOUBLE" for m in (*METRICS, "dps"))
 MODELS = "snapshot_id STRING, models MAP<STRING, STRUCT<model: STRING, captured_at: STRING>>, k_samples_no_seed INT, prompt_rewriting_disabled BOOLEAN, archive_uri STRING"
 
+#: A set of prompts, a list of these; both older prompts and those that name their mask queries.
+PROMPT = (
+    "sample_id STRING, video_id STRING, applicable_shots ARRAY<INT>, characters ARRAY<STRUCT<id: STRING, desc: STRING>>, edit STRUCT<task_id: STRING, instruction: STRING, target_phrase: STRING, target_entity: STRING, "
+    "extra: STRUCT<op: STRING, old_object: STRING, new_object: STRING, anchor: STRING, new_order: ARRAY<STRING>, target_shot_id: STRING, target_framing: STRING, camera_move: STRING, transition_style: STRING>, "
+    "mask_queries: STRUCT<nep_applicable: BOOLEAN, edit_scope: STRING, edit_type: STRING, source_queries: STRING, edited_queries: STRING, combine: STRING, reason: STRING>>"
+)
+#: Rows of a JSON array in one document.
+PER_DOCUMENT = 500
+
 
 def read_documents(spark: SparkSession, path: str, schema: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """One JSON document (or list of them) a file, with file_path; what a schema has and a document lacks is null."""
@@ -40,6 +50,31 @@ def sample_files(paths: DataFrame, k_samples: int, path: str = "path") -> DataFr
     return best.select("sample_id", "k", path)
 
 
+def write_documents(rows: DataFrame, path: str, folder: str, number: str, per_document: int = PER_DOCUMENT) -> None:
+    """Rows as JSON arrays of at most about per_document rows each, in a folder for each value of one column. number: an integer that numbers the rows."""
+    body = F.struct(*(F.col(c) for c in rows.columns if c not in (folder, number)))
+    arrays = rows.groupBy(folder, F.floor(F.col(number) / per_document).alias("_d")).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.to_json(body).alias("j")))).alias("_l"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["j"]), ","), F.lit("]"))
+    arrays.select(folder, text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(folder).text(path)
+
+
+def append_results(rows: DataFrame, path: str, keys: list[str], schema: str) -> DataFrame:
+    """Appends to a CSV log with headers what it doesn't have yet, by keys, and reads all of it: a run that was broken off goes on where it stopped."""
+    spark = rows.sparkSession
+    try:
+        done = spark.read.schema(schema).option("header", True).csv(path)
+        todo = rows.join(done.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
+    except AnalysisException:  # nothing was written yet
+        todo = rows
+    todo.write.mode("append").option("header", True).csv(path)
+    return read_csv(spark, path, schema)
+
+
+def only(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in order; one that docs lack is null."""
+    return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path).select("*", F.col("_metadata.file_name").alias("file_name"))
 

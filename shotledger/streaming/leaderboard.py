@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,27 +10,46 @@ from pyspark.sql.streaming import StreamingQuery
 from shotledger.operators.rollup import fold_samples, latest_wins, macro_mean
 
 KEYS = ["baseline", "task_id", "sample_id", "k"]
+#: Tasks of a batch that are broadcast, at the most.
+MAX_TASKS = 10_000
 
 
 def board(results: DataFrame, metrics: list[str], version: str = "updated_at") -> DataFrame:
     """Of each sample the latest result, folded to prompts and then to tasks."""
-    latest = latest_wins(results, KEYS, [version])
+    latest = latest_of_each(results, version)
     return macro_mean(fold_samples(latest, ["baseline", "task_id", "sample_id"], metrics), ["baseline", "task_id"], metrics)
 
 
+def latest_of_each(results: DataFrame, version: str) -> DataFrame:
+    """Of each sample the row of the last version; of equal versions the one of the last batch, then the one that a digest of its values puts last."""
+    batch = ["_batch"] if "_batch" in results.columns else []
+    tied = results.withColumn("_tie", F.xxhash64(*[c for c in results.columns if c != "_batch"]))
+    return latest_wins(tied, KEYS, [version, *batch, "_tie"]).drop("_tie")
+
+
 def follow(spark: SparkSession, source: str, schema: str, state: str, out: str, metrics: list[str], checkpoint: str, version: str = "updated_at") -> StreamingQuery:
-    """Reads what is new in source, adds it to the partitions of state of its tasks, and writes those tasks' board anew.
+    """Reads what is new in source, merges it into the rows of its tasks in state, and writes those tasks' board anew.
 
-    A mean of means can't be added to, so the tasks that a batch touches are folded again, and only those. A batch that
-    comes again changes nothing: its rows go to a folder of its number, and the latest row of a key wins.
+    A mean of means can't be added to, so the tasks that a batch touches are folded again, and only those. state/rows
+    holds one row for each sample, whatever the number of batches; a batch that comes again, or all of them after the
+    stream's checkpoint is lost, changes nothing, since the latest row of a sample wins.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("baseline", "task_id").parquet(f"{state}/batch={number}")
-        touched = batch.select("baseline", "task_id").distinct()
-        every = spark.read.option("basePath", state).parquet(f"{state}/batch=*").join(F.broadcast(touched) if touched.count() <= 10_000 else touched, ["baseline", "task_id"], "left_semi")
-        fresh = board(every, metrics, version)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("baseline", "task_id").parquet(out)
+        new = batch.withColumn("_batch", F.lit(number).cast("long")).persist()
+        touched = new.select("baseline", "task_id").distinct()
+        small = touched.limit(MAX_TASKS + 1).count() <= MAX_TASKS
+        try:
+            held = spark.read.schema(new.schema).parquet(f"{state}/rows")
+            both = held.join(F.broadcast(touched) if small else touched, ["baseline", "task_id"], "left_semi").unionByName(new)
+        except AnalysisException:  # the first batch finds no state
+            both = new
+        # What is read can't be overwritten, so the merged rows are written beside it first.
+        latest_of_each(both, version).write.mode("overwrite").partitionBy("baseline", "task_id").parquet(f"{state}/next")
+        merged = spark.read.schema(new.schema).parquet(f"{state}/next")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("baseline", "task_id").parquet(f"{state}/rows")
+        board(merged, metrics, version).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("baseline", "task_id").parquet(out)
+        new.unpersist()
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,8 +4,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from shotledger.functions import scalars
-from shotledger.operators import identity, masks, scoring, segments
+from shotledger.functions import prompts, scalars
+from shotledger.operators import identity, lineage, masks, scoring, segments
 from shotledger.sources import documents
 from shotledger.streaming import leaderboard
 
@@ -120,3 +120,81 @@ def test_clusters_that_do_not_settle_are_an_error(spark):
     rows = spark.createDataFrame([("v", i, [math.cos(x), math.sin(x)]) for i, x in enumerate(angles)], "g string, i long, v array<double>")
     with pytest.raises(RuntimeError):
         identity.single_link(rows, "g", "i", "v", 0.99, rounds=2)
+
+
+#: Replies, and what they mean: a "no" counts only before the yes, and a leading word must end where it ends.
+YES = [("I would say yes, no doubt", True), ("no", False), (" Yes.", True), ("true", True), ("no, rather yes", False), ("I know: yes", False), ("是的", False), ("是 yes", True), ("是", True), ("不, yes", False), ("", False), (None, False), ("yesterday", True), ("nothing", False)]
+
+
+@pytest.mark.parametrize(("reply", "expected"), YES)
+def test_yes_and_no(spark, reply, expected):
+    assert value(spark, scalars.says_yes(F.lit(reply).cast("string"))) is expected
+
+
+OPERATIONS = [("trade places", "reorder"), ("let them trade positions", "reorder"), ("new shot sequence", "reorder"), ("Shot order 1 2", "reorder"), ("please reorder", "reorder"), ("rearrange", "unknown"), ("add one", "unknown"), ("delete it", "unknown"), ("swap", "unknown"), ("reordered", "unknown"), (None, "unknown")]
+
+
+@pytest.mark.parametrize(("text", "expected"), OPERATIONS)
+def test_operations(spark, text, expected):
+    assert value(spark, scalars.operation(F.lit(text).cast("string"), F.lit(None).cast("string"))) == expected
+    assert value(spark, scalars.operation(F.lit(text).cast("string"), F.lit("reorder"))) == "reorder"
+
+
+@pytest.mark.parametrize(("given", "text", "expected"), [(None, "shot order 3 1 2", [3, 1, 2]), ([], "shot order 2,1", [2, 1]), ([], "", None), (["3", "x"], "shot order 1", None), (["3", "1"], "shot order 1", [3, 1]), (None, "Shot Order 1,\n 2 then", [1, 2]), (None, "shot order: 1", None)])
+def test_expected_orders(spark, given, text, expected):
+    assert value(spark, scalars.expected_order(F.lit(given).cast("array<string>") if given is not None else F.lit(None).cast("array<string>"), F.lit(text))) == expected
+
+
+def test_descriptions_come_from_the_first_character_that_has_one(spark):
+    people = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(d).cast("string").alias("desc")) for i, d in (("a", ""), ("a", None), ("b", "other"), ("a", "tall man"))))
+    assert value(spark, prompts.entity_description(people, F.lit("a"))) == "tall man" and value(spark, prompts.entity_description(people, F.lit("c"))) is None
+
+
+@pytest.mark.parametrize(("phrase", "expected"), [("a person with dark red hair color", ("hair color", "dark red")), ("a person with round glasses", ("glasses", "round")), ("a person with a scar", ("attribute", "a scar")), ("a person with hat", ("attribute", "hat")), ("a person with jacket color", ("jacket color", ""))])
+def test_attributes_of_phrases(spark, phrase, expected):
+    assert tuple(value(spark, prompts.attribute_of(F.lit(phrase)))) == expected
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    rows = spark.createDataFrame([(i % 2 or None, (i * 7) % 50, i) for i in range(50)], "g int, o int, i long")
+    got = {r["i"]: r["n"] for r in lineage.numbered(rows, ["g"], ["o"], "n").collect()}
+    for g in (None, 1):
+        own = sorted(((i * 7) % 50, i) for i in range(50) if (i % 2 or None) == g)
+        assert [got[i] for _, i in own] == list(range(25))
+    assert sorted(r["i"] for r in lineage.first_of_each(rows, ["g"], 3, ["o"], salts=4).collect()) == sorted(i for g in (None, 1) for _, i in sorted(((i * 7) % 50, i) for i in range(50) if (i % 2 or None) == g)[:3])
+
+
+def test_pairs_of_vectors_meet_in_tiles(spark):
+    angles = [i * 0.37 % 6.28 for i in range(60)]
+    rows = spark.createDataFrame([("ab"[i % 2], i, [math.cos(x), math.sin(x)]) for i, x in enumerate(angles)], "g string, i long, v array<double>")
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and math.cos(angles[a] - angles[b]) >= 0.9}
+    for tile in (7, 1024):
+        pairs = identity.similar_pairs(rows, "g", "i", "v", 0.9, tile).collect()
+        assert sorted((r["a"], r["b"]) for r in pairs) == sorted(want) and all(r["similarity"] == pytest.approx(math.cos(angles[r["a"]] - angles[r["b"]])) for r in pairs)
+        clusters = {r["i"]: r["cluster_id"] for r in identity.single_link(rows, "g", "i", "v", 0.9, tile=tile).collect()}
+        assert all(clusters[a] == clusters[b] for a, b in want) and len(clusters) == 60
+
+
+def test_a_log_goes_on_where_it_stopped(spark, tmp_path):
+    rows, path = spark.createDataFrame([(i, f"v{i}") for i in range(9)], "k long, v string"), str(tmp_path / "log")
+    documents.append_results(rows.filter("k < 4"), path, ["k"], "k long, v string")
+    for _ in range(2):
+        assert sorted((r["k"], r["v"]) for r in documents.append_results(rows, path, ["k"], "k long, v string").collect()) == [(i, f"v{i}") for i in range(9)]
+
+
+def test_partitioned_results_are_pruned_by_task(spark, tmp_path):
+    rows = spark.createDataFrame([("m", f"T{i % 3}", i) for i in range(9)], "baseline string, task_id string, v long")
+    documents.write_results(rows, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).filter("task_id = 'T1'")
+    assert sorted(r["v"] for r in got.collect()) == [1, 4, 7] and "PartitionFilters: [isnotnull(task_id" in got._jdf.queryExecution().toString()
+
+
+def test_a_lost_stream_checkpoint_changes_nothing(spark, tmp_path):
+    schema = "baseline string, task_id string, sample_id string, k int, psq double, updated_at long"
+    (tmp_path / "in").mkdir()
+    for name, psq, at in (("1.json", 0.5, 5), ("2.json", 0.25, 4)):
+        (tmp_path / "in" / name).write_text(json.dumps({"baseline": "1", "task_id": "T1", "sample_id": "a", "k": 0, "psq": psq, "updated_at": at}))
+        for check in ("c1", "c2"):  # the second begins anew
+            leaderboard.follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "state"), str(tmp_path / "out"), ["psq"], str(tmp_path / f"{check}-{name}")).awaitTermination()
+            assert [(r["n_prompts"], r["psq_mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 0.5)]
+    assert spark.read.parquet(str(tmp_path / "state" / "rows")).count() == 1
