@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,10 @@ SIDE_WORDS = frozenset(
     "subscribe subscription newsletter signup login search form pagination pager toolbar skip topbar copyright legal disclaimer".split()
 )
 MAIN_WORDS = frozenset("article post entry story content main".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+CLOSES = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in UNSEEN}
 
 
 @dataclass
@@ -60,10 +62,14 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's blocks of text in order. An element that is never closed ends with the element around it."""
+    """The page's blocks of text in order, in time that grows with its length. An element that is never closed ends with the element around it."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []
+    # Open elements by name, those that surround an article or begin one, and names whose end is not to come.
+    held: Counter[str] = Counter()
+    open_sides = open_mains = 0
+    endless: set[str] = set()
     parts: list[str] = []
     state = {"linked": 0, "link": 0, "heading": False}
 
@@ -72,7 +78,7 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
         if text:
             words = len(text.split(" "))
-            out.append(Block(text, words, min(words, state["linked"]), any(s for _, s, _ in stack), any(m for _, _, m in stack), state["heading"]))
+            out.append(Block(text, words, min(words, state["linked"]), open_sides > 0, open_mains > 0, state["heading"]))
         state["linked"] = 0
 
     def add(raw: str) -> None:
@@ -96,11 +102,13 @@ def blocks(page: str | None) -> list[Block]:
         if tag in UNSEEN and not closes:
             end() if tag not in ("svg", "math", "button") else None
             if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                close = None if tag in endless else CLOSES[tag].search(page, at)
                 if close:
                     at = close.end()
                 elif tag not in ("head", "option"):
                     at = n
+                else:
+                    endless.add(tag)
             continue
         if tag == "a":
             state["link"] = 0 if closes else 1
@@ -110,13 +118,15 @@ def blocks(page: str | None) -> list[Block]:
         state["heading"] = not closes and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         if tag in HELD:
             state["link"] = 0
-            if closes:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-            else:
-                stack.append((tag, *_kind(tag, m[3], any(x for _, _, x in stack))))
+            if not closes:
+                stack.append((tag, *_kind(tag, m[3], open_mains > 0)))
+                held[tag] += 1
+                open_sides, open_mains = open_sides + stack[-1][1], open_mains + stack[-1][2]
+            while closes and held[tag]:
+                name, side, main = stack.pop()
+                held[name] -= 1
+                open_sides, open_mains = open_sides - side, open_mains - main
+                closes = name != tag
     end()
     return out
 
