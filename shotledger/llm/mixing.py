@@ -12,8 +12,10 @@ from shotledger.llm.common import cut, n_words
 
 #: The weights of the sources in order, repeating; the mix's size; and the most that a source gives.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Slots of the schedule; a block holds so much of the mix as one slot.
-SLOTS = 1 << 18
+#: Slots of the schedule, at least, and slots of a source, about, however small it is.
+SLOTS, LEAST = 1 << 16, 64
+#: The schedule's line is looked up in so many bins.
+BINS = 1 << 12
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 #: Documents in a bucket of a source's shuffled order, about.
@@ -48,48 +50,57 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "place", "source_size", "weight", "target")
 
 
-def blocks(per_source: DataFrame, share: float = SHARE, slots: int = SLOTS) -> DataFrame:
-    """per_source with block (words in a block) and blocks (how many the source has)."""
-    every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    words = F.greatest(F.lit(1), F.ceil(share * F.sum("source_size").over(every) / slots)).cast("long")
-    return per_source.withColumn("block", words).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-
-
-def schedule(per_source: DataFrame, share: float = SHARE) -> DataFrame:
+def schedule(per_source: DataFrame, slots: int = SLOTS, least: int = LEAST) -> DataFrame:
     """Slots of the mix in order: slot, place (of the source), rank (of the slot in its source, 0 on).
 
-    Slot i takes the source in whose cumulative share of the targets the fractional part of i times the golden ratio
-    lies. The ranks are counted over chunks of slots first, so that a source with most slots is no single task's.
+    Slot i takes the source in whose part of a line the fractional part of i times the golden ratio falls. The parts
+    go by the targets, but none is under `least` slots: a source is cut into as many equal blocks as it has slots, so a
+    small one has small blocks and is not missed. The ranks are counted over chunks of slots first, so that a source
+    with most slots is no single task's.
     """
     spark = per_source.sparkSession
-    one = per_source.agg(F.sum("target").alias("all"), F.max("block").alias("block"), F.sum("source_size").alias("size")).first()
-    n = 0 if not one["all"] else round(one["all"] / one["block"])
-    ends = W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    edge = F.sum("target").over(ends) / F.lit(float(one["all"] or 1.0))
-    edges = per_source.withColumn("_edge", edge).filter("target > 0").agg(F.array_sort(F.collect_list(F.struct("_edge", "place"))).alias("edges"))
-    point = F.col("id") * F.lit(GOLDEN)
-    chunk = max(1, math.isqrt(n))
-    line = spark.range(n).select(F.col("id").alias("slot"), F.floor(F.col("id") / chunk).alias("_chunk"), (point - F.floor(point)).alias("_u")).withColumn("_edges", edges.scalar())
-    line = line.withColumn("place", F.coalesce(F.get(F.filter("_edges", lambda e: e["_edge"] > F.col("_u")), 0), F.element_at("_edges", -1))["place"]).drop("_edges", "_u")
+    some = per_source.filter("target > 0")
+    one = some.agg(F.sum("target").alias("all"), F.count("*").alias("n")).first()
+    if not one["n"]:
+        return spark.createDataFrame([], "slot long, place int, rank long")
+    n = max(slots, 2 * least * one["n"])
+    share = F.greatest(F.lit(least), F.floor(F.col("target") / one["all"] * n)).cast("long")
+    parts = some.select("place", share.alias("_w")).withColumn("_hi", F.sum("_w").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    whole = parts.agg(F.sum("_w")).first()[0]
+    in_bin = lambda x: F.floor(x * BINS / whole).cast("int")
+    parts = parts.withColumn("_bin", F.explode(F.sequence(in_bin(F.col("_lo")), in_bin(F.col("_hi") - 1))))
+    point, chunk = F.col("id") * F.lit(GOLDEN), math.isqrt(n)
+    line = spark.range(n).select(F.col("id").alias("slot"), F.floor(F.col("id") / chunk).alias("_chunk"), F.floor((point - F.floor(point)) * whole).alias("_at"))
+    line = line.withColumn("_bin", in_bin(F.col("_at"))).join(parts, "_bin").filter("_lo <= _at AND _at < _hi").select("slot", "_chunk", "place")
     line = line.withColumn("_in", F.row_number().over(W.partitionBy("place", "_chunk").orderBy("slot")) - 1)
     held = line.groupBy("place", "_chunk").agg(F.count("*").alias("_n"))
     held = held.select("place", "_chunk", (F.sum("_n").over(W.partitionBy("place").orderBy("_chunk")) - F.col("_n")).alias("_before"))
     return line.join(held, ["place", "_chunk"]).select("slot", "place", (F.col("_before") + F.col("_in")).alias("rank"))
 
 
+def blocks(per_source: DataFrame, slots: DataFrame) -> DataFrame:
+    """per_source with wanted (the target in whole words) and block (words in a block, one for each slot of the source)."""
+    held = slots.groupBy("place").agg(F.count("*").alias("_slots"))
+    wanted = F.floor(F.col("target") + 0.5).cast("long")
+    return per_source.join(held, "place", "left").withColumn("wanted", wanted).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("wanted") / F.coalesce("_slots", F.lit(1)))).cast("long")).drop("_slots")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, slots: int = SLOTS) -> DataFrame:
     """A row for each document: the key, source, size, source_size, target and taken, the words that the mix takes of it.
 
-    Each source's documents, shuffled by a digest of the key, form one line of words that is cut into equal blocks.
-    The n-th slot of a source takes its n-th block, from the start again after the last, most times at the most. A
-    document gets the words of its blocks that lie in it. A null text has size 0 and is never taken; a null source is
-    a source of its own; repeated rows are documents of their own with equal sizes. An empty table gives no rows.
-    Positions are summed in buckets of the shuffled order first: no source is one task's, nor one window's.
+    Each source's documents, shuffled by a digest of the key, form one line of words, which goes on from its start
+    again up to `most` times. The n-th slot of a source takes the n-th of the equal blocks of this line, the last of which
+    ends where the target is reached: what is taken of a source is its target in whole words. A document gets the words
+    of its blocks that lie in it. A null text has size 0 and is never taken; a null source is a source of its own;
+    repeated rows are documents of their own with equal sizes; a very long text lies in many blocks. An empty table gives no rows;
+    other columns are not looked at. Positions are summed in buckets of the shuffled order first: no source is one
+    task's, nor one window's. Only a row for each source goes through windows over all of them.
     """
     sized = cut(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
     count = sized.count()
-    per = cut(blocks(targets(sized, weights, share, most), share, slots))
-    small = per.select(F.col("source").alias("_source"), "place", "source_size", "target", "block", "blocks")
+    per = cut(targets(sized, weights, share, most))
+    line = cut(schedule(per, slots))
+    small = cut(blocks(per, line).select(F.col("source").alias("_source"), "place", "source_size", "target", "wanted", "block"))
     rows = sized.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_mark", _mark("_key"))
     parts = 1 << max(0, math.ceil(math.log2(max(1, count) / BUCKET)))
     rows = rows.withColumn("_bucket", (F.col("_mark") / ((1 << 4 * DIGITS) // parts)).cast("long"))
@@ -98,16 +109,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     inside = W.partitionBy("place", "_bucket").orderBy("_mark", "_key", "size").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum("size").over(inside)).join(sums, ["place", "_bucket"])
     rows = rows.withColumn("start", F.col("_before") + F.col("_upto") - F.col("size"))
-    used = schedule(per, share).join(per.select("place", "blocks"), "place").filter(F.col("rank") < most * F.col("blocks"))
-    used = used.groupBy("place", (F.col("rank") % F.col("blocks")).alias("at")).agg(F.count("*").alias("uses"))
-    end = F.col("start") + F.col("size")
-    cover = F.when(F.col("size") > 0, F.sequence((F.col("start") / F.col("block")).cast("long"), ((end - 1) / F.col("block")).cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
-    pieces = rows.withColumn("at", F.explode(cover))
-    words = F.least(end, (F.col("at") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("at") * F.col("block"))
-    pieces = pieces.withColumn("_words", F.when(F.col("size") > 0, words).otherwise(0)).join(used, ["place", "at"], "left")
+    used = line.select("place", F.col("rank").alias("at"), F.lit(True).alias("_used"))
+    # Where a document lies in the line, once for each time that the line goes through it before the target is reached.
+    low = lambda turn: turn * F.col("source_size") + F.col("start")
+    turns = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda t: (t == 0) | (F.col("size") > 0) & (low(t) < F.col("wanted")))
+    laid = rows.withColumn("_low", F.explode(F.transform(turns, low))).withColumn("_high", F.least(F.col("_low") + F.col("size"), "wanted"))
+    number = lambda x: F.floor(x / F.col("block")).cast("long")
+    cover = F.when(F.col("_high") > F.col("_low"), F.sequence(number(F.col("_low")), number(F.col("_high") - 1))).otherwise(F.array(F.lit(-1).cast("long")))
+    pieces = laid.withColumn("at", F.explode(cover)).join(used, ["place", "at"], "left")
+    words = F.least("_high", (F.col("at") + 1) * F.col("block")) - F.greatest("_low", F.col("at") * F.col("block"))
     same = ["_key", "source", "size", "source_size", "target", "start"]
     # Rows of size 0 may be alike in all of these; their number is kept.
-    out = pieces.groupBy(*same).agg(F.sum(F.col("_words") * F.coalesce("uses", F.lit(0))).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_same"))
+    out = pieces.groupBy(*same).agg(F.sum(F.when(F.col("_used") & (F.col("at") >= 0), words).otherwise(0)).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_same"))
     out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_same"), F.lit(1)))))
     return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
@@ -139,16 +152,17 @@ f AS (SELECT *, ({SHARE} * total - coalesce(sum(lim) OVER b, 0)) / (sum(weight)
     FROM l WINDOW b AS (ORDER BY lev, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, (CASE WHEN isfull THEN lim ELSE weight * (({SHARE} * total - sum(CASE WHEN isfull THEN lim ELSE 0 END) OVER ())
     / nullif(sum(CASE WHEN isfull THEN 0 ELSE weight END) OVER (), 0)) END)::DOUBLE AS target FROM f),
-p AS (SELECT *, greatest(1, ceil({SHARE} * total / {SLOTS}))::BIGINT AS block, ceil(source_size / greatest(1, ceil({SHARE} * total / {SLOTS})))::BIGINT AS blocks,
-    sum(target) OVER (ORDER BY place) / sum(target) OVER () AS edge FROM t),
-sl AS (SELECT i, i * {GOLDEN} - floor(i * {GOLDEN}) AS u FROM (SELECT unnest(range((SELECT round_even(sum(target) / max(block), 0)::BIGINT FROM p))) AS i)),
-pt AS (SELECT * FROM p WHERE target > 0),
-so AS (SELECT i, coalesce((SELECT min(place) FROM pt WHERE edge > u), (SELECT max(place) FROM pt)) AS place FROM sl),
-rk AS (SELECT place, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS rank FROM so),
-us AS (SELECT place, rank % blocks AS blk, count(*) AS uses FROM rk JOIN p USING (place) WHERE rank < {MOST} * blocks GROUP BY ALL),
-li AS (SELECT d.rid, d.doc_id, d.size, p.place, p.source_size, p.target, p.block,
+tp AS (SELECT *, greatest({SLOTS}, 2 * {LEAST} * count(*) OVER ()) AS n, sum(target) OVER () AS every FROM t WHERE target > 0),
+wd AS (SELECT place, n, greatest({LEAST}, floor(target / every * n))::BIGINT AS w FROM tp),
+ed AS (SELECT place, n, sum(w) OVER () AS whole, sum(w) OVER (ORDER BY place) AS hi, sum(w) OVER (ORDER BY place) - w AS lo FROM wd),
+sl AS (SELECT i, floor((i * {GOLDEN} - floor(i * {GOLDEN})) * (SELECT max(whole) FROM ed)) AS v FROM (SELECT unnest(range((SELECT max(n)::BIGINT FROM ed))) AS i)),
+so AS (SELECT i, place FROM sl JOIN ed ON v >= lo AND v < hi),
+rk AS (SELECT place, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS blk FROM so),
+p AS (SELECT t.*, floor(target + 0.5)::BIGINT AS wanted, greatest(1, ceil(floor(target + 0.5) / coalesce(k, 1)))::BIGINT AS block
+    FROM t LEFT JOIN (SELECT place, count(*) AS k FROM rk GROUP BY place) USING (place)),
+li AS (SELECT d.rid, d.doc_id, d.size, p.place, p.source_size, p.target, p.wanted, p.block,
     sum(d.size) OVER (PARTITION BY p.place ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) - d.size AS start FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-pc AS (SELECT rid, place, start, size, block, unnest(CASE WHEN size > 0 THEN range((start // block)::BIGINT, ((start + size - 1) // block)::BIGINT + 1) ELSE [] END) AS blk FROM li),
-tk AS (SELECT rid, sum((least(start + size, (blk + 1) * block) - greatest(start, blk * block)) * coalesce(uses, 0))::BIGINT AS taken
-    FROM pc LEFT JOIN us USING (place, blk) GROUP BY rid)
+la AS (SELECT rid, place, block, turn * source_size + start AS low, least(turn * source_size + start + size, wanted) AS high FROM li, (SELECT unnest(range({MOST})) AS turn)),
+pc AS (SELECT *, unnest(range((low // block)::BIGINT, ((high - 1) // block)::BIGINT + 1)) AS blk FROM la WHERE high > low),
+tk AS (SELECT rid, sum(least(high, (blk + 1) * block) - greatest(low, blk * block))::BIGINT AS taken FROM pc JOIN rk USING (place, blk) GROUP BY rid)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM li LEFT JOIN tk USING (rid)"""
