@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shotledger.operators.lineage import cut  # noqa: F401
+
 #: A run of the six ASCII white-space characters; words are what stands between.
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same characters for translate().
 SPACES = " \t\n\x0b\f\r"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df, in spark.checkpoint.dir where that is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -204,7 +204,8 @@ def extract(pages: DataFrame, source: str = "html", table: tuple = LABELLED) ->
     """pages with text, the article's blocks joined by one newline, and n_chars, its code points; such columns are replaced.
 
     The tree is trained on the labelled table when the query is planned. A null or empty page has an empty text; a page
-    of markup that never closes is read to its end; repeated pages give equal texts. Rows never move.
+    of markup that never closes is read to its end, and a very long one whole, in time that grows with its length;
+    repeated pages give equal texts; an empty table gives no rows; columns but text and n_chars stay. Rows never move.
     """
     rows = np.array(table, float)
     tree = grow(rows[:, :-1], rows[:, -1].astype(int))

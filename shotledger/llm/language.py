@@ -118,16 +118,22 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """docs with lang_pred and score (0 to 1); columns of those names are replaced.
 
     A null text, one without a letter, or any text where there was nothing to learn from is "und" with score 0. Whole
-    texts are read in batches, each scored by two matrix products; rows never move and equal texts score alike.
+    texts, however long, are read in batches, each scored by two matrix products; rows never move, repeated texts score
+    alike, of languages with equal scores the first by name is taken, and an empty table gives no rows.
     """
-    named = docs.withColumn("_p", predictor(docs, model)(text))
-    return named.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    named = docs.select(F.struct(*(F.col(c) for c in others)).alias("_row"), predictor(docs, model)(text).alias("_p"))
+    return named.select(*(F.col("_row").getField(c).alias(c) for c in others), F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs that are in a known language, with the columns of docs."""
-    named = docs.withColumn("_p", predictor(docs, train(docs, key, text, lang))(text))
-    return named.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= min_score)).drop("_p")
+    """The rows of docs that are in a known language, with the columns of docs, whatever their names.
+
+    Null texts, texts without letters, and all texts where no label was learnt, are in none. Repeated rows stay or go together.
+    """
+    named = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), predictor(docs, train(docs, key, text, lang))(text).alias("_p"))
+    known = named.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= min_score))
+    return known.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 COLUMNS = ["doc_id", "held_out", "lang_pred", "score"]

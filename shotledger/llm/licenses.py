@@ -20,10 +20,33 @@ _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRAN
 _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
 #: Licence, kind and text of what is known by default; any table of these columns can take its place.
 KNOWN = (
     ("MIT", "text", _MIT), ("MIT", "text", "MIT License\n" + _MIT), ("MIT", "text", "The MIT License (MIT)\n" + _MIT),
     ("ISC", "text", _ISC + "\n" + _AS_IS), ("ISC", "text", "ISC License\n" + _ISC + "\n" + _AS_IS), ("0BSD", "text", _ZERO_BSD + "\n" + _AS_IS), ("Apache-2.0", "text", _APACHE_NOTICE),
+    ("BSD-2-Clause", "text", _BSD + _BSD_AS_IS), ("BSD-3-Clause", "text", _BSD + _BSD_NAMES + _BSD_AS_IS), ("BSD-2-Clause", "text", "BSD 2-Clause License\n" + _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", "text", "BSD 3-Clause License\n" + _BSD + _BSD_NAMES + _BSD_AS_IS), ("Zlib", "text", _ZLIB), ("Zlib", "text", "zlib License\n" + _ZLIB), ("BSL-1.0", "text", _BOOST), ("Unlicense", "text", _UNLICENSE),
     ("MIT", "notice", "Released under the MIT License."), ("MIT", "notice", "Licensed under the MIT License."),
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "notice", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "notice", "Licensed under the GNU General Public License, version 3."),
@@ -57,12 +80,19 @@ def known_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, kind string, text string")
 
 
+def known_files(spark: SparkSession, path: str) -> DataFrame:
+    """Licence texts in files that are named after them, such as GPL-3.0.txt, as a table for scan()."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return spark.read.text(path, wholetext=True).select(name.alias("license"), F.lit("text").alias("kind"), F.col("value").alias("text"))
+
+
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """A row for each document: the key, digest (of its canonical whole text), license (known for the whole text, else
     null) and notices (sorted known licences that a whole line of it is the text of).
 
     known: columns license and text. A digest of several licences gives the first in order. A null or empty text has
-    the digest of the empty text and matches nothing, as does one of copyright lines only. Repeated rows stay rows.
+    the digest of the empty text and matches nothing, as does one of copyright lines only. Repeated rows stay rows, an
+    empty table gives none, very long texts are digested whole, and other columns are not looked at.
     Texts are read once; the digests meet the known ones before anything is shuffled, and what moves then is a row
     for each document and known line, without its text: no licence, however common, gathers documents in one task.
     """

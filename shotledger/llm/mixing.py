@@ -128,13 +128,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs as often as the mix takes them: as many whole times as its words come nearest to.
 
-    Rows of one key and size share what the mix takes of them; a document without words is not in the mix.
+    Rows of one key and size share what the mix takes of them; a document without words, a null text's too, is not in
+    the mix; a null source is one of its own; an empty table gives no rows; the names of other columns don't matter.
     """
     times = mix(docs, key, text, source).filter("size > 0").groupBy(key, "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
     named = times.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times")
-    own = docs.withColumn("_n", n_words(F.col(text)))
-    match = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return own.join(named, match).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(key).alias("_k"), F.col(source).alias("_s"), n_words(F.col(text)).alias("_n"))
+    match = F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    return own.join(named, match).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 COLUMNS = ["doc_id", "size", "source_size", "target", "taken"]

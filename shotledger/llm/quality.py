@@ -59,14 +59,18 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
 
     Narrow projections only, no shuffle and no user function: the scan's rows never move. A null or empty text has
     zero in every measure, fails the base rule and is not kept. Equal rows give equal results. A column of docs with
-    the name of a measure is replaced. Windows of three words are compared by a 64-bit hash within one document.
+    the name of a measure is replaced; other names don't matter. An empty table gives no rows; a very long text is
+    measured whole. Windows of three words are compared by a 64-bit hash within one document.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    measures = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "base_failed", "failed_rules", "kept")
+    others = [c for c in docs.columns if c not in measures]
+    body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     any_case = [*stop_words, *(w.capitalize() for w in stop_words)]
     count = lambda c: F.size(c).cast("long")
     # A column that is used more than once stays a projection of its own, computed once.
-    out = docs.withColumns({"_ws": words(F.col(text)), "_ls": lines})
+    out = docs.select(F.struct(*(F.col(c) for c in others)).alias("_row"), F.col(text).alias("_text"))
+    out = out.withColumns({"_ws": words(F.col("_text")), "_ls": lines})
     shifted = F.arrays_zip(F.col("_ws"), F.slice("_ws", 2, F.size("_ws")), F.slice("_ws", 3, F.size("_ws")))
     out = out.withColumns(
         {
@@ -88,7 +92,8 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
         broken.append(F.when(low | high, F.lit(r.name)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("failed_rules", F.array_compact(F.array(*broken)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in others), *measures)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -73,13 +73,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     rules: columns host, path, verdict (allow or block). A rule fits its host and all subdomains where the url's path
     starts with the rule's; the longest host wins, then the longest path. A null url or one without :// has an empty
     host and path. Where no rule fits, rule is null and verdict the default. No rules: the default everywhere. An
-    empty table gives no rows, repeated urls give equal results. No shuffle while the list is small enough to
-    broadcast; its number of rows is checked first, and a longer list is joined instead.
+    empty table gives no rows, repeated urls give equal results, very long ones are parsed whole, and the names of
+    other columns don't matter. No shuffle while the list is small enough to broadcast; its number of rows is checked
+    first, and a longer list is joined instead, with equal results.
     """
-    parsed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parsed = pages.select(F.struct(*(F.col(c) for c in others)).alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     kept = rules.select("host", "path", "verdict").dropna().distinct()
     few = kept.limit(max_trie_rules + 1).count() <= max_trie_rules
-    return (_walk if few else _join)(parsed, kept, default)
+    judged = (_walk if few else _join)(parsed, kept, default)
+    return judged.select(*(F.col("_row").getField(c).alias(c) for c in others), "host", "path", "rule", "verdict")
 
 
 def _walk(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
