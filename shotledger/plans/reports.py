@@ -166,7 +166,7 @@ def typed_phrases(spark, sf_dir):
     return p.select("sample_id", "p.*")
 
 
-@query("""SELECT o_orderkey, CASE WHEN l <= f THEN [f] WHEN l - f + 1 <= 5 THEN range(f, l + 1) ELSE list_transform(range(5), lambda i: round_even(f + (l - f) * i / 4.0, 0)::BIGINT) END AS frames, (f + l) // 2 AS middle,
+@query("""SELECT o_orderkey, CASE WHEN l <= f THEN [f] WHEN l - f + 1 <= 5 THEN range(f, l + 1) ELSE list_transform(range(5), lambda i: round_even(f + (l - f) * i / 4.0, 0)::BIGINT) END AS frames, floor((f + l) / 2)::BIGINT AS middle,
 CASE WHEN n > 0 THEN n // 2 END AS upper_middle, CASE WHEN n > 0 THEN (n - 1) // 2 END AS lower_middle FROM (SELECT o_orderkey, o_custkey AS f, o_custkey + o_orderkey % 23 - 1 AS l, o_orderkey % 23 AS n FROM orders)""")
 def keyframe_choices(spark, sf_dir):
     n = F.col("o_orderkey") % 23
