@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotledger.llm.common import cut, tidy
+
 #: A removed byte lies in a string of so many bytes that starts elsewhere, too.
 LENGTH = 200
 #: Bytes of an anchor. Each string of LENGTH bytes holds an anchor at a place that its bytes alone decide.
@@ -22,7 +24,9 @@ FREQUENT = 512
 #: The strings around a frequent anchor by how far they reach to its left: classes of so many bytes, each with a core that its strings share.
 CLASSES = tuple((x, min(x + 41, REACH)) for x in range(0, REACH + 1, 42))
 #: More different surroundings of an anchor than these are compared by digests of all their strings, not by a suffix array.
-MOST_SORTED = 64
+MOST_SORTED = 512
+#: Digests of copied texts (some 64 bytes each) that are broadcast, at the most; more are joined by a shuffle.
+MOST_SENT = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,55 +40,66 @@ def suffix_array(s: list[int]) -> list[int]:
     a placed one, and those it points to, take the next free places of their groups.
     """
     n = len(s)
-    members: dict[int, set[int]] = {}
-    for i, c in enumerate(s):
-        members.setdefault(c, set()).add(i)
-    start, of_end, rank = 0, {}, [0] * n
+    order = sorted(range(n), key=s.__getitem__)
+    # A group's key is its first place in the order; -1, before the text, counts as its last symbol, which is in no group but its own.
     groups: dict[int, set[int]] = {}
-    for c in sorted(members):
-        groups[start] = members[c]
-        for i in members[c]:
+    rank, of_end, end_of = [0] * n, {}, {}
+    start = 0
+    while start < n:
+        symbol, end = s[order[start]], start + 1
+        while end < n and s[order[end]] == symbol:
+            end += 1
+        for i in order[start:end]:
             rank[i] = start
-        start += len(members[c])
-        of_end[start] = start - len(members[c])
-    end_of = {a: b for b, a in of_end.items()}
+        groups[start] = set(order[start:end])
+        of_end[end], end_of[start] = start, end
+        start = end
     previous = [-1] * n
     end = n
-    while end > 0:
+    while end > 1:
         at = of_end[end]
-        pointed: Counter[int] = Counter()
+        pointed: list[int] = []
+        times: dict[int, int] = {}
+        last = -1
+        # Members come by their places in the text, so that those which point to one suffix follow each other.
         for i in sorted(groups[at]):
             j = i - 1
-            while j >= 0 and rank[j] >= at:
+            while rank[j] >= at:
                 j = previous[j]
             previous[i] = j
-            if j >= 0:
-                pointed[j] += 1
-        by_count: dict[int, dict[int, list[int]]] = {}
-        for j, times in pointed.items():
-            by_count.setdefault(times, {}).setdefault(rank[j], []).append(j)
-        for times in sorted(by_count, reverse=True):
-            for low, moved in by_count[times].items():
-                rest = groups[low]
-                if len(moved) == len(rest):
-                    continue
-                high = end_of[low]
-                cut = high - len(moved)
-                rest.difference_update(moved)
-                groups[cut] = set(moved)
-                for j in moved:
-                    rank[j] = cut
-                of_end[high], end_of[cut] = cut, high
-                of_end[cut], end_of[low] = low, cut
+            if j == last:
+                if j >= 0:
+                    times[j] = times.get(j, 1) + 1
+            elif j >= 0:
+                pointed.append(j)
+                last = j
         end = at
+        by_count: dict[tuple[int, int], list[int]] = {}
+        for j in pointed:
+            low = rank[j]
+            if len(groups[low]) > 1:
+                by_count.setdefault((times.get(j, 1), low), []).append(j)
+        for of in sorted(by_count, reverse=True) if times else by_count:
+            moved, rest = by_count[of], groups[of[1]]
+            if len(moved) == len(rest):
+                continue
+            low = of[1]
+            high = end_of[low]
+            cut = high - len(moved)
+            rest.difference_update(moved)
+            groups[cut] = set(moved)
+            for j in moved:
+                rank[j] = cut
+            of_end[high], end_of[cut] = cut, high
+            of_end[cut], end_of[low] = low, cut
     out, free, placed = [-1] * n, {g: g for g in groups}, [False] * n
     out[0], placed[n - 1] = n - 1, True
     for i in range(n):
         j = out[i] - 1
-        while j >= 0 and not placed[j]:
+        while not placed[j]:
             g = rank[j]
-            out[free[g]], placed[j] = j, True
-            free[g] += 1
+            at = free[g]
+            out[at], placed[j], free[g] = j, True, at + 1
             j = previous[j]
     return out
 
@@ -92,20 +107,23 @@ def suffix_array(s: list[int]) -> list[int]:
 def common_prefixes(s: list[int], order: list[int]) -> list[int]:
     """For each suffix the number of symbols that it shares with the one of its neighbours in order that shares more."""
     n = len(s)
-    place = [0] * n
-    for k, i in enumerate(order):
-        place[i] = k
+    before = [-1] * n
+    for i, j in zip(order, order[1:], strict=False):
+        before[j] = i
     best, h = [0] * n, 0
-    for i in range(n):
-        k = place[i]
-        if k == 0:
+    for i, j in enumerate(before):
+        if j < 0:
             h = 0
             continue
-        j = order[k - 1]
-        while i + h < n and j + h < n and s[i + h] == s[j + h]:
+        # The last symbol stands alone, so that two suffixes part before the end.
+        while s[i + h] == s[j + h]:
             h += 1
-        best[i], best[j] = max(best[i], h), max(best[j], h)
-        h = max(0, h - 1)
+        if h:
+            if best[i] < h:
+                best[i] = h
+            if best[j] < h:
+                best[j] = h
+            h -= 1
     return best
 
 
@@ -146,18 +164,19 @@ def by_suffix_array(windows: list[tuple[int, bytes]], length: int = LENGTH) -> l
     anchor where any two do, and the suffix array is one of pieces; it holds all that one of bytes would show.
     """
     rights, lefts = [w[a:] for a, w in windows], [w[:a][::-1] for a, w in windows]
+    # No string reaches further than what its window shares with another.
+    rights, lefts = ([x[:n] for x, n in zip(sides, _reach(sides), strict=True)] for sides in (rights, lefts))
     right, left = _cuts(rights, 0), _cuts(lefts, 0)
+    places = [-x for x in reversed(left)] + right[1:]
     numbers: dict = {}
     text, owner, begin = [], [], []
     for k, (a, w) in enumerate(windows):
-        edges = [a - x for x in reversed(left) if x <= a] + [a + x for x in right[1:] if x <= len(w) - a]
-        for x, y in zip(edges, edges[1:], strict=False):
-            text.append(numbers.setdefault((x - a, w[x:y]), len(numbers)))
-            owner.append(k)
-            begin.append(x)
+        low, high = a - len(lefts[k]), a + len(rights[k])
+        edges = [a + x for x in places[bisect_left(places, low - a) : bisect_right(places, high - a)]]
+        text += [numbers.setdefault((x - a, w[x:y]), len(numbers)) for x, y in zip(edges, edges[1:], strict=False)]
         text.append(-1 - k)
-        owner.append(k)
-        begin.append(len(w))
+        owner += [k] * len(edges)
+        begin += edges
     symbols = [x + len(windows) + 1 for x in text] + [0]
     best = common_prefixes(symbols, suffix_array(symbols))
     out: list[list[tuple[int, int]]] = [[] for _ in windows]
@@ -230,12 +249,13 @@ def _bytes(text: str | None) -> bytes:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, found, times = [], [], []
+        copied = b.column("_n").is_valid().to_pylist()
         for i, text in enumerate(b.column("_text")):
             _, digests = anchors(np.frombuffer(_bytes(text.as_py()), np.uint8))
             own, n = np.unique(digests, return_counts=True)
             rows.append(np.full(len(own), i))
             found.append(own.view(np.int64))
-            times.append(n)
+            times.append(n * (1 + copied[i]))
         if rows:
             rows = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([b.column("_a").take(rows), b.column("_b").take(rows), pa.array(np.concatenate(found)), pa.array(np.concatenate(times).astype(np.int64))], ["_a", "_b", "anchor", "times"])
@@ -261,7 +281,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("anchor", pa.int64()), ("core", pa.int32()), ("at", pa.int32()), ("window", pa.binary()), ("starts", pa.list_(pa.int32()))])
     for b in batches:
         out: list[tuple] = []
-        for a, b_, text, repeated in zip(*(b.column(c).to_pylist() for c in ("_a", "_b", "_text", "repeated")), strict=True):
+        for a, b_, text, n, repeated in zip(*(b.column(c).to_pylist() for c in ("_a", "_b", "_text", "_n", "repeated")), strict=True):
             data = _bytes(text)
             times = {r["anchor"]: r["times"] for r in repeated}
             own: dict[tuple, list[int]] = {}
@@ -272,7 +292,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif h in times:
                     lo = max(0, p - REACH)
                     own.setdefault((h, 0, p - lo, data[lo : p + LENGTH]), []).append(lo)
-            out += [(a, b_, *key, starts) for key, starts in own.items()]
+            # What a copied text holds stands elsewhere, too.
+            out += [(a, b_, *key, starts if n is None else [*starts, *starts]) for key, starts in own.items()]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
                 out = []
@@ -336,20 +357,24 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """docs (key, text and more) with spans, array<struct<start, stop>> of bytes to remove, sorted and apart; [] where there are none.
 
-    A string of LENGTH bytes that occurs twice holds one anchor at one place in both. Anchors are counted over all
-    texts; a text gives the surroundings of those that occur again, LENGTH bytes in all to either side, and these meet
-    by anchor. Matches never cross texts. Null and empty texts have no spans; repeated rows repeat each other; a string
-    may repeat in one text, and overlap itself. The surroundings of a frequent anchor meet by longer cores, and without
-    the cores' bytes: their rows grow with its places, not with its pairs.
+    Of a text that several rows have all goes, if it has LENGTH bytes; one of those rows stands for it below. A string of
+    LENGTH bytes that occurs twice holds one anchor at one place in both. Anchors are counted over all texts; a text
+    gives the surroundings of those that occur again, LENGTH bytes in all to either side, and these meet by anchor.
+    Matches never cross texts. Null and empty texts have no spans; repeated rows repeat each other; a string may repeat
+    in one text, and overlap itself; very long texts are read whole; an empty table gives no rows; other columns are
+    not looked at but for those named. The surroundings of a frequent anchor meet by longer cores, and without the
+    cores' bytes: their rows grow with its places, not with its pairs.
     """
     rows = docs.select(key, *more, F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string")).alias("_a"), F.xxhash64(text).alias("_b"))
-    marks = rows.select("_a", "_b", "_text").mapInArrow(_anchor_rows, "_a long, _b long, anchor long, times long")
+    copied = cut(rows.groupBy("_b").agg(F.count("*").alias("_n"), F.min("_a").alias("_first")).filter("_n > 1"))
+    rows = rows.join(F.broadcast(copied) if copied.count() <= MOST_SENT else copied, "_b", "left")
+    marks = rows.filter("_n IS NULL OR _a = _first").select("_a", "_b", "_text", "_n").mapInArrow(tidy(_anchor_rows), "_a long, _b long, anchor long, times long")
     frequent = marks.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1")
     own = marks.select("_a", "_b", "anchor").join(frequent, "anchor").groupBy("_a", "_b").agg(F.collect_set(F.struct("anchor", "times")).alias("repeated"))
     # All columns of rows, so that the texts' move to their rows' keys is the one that the last join uses, too.
-    windows = rows.join(own, ["_a", "_b"]).mapInArrow(_window_rows, WINDOWS)
+    windows = rows.join(own, ["_a", "_b"]).mapInArrow(tidy(_window_rows), WINDOWS)
     dealt = windows.repartition("anchor", "core").sortWithinPartitions("anchor", "core")
-    spans = dealt.mapInArrow(_span_rows, "_a long, _b long, start int, stop int")
+    spans = dealt.mapInArrow(tidy(_span_rows), "_a long, _b long, start int, stop int")
     spans = spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = rows.join(spans, ["_a", "_b"], "left")
 
@@ -357,7 +382,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     def joined(found: pd.Series) -> pd.Series:
         return pd.Series([[{"start": x, "stop": y} for x, y in merged([(s["start"], s["stop"]) for s in (f if f is not None else [])])] for f in found], dtype=object)
 
-    return out.select(key, *more, F.col("_text").alias(text), joined("spans").alias("spans"))
+    size = F.octet_length("_text").cast("int")
+    whole = F.when(F.col("_n").isNotNull() & (size >= LENGTH), F.array(F.struct(F.lit(0).alias("start"), size.alias("stop"))))
+    return out.select(key, *more, F.col("_text").alias(text), joined("spans").alias("_joined"), whole.alias("_whole")).select(key, *more, text, F.coalesce("_whole", "_joined").alias("spans"))
 
 
 def cut_text(text: str | None, spans) -> bytes:
