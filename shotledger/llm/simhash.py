@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotledger.llm.common import cut
+from shotledger.llm.common import cut, tidy
 from shotledger.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -20,8 +22,13 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 BLOCKS = 6
 #: A block's members up to this number are joined in pairs; more are dealt out in tiles of TILE members.
 FEW, TILE = 32, 512
+#: Rows of keys or pairs that are broadcast, at the most.
+MOST_SENT = 200_000
 #: The pipeline's near copies: words in a shingle, least similarity of two sets of shingles, bands and least digests in each.
 COPY_SHINGLE, COPY_LEAST, BANDS, ROWS = 5, 0.8, 20, 4
+#: Rounds in which the nodes of a key are compared with the least of them, and places (of BANDS * ROWS) in which signatures must agree for
+#: texts to be compared: at a similarity of 0.8 fewer agree once in 500,000.
+TURNS, AGREE = 3, 48
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -111,7 +118,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
     Documents of one fingerprint are one node of the graph, whatever their number; documents without words all have
     fingerprint zero and link like any other. Repeated rows stay rows, a null key belongs to its fingerprint's
-    component without naming it, an empty table gives no rows. Texts are read once and never move.
+    component without naming it, an empty table gives no rows; very long texts are read whole; other columns are not
+    looked at. Texts are read once and never move.
     """
     printed = cut(docs.select(F.col(key).alias(key), fingerprints(F.col(text)).alias("fp")))
     nodes = cut(printed.groupBy("fp").agg(F.min(key).alias("least")))
@@ -137,63 +145,114 @@ def jaccard(a: str | None, b: str | None) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-@F.pandas_udf(T.StructType([T.StructField("same", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def _words_digest(text: str | None) -> int:
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
+
+
+@F.pandas_udf(T.StructType([T.StructField("same", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]))
 def _prints(texts: pd.Series) -> pd.DataFrame:
-    """A digest of a text's words and the keys of its bands of least shingle digests; no keys without words."""
+    """A digest of a text's words, the keys of its bands of least shingle digests (none without words), and 16 bits of each least digest."""
     rng = np.random.default_rng(SEED)
     mul, add = (rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
-    same, bands = [], []
+    same, bands, sigs = [], [], []
     for t in texts:
-        words = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
-        same.append(xxhash.xxh64_intdigest(words, SEED))
+        same.append(_words_digest(t))
         held = shingle_set(t)
         least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
         for at in range(0, len(held), 1 << 12):
             mixed = held[at : at + (1 << 12)] * (2 * mul + np.uint64(1)) + add
             least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
         bands.append([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(BANDS, ROWS))] if len(held) else [])
+        sigs.append((least >> np.uint64(7)).astype(np.uint16).tobytes())
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    return pd.DataFrame({"same": signed(same), "bands": [signed(x) for x in bands]})
+    return pd.DataFrame({"same": signed(same), "bands": [signed(x) for x in bands], "sig": pd.Series(sigs, dtype=object)})
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+@F.pandas_udf(T.LongType())
+def _same(texts: pd.Series) -> pd.Series:
+    """A digest of a text's words."""
+    return pd.Series(np.array([_words_digest(t) for t in texts], np.uint64).view(np.int64))
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' similarity is at least that. A node of many pairs is copied to several salts."""
-    pairs = pairs.distinct()
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("_copies"))
-    left = texts.join(copies, F.col("node") == F.col("a")).select("a", F.col("_text").alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_salt"))
-    salted = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_copies")).alias("_salt"))
-    both = salted.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("_y")), "b").join(left, ["a", "_salt"])
-    return both.filter(_similarity("_x", "_y") >= least).select("a", "b")
+def _small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, which has been cut, with the hint to broadcast it if it has few rows (of some 64 bytes each)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def copy_links(nodes: DataFrame, texts: DataFrame, least: float = COPY_LEAST, few: int = FEW, rounds: int = 500) -> DataFrame:
-    """Links (a, b) between nodes (node, bands) of similar texts, each verified.
+def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' similarity is at least that. A node of many pairs is copied to several salts.
 
-    Nodes that share a band's key are candidates. While a key has more than `few` nodes, all are compared with the
-    least of them: it and those that are like it leave the key, so that a round grows with the nodes, not with
-    their pairs. A key of few is joined with itself. No two least nodes of components that share a key are alike.
+    A few pairs go to the texts; many meet them by a shuffle. Either way only texts of nodes that have a pair move on.
+    """
+    pairs = cut(pairs.distinct())
+    copies = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("_copies")))
+    left = texts.join(_small(copies), F.col("node") == F.col("a")).select("a", F.col("_text").alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_salt"))
+    salted = cut(pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_copies")).alias("_salt")))
+    both = texts.select(F.col("node").alias("b"), F.col("_text").alias("_y")).join(_small(salted), "b").join(left, ["a", "_salt"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "_x", "_y").mapInArrow(tidy(verified), both.select("a", "b").schema)
+
+
+def _agreeing(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Of one tile's pair of slices the pairs of nodes (key, same) whose signatures agree in so many places."""
+    sides = [pdf[pdf["side"] == x] for x in (0, 1)]
+    left, right = sides[0], sides[1] if len(sides[1]) else sides[0]
+    marks = [np.frombuffer(b"".join(x["sig"].tolist()), np.uint16).reshape(len(x), BANDS * ROWS) for x in (left, right)]
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    for lo in range(0, len(left), 128):
+        part = marks[0][lo : lo + 128]
+        same = np.zeros((len(part), len(right)), np.uint8)
+        for i in range(part.shape[1]):
+            same += part[:, i, None] == marks[1][None, :, i]
+        x, y = np.nonzero(same >= least)
+        good = lo + x < y if right is left else slice(None)
+        found.append(((lo + x)[good], y[good]))
+    x, y = (np.concatenate(f) for f in zip(*found, strict=True))
+    object_ = lambda df, c, at: pd.Series(df[c].to_numpy(object)[at], dtype=object)
+    return pd.DataFrame({"xk": object_(left, "key", x), "xs": object_(left, "same", x), "yk": object_(right, "key", y), "ys": object_(right, "same", y)})
+
+
+def _candidates(held: DataFrame, signed: DataFrame, tile: int = TILE, agree: int = AGREE) -> DataFrame:
+    """Pairs (a, b) of nodes under one key of many nodes whose signatures agree: a key's nodes in slices that meet in tiles, without their texts."""
+    slices = F.ceil(F.col("_members") / tile).cast("int")
+    own = held.join(signed, "node").withColumn("_slices", slices).withColumn("_slice", F.pmod(F.xxhash64("node"), F.col("_slices").cast("long")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("_slices") - 1), lambda j: F.struct(F.least("_slice", j).alias("i"), F.greatest("_slice", j).alias("j"), (F.col("_slice") > j).cast("int").alias("side")))
+    dealt = own.select("n", "v", F.col("node.key").alias("key"), F.col("node.same").alias("same"), "sig", F.explode(tiles).alias("t")).select("n", "v", "key", "same", "sig", "t.*")
+    kind = dealt.schema["key"].dataType.simpleString()
+    met = dealt.groupBy("n", "v", "i", "j").applyInPandas(lambda pdf: _agreeing(pdf, agree), f"xk {kind}, xs long, yk {kind}, ys long")
+    x, y = (F.struct(F.col(f"{c}k").alias("key"), F.col(f"{c}s").alias("same")) for c in "xy")
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def copy_links(nodes: DataFrame, texts: DataFrame, least: float = COPY_LEAST, few: int = FEW, turns: int = TURNS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between nodes (node, bands, sig) of similar texts, each verified; a is the lesser.
+
+    Nodes that share a band's key are candidates. In each of `turns` rounds the nodes of a key of more than `few` are
+    compared with its least node, which then leaves the key, and those that are like it are settled and leave all keys:
+    this takes out groups of copies in steps that grow with the nodes. What is left of such a key are mostly nodes that share a passage: their
+    signatures meet in tiles, and pairs whose signatures agree are verified. A key of few is joined with itself. So of
+    the nodes that are not settled no two that share a key are alike.
     """
     held = cut(nodes.select("node", F.posexplode("bands").alias("n", "v")))
     links = None
-    for _ in range(rounds):
+    for turn in range(turns + 1):
         sizes = held.groupBy("n", "v").agg(F.count("*").alias("_members"), F.min("node").alias("_first")).filter("_members > 1")
         held = cut(held.select("node", "n", "v").join(sizes, ["n", "v"]))
         big = held.filter(F.col("_members") > few)
-        if big.isEmpty():
+        if turn == turns or big.isEmpty():
             break
         found = cut(_alike(big.filter("node <> _first").select(F.col("_first").alias("a"), F.col("node").alias("b")), texts, least))
         links = found if links is None else links.union(found)
-        gone = big.join(found, (F.col("_first") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").filter("node <> _first")
-        held = cut(gone.select("node", "n", "v").union(held.filter(F.col("_members") <= few).select("node", "n", "v")))
-    else:
-        raise RuntimeError(f"the keys of many nodes were not settled in {rounds} rounds")
-    small = held.select("n", "v", F.col("node").alias("a"))
-    found = _alike(small.join(held.select("n", "v", F.col("node").alias("b")), ["n", "v"]).filter("a < b").select("a", "b"), texts, least)
+        rest = held.filter((F.col("_members") <= few) | (F.col("node") != F.col("_first")))
+        held = cut(rest.select("node", "n", "v").join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+    small = held.filter(F.col("_members") <= few)
+    pairs = small.select("n", "v", F.col("node").alias("a")).join(small.select("n", "v", F.col("node").alias("b")), ["n", "v"]).filter("a < b").select("a", "b")
+    found = _alike(pairs.union(_candidates(big, nodes.select("node", "sig"), tile)), texts, least)
     return found if links is None else links.union(found)
 
 
@@ -202,25 +261,29 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Near copies have equal words, or sets of five-word shingles whose similarity is at least `least`, as verified on
     their texts. 64 bits of SimHash differ in some ten at 0.8, out of reach of blocks of bits, so candidates share a
-    band of four least shingle digests: of 20 bands, a pair at 0.8 shares none once in 38,000. Of repeated keys one
-    row stays; rows without a key cannot be named and stay.
+    band of four least shingle digests: of 20 bands, a pair at 0.8 shares none once in 38,000. Of rows of one key and
+    one text one stays; rows of one key and different texts are documents of their own; rows without a key cannot be
+    named and stay; documents without words are copies of each other. Long texts are compared whole. An empty table
+    gives no rows, and no column's name matters but the key's and the text's.
     """
     named = docs.filter(F.col(key).isNotNull())
     prints = cut(named.select(F.col(key).alias("_key"), _prints(F.col(text)).alias("_p")).select("_key", "_p.*"))
-    groups = prints.groupBy("same").agg(F.min(F.struct("_key", "bands")).alias("_least"))
-    nodes = cut(groups.select(F.struct(F.col("_least._key").alias("key"), "same").alias("node"), F.col("_least.bands").alias("bands")))
+    groups = prints.groupBy("same").agg(F.min(F.struct("_key", "bands", "sig")).alias("_least"))
+    nodes = cut(groups.select(F.struct(F.col("_least._key").alias("key"), "same").alias("node"), F.col("_least.bands").alias("bands"), F.col("_least.sig").alias("sig")))
     shared = nodes.select("node", F.posexplode("bands").alias("n", "v"))
     keys = shared.groupBy("n", "v").agg(F.count("*").alias("_m")).filter("_m > 1").select("n", "v")
-    met = nodes.join(shared.join(keys, ["n", "v"]).select("node").distinct(), "node", "left_semi")
-    words = F.struct(F.col(key).alias("key"), _prints(F.col(text))["same"].alias("same"))
-    wanted = met.select("node", F.col("node.key").alias("_key"))
-    near = named.join(wanted.select("_key").distinct(), F.col(key) == F.col("_key"), "left_semi").select(words.alias("node"), F.col(text).alias("_text"))
-    texts = near.join(met.select("node"), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text"))
+    met = cut(nodes.join(shared.join(keys, ["n", "v"]).select("node").distinct(), "node", "left_semi"))
+    wanted = _small(cut(met.select(F.col("node.key").alias("_key")).distinct()))
+    near = named.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(wanted, F.col("_k") == F.col("_key"), "left_semi").select(F.struct(F.col("_k").alias("key"), _same("_text").alias("same")).alias("node"), "_text")
+    texts = cut(near.join(_small(cut(met.select("node"))), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")))
     rooted = components(copy_links(met, texts, least))
     copies = rooted.filter("node <> root").select("node")
-    kept = nodes.join(copies, "node", "left_anti").select(F.col("node.key").alias(key)).distinct()
-    first = F.row_number().over(W.partitionBy(key).orderBy(F.col(text)))
-    return docs.join(kept, key, "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first").union(docs.filter(F.col(key).isNull()))
+    kept = nodes.join(copies, "node", "left_anti").select(F.col("node.key").alias("_key"), F.col("node.same").alias("_same"))
+    # The columns travel as one, whose names meet no others.
+    whole = named.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), _same(F.col(text)).alias("_same"))
+    first = F.row_number().over(W.partitionBy("_key", "_same").orderBy(F.col("_row").getField(text)))
+    stay = whole.join(kept, ["_key", "_same"], "left_semi").withColumn("_first", first).filter("_first = 1").select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    return stay.union(docs.filter(F.col(key).isNull()))
 
 
 COLUMNS = ["doc_id", "fingerprint", "component_id"]
