@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotledger.llm.common import let
+from shotledger.llm.common import let, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words of documents that travel as one row, about, and distinct words that a task knows at once; beyond them it starts anew.
-GROUP_WORDS, KNOWN_WORDS = 200_000, 1_000_000
+GROUP_WORDS, KNOWN_WORDS = 100_000, 1_000_000
 #: A longer word is merged with a heap in the task that read it, with the same result: a fold's steps over it would grow with its square.
 MAX_FOLD_BYTES = 4096
 #: Letters and numbers (hexadecimal ranges) that the tokenizer's library knows and Java 17's classes don't.
@@ -225,10 +225,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 yield pa.RecordBatch.from_arrays([keys, counts, joined(texts, b"" if packed else ","), joined(decoded, b"")], [key, "n_tokens", "ids", "decoded"])
 
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-    grouped = docs.select(key, words.alias("_words")).mapInArrow(split, f"keys array<{kind.simpleString()}>, ends array<bigint>, at binary, words array<array<int>>, done array<boolean>, anew boolean")
+    grouped = docs.select(key, words.alias("_words")).mapInArrow(tidy(split), f"keys array<{kind.simpleString()}>, ends array<bigint>, at binary, words array<array<int>>, done array<boolean>, anew boolean")
     ids = let(rank_map(path), lambda m: F.zip_with("words", "done", lambda w, done: F.when(done, w).otherwise(fold(w, m))))
     merged = grouped.select("keys", "ends", ids.alias("ids"), "at", "anew")
-    return merged.mapInArrow(assemble, f"`{key}` {kind.simpleString()}, n_tokens long, ids {'binary' if packed else 'string'}, decoded binary")
+    return merged.mapInArrow(tidy(assemble), f"`{key}` {kind.simpleString()}, n_tokens long, ids {'binary' if packed else 'string'}, decoded binary")
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotledger.llm.common import tidy
+
 #: N-grams of one to so many code points.
 SPECTRUM = 3
 #: N-grams are told apart by so many bits of a hash.
@@ -100,6 +102,9 @@ def predictor(docs: DataFrame, model: Model | None):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(scored)(batches)
+
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
