@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -12,14 +13,12 @@ from shotledger.llm.common import let
 
 #: A sentence ends with its line or its mark.
 BREAKS = r"\n|(?<=[.!?]) +"
-#: (sentences, one in how many of them ends a paragraph): each sentence is a paragraph, whatever the text's size.
-GRAIN = ((None, 1),)
 #: Cells of a fingerprint and of a group's first sketch, and of its retries: three tables of a power of two.
 CELLS, RETRIES = 12, (48, 192, 768)
 #: Digests in a group of the larger text, about, and rounds of peeling.
 IN_GROUP, ROUNDS = 2, 8
-#: Documents in a bucket of neighbouring keys, at least, and buckets at the most.
-BUCKET, BUCKETS = 256, 1000
+#: Documents in a bucket of neighbouring keys, about, buckets at the most, and keys of a bucket that are sampled for its edges.
+BUCKET, BUCKETS, SAMPLED = 256, 1 << 14, 16
 CELL = "struct<c:int,k:bigint,h:bigint>"
 
 
@@ -113,14 +112,14 @@ def differing(a: Column, b: Column, of_a: Column | None = None, of_b: Column | N
 
     First from the two fingerprints. Where peeling those fails, the digests are dealt into groups by other bits, each
     group has a sketch of its own, and a group whose peeling fails is sketched again, larger each time. A group that
-    fails to the last (less than one in 10^9) counts as wholly different.
+    fails to the last (less than one in 10^9) is compared digest by digest, so that the result is always right.
     """
     of_a, of_b = sketch(a, CELLS) if of_a is None else of_a, sketch(b, CELLS) if of_b is None else of_b
 
     def group(x: Column, y: Column) -> Column:
         tries = [peel(subtract(sketch(x, n), sketch(y, n)), n, ROUNDS if n == CELLS else 4 * ROUNDS) for n in (CELLS, *RETRIES)]
         whole = lambda s, side: F.transform(s, lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side")))
-        return F.coalesce(*tries, F.concat(whole(x, 1), whole(y, -1)))
+        return F.coalesce(*tries, F.concat(whole(F.array_except(x, y), 1), whole(F.array_except(y, x), -1)))
 
     first = F.when(F.abs(F.size(a) - F.size(b)) < CELLS, peel(subtract(of_a, of_b), CELLS))
     return F.coalesce(first, F.flatten(F.transform(dealt(a, b), lambda g: group(g["x"], g["y"]))))
@@ -138,20 +137,43 @@ def as_text(digests: Column, cells: Column) -> Column:
     return F.lower(F.concat_ws(":", F.hex(F.size(digests)), F.array_join(cells, ":")))
 
 
+def _edges(docs: DataFrame, key: str, n: int, count: int) -> list[str]:
+    """About n - 1 keys as strings, in the keys' order, that part docs into buckets of neighbours: taken from a sample of some SAMPLED * n keys, chosen by a digest."""
+    if n < 2:
+        return []
+    share = min(1.0, SAMPLED * n / count)
+    # The sample is a small share of the keys, or all of few.
+    mark = F.xxhash64(F.col(key).cast("string"), F.lit("edge")).cast("double") / 2.0**64 + 0.5
+    rows = docs.select(F.col(key).alias("k"), F.col(key).cast("string").alias("s")).filter(F.col("k").isNotNull() & (mark < share)).distinct().collect()
+    sample = [r["s"] for r in sorted(rows, key=lambda r: r["k"])]
+    return list(dict.fromkeys(sample[i * len(sample) // n] for i in range(1, n))) if sample else []
+
+
+def _bucket(key: Column, edges: list[str], kind: str) -> Column:
+    """How many edges are less than the key, by two looks at lists as long as the root of their number; -1 for a null key."""
+    if not edges:
+        return F.when(key.isNull(), -1).otherwise(0)
+    size = math.isqrt(len(edges)) + 1
+    parts = [edges[i : i + size] for i in range(0, len(edges), size)]
+    lists = F.from_json(F.lit(json.dumps(parts)), "array<array<string>>").cast(f"array<array<{kind}>>")
+    none = F.array().cast(f"array<{kind}>")
+    below = lambda xs: F.size(F.filter(xs, lambda e: e < key))
+    inside = let(below(F.transform(lists, lambda p: F.element_at(p, -1))), lambda k: k * size + below(F.coalesce(F.get(lists, k), none)))
+    return F.when(key.isNull(), -1).otherwise(F.least(inside, F.lit(len(edges))))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text ("" for null) and next, the text of the next document by descending key; the first's after the last.
 
-    Rows without a key come last, rows of one key in order of their texts. Keys fall into buckets of neighbours by
-    approximate quantiles, of which at most BUCKETS come to the driver, with each bucket's greatest key; a text moves
-    once, to its bucket, and only the first text of each bucket a second time.
+    Keys are of any type that has an order. Rows without a key come last, rows of one key in order of their texts.
+    Keys fall into buckets of neighbours, whose number grows with the rows, by edges from a bounded sample; each bucket's
+    greatest key comes to the driver. A text moves once, to its bucket, and only the first text of each bucket a
+    second time. Rows of one key, or without one, are one bucket, which its task sorts on disk.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    count = docs.count()
+    count, kind = docs.count(), docs.schema[key].dataType.simpleString()
     n = min(BUCKETS, math.ceil(count / BUCKET))
-    edges = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    edges = F.array(*(F.lit(e) for e in sorted(set(edges or ())))) if edges else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("_key").isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e < F.col("_key"))))
-    placed = rows.withColumn("_bucket", bucket)
+    placed = rows.withColumn("_bucket", _bucket(F.col("_key"), _edges(docs, key, n, count), kind))
     tops = [r[1] for r in placed.groupBy("_bucket").agg(F.max("_key")).collect()]
     heads = placed.filter(F.col("_key").isin([t for t in tops if t is not None]) | F.lit(None in tops) & F.col("_key").isNull())
     heads = heads.groupBy("_bucket").agg(F.min("_text").alias("_head"))
@@ -167,7 +189,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Columns: the key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (the likeness of
     the document's digests to the edited text's and the next document's). A null text is empty; equal texts have equal
-    fingerprints; one document alone is its own next; repeated rows stay rows; an empty table gives no rows.
+    fingerprints; one document alone is its own next; repeated rows stay rows; an empty table gives no rows; long texts
+    are cut into all their sentences; columns beyond the key and the text are not looked at.
     """
     rows = with_next(docs, key, text)
     half = F.floor(F.length(text) / 2).cast("int")
