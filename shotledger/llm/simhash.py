@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotledger.llm.common import cut, tidy
+from shotledger.llm.common import SPACE, cut, tidy
 from shotledger.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -22,6 +22,7 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 BLOCKS = 6
 #: A block's members up to this number are joined in pairs; more are dealt out in tiles of TILE members.
 FEW, TILE = 32, 512
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of keys or pairs that are broadcast, at the most.
 MOST_SENT = 200_000
 #: The pipeline's near copies: words in a shingle, least similarity of two sets of shingles, bands and least digests in each.
@@ -150,8 +151,12 @@ def _words_digest(text: str | None) -> int:
 
 
 @F.pandas_udf(T.StructType([T.StructField("same", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]))
-def _prints(texts: pd.Series) -> pd.DataFrame:
+def _prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A digest of a text's words, the keys of its bands of least shingle digests (none without words), and 16 bits of each least digest."""
+    yield from tidy(lambda series: map(_printed, series))(batches)
+
+
+def _printed(texts: pd.Series) -> pd.DataFrame:
     rng = np.random.default_rng(SEED)
     mul, add = (rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
     same, bands, sigs = [], [], []
@@ -168,10 +173,10 @@ def _prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"same": signed(same), "bands": [signed(x) for x in bands], "sig": pd.Series(sigs, dtype=object)})
 
 
-@F.pandas_udf(T.LongType())
-def _same(texts: pd.Series) -> pd.Series:
-    """A digest of a text's words."""
-    return pd.Series(np.array([_words_digest(t) for t in texts], np.uint64).view(np.int64))
+def _same(text: Column) -> Column:
+    """_words_digest() of a text, without Python."""
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    return F.xxhash64(F.btrim(F.regexp_replace(lower, SPACE, " "), F.lit(" ")))
 
 
 def _small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
@@ -274,7 +279,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     keys = shared.groupBy("n", "v").agg(F.count("*").alias("_m")).filter("_m > 1").select("n", "v")
     met = cut(nodes.join(shared.join(keys, ["n", "v"]).select("node").distinct(), "node", "left_semi"))
     wanted = _small(cut(met.select(F.col("node.key").alias("_key")).distinct()))
-    near = named.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(wanted, F.col("_k") == F.col("_key"), "left_semi").select(F.struct(F.col("_k").alias("key"), _same("_text").alias("same")).alias("node"), "_text")
+    near = named.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(wanted, F.col("_k") == F.col("_key"), "left_semi").select(F.struct(F.col("_k").alias("key"), _same(F.col("_text")).alias("same")).alias("node"), "_text")
     texts = cut(near.join(_small(cut(met.select("node"))), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")))
     rooted = components(copy_links(met, texts, least))
     copies = rooted.filter("node <> root").select("node")
