@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotledger.llm.common import cut, tidy
+from shotledger.llm.common import tidy
 
 #: A removed byte lies in a string of so many bytes that starts elsewhere, too.
 LENGTH = 200
@@ -25,8 +25,6 @@ FREQUENT = 512
 CLASSES = tuple((x, min(x + 41, REACH)) for x in range(0, REACH + 1, 42))
 #: More different surroundings of an anchor than these are compared by digests of all their strings, not by a suffix array.
 MOST_SORTED = 512
-#: Digests of copied texts (some 64 bytes each) that are broadcast, at the most; more are joined by a shuffle.
-MOST_SENT = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,13 +247,12 @@ def _bytes(text: str | None) -> bytes:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, found, times = [], [], []
-        copied = b.column("_n").is_valid().to_pylist()
         for i, text in enumerate(b.column("_text")):
             _, digests = anchors(np.frombuffer(_bytes(text.as_py()), np.uint8))
             own, n = np.unique(digests, return_counts=True)
             rows.append(np.full(len(own), i))
             found.append(own.view(np.int64))
-            times.append(n * (1 + copied[i]))
+            times.append(n)
         if rows:
             rows = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([b.column("_a").take(rows), b.column("_b").take(rows), pa.array(np.concatenate(found)), pa.array(np.concatenate(times).astype(np.int64))], ["_a", "_b", "anchor", "times"])
@@ -281,7 +278,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("anchor", pa.int64()), ("core", pa.int32()), ("at", pa.int32()), ("window", pa.binary()), ("starts", pa.list_(pa.int32()))])
     for b in batches:
         out: list[tuple] = []
-        for a, b_, text, n, repeated in zip(*(b.column(c).to_pylist() for c in ("_a", "_b", "_text", "_n", "repeated")), strict=True):
+        for a, b_, text, repeated in zip(*(b.column(c).to_pylist() for c in ("_a", "_b", "_text", "repeated")), strict=True):
             data = _bytes(text)
             times = {r["anchor"]: r["times"] for r in repeated}
             own: dict[tuple, list[int]] = {}
@@ -292,8 +289,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif h in times:
                     lo = max(0, p - REACH)
                     own.setdefault((h, 0, p - lo, data[lo : p + LENGTH]), []).append(lo)
-            # What a copied text holds stands elsewhere, too.
-            out += [(a, b_, *key, starts if n is None else [*starts, *starts]) for key, starts in own.items()]
+            out += [(a, b_, *key, starts) for key, starts in own.items()]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
                 out = []
@@ -357,8 +353,7 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """docs (key, text and more) with spans, array<struct<start, stop>> of bytes to remove, sorted and apart; [] where there are none.
 
-    Of a text that several rows have all goes, if it has LENGTH bytes; one of those rows stands for it below. A string of
-    LENGTH bytes that occurs twice holds one anchor at one place in both. Anchors are counted over all texts; a text
+    A string of LENGTH bytes that occurs twice holds one anchor at one place in both. Anchors are counted over all texts; a text
     gives the surroundings of those that occur again, LENGTH bytes in all to either side, and these meet by anchor.
     Matches never cross texts. Null and empty texts have no spans; repeated rows repeat each other; a string may repeat
     in one text, and overlap itself; very long texts are read whole; an empty table gives no rows; other columns are
@@ -366,9 +361,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     cores' bytes: their rows grow with its places, not with its pairs.
     """
     rows = docs.select(key, *more, F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string")).alias("_a"), F.xxhash64(text).alias("_b"))
-    copied = cut(rows.groupBy("_b").agg(F.count("*").alias("_n"), F.min("_a").alias("_first")).filter("_n > 1"))
-    rows = rows.join(F.broadcast(copied) if copied.count() <= MOST_SENT else copied, "_b", "left")
-    marks = rows.filter("_n IS NULL OR _a = _first").select("_a", "_b", "_text", "_n").mapInArrow(tidy(_anchor_rows), "_a long, _b long, anchor long, times long")
+    marks = rows.select("_a", "_b", "_text").mapInArrow(tidy(_anchor_rows), "_a long, _b long, anchor long, times long")
     frequent = marks.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1")
     own = marks.select("_a", "_b", "anchor").join(frequent, "anchor").groupBy("_a", "_b").agg(F.collect_set(F.struct("anchor", "times")).alias("repeated"))
     # All columns of rows, so that the texts' move to their rows' keys is the one that the last join uses, too.
@@ -382,9 +375,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     def joined(found: pd.Series) -> pd.Series:
         return pd.Series([[{"start": x, "stop": y} for x, y in merged([(s["start"], s["stop"]) for s in (f if f is not None else [])])] for f in found], dtype=object)
 
-    size = F.octet_length("_text").cast("int")
-    whole = F.when(F.col("_n").isNotNull() & (size >= LENGTH), F.array(F.struct(F.lit(0).alias("start"), size.alias("stop"))))
-    return out.select(key, *more, F.col("_text").alias(text), joined("spans").alias("_joined"), whole.alias("_whole")).select(key, *more, text, F.coalesce("_whole", "_joined").alias("spans"))
+    return out.select(key, *more, F.col("_text").alias(text), joined("spans").alias("spans"))
 
 
 def cut_text(text: str | None, spans) -> bytes:
