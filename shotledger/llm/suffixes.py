@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotledger.llm.common import tidy
@@ -371,11 +371,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *mo
     spans = spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = rows.join(spans, ["_a", "_b"], "left")
 
-    @F.pandas_udf("array<struct<start:int,stop:int>>")
-    def joined(found: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": x, "stop": y} for x, y in merged([(s["start"], s["stop"]) for s in (f if f is not None else [])])] for f in found], dtype=object)
+    return out.select(key, *more, F.col("_text").alias(text), joined(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
 
-    return out.select(key, *more, F.col("_text").alias(text), joined("spans").alias("spans"))
+
+SPANS = "array<struct<start:int,stop:int>>"
+
+
+def joined(spans: Column) -> Column:
+    """Sorted spans, those that meet as one: a fold in the JVM, whose state is as long as what is left apart."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        meets = (F.size(done) > 0) & (last["stop"] >= s["start"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
 def cut_text(text: str | None, spans) -> bytes:
