@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotledger.llm import bpe, fingerprints, html, language, licenses, mixing, quality, simhash, suffixes, urls
+from shotledger.llm import bpe, fingerprints, html, language, licenses, mixing, negatives, quality, repair, simhash, subwords, suffixes, urls
 from shotledger.llm.common import table
 
 
@@ -52,10 +52,28 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules)}
+def op11_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = subwords.classify(docs, subwords.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    return scored.withColumn("held_out", subwords.held_out("doc_id")).select(*subwords.COLUMNS)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(rows, repair.damaged(rows)).select(*repair.COLUMNS)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = negatives.usable(negatives.relabelled(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+    return negatives.mine(rows, rows.filter("item % 100 = 0")).select(*negatives.COLUMNS)
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_license_scans, op6_url_filters, op7_byte_bpe, op8_html_extraction, op9_mixing, op10_quality_rules, op11_quality_classifier, op12_conversation_repair, op13_hard_negatives)}
 ORACLE = {
     "op5_license_scans": licenses.oracle_sql(),
     "op6_url_filters": urls.oracle_sql(),
     "op9_mixing": mixing.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
+    "op12_conversation_repair": repair.oracle_sql(),
+    "op13_hard_negatives": negatives.oracle_sql(),
 }
