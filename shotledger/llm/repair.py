@@ -259,8 +259,9 @@ def oracle_sql() -> str:
   FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
 d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS twice
   FROM (SELECT *, xor(h, 4294967295) % 20 AS kind FROM c)),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, left(role, 1) AS ini FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{word}') THEN 1 WHEN again > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault, coalesce(conv_id::VARCHAR, ' ') AS id FROM n),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS ini FROM d),
+f AS (SELECT * EXCLUDE again, CASE WHEN NOT regexp_matches(text, '{word}') THEN 1 WHEN again > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault, coalesce(conv_id::VARCHAR, ' ') AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM n)),
 s(q, x, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)), more(q, r, x) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 2, 'I'), (1, 3, 'II'), (2, 3, 'I'), (2, 2, 'II'), (3, 2, 'I'), (3, 3, 'II')),
 e AS (SELECT q, x AS ini, 'K' AS edit, r, 0 AS cost FROM s UNION ALL SELECT s.q, i.ini, 'R', s.r, 1 FROM s, (SELECT DISTINCT ini FROM f) i WHERE s.x <> 's' UNION ALL SELECT q.q, i.ini, 'D', q.q, 2 FROM (SELECT DISTINCT q FROM more) q, (SELECT DISTINCT ini FROM f) i),
 w(id, i, q, best) AS (SELECT id, 0::BIGINT, r, lpad((5 * len(x))::VARCHAR, 9, '0') || x FROM (SELECT DISTINCT id FROM f), more WHERE q = 0
