@@ -178,56 +178,63 @@ def attribute_of(phrase: Column) -> Column:
     return F.when(several & (last == "color"), made(tail, head(2))).when(several & last.isin(*PLAIN_ATTRIBUTES), made(last, head(1))).otherwise(made(F.lit("attribute"), rest))
 
 
-def worded(kind: Column, turn: Column, task: str, **names: Column) -> Column:
-    """The instruction of a task: the wording whose turn it is among those of its kind, filled with names."""
-    kinds = {k: texts for (t, k), texts in INSTRUCTIONS.items() if t == task}
-
-    def text(of: tuple[str, ...]) -> Column:
-        return F.element_at(F.array(*map(F.lit, of)), (F.pmod(turn, F.lit(len(of))) + 1).cast("int"))
-
-    pattern = F.coalesce(*(F.when(kind == k, text(of)) for k, of in kinds.items() if k), text(kinds[""]))
-    return filled(pattern, **names)
+def wording(task: Column, kind: Column, turn: Column) -> Column:
+    """The wording of a task whose turn it is among those of its kind, or of its kind "" if it has none of that name; null for other tasks. Looked up in a short list."""
+    table = lambda rows: F.create_map(*(F.lit(x) for row in rows for x in row))
+    sizes = table([(f"{t}|{k}", len(texts)) for (t, k), texts in INSTRUCTIONS.items()])
+    every = table([(f"{t}|{k}|{i}", text) for (t, k), texts in INSTRUCTIONS.items() for i, text in enumerate(texts)])
+    named, plain = F.concat(task, F.lit("|"), kind), F.concat(task, F.lit("|"))
+    own = F.coalesce(F.when(F.try_element_at(sizes, named).isNotNull(), named), plain)
+    return F.try_element_at(every, F.concat(own, F.lit("|"), F.pmod(turn, F.try_element_at(sizes, own)).cast("string")))
 
 
 def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
 
 
-def rewritten(task: str, turn: Column, description: Column, target: Column, extra: dict[str, Column]) -> tuple[Column, Column]:
-    """(instruction, target phrase) of a prompt in new words. turn: the prompt's number in its task, from 0. extra: op, old_object, new_object, anchor,
-    new_order (array), target_shot_id, target_framing, camera_move, transition_style, as far as the task has them; nulls are empty."""
-    x = lambda name: F.coalesce(extra.get(name, F.lit(None)).cast("string"), F.lit(""))
-    ref, none = short_reference(F.coalesce(description, F.lit(""))), F.lit("")
-    if task == "T1":
-        return worded(none, turn, task, ref=ref, target=target), target
-    if task == "T2":
-        parsed = attribute_of(target)
-        attribute, value = parsed["attribute"], parsed["value"]
-        unhaired = F.replace(value, F.lit(" hair"), F.lit(""))
-        names = {"ref": ref, "Ref": capitalised(ref), "attribute": attribute, "value": value, "unhaired": unhaired, "bare": F.trim(unhaired)}
-        return worded(attribute, turn, task, **names), attribute_target(attribute, value)
-    if task == "T3":
-        style = F.replace(target, F.lit(" look"), F.lit(""))
-        return worded(none, turn, task, style=style), F.concat(F.lit("a "), style, F.lit(" look"))
-    if task == "T4":
-        wanted = F.when(x("op") == "remove", F.concat(F.lit("a scene without the "), x("old_object"))).otherwise(extra["new_object"])
-        return worded(x("op"), turn, task, old=x("old_object"), new=x("new_object"), anchor=x("anchor")), wanted
-    if task == "T5":
-        order = F.array_join(F.coalesce(extra["new_order"].cast("array<string>"), F.array().cast("array<string>")), ", ")
-        return worded(none, turn, task, order=order), F.concat(F.lit("shots reordered to "), order)
-    if task == "T6":
-        framing, camera = x("target_framing"), x("camera_move")
-        phrase = F.when(F.endswith(framing, F.lit(" shot")) | (framing == CLOSE), article(framing)).otherwise(F.concat(article(framing), F.lit(" shot")))
-        return worded(none, turn, task, shot=x("target_shot_id"), framing=framing, a_framing=article(framing), a_camera=article(camera)), phrase
-    transition = x("transition_style")
-    return worded(none, turn, "T7", transition=transition, a_transition=article(transition)), F.concat(article(transition), F.lit(" transition"))
-
-
-def payload(fields: dict[str, Column], extra: dict[str, Column], lead: str = "Rewrite this:\n") -> Column:
-    """A message of a lead and the fields as JSON, nulls as null, with the extras that aren't null under "extra"."""
-    some = F.to_json(F.struct(*(c.alias(n) for n, c in extra.items())))
-    whole = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
-    return F.concat(F.lit(lead), F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(',"extra":'), some, F.lit("}"))
+def rewritten(task: Column, turn: Column, ref: Column, parsed: Column, target: Column, extra: dict[str, Column]) -> tuple[Column, Column]:
+    """(instruction, target phrase) of a prompt in new words; null where its task has no wordings. turn: the prompt's number in its task, from 0. ref and parsed:
+    columns of short_reference() and attribute_of(), which are used often. extra: op, old_object, new_object, anchor, new_order (array),
+    target_shot_id, target_framing, camera_move, transition_style; nulls are empty."""
+    x = lambda name: F.coalesce(extra[name].cast("string"), F.lit(""))
+    attribute, value = parsed["attribute"], parsed["value"]
+    unhaired, style = F.replace(value, F.lit(" hair"), F.lit("")), F.replace(target, F.lit(" look"), F.lit(""))
+    order = F.array_join(F.coalesce(extra["new_order"].cast("array<string>"), F.array().cast("array<string>")), ", ")
+    framing, camera, transition = x("target_framing"), x("camera_move"), x("transition_style")
+    names = {
+        "ref": ref, "Ref": capitalised(ref), "target": target, "attribute": attribute, "value": value, "unhaired": unhaired, "bare": F.trim(unhaired), "style": style, "old": x("old_object"), "new": x("new_object"), "anchor": x("anchor"),
+        "order": order, "shot": x("target_shot_id"), "framing": framing, "a_framing": article(framing), "a_camera": article(camera), "transition": transition, "a_transition": article(transition),
+    }
+    kind = F.when(task == "T2", attribute).when(task == "T4", x("op")).otherwise("")
+    framed = F.when(F.endswith(framing, F.lit(" shot")) | (framing == CLOSE), article(framing)).otherwise(F.concat(article(framing), F.lit(" shot")))
+    phrase = (
+        F.when(task == "T1", target).when(task == "T2", attribute_target(attribute, value)).when(task == "T3", F.concat(F.lit("a "), style, F.lit(" look")))
+        .when(task == "T4", F.when(x("op") == "remove", F.concat(F.lit("a scene without the "), x("old_object"))).otherwise(extra["new_object"]))
+        .when(task == "T5", F.concat(F.lit("shots reordered to "), order)).when(task == "T6", framed).when(task == "T7", F.concat(article(transition), F.lit(" transition")))
+    )
+    return filled(wording(task, kind, turn), **names), phrase
+
+
+def _json(value: Column) -> Column:
+    """A text or number as JSON."""
+    whole = F.to_json(F.array(value))
+    return F.coalesce(F.when(value.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2)), F.lit("null"))
+
+
+def _json_list(values: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(values, _json), ", "), F.lit("]")), F.lit("null"))
+
+
+#: What a message says of an edit's extras, in this order.
+EXTRAS = ("op", "old_object", "new_object", "anchor", "transition_style", "target_framing", "camera_move", "new_order")
+
+
+def payload(task: Column, instruction: Column, target: Column, extra: dict[str, Column], applicable: Column, lead: str = "Rewrite this:\n") -> Column:
+    """A message of a lead and an edit as JSON, parted by ", " and ": ": nulls as null, extras (some of EXTRAS; new_order a list) only if they are there, and the list of shots that it applies to."""
+    some = [F.when(extra[n].isNotNull(), F.concat(F.lit(f'"{n}": '), _json_list(extra[n]) if n == "new_order" else _json(extra[n]))) for n in EXTRAS if n in extra]
+    inner = F.concat(F.lit("{"), F.concat_ws(", ", *some), F.lit("}"))
+    fields = {"task_id": _json(task), "instruction": _json(instruction), "target_phrase": _json(target), "extra": inner, "applicable_shots": _json_list(applicable)}
+    return F.concat(F.lit(lead + "{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{n}": '), v) for n, v in fields.items())), F.lit("}"))
 
 
 def phrases(objects: Column, characters: Column) -> Column:

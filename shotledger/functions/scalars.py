@@ -93,12 +93,16 @@ def operation(instruction: Column, given: Column, older: bool = False) -> Column
     return out.otherwise(F.lit("unknown"))
 
 
+#: Fixed value: where a text spells out an order.
+ORDERED = r"(?i)shot order\s*([0-9,\s]+)"
+
+
 def expected_order(given: Column, instruction: Column) -> Column:
     """The new order of shots as integers: from a list that isn't empty (null if an entry is none), else from what follows "shot order" in
     the text, parted by commas or blanks; null where there is neither."""
     cast = F.transform(given, lambda x: x.try_cast("int"))
     listed = F.when(F.forall(cast, lambda x: x.isNotNull()), cast)
-    named = F.regexp_extract(F.coalesce(instruction, F.lit("")), r"(?i)shot order(\s*[0-9,\s]+)", 1)
+    named = F.regexp_extract(F.coalesce(instruction, F.lit("")), ORDERED, 1)
     parsed = F.transform(F.filter(F.split(named, r"[\s,]+"), lambda x: x != ""), lambda x: x.try_cast("int"))
     return F.when(F.size(given) > 0, listed).otherwise(F.when(named != "", parsed))
 
@@ -127,13 +131,22 @@ def queries_joined(queries: Column) -> Column:
     return F.nullif(F.array_join(F.filter(queries, lambda q: q != ""), "; "), F.lit(""))
 
 
+#: Fixed value: a tag of a caption and the text after it.
+TAGGED = r"(?s)\[(.*?)\]\s*([^\[]*)"
+
+
 def shots_of_caption(caption: Column) -> Column:
-    """ "Shot i: [tag] action" for each [tag] of a caption and the text after it."""
-    tags = F.regexp_extract_all(caption, F.lit(r"\[(.*?)\]\s*([^\[]*)"), F.lit(1))
-    rest = F.regexp_extract_all(caption, F.lit(r"\[(.*?)\]\s*([^\[]*)"), F.lit(2))
-    clean = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    """ "Shot i: [tag] action" for each [tag] of a caption, which stays as it is, and the text after it, whose blanks become single."""
+    tags, rest = (F.regexp_extract_all(caption, F.lit(TAGGED), F.lit(i)) for i in (1, 2))
+    clean = lambda x: F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" "))
     both = F.arrays_zip(tags.alias("tag"), rest.alias("rest"))
-    return F.transform(both, lambda x, i: F.concat(F.lit("Shot "), (i + 1).cast("string"), F.lit(": ["), clean(x["tag"]), F.lit("] "), clean(x["rest"])))
+    return F.transform(both, lambda x, i: F.concat(F.lit("Shot "), (i + 1).cast("string"), F.lit(": ["), x["tag"], F.lit("] "), clean(x["rest"])))
+
+
+def multishot_prompt(caption: Column) -> Column:
+    """struct<prompt, n_shots>: a caption's shots as one text, with nothing between them, and their number."""
+    shots = shots_of_caption(caption)
+    return F.struct(F.array_join(shots, "").alias("prompt"), F.size(shots).alias("n_shots"))
 
 
 def article(word: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,20 @@ def normalised(a: Column) -> Column:
     return F.transform(doubles(a), lambda x: x / (norm(a) + EPS))
 
 
+def _summed(df: DataFrame, keys: list[str], vector: str, *metrics: str) -> DataFrame:
+    """keys and _s, a summary that partial summaries of a group add up to: what moves is one for each group and task, not a row for each dimension."""
+    held = df.select(*keys, doubles(F.col(vector)).alias("_v")).filter(F.col("_v").isNotNull())
+    return held.groupBy(*keys).agg(Summarizer.metrics(*metrics).summary(array_to_vector(F.col("_v"))).alias("_s"))
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
-    """For each group the mean vector: averaged by dimension, so that no group's vectors are gathered."""
-    long = df.select(*keys, F.posexplode(doubles(F.col(vector))).alias("_dim", "_x"))
-    means = long.groupBy(*keys, "_dim").agg(F.avg("_x").alias("_x"))
-    ordered = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_dim", "_x"))).alias("_v"))
-    return ordered.select(*keys, F.transform("_v", lambda e: e["_x"]).alias(out))
+    """For each group the mean vector, from partial sums, so that no group's vectors are gathered. Vectors of a group are equally long; null ones don't count."""
+    return _summed(df, keys, vector, "mean").select(*keys, vector_to_array("_s.mean").alias(out))
 
 
 def spread(df: DataFrame, keys: list[str], vector: str, out: str = "spread") -> DataFrame:
-    """For each group the mean over dimensions of the population deviation."""
-    long = df.select(*keys, F.posexplode(doubles(F.col(vector))).alias("_dim", "_x"))
-    return long.groupBy(*keys, "_dim").agg(F.stddev_pop("_x").alias("_s"), F.count("*").alias("_n")).groupBy(*keys).agg(F.avg("_s").alias(out), F.max("_n").alias("n"))
+    """For each group the mean over dimensions of the population deviation, and the number of vectors."""
+    made = _summed(df, keys, vector, "variance", "count").select(*keys, vector_to_array("_s.variance").alias("_v"), F.col("_s.count").alias("n"))
+    # The summary's variance is that of a sample.
+    whole = F.transform("_v", lambda x: F.sqrt(x * (F.col("n") - 1) / F.col("n")))
+    return made.select(*keys, (F.aggregate(whole, F.lit(0.0), lambda s, x: s + x) / F.size("_v")).alias(out), "n")

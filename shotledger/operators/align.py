@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Keywords that are broadcast, at the most.
-MAX_WORDS = 10_000
+from shotledger.operators import lineage
+
+#: First letters by which words and objects meet.
+GRAM = 4
 
 
 def both_sides(source: DataFrame, edit: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,22 +75,26 @@ def absent(shots: DataFrame, group: list[str], shot: str, applies: str) -> DataF
     return lists.select(*group, F.when(F.size("_some") > 0, F.array_except("_all", "_some")).otherwise(F.slice("_all", 1, 0)).alias("absent"))
 
 
-def first_keyword_hit(operations: DataFrame, items: DataFrame, op: str, keywords: str, key: str, objects: str) -> DataFrame:
+def first_keyword_hit(operations: DataFrame, items: DataFrame, op: str, keywords: str, key: str, objects: str, gram: int = GRAM) -> DataFrame:
     """Operations that apply to an item, with the first object that holds a keyword: keywords in their order, then objects.
 
-    Each word meets each distinct object once, and only then the items. At most MAX_WORDS words are broadcast.
+    A word lies in an object if its first letters, `gram` at the most, begin somewhere in it and the rest follows: distinct
+    objects and words meet by an equi-join on those letters, whatever their number, and only then the items.
     """
-    words = operations.select(op, F.posexplode(keywords).alias("_k", "_word"))
+    words = operations.select(op, F.posexplode(keywords).alias("_k", "_word")).withColumn("_lower", F.lower("_word")).filter(F.col("_lower").isNotNull())
+    named = words.select("_lower").distinct().withColumn("_gram", F.substring("_lower", 1, gram))
     things = items.select(key, F.posexplode(objects).alias("_o", "_object"))
-    names = things.select("_object").distinct()
-    few = words.limit(MAX_WORDS + 1).count() <= MAX_WORDS
-    hits = names.join(F.broadcast(words) if few else words, F.contains(F.lower("_object"), F.lower("_word")))
-    found = things.join(hits, "_object")
+    names = things.select("_object").distinct().withColumn("_text", F.lower("_object")).filter(F.col("_text").isNotNull())
+    # Every beginning of up to `gram` letters at every place, and the empty one, which begins an empty word.
+    places = F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substring(F.col("_text"), i, n)))
+    begun = F.array_union(F.array(F.lit("")), F.when(F.col("_text") != "", F.array_distinct(F.flatten(places))).otherwise(F.array(F.lit(""))))
+    hits = names.select("_object", "_text", F.explode(begun).alias("_gram")).join(named, "_gram").filter(F.contains("_text", F.col("_lower"))).select("_object", "_lower").distinct()
+    found = things.join(hits.join(words, "_lower"), "_object")
     return found.groupBy(key, op).agg(F.min_by("_object", F.struct("_k", "_o")).alias("object"))
 
 
 def by_rank(clusters: DataFrame, named: DataFrame, group: str, cluster: str, size: str, name: str, position: str) -> DataFrame:
     """Names in list order get the clusters in order of size (ties: the lowest id); left-over names get none."""
-    ranked = clusters.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc(size), cluster))).select(group, "_r", cluster)
-    listed = named.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(position))).select(group, "_r", name)
+    ranked = lineage.numbered(clusters.select(group, cluster, (-F.col(size)).alias("_small")), [group], ["_small", cluster], "_r").select(group, "_r", cluster)
+    listed = lineage.numbered(named.select(group, name, position), [group], [position], "_r").select(group, "_r", name)
     return listed.join(ranked, [group, "_r"], "left").drop("_r")

@@ -1,10 +1,10 @@
-"""Cutting the lineage of iterations, and numbering rows without one task for a group."""
+"""Cutting the lineage of iterations, and numbering and scanning rows in order without one task for a group."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,6 +44,39 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "nu
     return joined.select(*(F.col(f"d.{c}") for c in rows.columns), (F.col("c._before") + F.col("d._in")).cast("long").alias(out))
 
 
+def dealt(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows in ranges of group and order, which each row's _range names: what before() works on. order should leave no ties."""
+    return cut(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def before(ranged: DataFrame, group: list[str], order: list[str], **scans: tuple[str, Column]) -> DataFrame:
+    """dealt() rows with columns of what stands before each row in its group: name=(kind, value), kind one of sum (0 before
+    the first row), max, last (the value of the row before, null or not) and known (the last value that isn't null).
+
+    All four can be put together from parts, so each range is scanned alone, ranges are summed up in a row each, and a
+    range begins with what the ranges of its group before it add up to. No group is one task's.
+    """
+    boxed = {n: F.struct(v.alias("v")) if kind == "last" else v for n, (kind, v) in scans.items()}
+    parts = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True), "known": lambda v: F.last(v, ignorenulls=True)}
+    whole = {"sum": F.sum, "max": F.max, "last": lambda v: F.max_by(v, F.struct(*order)), "known": lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))}
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    inside = earlier(W.partitionBy(*group, "_range").orderBy(*order))
+    carried = earlier(W.partitionBy(*group).orderBy("_range"))
+    totals = ranged.groupBy(*group, "_range").agg(*(whole[kind](boxed[n]).alias(f"_t_{n}") for n, (kind, _) in scans.items()))
+    carry = totals.select(*group, "_range", *(parts[kind](F.col(f"_t_{n}")).over(carried).alias(f"_c_{n}") for n, (kind, _) in scans.items()))
+    within = ranged.withColumns({f"_i_{n}": parts[kind](boxed[n]).over(inside) for n, (kind, _) in scans.items()})
+    match = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group] + [F.col("a._range") == F.col("b._range")]
+    joined = within.alias("a").join(carry.alias("b"), match)
+
+    def whole_of(name: str, kind: str) -> Column:
+        here, there = F.col(f"a._i_{name}"), F.col(f"b._c_{name}")
+        if kind == "sum":
+            return F.coalesce(here, F.lit(0)) + F.coalesce(there, F.lit(0))
+        return F.greatest(here, there) if kind == "max" else F.coalesce(here, there)["v"] if kind == "last" else F.coalesce(here, there)
+
+    return joined.select(*(F.col(f"a.{c}") for c in ranged.columns), *(whole_of(n, kind).alias(n) for n, (kind, _) in scans.items()))
+
+
 def first_of_each(rows: DataFrame, group: list[str], n: int, order: list, salts: int = 64) -> DataFrame:
     """The first n rows of each group: first of each of its salted parts, then of what those keep."""
     columns = rows.columns

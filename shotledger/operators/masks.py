@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotledger.operators import lineage
+
 
 def union(runs: DataFrame, keys: list[str], start: str = "run_start", length: str = "run_len") -> DataFrame:
     """Runs of the pixels that any of a frame's runs covers, apart and in order."""
-    line = W.partitionBy(*keys).orderBy(start, length)
-    rows = runs.filter(F.col(length) > 0).withColumn("_end", F.col(start) + F.col(length))
-    before = F.max("_end").over(line.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.coalesce((F.col(start) > before).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(line))
-    return marked.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max("_end").alias("_end")).select(*keys, start, (F.col("_end") - F.col(start)).alias(length))
+    rows = runs.filter(F.col(length) > 0).groupBy(*keys, F.col(start).cast("long").alias(start)).agg(F.max(F.col(start) + F.col(length)).alias("_end"))
+    order = [start]
+    seen = lineage.before(lineage.dealt(rows, keys, order), keys, order, _before=("max", F.col("_end")))
+    marked = seen.withColumn("_new", F.coalesce((F.col(start) > F.col("_before")).cast("long"), F.lit(1)))
+    numbered = lineage.before(marked, keys, order, _run=("sum", F.col("_new"))).withColumn("_run", F.col("_run") + F.col("_new"))
+    return numbered.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max("_end").alias("_end")).select(*keys, start, (F.col("_end") - F.col(start)).alias(length))
 
 
 def measures(runs: DataFrame, keys: list[str], width: str, start: str = "run_start", length: str = "run_len", least: int = 100) -> DataFrame:
@@ -27,17 +29,18 @@ def measures(runs: DataFrame, keys: list[str], width: str, start: str = "run_sta
 
 def complement(runs: DataFrame, frames: DataFrame, keys: list[str], pixels: str, start: str = "run_start", length: str = "run_len") -> DataFrame:
     """Runs of a frame's pixels 0..pixels-1 that none of its runs, which are apart, covers; a frame without runs is one run."""
-    line = W.partitionBy(*keys).orderBy("_at")
-    edges = runs.select(*keys, (F.col(start) + F.col(length)).alias("_at"), F.col(start).alias("_begin")).unionByName(frames.select(*keys, F.lit(0).cast("long").alias("_at"), F.lit(-1).cast("long").alias("_begin")))
-    after = edges.withColumn("_next", F.lead("_begin").over(line)).join(frames, keys)
-    out = after.select(*keys, F.col("_at").alias(start), (F.coalesce("_next", pixels) - F.col("_at")).alias(length))
-    return out.filter(F.col(length) > 0)
+    ends = runs.select(*keys, F.col(start).cast("long").alias("_begin"), (F.col(start) + F.col(length)).cast("long").alias("_end"))
+    ranged = lineage.dealt(ends, keys, ["_begin"])
+    inner = lineage.before(ranged, keys, ["_begin"], _at=("max", F.col("_end"))).join(frames.select(*keys), keys, "left_semi").select(*keys, F.coalesce("_at", F.lit(0)).alias("_at"), F.col("_begin").alias("_next"))
+    last = frames.join(ranged.groupBy(*keys).agg(F.max("_end").alias("_at")), keys, "left").select(*keys, F.coalesce("_at", F.lit(0)).alias("_at"), F.col(pixels).alias("_next"))
+    return inner.union(last).select(*keys, F.col("_at").alias(start), (F.col("_next") - F.col("_at")).alias(length)).filter(F.col(length) > 0)
 
 
 def decoded(masks: DataFrame, keys: list[str], counts: str) -> DataFrame:
-    """Runs of set pixels from run lengths that alternate, unset first."""
-    ends = F.transform(counts, lambda x, i: F.struct(i.alias("i"), x.cast("long").alias("n"), F.aggregate(F.slice(counts, 1, i), F.lit(0).cast("long"), lambda a, y: a + y).alias("at")))
-    return masks.select(*keys, F.explode(ends).alias("r")).filter("r.i % 2 = 1 AND r.n > 0").select(*keys, F.col("r.at").alias("run_start"), F.col("r.n").alias("run_len"))
+    """Runs of set pixels from run lengths that alternate, unset first. Each length is a row, and starts are running sums over a mask's rows."""
+    rows = masks.select(*keys, F.posexplode(counts).alias("_i", "_n"))
+    starts = lineage.before(lineage.dealt(rows, keys, ["_i"]), keys, ["_i"], run_start=("sum", F.col("_n").cast("long")))
+    return starts.filter("_i % 2 = 1 AND _n > 0").select(*keys, "run_start", F.col("_n").cast("long").alias("run_len"))
 
 
 def clipped(boxes: DataFrame, width: int, height: int, least: int = 16, score: str | None = None, min_score: float = 0.3) -> DataFrame:

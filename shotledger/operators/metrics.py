@@ -10,6 +10,10 @@ from shotledger.functions.vectors import cosine_or_zero, dot, mean_vectors, norm
 from shotledger.operators.align import both_sides, pairs_in_group
 
 
+#: Fixed value: the reason of a prompt without masks.
+NO_MASKS = "required edit-region masks were missing"
+
+
 def psq(shots: DataFrame, keys: list[str], musiq: str = "musiq", aesthetic: str = "aes") -> DataFrame:
     """Mean over shots of half MUSIQ/100 and half AES/10; null where no shot has both."""
     return shots.groupBy(*keys).agg(F.avg(0.5 * (F.col(musiq) / 100 + F.col(aesthetic) / 10)).alias("psq"))
@@ -60,14 +64,16 @@ def propagation_rated(pairs: DataFrame, effects: DataFrame, keys: list[str], rat
 
 
 def preservation(source: DataFrame, edit: DataFrame, keys: list[str], shot: str, vector: str, masked: str | None = None) -> DataFrame:
-    """Mean similarity of source and edited shots, how many were scored and skipped, and how many lacked their mask (which are skipped)."""
+    """Mean similarity of source and edited shots, how many were scored and skipped, how many lacked their mask (which are skipped), and nep_reason:
+    why there is no mean, where masks were wanted and missing."""
     rows = both_sides(source.withColumnRenamed(vector, "_s"), edit.withColumnRenamed(vector, "_e"), [*keys, shot])
     mask = F.coalesce(F.col(masked), F.lit(False)) if masked else F.lit(True)
     usable = F.col("present") & mask
-    return rows.groupBy(*keys).agg(
+    out = rows.groupBy(*keys).agg(
         F.avg(F.when(usable, unit(dot(F.col("_s"), F.col("_e"))))).alias("nep"), F.count_if(usable).alias("n_scored"),
         F.count_if(~usable).alias("n_skipped"), F.count_if(F.col("present") & ~mask).alias("n_mask_missing"),
     )
+    return out.withColumn("nep_reason", F.when((F.col("n_scored") == 0) & (F.col("n_mask_missing") > 0), NO_MASKS))
 
 
 def off_target(shots: DataFrame, keys: list[str], absent: str, before: str, after: str, slack: float = 0.02) -> DataFrame:
@@ -81,9 +87,9 @@ def side_effect_safety(id_drift: Column, off: Column) -> Column:
     return unit(1 - F.greatest(F.greatest(F.lit(0.0), off), F.when(id_drift.isNotNull(), F.greatest(F.lit(0.0), id_drift))))
 
 
-def identity_drift(faces: DataFrame, keys: list[str], shot: str, side: str, area: str, vector: str) -> DataFrame:
-    """Mean over shots of 1 - cosine of the largest faces on both sides; null where no shot has both."""
-    big = faces.groupBy(*keys, shot).pivot(side, ["source", "edit"]).agg(F.max_by(vector, area))
+def identity_drift(faces: DataFrame, keys: list[str], shot: str, side: str, area: str, vector: str, face: str) -> DataFrame:
+    """Mean over shots of 1 - cosine of the largest faces on both sides (of equal ones the first by its number, face); null where no shot has both."""
+    big = faces.groupBy(*keys, shot).pivot(side, ["source", "edit"]).agg(F.max_by(vector, F.struct(F.col(area), -F.col(face))))
     rows = big.withColumn("_d", F.when(F.col("source").isNotNull() & F.col("edit").isNotNull(), F.greatest(F.lit(0.0), 1 - cosine_or_zero(F.col("source"), F.col("edit")))))
     return rows.groupBy(*keys).agg(F.avg("_d").alias("id_drift"))
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from shotledger.functions import prompts
 from shotledger.operators import lineage
 
-#: A bank of at most so many values is handled as one array.
-MAX_BANK = 10_000
 #: Tasks whose prompts can be put in new words, and what an edit says beside its text.
 TASKS = ("T1", "T2", "T3", "T4", "T5", "T6", "T7")
 EXTRA = ("op", "old_object", "new_object", "anchor", "new_order", "target_shot_id", "target_framing", "camera_move", "transition_style")
@@ -26,15 +24,42 @@ def sampled(rows: DataFrame, group: list[str], keys: list[str], n: int, seed: st
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def from_bank(items: DataFrame, bank: DataFrame, key: str, value: str, n: int, seed: str, most: int = MAX_BANK) -> DataFrame:
-    """n values of the bank for each item. A bank of at most `most` values goes to the items as one array, of which each keeps n; a longer one is joined."""
-    values = bank.select(value).distinct()
-    if values.limit(most + 1).count() > most:
-        return sampled(items.join(values), [key], [value], n, seed)
-    listed = values.agg(F.array_sort(F.collect_list(value)).alias("v"))
-    marked = F.array_sort(F.transform("_v", lambda v: F.struct(mark(seed, F.col(key), v).alias("m"), v.alias("v"))))
-    chosen = items.withColumn("_v", listed.scalar()).withColumn("_v", F.slice(marked, 1, n))
-    return chosen.select("*", F.posexplode("_v").alias("_i", "_x")).select(*items.columns, F.col("_x.v").alias(value), (F.col("_i") + 1).alias("rank"))
+def permuted(place: Column, n: int, seed: str, *keys: Column) -> Column:
+    """Where a place of 0..n-1 goes in an order of them that hangs on seed and keys: no two places go to one.
+
+    A Feistel network of four rounds over the next power of two; what lands outside goes through it again until it lands inside.
+    """
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+    sizes = (1 << (bits - low), 1 << low)
+
+    def through(x: Column) -> Column:
+        halves = F.struct(F.floor(x / sizes[1]).cast("long").alias("a"), (x % sizes[1]).cast("long").alias("b"))
+
+        def turn(h: Column, r: Column) -> Column:
+            drawn = F.conv(F.substring(mark(seed, *keys, r, h["b"]), 1, 8), 16, 10).cast("long")
+            # The half that is changed keeps its size, which alternates.
+            size = F.when(r % 2 == 0, F.lit(sizes[0])).otherwise(F.lit(sizes[1])).cast("long")
+            return F.struct(h["b"].alias("a"), h["a"].bitwiseXOR(drawn % size).alias("b"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(3)), halves, turn, lambda h: h["a"] * sizes[1] + h["b"])
+
+    # At least half of the places lie inside: a walk of 100 steps outside has a chance of 2^-100.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(100)), place.cast("long"), lambda x, i: F.when((i == 1) | (x >= n), through(x)).otherwise(x))
+
+
+def from_bank(items: DataFrame, bank: DataFrame, key: str, value: str, n: int, seed: str) -> DataFrame:
+    """n different values of the bank for each item, with their rank from 1; all of them if there are no more.
+
+    A keyed permutation says which places of the sorted bank an item takes, so that n rows an item meet the bank, by place.
+    """
+    placed = lineage.numbered(bank.select(value).distinct().withColumn("_g", F.lit(0)), ["_g"], [value], "_place").select("_place", value)
+    size = placed.count()
+    if not size:
+        return items.limit(0).withColumn(value, F.lit(None).cast(bank.schema[value].dataType)).withColumn("rank", F.lit(None).cast("int"))
+    drawn = items.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(min(n, size)))))
+    drawn = drawn.withColumn("_place", permuted(F.col("rank") - 1, size, seed, F.col(key)))
+    return drawn.join(placed, "_place").select(*items.columns, value, "rank")
 
 
 def numbered(rows: DataFrame, video: str, task: str, order: list[str]) -> DataFrame:
@@ -47,19 +72,19 @@ def rewritten(rows: DataFrame, order: list[str], task: str = "task_id", descript
     """rows with instruction and target phrase in new words, and what they were as *_v1. A task's wordings are taken in turn by order; a row of another task stays as it is."""
     turns = lineage.numbered(rows, [task], order, "_turn")
     given = {x: F.col(x) for x in extra if x in rows.columns} | {x: F.lit(None).cast("array<string>" if x == "new_order" else "string") for x in extra if x not in rows.columns}
-    texts, phrases = F.col(instruction), F.col(target)
-    for t in TASKS:
-        text, phrase = prompts.rewritten(t, F.col("_turn"), F.col(description), F.col(target), given)
-        texts, phrases = F.when(F.col(task) == t, text).otherwise(texts), F.when(F.col(task) == t, phrase).otherwise(phrases)
-    out = turns.withColumn("_text", texts).withColumn("_phrase", phrases)
+    # What is used again and again has columns of its own, so that no stage grows beyond what can be compiled.
+    named = turns.withColumn("_ref", prompts.short_reference(F.coalesce(description, F.lit("")))).withColumn("_parsed", prompts.attribute_of(F.col(target)))
+    text, phrase = prompts.rewritten(F.col(task), F.col("_turn"), F.col("_ref"), F.col("_parsed"), F.col(target), given)
+    known = F.coalesce(F.col(task).isin(*TASKS), F.lit(False))
+    out = named.withColumn("_text", F.when(known, text).otherwise(F.col(instruction))).withColumn("_phrase", F.when(known, phrase).otherwise(F.col(target)))
     out = out.withColumn(f"{instruction}_v1", F.col(instruction)).withColumn(f"{target}_v1", F.col(target))
-    return out.withColumn(instruction, F.col("_text")).withColumn(target, F.col("_phrase")).drop("_text", "_phrase", "_turn")
+    return out.withColumn(instruction, F.col("_text")).withColumn(target, F.col("_phrase")).drop("_text", "_phrase", "_turn", "_ref", "_parsed")
 
 
 def cycled(rows: DataFrame, group: str, order: str, patterns: list[str]) -> DataFrame:
     """Each row's pattern, in turn."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("pattern", F.element_at(F.array(*map(F.lit, patterns)), (F.pmod(n, F.lit(len(patterns))) + 1).cast("int")))
+    turns = lineage.numbered(rows, [group], [order], "_turn")
+    return turns.withColumn("pattern", F.element_at(F.array(*map(F.lit, patterns)), (F.col("_turn") % len(patterns) + 1).cast("int"))).drop("_turn")
 
 
 def permutations(items: DataFrame, key: str, ids: str, n: int, tries: int, seed: str) -> DataFrame:

@@ -29,12 +29,17 @@ def by_category(recorded: DataFrame, category: str = "category") -> DataFrame:
     return out.withColumn("hit_rate", F.bround(F.col("exact") / F.col("total"), 3))
 
 
-def recommendations(report: DataFrame, agreement_rate: str = "agreement_rate") -> DataFrame:
-    """What follows from the rates, a row each."""
-    rules = [
-        (F.col("hit_rate") >= 0.85, "ready"), ((F.col("hit_rate") >= 0.70) & (F.col("hit_rate") < 0.85), "review"), (F.col("hit_rate") < 0.70, "retune"),
-        (F.col("off_by_one") > F.col("off_more"), "off by one dominates"), (F.col(agreement_rate) < 0.7, "detectors disagree"),
-    ]
+def count_agreement(found: DataFrame, first: str, second: str) -> DataFrame:
+    """One row: n_available videos that the first detector has a count of, and n_agree of them on which the second has the same."""
+    have = F.col(first).isNotNull()
+    return found.agg(F.count_if(have).alias("n_available"), F.count_if(have & F.coalesce(F.col(first) == F.col(second), F.lit(False))).alias("n_agree"))
+
+
+def recommendations(report: DataFrame) -> DataFrame:
+    """What follows from a summary() with the columns of count_agreement(), a row each. The rate is that of the counts, not rounded; no rows are a rate of 0."""
+    rate = F.coalesce(F.col("exact") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
+    agree = F.col("n_agree") / F.nullif(F.col("n_available"), F.lit(0))
+    rules = [(rate >= 0.85, "ready"), ((rate >= 0.70) & (rate < 0.85), "review"), (rate < 0.70, "retune"), (F.col("off_by_one") > F.col("off_more"), "off by one dominates"), (agree < 0.7, "detectors disagree")]
     return report.select(F.explode(F.array_compact(F.array(*(F.when(rule, F.lit(text)) for rule, text in rules)))).alias("recommendation"))
 
 

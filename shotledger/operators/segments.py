@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shotledger.functions.scalars import picked, seconds
+from shotledger.operators import lineage
 
 
 def enriched(shots: DataFrame, video: str, fps: Column) -> DataFrame:
@@ -20,25 +21,39 @@ def enriched(shots: DataFrame, video: str, fps: Column) -> DataFrame:
     )
 
 
-def kept_cuts(cuts: Column, gap: int = 3) -> Column:
-    """Of ascending cuts those more than gap after the last that was kept: a fold, since it hangs on what was kept."""
-    first = F.array().cast("array<bigint>")
-    return F.aggregate(cuts, first, lambda kept, c: F.when((F.size(kept) == 0) | (c - F.element_at(kept, -1) > gap), F.concat(kept, F.array(c))).otherwise(kept))
-
-
-def merged_cuts(frames: DataFrame, video: str, frame: str, gap: int = 3) -> DataFrame:
-    """A row for each cut that is kept. One video's cuts are one array."""
-    lists = frames.groupBy(video).agg(F.sort_array(F.collect_list(F.col(frame).cast("long"))).alias("_c"))
-    return lists.select(video, F.explode(F.filter(kept_cuts(F.col("_c"), gap), lambda c: c.isNotNull())).alias("cut"))
+def merged_cuts(frames: DataFrame, video: str, frame: str, gap: int = 3, rounds: int = 60) -> DataFrame:
+    """A row for each cut that is kept: those more than gap after the last that was kept, from the first on.
+
+    Each cut's successor is the first cut beyond the gap, whoever keeps it; what the first cut of a video reaches over
+    successors is kept. Links double in length in each round, so that rounds grow with the logarithm of what a video keeps.
+    """
+    cuts = frames.select(F.col(video).alias("v"), F.col(frame).cast("long").alias("c")).filter("c IS NOT NULL").distinct()
+    # From the last cut down, each cut stands before the question for what lies beyond it, and the last known cut is the answer.
+    lines = cuts.select("v", F.explode(F.array(F.struct((-F.col("c")).alias("o"), F.lit(1).alias("kind"), F.col("c").alias("c")), F.struct((-F.col("c") - gap).alias("o"), F.lit(0).alias("kind"), F.col("c").alias("c")))).alias("l")).select("v", "l.*")
+    order = ["o", "kind", "c"]
+    answered = lineage.before(lineage.dealt(lines, ["v"], order), ["v"], order, next=("known", F.when(F.col("kind") == 1, F.col("c"))))
+    links = lineage.cut(answered.filter((F.col("kind") == 0) & F.col("next").isNotNull()).select("v", "c", "next"))
+    kept = lineage.cut(cuts.groupBy("v").agg(F.min("c").alias("c")))
+    for _ in range(rounds):
+        reached = kept.join(links, ["v", "c"]).select("v", F.col("next").alias("c"))
+        # What is reached over links of one length was not reached over shorter ones.
+        after = lineage.cut(kept.union(reached))
+        links, grown = links.select("v", "c", F.col("next").alias("n")).join(links.select("v", F.col("c").alias("n"), "next"), ["v", "n"]).select("v", "c", "next"), after
+        links = lineage.cut(links)
+        kept = grown
+        if links.isEmpty():
+            return kept.select(F.col("v").alias(video), F.col("c").alias("cut"))
+    raise RuntimeError(f"the cuts did not settle in {rounds} rounds")
 
 
 def segments(cuts: DataFrame, totals: DataFrame, video: str) -> DataFrame:
     """Inclusive segments that the cuts leave of frames 0..total-1; one segment without cuts. A cut begins a segment, so that
     one at frame 0 leaves the empty segment [0, -1] before it."""
-    starts = cuts.select(video, F.col("cut").alias("frame_start")).union(totals.select(video, F.lit(-1).cast("long").alias("frame_start")))
-    order = W.partitionBy(video).orderBy("frame_start")
-    rows = starts.withColumn("_next", F.lead("frame_start").over(order)).join(totals, video)
-    return rows.select(video, F.greatest(F.col("frame_start"), F.lit(0)).alias("frame_start"), (F.coalesce("_next", "total") - 1).alias("frame_end"))
+    own = cuts.select(video, F.col("cut").cast("long").alias("cut"))
+    ranged = lineage.dealt(own, [video], ["cut"])
+    ended = lineage.before(ranged, [video], ["cut"], frame_start=("max", F.col("cut"))).select(video, F.coalesce("frame_start", F.lit(0)).alias("frame_start"), (F.col("cut") - 1).alias("frame_end"))
+    last = totals.join(ranged.groupBy(video).agg(F.max("cut").alias("_last")), video, "left")
+    return ended.join(totals.select(video), video, "left_semi").union(last.select(video, F.coalesce("_last", F.lit(0)).alias("frame_start"), (F.col("total") - 1).alias("frame_end")))
 
 
 def inclusive(ranges: DataFrame, start: str, end: str, label: str, kept: str = "general") -> DataFrame:
@@ -62,20 +77,39 @@ def agreement(a: Column, b: Column, tolerance: Column) -> Column:
 
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: start (position from 0), length and value."""
-    line = W.partitionBy(*keys).orderBy(*order)
-    changed = F.coalesce((~F.lag(value).over(line).eqNullSafe(F.col(value))).cast("int"), F.lit(1))
-    marked = rows.withColumn("_at", F.row_number().over(line) - 1).withColumn("_new", F.when(F.col("_at") == 0, 1).otherwise(changed))
-    numbered = marked.withColumn("run", F.sum("_new").over(line))
+    """Runs of equal values in order, which should leave no ties: number (from 1), start (position from 0), length and value."""
+    ranged = lineage.dealt(rows.select(*keys, *order, *([] if value in [*keys, *order] else [value])), keys, order)
+    seen = lineage.before(ranged, keys, order, _at=("sum", F.lit(1).cast("long")), _was=("last", F.col(value)))
+    marked = seen.withColumn("_new", ((F.col("_at") == 0) | ~F.col("_was").eqNullSafe(F.col(value))).cast("long"))
+    numbered = lineage.before(marked, keys, order, run=("sum", F.col("_new"))).withColumn("run", F.col("run") + F.col("_new"))
     return numbered.groupBy(*keys, "run").agg(F.min("_at").alias("run_start"), F.count("*").alias("run_len"), F.first(value).alias(value))
 
 
-def frames_in_shots(frames: DataFrame, shots: DataFrame, video: str, frame: str, width: int = 1024) -> DataFrame:
-    """Each frame with the shots that hold it. Shots are copied to the bins of `width` frames that they touch, so that this is an
-    equi-join on video and bin, however long the video."""
-    bins = F.sequence(F.floor(F.col("frame_start") / width), F.floor(F.greatest("frame_start", "frame_end") / width))
-    by_bin = shots.withColumn("_bin", F.explode(bins))
-    return frames.withColumn("_bin", F.floor(F.col(frame) / width)).join(by_bin, [video, "_bin"]).filter(F.col(frame).between(F.col("frame_start"), F.col("frame_end"))).drop("_bin")
+def cells(start: Column, end: Column) -> Column:
+    """The fewest dyadic cells (level, cell) that make up the frames start..end: two of a level at the most; none if end is before start."""
+    shift = lambda x, l: F.call_function("shiftright", x, l)
+    first, last = start.cast("long"), end.cast("long") + 1
+
+    def of(level: Column) -> Column:
+        low, high = -shift(-first, level), shift(last, level)
+        odd = lambda x: (x.bitwiseAND(F.lit(1)) == 1) & (low < high)
+        return F.array_compact(F.array(F.when(odd(low), F.struct(level.alias("level"), low.alias("cell"))), F.when(odd(high), F.struct(level.alias("level"), (high - 1).alias("cell")))))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(last - first, F.lit(1)) + 1)).cast("int"))
+    return F.flatten(F.transform(levels, of))
+
+
+def frames_in_shots(frames: DataFrame, shots: DataFrame, video: str, frame: str) -> DataFrame:
+    """Each frame with the shots that hold it, which may overlap.
+
+    A shot is copied to the dyadic cells that it is made of, some two for each doubling of its length, and a frame asks for the cell that it
+    lies in on each level that some shot has: an equi-join on video, level and cell, in which every pair meets once.
+    """
+    parts = shots.withColumn("_cell", F.explode(cells(F.col("frame_start"), F.col("frame_end")))).select("*", F.col("_cell.level").alias("_level"), F.col("_cell.cell").alias("_at")).drop("_cell")
+    # At most 64 numbers.
+    levels = sorted(r[0] for r in parts.select("_level").distinct().collect())
+    asked = frames.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_at", F.call_function("shiftright", F.col(frame).cast("long"), F.col("_level")))
+    return asked.join(parts, [video, "_level", "_at"]).drop("_level", "_at")
 
 
 def sampled_frames(start: Column, end: Column, stride: int = 1, most: int = 8) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shotledger.functions.vectors import doubles
+from shotledger.operators.lineage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,14 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, which is deleted when the session's process ends: the result is read from it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop.Path(path))
+    return path
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

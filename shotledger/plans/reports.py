@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shotledger.functions import prompts, scalars
 from shotledger.operators import align, lineage, masks, metrics, promptgen, rollup
+from shotledger.plans import base
 from shotledger.plans.base import RESULTS, query, r6, read, results
 from shotledger.sources import documents
 
@@ -35,7 +34,7 @@ def prompt_documents(spark, sf_dir):
     extra = F.when(F.col("n") % 5 == 0, F.struct("op"))
     people = F.when(F.col("description").isNotNull(), F.array(F.struct(F.lit("c").alias("id"), F.col("description").alias("desc"))))
     rows = p.select("n", F.col("task_id").alias("task"), "sample_id", "video_id", people.alias("characters"), F.struct("target_phrase", extra.alias("extra")).alias("edit"))
-    path = f"{lineage.shared_folder(spark)}/prompts-{uuid.uuid4()}"
+    path = base.scratch(spark, "prompts")
     documents.write_documents(rows, path, "task", "n")
     docs = documents.read_documents(spark, path, documents.PROMPT + ", task STRING", "part-*")
     docs = documents.task_from_path(docs, "task").withColumn("task", F.regexp_replace("task", "^task=", ""))
@@ -46,7 +45,7 @@ def prompt_documents(spark, sf_dir):
 def resumed_log(spark, sf_dir):
     """A CSV log that was broken off after some rows, and goes on where it stopped."""
     rows = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("status"))
-    path, schema = f"{lineage.shared_folder(spark)}/log-{uuid.uuid4()}", "c_custkey long, status string"
+    path, schema = base.scratch(spark, "log"), "c_custkey long, status string"
     documents.append_results(rows.filter("c_custkey % 3 > 0"), path, ["c_custkey"], schema)
     return documents.append_results(rows, path, ["c_custkey"], schema).select("c_custkey", "status")
 
@@ -55,7 +54,7 @@ def resumed_log(spark, sf_dir):
 def result_lines(spark, sf_dir):
     """Results as JSON Lines, partitioned by their task, written and read back."""
     e = read(spark, sf_dir, "events").select(F.col("event_type").alias("task_id"), F.col("user_id").alias("sample_id"), "event_id", "value")
-    path = f"{lineage.shared_folder(spark)}/results-{uuid.uuid4()}"
+    path = base.scratch(spark, "results")
     documents.write_results(e, path, ("task_id",), "json")
     return spark.read.schema("sample_id long, event_id long, value double, task_id string").json(path).select("task_id", "sample_id", "event_id", r6("value").alias("value"))
 
@@ -151,11 +150,16 @@ def rewritten_prompts(spark, sf_dir):
     return promptgen.rewritten(_prompts(spark, sf_dir), ["sample_id"]).select("sample_id", "instruction_v1", "target_phrase_v1", "instruction", "target_phrase")
 
 
-@query(f"""WITH {PROMPTS} SELECT sample_id, 'Rewrite this:' || chr(10) || '{{"task_id":"' || task || '","instruction":"' || instruction || '","target_phrase":' || CASE WHEN n % 2 = 0 THEN 'null' ELSE '"' || phrase || '"' END || ',"extra":{{"op":"' || op || '"' || CASE WHEN n % 3 = 0 THEN ',"anchor":"' || anchor || '"' ELSE '' END || '}}}}' AS message FROM pr""")
+@query(f"""WITH {PROMPTS} SELECT sample_id, 'Rewrite this:' || chr(10) || '{{"task_id": "' || task || '", "instruction": "' || instruction || '", "target_phrase": ' || CASE WHEN n % 2 = 0 THEN 'null' ELSE '"' || phrase || '"' END || ', "extra": {{' || array_to_string(list_filter(['"op": "' || op || '"',
+'"old_object": "' || old || '"', '"new_object": "' || new || '"', CASE WHEN n % 3 = 0 THEN '"anchor": "' || anchor || '"' END, '"camera_move": "a \\"' || new || '\\""', CASE WHEN n % 5 = 0 THEN '"new_order": [' || shot || ', 1]' END], lambda x: x IS NOT NULL), ', ') || '}}, "applicable_shots": '
+|| CASE WHEN n % 4 > 0 THEN '[1, ' || shot || ']' ELSE 'null' END || '}}' AS message FROM pr""")
 def rewrite_messages(spark, sf_dir):
-    p = _prompts(spark, sf_dir)
-    fields = {"task_id": F.col("task_id"), "instruction": F.col("instruction"), "target_phrase": F.when(F.col("n") % 2 > 0, F.col("target_phrase"))}
-    return p.select("sample_id", prompts.payload(fields, {"op": F.col("op"), "anchor": F.when(F.col("n") % 3 == 0, F.col("anchor"))}).alias("message"))
+    p, n = _prompts(spark, sf_dir), F.col("n")
+    shot = F.col("target_shot_id").cast("int")
+    extra = {"op": F.col("op"), "old_object": F.col("old_object"), "new_object": F.col("new_object"), "anchor": F.when(n % 3 == 0, F.col("anchor")), "transition_style": F.lit(None).cast("string"),
+             "camera_move": F.concat(F.lit('a "'), "camera_move", F.lit('"')), "new_order": F.when(n % 5 == 0, F.array(shot, F.lit(1)))}
+    message = prompts.payload(F.col("task_id"), F.col("instruction"), F.when(n % 2 > 0, F.col("target_phrase")), extra, F.when(n % 4 > 0, F.array(F.lit(1), shot)))
+    return p.select("sample_id", message.alias("message"))
 
 
 @query(f"""WITH {PROMPTS}, o AS (SELECT sample_id, string_split(old, ' ') AS o, person FROM pr)
@@ -184,14 +188,13 @@ def routed_metrics(spark, sf_dir):
     return metrics.routed(e)
 
 
-@query("""WITH c AS (SELECT user_id AS f, (event_id * 37) % 900 AS s, round_even(value, 0)::INT % 50 + 1 AS l, event_type FROM events),
-a AS (SELECT f, event_type, s // 90 AS slot, min(s) AS s, max(l) AS l FROM c WHERE s % 90 < 30 AND l < 20 GROUP BY ALL), b AS (SELECT f, event_type, s + l AS x, s AS y FROM a UNION ALL SELECT DISTINCT f, event_type, 0, -1 FROM c),
-n AS (SELECT f, event_type, x, coalesce(lead(y) OVER (PARTITION BY f, event_type ORDER BY x), 1000) - x AS run_len FROM b) SELECT f, event_type, x AS run_start, run_len FROM n WHERE run_len > 0""")
+@query("""WITH c AS (SELECT user_id AS f, event_type, (event_id * 37) % 900 AS s, (event_id * 37) % 900 + round_even(value, 0)::INT % 50 + 1 AS e FROM events),
+m AS (SELECT *, max(e) OVER (PARTITION BY f, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c),
+g AS (SELECT f, event_type, coalesce(b, 0) AS x, s AS y FROM m UNION ALL SELECT f, event_type, max(e), 1000 FROM c GROUP BY ALL) SELECT f, event_type, x AS run_start, y - x AS run_len FROM g WHERE y > x""")
 def mask_complement(spark, sf_dir):
-    c = read(spark, sf_dir, "events").select(F.col("user_id").alias("f"), "event_type", (F.col("event_id") * 37 % 900).alias("s"), (F.bround("value").cast("long") % 50 + 1).alias("l"))
-    runs = c.filter("s % 90 < 30 AND l < 20").groupBy("f", "event_type", F.floor(F.col("s") / 90).alias("slot")).agg(F.min("s").alias("run_start"), F.max("l").alias("run_len"))
+    c = read(spark, sf_dir, "events").select(F.col("user_id").alias("f"), "event_type", (F.col("event_id") * 37 % 900).alias("run_start"), (F.bround("value").cast("long") % 50 + 1).alias("run_len"))
     frames = c.select("f", "event_type").distinct().withColumn("pixels", F.lit(1000).cast("long"))
-    return masks.complement(runs.drop("slot"), frames, ["f", "event_type"], "pixels")
+    return masks.complement(masks.union(c, ["f", "event_type"]), frames, ["f", "event_type"], "pixels")
 
 
 @query("""WITH c AS (SELECT p_partkey AS k, [p_partkey % 5, p_size, 3, 0, p_partkey % 4 + 1] AS c FROM part), x AS (SELECT k, unnest([2, 4]) AS i, c FROM c)
@@ -202,7 +205,37 @@ def decoded_masks(spark, sf_dir):
     return masks.decoded(c, ["k"], "c")
 
 
-@query(f"""WITH {RESULTS} SELECT task_id, sample_id, map(list(k::VARCHAR ORDER BY k), list(n ORDER BY k)) AS by_sample, list(n ORDER BY k::VARCHAR) AS by_sample_list FROM results GROUP BY ALL""")
+@query(f"""WITH {RESULTS} SELECT task_id, sample_id, map(list(k::VARCHAR ORDER BY k::VARCHAR), list(n ORDER BY k::VARCHAR)) AS by_sample, list(n ORDER BY k::VARCHAR) AS by_sample_list FROM results GROUP BY ALL""")
 def detail_maps(spark, sf_dir):
     rows = results(spark, sf_dir).select("task_id", "sample_id", F.col("k").cast("string").alias("k"), "n")
     return rollup.details(rows, ["task_id", "sample_id"], "k", "n", "by_sample")
+
+
+FILES = """files AS (SELECT event_id, 'out/' || event_type || '/v' || user_id || CASE event_id % 5 WHEN 4 THEN '' ELSE '_k' || event_id % 5 END || CASE WHEN event_id % 11 = 0 THEN '.json' ELSE '.mp4' END AS path FROM events)"""
+
+
+@query(rf"""WITH {FILES}, n AS (SELECT path, regexp_extract(path, '([^/]+)\.mp4$', 1) AS name FROM files WHERE path LIKE '%.mp4'), p AS (SELECT path, regexp_replace(name, '_k\d+$', '') AS sample_id, try_cast(nullif(regexp_extract(name, '_k(\d+)$', 1), '') AS INT) AS k FROM n),
+c AS (SELECT sample_id, 3 AS wanted, k, max(path) AS path FROM p WHERE k < 3 GROUP BY ALL UNION ALL SELECT sample_id, 1, 0, arg_max(path, (k IS NULL, path)) FROM p WHERE coalesce(k, 0) = 0 GROUP BY sample_id) SELECT wanted, sample_id, k, path FROM c""")
+def sample_videos(spark, sf_dir):
+    """Files of one sample and of three, told by their names."""
+    i = F.col("event_id")
+    name = F.concat(F.lit("out/"), "event_type", F.lit("/v"), F.col("user_id").cast("string"), F.when(i % 5 == 4, "").otherwise(F.concat(F.lit("_k"), (i % 5).cast("string"))), F.when(i % 11 == 0, ".json").otherwise(".mp4"))
+    paths = read(spark, sf_dir, "events").select(name.alias("path"))
+    return documents.sample_files(paths, 3).withColumn("wanted", F.lit(3)).unionByName(documents.sample_files(paths, 1).withColumn("wanted", F.lit(1)))
+
+
+@query("""SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || quality ELSE lang END AS lang, row_number() OVER (ORDER BY d.doc_id) - 1 AS place FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def merged_rows(spark, sf_dir):
+    """Rows that were worked on anew go back to their places among all."""
+    d = lineage.numbered(read(spark, sf_dir, "documents", "doc_id", "lang").withColumn("g", F.lit(0)), ["g"], ["doc_id"], "place").select("doc_id", "place", "lang")
+    new = read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang"))
+    return documents.merged_back(d, new, "doc_id", "place")
+
+
+@query(f"""WITH {RESULTS}, r AS (SELECT task_id, sample_id, k, psq AS content, CASE WHEN n % 3 > 0 THEN (n % 2)::DOUBLE END AS correct FROM results)
+SELECT task_id, sample_id, k, round(CASE WHEN correct IS NULL THEN coalesce(content, 0) ELSE 0.5 * (correct + content) END, 6) AS tsf FROM r""")
+def structural_scores(spark, sf_dir):
+    """The structural score of documents of either generation."""
+    correct = F.when(F.col("n") % 3 > 0, (F.col("n") % 2).cast("double"))
+    tsf = F.when(correct.isNull(), metrics.structural_fidelity(F.col("psq"))).otherwise(metrics.structural_fidelity(F.col("psq"), correct))
+    return results(spark, sf_dir).select("task_id", "sample_id", "k", r6(tsf).alias("tsf"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotledger.operators import rollup
-from shotledger.plans.base import RESULTS, query, r6, read, results
+from shotledger.plans.base import RESULTS, query, r6, read, results, scratch
 from shotledger.sources.documents import markdown
+from shotledger.streaming import leaderboard
 
 M = ["psq", "ee_v3", "ses"]
 FOLD = "fold AS (SELECT task_id, sample_id, count(*) AS k_count, " + ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in M) + " FROM results GROUP BY ALL)"
@@ -52,6 +53,20 @@ def task_scores(spark, sf_dir):
     return scored.select("task_id", r6("task_score").alias("task_score"), r6(overall.scalar()).alias("overall"))
 
 
+@query(f"""WITH {RESULTS}, {FOLD}, {MACRO} SELECT 'm' AS baseline, task_id, n_prompts, k_samples, round(psq_mean, 6) AS psq_mean, round(psq_std, 6) AS psq_std, round(ee_v3_mean, 6) AS ee_v3_mean, round(ee_v3_std, 6) AS ee_v3_std FROM macro""")
+def streamed_leaderboard(spark, sf_dir):
+    """Results that arrive in batches: some first with other values, then all, then some of those again, late and as they were."""
+    final = results(spark, sf_dir).select(F.lit("m").alias("baseline"), "task_id", F.col("sample_id").cast("string").alias("sample_id"), "k", "psq", "ee_v3", F.lit(2).cast("long").alias("updated_at"), "n")
+    first = final.filter("n % 3 = 0").withColumns({"psq": F.col("ee_v3") / 2, "ee_v3": F.lit(0.5), "updated_at": F.lit(1).cast("long")})
+    folder, schema = scratch(spark, "stream"), "baseline string, task_id string, sample_id string, k int, psq double, ee_v3 double, updated_at long"
+    late = first.filter("n % 2 = 0").unionByName(final.filter("n % 5 = 0"))
+    for batch in (first, final, late):
+        batch.drop("n").write.mode("append").json(f"{folder}/in")
+        leaderboard.follow(spark, f"{folder}/in", schema, f"{folder}/board", ["psq", "ee_v3"], f"{folder}/checkpoint").awaitTermination()
+    board = leaderboard.current(spark, f"{folder}/board", ["psq", "ee_v3"])
+    return board.select("baseline", "task_id", "n_prompts", "k_samples", *(r6(f"{m}_{x}").alias(f"{m}_{x}") for m in ("psq", "ee_v3") for x in ("mean", "std")))
+
+
 @query(f"""WITH {RESULTS}, {FOLD}, {MACRO} SELECT '| task_id | n_prompts | psq_mean |' || chr(10) || '|---|---|---|' || chr(10) ||
 string_agg('| ' || task_id || ' | ' || n_prompts || ' | ' || coalesce(format('{{:.4f}}', psq_mean), '') || ' |', chr(10) ORDER BY task_id) AS markdown FROM macro""")
 def leaderboard_markdown(spark, sf_dir):

@@ -37,20 +37,20 @@ def propagation_by_vectors(spark, sf_dir):
     return out.select("sample_id", r6("coverage").alias("coverage"), r6("consistency").alias("consistency"), "n_pairs", r6("csep_v2").alias("csep_v2"))
 
 
-SIDES = """src AS (SELECT label AS sample_id, (vec_id // 2) AS shot_id, embedding::DOUBLE[] AS s FROM embeddings WHERE vec_id % 2 = 0),
+SIDES = """src AS (SELECT label * 100 + vec_id // 2 % 23 AS sample_id, (vec_id // 2) AS shot_id, embedding::DOUBLE[] AS s FROM embeddings WHERE vec_id % 2 = 0),
 ed AS (SELECT (vec_id // 2) AS shot_id, embedding::DOUBLE[] AS e, vec_id % 5 > 0 AS m FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 7 > 0)"""
 
 
 def _sides(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     shot = F.floor(F.col("vec_id") / 2).alias("shot_id")
-    src = e.filter("vec_id % 2 = 0").select(F.col("label").alias("sample_id"), shot, doubles(F.col("embedding")).alias("v"))
+    src = e.filter("vec_id % 2 = 0").select((F.col("label") * 100 + F.floor(F.col("vec_id") / 2) % 23).alias("sample_id"), shot, doubles(F.col("embedding")).alias("v"))
     edit = e.filter("vec_id % 2 = 1 AND vec_id % 7 > 0").select(shot, doubles(F.col("embedding")).alias("v"), (F.col("vec_id") % 5 > 0).alias("masked"))
     return src, src.select("sample_id", "shot_id").join(edit, "shot_id")
 
 
 @query(f"""WITH {SIDES}, j AS (SELECT sample_id, e IS NOT NULL AS p, coalesce(m, false) AS m, {CLIP.format(x='list_dot_product(s, e)')} AS sim FROM src LEFT JOIN ed USING (shot_id))
-SELECT sample_id, round(avg(sim) FILTER (p AND m), 6) AS nep, count_if(p AND m) AS n_scored, count_if(NOT (p AND m)) AS n_skipped, count_if(p AND NOT m) AS n_mask_missing FROM j GROUP BY 1""")
+SELECT sample_id, round(avg(sim) FILTER (p AND m), 6) AS nep, count_if(p AND m) AS n_scored, count_if(NOT (p AND m)) AS n_skipped, count_if(p AND NOT m) AS n_mask_missing, CASE WHEN count_if(p AND m) = 0 AND count_if(p AND NOT m) > 0 THEN 'required edit-region masks were missing' END AS nep_reason FROM j GROUP BY 1""")
 def non_edit_preservation(spark, sf_dir):
     out = metrics.preservation(*_sides(spark, sf_dir), K, "shot_id", "v", "masked")
     return out.withColumn("nep", r6("nep"))
@@ -111,12 +111,12 @@ def side_effect_safety(spark, sf_dir):
     return both.select("task_id", "sample_id", r6("off_target").alias("off_target"), r6(metrics.side_effect_safety(F.col("d"), F.col("off_target"))).alias("ses"))
 
 
-@query(f"""WITH f AS (SELECT label AS sample_id, (vec_id // 10) % 5 AS shot, CASE WHEN vec_id % 2 = 0 THEN 'source' ELSE 'edit' END AS side, (vec_id * 7919) % 10007 AS area, embedding::DOUBLE[] AS v FROM embeddings),
-b AS (SELECT sample_id, shot, arg_max(v, area) FILTER (side = 'source') AS va, arg_max(v, area) FILTER (side = 'edit') AS vb FROM f GROUP BY ALL) SELECT sample_id, round(avg(greatest(0, 1 - {COSAB})) FILTER (va IS NOT NULL AND vb IS NOT NULL), 6) AS id_drift FROM b GROUP BY 1""")
+@query(f"""WITH f AS (SELECT label AS sample_id, (vec_id // 10) % 5 AS shot, CASE WHEN vec_id % 2 = 0 THEN 'source' ELSE 'edit' END AS side, (vec_id * 7919) % 17 AS area, vec_id AS face, embedding::DOUBLE[] AS v FROM embeddings),
+b AS (SELECT sample_id, shot, arg_max(v, (area, -face)) FILTER (side = 'source') AS va, arg_max(v, (area, -face)) FILTER (side = 'edit') AS vb FROM f GROUP BY ALL) SELECT sample_id, round(avg(greatest(0, 1 - {COSAB})) FILTER (va IS NOT NULL AND vb IS NOT NULL), 6) AS id_drift FROM b GROUP BY 1""")
 def identity_drift(spark, sf_dir):
     v = F.col("vec_id")
-    f = read(spark, sf_dir, "embeddings").select(F.col("label").alias("sample_id"), (F.floor(v / 10) % 5).alias("shot"), F.when(v % 2 == 0, "source").otherwise("edit").alias("side"), (v * 7919 % 10007).alias("area"), doubles(F.col("embedding")).alias("v"))
-    return metrics.identity_drift(f, K, "shot", "side", "area", "v").withColumn("id_drift", r6("id_drift"))
+    f = read(spark, sf_dir, "embeddings").select(F.col("label").alias("sample_id"), (F.floor(v / 10) % 5).alias("shot"), F.when(v % 2 == 0, "source").otherwise("edit").alias("side"), (v * 7919 % 17).alias("area"), v.alias("face"), doubles(F.col("embedding")).alias("v"))
+    return metrics.identity_drift(f, K, "shot", "side", "area", "v", "face").withColumn("id_drift", r6("id_drift"))
 
 
 @query(f"""WITH {FRAMES}, {MEANS}, {PAIRS}, s AS (SELECT sample_id, avg(list_dot_product(va, vb) / ((sqrt(list_dot_product(va, va)) + 1e-8) * (sqrt(list_dot_product(vb, vb)) + 1e-8))) AS sim FROM pr GROUP BY 1),

@@ -77,7 +77,7 @@ def detector_agreement(spark, sf_dir):
 r AS (SELECT *, sum(CASE WHEN p = 0 OR nw THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY p) AS run FROM m) SELECT user_id, run::BIGINT AS run, min(p) AS run_start, count(*) AS run_len, bool_or(v) AS v FROM r GROUP BY user_id, run""")
 def run_lengths(spark, sf_dir):
     e = read(spark, sf_dir, "events", "user_id", "ts", "event_id", "value").withColumn("v", F.col("value") > 40)
-    return segments.runs(e, ["user_id"], ["ts", "event_id"], "v").select("user_id", "run", F.col("run_start").cast("long").alias("run_start"), "run_len", "v")
+    return segments.runs(e, ["user_id"], ["ts", "event_id"], "v").select("user_id", "run", "run_start", "run_len", "v")
 
 
 @query(f"""WITH {SHOTS}, f AS (SELECT user_id AS video_id, event_id, (event_id * 7919) % 6000 AS frame FROM events)
@@ -127,13 +127,14 @@ def category_hit_rates(spark, sf_dir):
     return quality.by_category(_recorded(spark, sf_dir))
 
 
-@query(f"""WITH {FOUND}, s AS (SELECT round_even(count_if(diff = 0) / count(*), 3) AS h, count_if(abs(diff) = 1) AS o, count_if(abs(diff) > 1) AS m, avg(matches::INT) AS g FROM rec)
+@query(f"""WITH {DETECTED}, {FOUND}, s AS (SELECT count_if(diff = 0) / count(*) AS h, count_if(abs(diff) = 1) AS o, count_if(abs(diff) > 1) AS m FROM rec), g AS (SELECT count_if(len(a) = len(b)) / nullif(count(a), 0) AS g FROM det)
 SELECT unnest(list_filter([CASE WHEN h >= .85 THEN 'ready' END, CASE WHEN h >= .7 AND h < .85 THEN 'review' END, CASE WHEN h < .7 THEN 'retune' END, CASE WHEN o > m THEN 'off by one dominates' END, CASE WHEN g < .7 THEN 'detectors disagree' END],
-lambda x: x IS NOT NULL)) AS recommendation FROM s""")
+lambda x: x IS NOT NULL)) AS recommendation FROM s, g""")
 def detection_advice(spark, sf_dir):
-    rec = _recorded(spark, sf_dir)
-    rate = rec.agg(F.avg(F.col("matches_expected").cast("int")))
-    return quality.recommendations(quality.summary(rec).withColumn("agreement_rate", rate.scalar()))
+    counted = _detected(spark, sf_dir).select(*(F.when(F.col(x).isNotNull(), F.size(x)).alias(x) for x in "ab"))
+    agreement = quality.count_agreement(counted, "a", "b")
+    report = quality.summary(_recorded(spark, sf_dir))
+    return quality.recommendations(report.withColumns({c: agreement.select(c).scalar() for c in agreement.columns}))
 
 
 @query("""SELECT s_suppkey AS snapshot, e AS error FROM (SELECT s_suppkey, unnest(list_filter([CASE WHEN s_suppkey % 7 = 0 THEN 'missing snapshot_id' END, CASE WHEN s_nationkey % 5 = 0 THEN 'no models' END,

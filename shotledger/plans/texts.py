@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from shotledger.functions import scalars
 from shotledger.operators import align, judge, lineage, promptgen, scoring
-from shotledger.plans.base import query, r6, read
+from shotledger.plans.base import query, r6, read, scratch
 
 REPLIES = """replies AS (SELECT event_id, user_id, event_type, CASE event_id % 8 WHEN 0 THEN 'Score: ' || (value::INT % 7) || '/5' WHEN 1 THEN (value::INT % 10) || '.5 because' WHEN 2 THEN '10' WHEN 3 THEN ''
   WHEN 4 THEN 'Yes, it is' WHEN 5 THEN ' No' WHEN 6 THEN '是的 4' ELSE ['I say yes, no doubt', 'no, not a yes', 'I know: yes', '是 yes', '不, yes', 'so yes'][event_id // 8 % 6 + 1] END AS reply FROM events)"""
@@ -34,6 +36,26 @@ def yes_no_votes(spark, sf_dir):
     return _replies(spark, sf_dir).select("event_id", scalars.says_yes(F.col("reply")).alias("yes"))
 
 
+@query("""SELECT p_partkey, round(('0x' || md5(p_name || '|' || p_brand)[1:8])::BIGINT / 4294967295.0::DOUBLE, 6) AS score FROM part""")
+def batch_scores(spark, sf_dir):
+    """A scorer that sees batches of rows, in place of a model: it takes what it is given and adds a score."""
+
+    def scorer(batches):
+        for pdf in batches:
+            texts = pdf["p_name"] + "|" + pdf["p_brand"]
+            yield pdf[["p_partkey"]].assign(score=[round(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) / 4294967295, 6) for t in texts])
+
+    return scoring.score(read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand"), scorer, "p_partkey long, score double")
+
+
+@query("""SELECT p_partkey, round(('0x' || md5(p_name || '|' || p_brand)[1:8])::BIGINT / 4294967295.0::DOUBLE, 6) AS score FROM part""")
+def stored_scores(spark, sf_dir):
+    """Scores in a store that outlives a run: the second run scores only what the first has not."""
+    p, store = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand"), scratch(spark, "scores")
+    scoring.score_new(p.filter("p_partkey % 3 > 0"), ["p_name", "p_brand"], "hash", store, "first", digits=1)
+    return scoring.score_new(p, ["p_name", "p_brand"], "hash", store, "second", digits=1).select("p_partkey", r6("score").alias("score"))
+
+
 @query(r"""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'b.' WHEN 1 THEN ' A' WHEN 2 THEN 'D' ELSE '' END AS w, doc_id % 10 AS s FROM documents)
 SELECT doc_id, CASE WHEN upper(trim(w))[1:1] IN ('A', 'B', 'C') THEN upper(trim(w))[1:1] END AS winner, s::DOUBLE AS score FROM v""")
 def verdict_json(spark, sf_dir):
@@ -77,12 +99,13 @@ def prompt_texts(spark, sf_dir):
     )
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[\[\]]', '', 'g') AS t FROM conversations)
-SELECT conv_id, turn, ['Shot 1: [wide] ' || trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 'Shot 2: [close up] ' || trim(regexp_replace(t, '\s+', ' ', 'g'), ' ')] AS shots FROM c""")
+@query(r"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[\[\]]', '', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM conversations)
+SELECT conv_id, turn, ['Shot 1: [wide  angle] ' || t, 'Shot 2: [close up] ' || t] AS shots, 'Shot 1: [wide  angle] ' || t || 'Shot 2: [close up] ' || t AS prompt, 2 AS n_shots FROM c""")
 def caption_shots(spark, sf_dir):
     text = F.regexp_replace("text", r"[\[\]]", "")
-    caption = F.concat(F.lit("[wide]  "), text, F.lit("\n [close up] "), text, F.lit(" "))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.shots_of_caption(caption).alias("shots"))
+    caption = F.concat(F.lit("lead [wide  angle]  "), text, F.lit("\n [close up] "), text, F.lit(" "))
+    c = read(spark, sf_dir, "conversations").withColumn("caption", caption)
+    return c.select("conv_id", "turn", scalars.shots_of_caption(F.col("caption")).alias("shots"), scalars.multishot_prompt(F.col("caption")).alias("p")).select("conv_id", "turn", "shots", "p.*")
 
 
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS message FROM conversations GROUP BY conv_id""")
@@ -122,7 +145,14 @@ def judge_mean_scores(spark, sf_dir):
     return out.withColumns({c: r6(c) for c in ("mean_v0", "mean_v1")})
 
 
-BANK = """bank AS (SELECT DISTINCT p_type AS v FROM part), c AS (SELECT n_nationkey AS k, v, row_number() OVER (PARTITION BY n_nationkey ORDER BY md5('s|' || n_nationkey || '|' || v), v) AS rank FROM nation, bank)"""
+BANK = """bank AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM (SELECT DISTINCT p_type AS v FROM part)), size AS (SELECT count(*) AS n, greatest(2, length(bin(count(*) - 1))) AS bits FROM bank),
+walk(k, rank, x, steps) AS (SELECT n_nationkey, rank, rank - 1, 0 FROM nation, (VALUES (1), (2)) r(rank) UNION ALL
+  SELECT k, rank, (b3 << low) + xor(a3, ('0x' || md5('s|' || k || '|3|' || b3)[1:8])::BIGINT % (1 << low)), steps + 1 FROM (
+  SELECT *, b2 AS a3, xor(a2, ('0x' || md5('s|' || k || '|2|' || b2)[1:8])::BIGINT % (1 << (bits - low))) AS b3 FROM (
+  SELECT *, b1 AS a2, xor(a1, ('0x' || md5('s|' || k || '|1|' || b1)[1:8])::BIGINT % (1 << low)) AS b2 FROM (
+  SELECT *, b0 AS a1, xor(a0, ('0x' || md5('s|' || k || '|0|' || b0)[1:8])::BIGINT % (1 << (bits - low))) AS b1 FROM (
+  SELECT k, rank, steps, bits, bits // 2 AS low, x >> (bits // 2) AS a0, x % (1 << (bits // 2)) AS b0 FROM walk, size WHERE steps = 0 OR x >= n))))),
+c AS (SELECT k, v, rank FROM walk, size, bank WHERE steps > 0 AND x < n AND place = x)"""
 
 
 def _bank(spark, sf_dir):
@@ -130,12 +160,12 @@ def _bank(spark, sf_dir):
     return promptgen.from_bank(items, read(spark, sf_dir, "part", F.col("p_type").alias("v")), "k", "v", 2, "s")
 
 
-@query(f"WITH {BANK} SELECT k, v, rank FROM c WHERE rank <= 2")
+@query(f"WITH RECURSIVE {BANK} SELECT k, v, rank FROM c")
 def bank_samples(spark, sf_dir):
     return _bank(spark, sf_dir)
 
 
-@query(f"WITH {BANK} SELECT k || '_T2_' || lpad((row_number() OVER (ORDER BY k::VARCHAR, rank) - 1)::VARCHAR, 4, '0') AS sample_id, v FROM c WHERE rank <= 2")
+@query(f"WITH RECURSIVE {BANK} SELECT k || '_T2_' || lpad((row_number() OVER (ORDER BY k::VARCHAR, rank) - 1)::VARCHAR, 4, '0') AS sample_id, v FROM c")
 def numbered_prompts(spark, sf_dir):
     rows = _bank(spark, sf_dir).withColumn("video", F.col("k").cast("string")).withColumn("task", F.lit("T2"))
     return promptgen.numbered(rows, "video", "task", ["rank"]).select("sample_id", "v")

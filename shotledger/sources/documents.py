@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotledger.operators.rollup import latest_wins
+from shotledger.sources import commits
 
 METRICS = ("psq", "ee", "ee_v2", "ee_v3", "nep", "csep", "csep_v2", "csep_v3", "ses")
 #: Both generations of the structural track's documents, and the aggregates of prompts with columns that came and went.
@@ -58,16 +58,19 @@ def write_documents(rows: DataFrame, path: str, folder: str, number: str, per_do
     arrays.select(folder, text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(folder).text(path)
 
 
-def append_results(rows: DataFrame, path: str, keys: list[str], schema: str) -> DataFrame:
-    """Appends to a CSV log with headers what it doesn't have yet, by keys, and reads all of it: a run that was broken off goes on where it stopped."""
+def append_results(rows: DataFrame, path: str, keys: list[str], schema: str, tries: int = 100) -> DataFrame:
+    """Appends to a CSV log with headers what it doesn't have yet, by keys, and reads all of it: a run that was broken off goes on where it stopped.
+
+    A batch is seen whole or not at all. Where another run has committed meanwhile, what is missing is found again.
+    """
     spark = rows.sparkSession
-    try:
-        done = spark.read.schema(schema).option("header", True).csv(path)
+    for _ in range(tries):
+        number = len(commits.batches(spark, path))
+        done = commits.read(spark, path, schema, "csv", header=True)
         todo = rows.join(done.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
-    except AnalysisException:  # nothing was written yet
-        todo = rows
-    todo.write.mode("append").option("header", True).csv(path)
-    return read_csv(spark, path, schema)
+        if commits.commit(todo, path, f"{number:012d}", "csv", header=True):
+            return commits.read(spark, path, schema, "csv", header=True)
+    raise RuntimeError(f"other runs were faster {tries} times")
 
 
 def only(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,54 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shotledger.operators.rollup import fold_samples, latest_wins, macro_mean
+from shotledger.sources import commits
 
 KEYS = ["baseline", "task_id", "sample_id", "k"]
-#: Tasks of a batch that are broadcast, at the most.
-MAX_TASKS = 10_000
+TASK = ["baseline", "task_id"]
+#: What is held of a prompt: of each k the version, a digest that decides ties, and the metrics.
+STATE = "ks array<int>, versions array<double>, ties array<long>, rows array<array<double>>"
+#: Boards that are kept, for readers that have begun to read one.
+KEPT = 3
 
 
 def board(results: DataFrame, metrics: list[str], version: str = "updated_at") -> DataFrame:
     """Of each sample the latest result, folded to prompts and then to tasks."""
     latest = latest_of_each(results, version)
-    return macro_mean(fold_samples(latest, ["baseline", "task_id", "sample_id"], metrics), ["baseline", "task_id"], metrics)
+    return macro_mean(fold_samples(latest, ["baseline", "task_id", "sample_id"], metrics), TASK, metrics)
+
+
+def _tie(results: DataFrame) -> Column:
+    return F.xxhash64(*sorted(results.columns))
 
 
 def latest_of_each(results: DataFrame, version: str) -> DataFrame:
-    """Of each sample the row of the last version; of equal versions the one of the last batch, then the one that a digest of its values puts last."""
-    batch = ["_batch"] if "_batch" in results.columns else []
-    tied = results.withColumn("_tie", F.xxhash64(*[c for c in results.columns if c != "_batch"]))
-    return latest_wins(tied, KEYS, [version, *batch, "_tie"]).drop("_tie")
+    """Of each sample the row of the last version; of equal versions the one that a digest of its values puts last."""
+    return latest_wins(results.withColumn("_tie", _tie(results)), KEYS, [version, "_tie"]).drop("_tie")
+
+
+def _number(results: DataFrame, version: str) -> Column:
+    """A version as a number of the same order: exact for whole numbers and microseconds up to 2^53."""
+    kind = results.schema[version].dataType
+    return (F.unix_micros(version) if isinstance(kind, T.TimestampType) else F.col(version)).cast("double")
+
+
+def _fold(rows: list[list[float | None]], metrics: int) -> list[float | None]:
+    """A prompt's mean of each metric over its samples that have it."""
+    have = [[r[i] for r in rows if r[i] is not None] for i in range(metrics)]
+    return [math.fsum(x) / len(x) if x else None for x in have]
+
+
+def deltas(arrived: DataFrame, metrics: list[str], version: str) -> DataFrame:
+    """For each prompt that rows arrive of, what its task's sums change by: the prompt's old mean goes, the new one comes.
 
+    A streaming DataFrame with a state for each prompt, which holds the latest row of each of its samples: what arrives late, or
+    again, changes nothing. The cost follows what arrives.
+    """
+    sums = [f"{x}_{m}" for m in metrics for x in ("n", "sum", "square")]
+    schema = "baseline string, task_id string, prompts long, k_samples long, " + ", ".join(f"{c} double" for c in sums)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (at, tie, list(row)) for k, at, tie, row in zip(*state.get, strict=True)} if state.exists else {}
+        before, old = len(held), _fold([r[2] for r in held.values()], len(metrics))
+        for pdf in parts:
+            for k, at, tie, *row in pdf[["k", "_version", "_tie", *metrics]].itertuples(index=False, name=None):
+                k, new = (None if pd.isna(k) else int(k)), (-math.inf if pd.isna(at) else float(at), int(tie))
+                if k not in held or held[k][:2] < new:
+                    held[k] = (*new, [None if pd.isna(x) else float(x) for x in row])
+        state.update(tuple(list(x) for x in zip(*((k, *v) for k, v in held.items()), strict=True)))
+        now = _fold([r[2] for r in held.values()], len(metrics))
+        if now != old or len(held) != before:
+            change = [f(b) - f(a) for a, b in zip(old, now, strict=True) for f in (lambda x: float(x is not None), lambda x: x or 0.0, lambda x: (x or 0.0) ** 2)]
+            yield pd.DataFrame([[key[0], key[1], int(not before), len(held), *change]], columns=["baseline", "task_id", "prompts", "k_samples", *sums])
+
+    keyed = arrived.select(*KEYS, *(F.col(m).cast("double").alias(m) for m in metrics), _number(arrived, version).alias("_version"), _tie(arrived).alias("_tie"))
+    return keyed.groupBy("baseline", "task_id", "sample_id").applyInPandasWithState(step, schema, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    return sums.groupBy(*TASK).agg(F.max("k_samples").alias("k_samples"), *(F.sum(c).alias(c) for c in sums.columns if c not in (*TASK, "k_samples")))
 
-def follow(spark: SparkSession, source: str, schema: str, state: str, out: str, metrics: list[str], checkpoint: str, version: str = "updated_at") -> StreamingQuery:
-    """Reads what is new in source, merges it into the rows of its tasks in state, and writes those tasks' board anew.
 
-    A mean of means can't be added to, so the tasks that a batch touches are folded again, and only those. state/rows
-    holds one row for each sample, whatever the number of batches; a batch that comes again, or all of them after the
-    stream's checkpoint is lost, changes nothing, since the latest row of a sample wins.
+def follow(spark: SparkSession, source: str, schema: str, out: str, metrics: list[str], checkpoint: str, version: str = "updated_at", files_per_batch: int | None = None) -> StreamingQuery:
+    """Reads what is new in source and commits a board of sums, a row for each task, after every batch; current() reads the last.
+
+    A batch is added to the board before it, so that one that comes again is done already. A stream that has lost its
+    checkpoint begins anew, with the first batch and an empty board.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("_batch", F.lit(number).cast("long")).persist()
-        touched = new.select("baseline", "task_id").distinct()
-        small = touched.limit(MAX_TASKS + 1).count() <= MAX_TASKS
-        try:
-            held = spark.read.schema(new.schema).parquet(f"{state}/rows")
-            both = held.join(F.broadcast(touched) if small else touched, ["baseline", "task_id"], "left_semi").unionByName(new)
-        except AnalysisException:  # the first batch finds no state
-            both = new
-        # What is read can't be overwritten, so the merged rows are written beside it first.
-        latest_of_each(both, version).write.mode("overwrite").partitionBy("baseline", "task_id").parquet(f"{state}/next")
-        merged = spark.read.schema(new.schema).parquet(f"{state}/next")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("baseline", "task_id").parquet(f"{state}/rows")
-        board(merged, metrics, version).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("baseline", "task_id").parquet(out)
-        new.unpersist()
-
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if number == 0:
+            commits.delete(spark, out)
+        known = commits.batches(spark, out)
+        earlier = [folder for name, folder in known.items() if name < f"{number:012d}"]
+        sums = batch.unionByName(spark.read.schema(batch.schema).parquet(earlier[-1])) if earlier else batch
+        if not commits.commit(_added(sums).coalesce(1), out, f"{number:012d}"):
+            batch.write.format("noop").mode("overwrite").save()  # the state must see all of a batch, even if its board is there
+        for name, folder in list(known.items())[:-KEPT]:
+            commits.delete(spark, f"{out}/commits/{name}")
+            commits.delete(spark, folder)
+
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
+    return deltas(stream, metrics, version).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str, metrics: list[str]) -> DataFrame:
+    """The last board, as board() would give it of all rows that have arrived."""
+    sums = spark.read.parquet(list(commits.batches(spark, out).values())[-1])
+    made = []
+    for m in metrics:
+        n, total, square = (F.col(f"{x}_{m}") for x in ("n", "sum", "square"))
+        made.append(F.when(n > 0, total / n).alias(f"{m}_mean"))
+        made.append(F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), square - total * total / n) / (n - 1))).alias(f"{m}_std"))
+    return sums.select(*TASK, F.col("prompts").alias("n_prompts"), "k_samples", *made)

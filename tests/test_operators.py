@@ -1,12 +1,16 @@
+import itertools
 import json
 import math
+import random
+import statistics
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotledger.functions import prompts, scalars
-from shotledger.operators import identity, lineage, masks, scoring, segments
-from shotledger.sources import documents
+from shotledger.functions import prompts, scalars, vectors
+from shotledger.operators import align, identity, lineage, masks, promptgen, quality, scoring, segments
+from shotledger.sources import commits, documents
 from shotledger.streaming import leaderboard
 
 
@@ -14,9 +18,115 @@ def value(spark, column):
     return spark.range(1).select(column.alias("x")).collect()[0]["x"]
 
 
-@pytest.mark.parametrize(("cuts", "kept"), [([3, 5, 7, 8, 20, 22], [3, 7, 20]), ([], []), ([0], [0])])
-def test_cuts_are_kept_by_their_distance_to_the_last_kept(spark, cuts, kept):
-    assert value(spark, segments.kept_cuts(F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>"))) == kept
+def plain_cuts(cuts, gap):
+    kept = []
+    for c in sorted(set(cuts)):
+        if not kept or c - kept[-1] > gap:
+            kept.append(c)
+    return kept
+
+
+def test_cuts_are_kept_by_their_distance_to_the_last_kept(spark):
+    rng = random.Random(0)
+    videos = {"a": [3, 5, 7, 8, 20, 22], "b": [0], None: [4, 1], "c": [rng.randrange(4000) for _ in range(900)], "d": list(range(200)), "e": [None, 7, 7]}
+    rows = spark.createDataFrame([(v, c) for v, cuts in videos.items() for c in cuts], "v string, f int")
+    got = {}
+    for r in segments.merged_cuts(rows.filter("v IS NOT NULL"), "v", "f").collect():
+        got.setdefault(r["v"], []).append(r["cut"])
+    assert {v: sorted(x) for v, x in got.items()} == {v: plain_cuts([c for c in cuts if c is not None], 3) for v, cuts in videos.items() if v}
+    assert segments.merged_cuts(rows.filter("f < 0"), "v", "f").count() == 0
+    with pytest.raises(RuntimeError):
+        segments.merged_cuts(rows, "v", "f", gap=0, rounds=2)
+
+
+def windowed(rows, line, value):
+    """What window functions give: (sum, max, last, known) before each row."""
+    before = line.rowsBetween(W.unboundedPreceding, -1)
+    return rows.select("i", F.coalesce(F.sum(value).over(before), F.lit(0)).alias("s"), F.max(value).over(before).alias("m"), F.lag(value).over(line).alias("l"), F.last(value, ignorenulls=True).over(before).alias("k"))
+
+
+def test_scans_of_one_large_group_equal_windows_and_are_many_tasks(spark, apart):
+    rng = random.Random(3)
+    data = [("hot" if i % 3 == 0 else None if i % 31 == 0 else f"g{i % 50}", i * 7919 % 3000, i, rng.choice([None, *range(-5, 40)])) for i in range(3000)]
+    rows = spark.createDataFrame(data, "g string, o int, i int, v int")
+    ranged = lineage.dealt(rows, ["g"], ["o"])
+    assert ranged.filter("g = 'hot'").select("_range").distinct().count() > 1 and all(r[0] < 1500 for r in ranged.groupBy("_range").count().select("count").collect())
+    v = F.col("v")
+    got = lineage.before(ranged, ["g"], ["o"], s=("sum", v), m=("max", v), l=("last", v), k=("known", v)).select("i", "s", "m", "l", "k")
+    assert sorted(got.collect()) == sorted(windowed(rows, W.partitionBy("g").orderBy("o"), "v").collect())
+    assert lineage.before(lineage.dealt(rows.filter("i < 0"), ["g"], ["o"]), ["g"], ["o"], s=("sum", v)).count() == 0
+
+
+def test_runs_of_a_large_group(spark, apart):
+    rng = random.Random(4)
+    flags = [rng.choice([True, True, None, False]) for _ in range(2000)]
+    rows = spark.createDataFrame([("hot", i, f) for i, f in enumerate(flags)] + [("x", 0, True)], "g string, o int, f boolean")
+    want, at = [], 0
+    for f, part in itertools.groupby(flags):
+        n = len(list(part))
+        want.append((at, n, f))
+        at += n
+    got = segments.runs(rows, ["g"], ["o"], "f").filter("g = 'hot'").orderBy("run").collect()
+    assert [(r["run_start"], r["run_len"], r["f"]) for r in got] == want and [r["run"] for r in got] == list(range(1, len(want) + 1))
+
+
+@pytest.mark.parametrize(("start", "end"), [(0, 0), (5, 5), (0, 1023), (3, 1_000_000), (-9, 12), (7, 6), (2**40, 2**40 + 12345), (1, 2**41)])
+def test_dyadic_cells_make_up_an_interval(spark, start, end):
+    got = sorted((c["cell"] << c["level"], (c["cell"] + 1 << c["level"]) - 1) for c in value(spark, segments.cells(F.lit(start).cast("long"), F.lit(end).cast("long"))))
+    assert len(got) <= 2 * max(1, (end - start + 2).bit_length())
+    assert (got[0][0], got[-1][1]) == (start, end) if end >= start else got == []
+    assert all(a[1] + 1 == b[0] for a, b in itertools.pairwise(got))
+
+
+def test_frames_meet_overlapping_and_long_shots(spark):
+    rng = random.Random(5)
+    shots = [(rng.choice("ab"), s, s + rng.choice([0, 3, 50, 100_000, -1])) for s in (rng.randrange(-100, 5000) for _ in range(80))]
+    frames = [(rng.choice("abc"), rng.randrange(-200, 6000)) for _ in range(200)]
+    df = segments.frames_in_shots(spark.createDataFrame(frames, "v string, f int"), spark.createDataFrame(shots, "v string, frame_start long, frame_end long"), "v", "f")
+    assert sorted((r["v"], r["f"], r["frame_start"], r["frame_end"]) for r in df.collect()) == sorted((v, f, s, e) for v, f in frames for w, s, e in shots if v == w and s <= f <= e)
+    assert "BroadcastNestedLoop" not in df._jdf.queryExecution().toString()
+
+
+def test_keywords_meet_objects_by_their_beginnings(spark):
+    words = [("paint", ["Red", "a", ""]), ("none", ["zzzz", "rednes"]), ("long", ["chair leg", "redness", "ir l"]), ("null", [None, "ä"])]
+    items = [(1, ["Dark redness", "x"]), (2, ["", "chair legs"]), (3, ["ÄÖ", None]), (4, [])]
+    rules = spark.createDataFrame(words, "op string, kws array<string>")
+    df = align.first_keyword_hit(rules, spark.createDataFrame(items, "k int, objects array<string>"), "op", "kws", "k", "objects")
+    want = {(k, op): hit for k, objects in items for op, kws in words for hit in [next((o for w in kws if w is not None for o in objects if o is not None and w.lower() in o.lower()), None)] if hit is not None}
+    assert {(r["k"], r["op"]): r["object"] for r in df.collect()} == want
+    many = spark.range(100_000).select(F.lit("op").alias("op"), F.array(F.concat(F.lit("word"), F.col("id").cast("string"))).alias("kws"))
+    plan = align.first_keyword_hit(many, spark.createDataFrame(items, "k int, objects array<string>"), "op", "kws", "k", "objects")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 100, 1000])
+def test_a_keyed_permutation_names_every_place_once(spark, n):
+    for key in ("a", "b"):
+        got = [r[0] for r in spark.range(n).select(promptgen.permuted(F.col("id"), n, "s", F.lit(key))).collect()]
+        assert sorted(got) == list(range(n))
+
+
+def test_a_long_bank_is_sampled_without_a_cross_join(spark):
+    bank = spark.range(30_000).select(F.concat(F.lit("v"), "id").alias("v"))
+    items = spark.range(200).select(F.col("id").alias("k"))
+    df = promptgen.from_bank(items, bank, "k", "v", 3, "s")
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    rows = df.collect()
+    assert len(rows) == 600 and len({(r["k"], r["v"]) for r in rows}) == 600 and {r["rank"] for r in rows} == {1, 2, 3} and len({r["v"] for r in rows}) > 500
+    assert promptgen.from_bank(items, bank.filter("v = 'v1'"), "k", "v", 3, "s").count() == 200 and promptgen.from_bank(items, bank.limit(0), "k", "v", 3, "s").count() == 0
+
+
+def test_vector_means_and_spreads_by_partial_sums(spark):
+    rng = random.Random(6)
+    rows = [("hot" if i % 2 else f"g{i % 7}", [rng.random() for _ in range(5)] if i % 11 else None) for i in range(400)] + [("one", [1.0, 2.0, 3.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    means = {r["g"]: r["vector"] for r in vectors.mean_vectors(df, ["g"], "v").collect()}
+    spreads = {r["g"]: (r["spread"], r["n"]) for r in vectors.spread(df, ["g"], "v").collect()}
+    for g in {r[0] for r in rows}:
+        own = [v for h, v in rows if h == g and v]
+        assert means[g] == pytest.approx([statistics.fmean(x) for x in zip(*own, strict=True)], abs=1e-12)
+        assert spreads[g] == (pytest.approx(statistics.fmean(statistics.pstdev(x) for x in zip(*own, strict=True)), abs=1e-9), len(own))
 
 
 def test_a_cut_at_the_first_frame_leaves_an_empty_segment(spark):
@@ -26,6 +136,14 @@ def test_a_cut_at_the_first_frame_leaves_an_empty_segment(spark):
     assert got == [("a", 0, -1), ("a", 0, 9), ("a", 10, 19), ("b", 0, 4)]
 
 
+@pytest.fixture
+def apart(spark):
+    """Small ranges stay tasks of their own, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize(("reply", "expected"), [("4", 0.8), ("Score: 3/5", 0.6), ("4.55", 0.8), ("10", None), ("-3", 0.6), ("7", 1.0), ("", None), (None, None)])
 def test_ratings(spark, reply, expected):
     assert value(spark, scalars.rating(F.lit(reply).cast("string"))) == (None if expected is None else pytest.approx(expected))
@@ -100,19 +218,80 @@ def test_each_input_is_scored_once(spark):
     assert sorted((r["x"], r["score"]) for r in out.collect()) == [(1, 2.0), (2, 4.0)] and calls.value == 2
 
 
-def test_the_leaderboard_follows_and_repeats_safely(spark, tmp_path):
-    schema = "baseline string, task_id string, sample_id string, k int, psq double, updated_at long"
-    paths = {n: str(tmp_path / n) for n in ("in", "state", "out", "check")}
-    (tmp_path / "in").mkdir()
+ARRIVING = "baseline string, task_id string, sample_id string, k int, psq double, updated_at long"
+
+
+def arrive(spark, folder, name, rows):
+    (folder / "in").mkdir(exist_ok=True)
+    (folder / "in" / name).write_text("\n".join(json.dumps(dict(zip(("baseline", "task_id", "sample_id", "k", "psq", "updated_at"), r, strict=True))) for r in rows))
+
+
+def followed(spark, folder, check="check", **options):
+    paths = {n: str(folder / n) for n in ("in", "out", check)}
+    leaderboard.follow(spark, paths["in"], ARRIVING, paths["out"], ["psq"], paths[check], **options).awaitTermination()
+    return {(r["baseline"], r["task_id"]): tuple(None if x is None else round(x, 9) for x in r[2:]) for r in leaderboard.current(spark, paths["out"], ["psq"]).collect()}
+
+
+def test_the_leaderboard_follows_what_arrives_late_again_and_tied(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [("m", rng.choice(["T1", "T2", None]), rng.choice("abc"), rng.choice([0, 1, None]), rng.choice([None, round(rng.random(), 3)]), rng.choice([1, 2, 2, 3, None])) for _ in range(120)]
+    for i in range(6):
+        arrive(spark, tmp_path, f"{i}.json", rows[i * 20 : i * 20 + 20] + rows[:5])
+        got = followed(spark, tmp_path)
+        seen = spark.createDataFrame(rows[: i * 20 + 20], ARRIVING)
+        want = leaderboard.board(seen, ["psq"]).collect()
+        assert got == {(r["baseline"], r["task_id"]): tuple(None if x is None else round(x, 9) for x in r[2:]) for r in want}
+    # The same files in batches of one, by a stream that has lost its checkpoint.
+    assert followed(spark, tmp_path, "other", files_per_batch=1) == got
+    assert len(commits.batches(spark, str(tmp_path / "out"))) <= leaderboard.KEPT + 1
+
+
+def test_a_batch_that_comes_again_is_not_added_again(spark, tmp_path):
+    arrive(spark, tmp_path, "1.json", [("m", "T1", "a", 0, 0.2, 1), ("m", "T1", "a", 1, 0.4, 1), ("m", "T2", "b", 0, 1.0, 1)])
+    assert followed(spark, tmp_path) == {("m", "T1"): (1, 2, 0.3, None), ("m", "T2"): (1, 1, 1.0, None)}
+    arrive(spark, tmp_path, "2.json", [("m", "T1", "a", 1, 0.8, 2), ("m", "T1", "c", 0, 0.1, 2)])
+    want = {("m", "T1"): (2, 2, 0.3, round(0.08**0.5, 9)), ("m", "T2"): (1, 1, 1.0, None)}
+    assert followed(spark, tmp_path) == want
+    (tmp_path / "check" / "commits" / "1").unlink()  # as if the run had been lost after the board was committed
+    for crc in (tmp_path / "check" / "commits").glob(".1.crc"):
+        crc.unlink()
+    assert followed(spark, tmp_path) == want
+
+
+def test_batches_are_seen_whole_or_not_at_all(spark, tmp_path):
+    root, rows = str(tmp_path / "log"), spark.range(5)
+    assert commits.read(spark, root, "id long").count() == 0
+    assert commits.commit(rows, root, "a") and not commits.commit(rows, root, "a")
+    assert commits.read(spark, root, "id long").count() == 5
+    broken = rows.select(F.when(F.col("id") < 4, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        commits.commit(broken, root, "b")
+    assert list(commits.batches(spark, root)) == ["a"] and commits.read(spark, root, "id long").count() == 5
+    assert commits.commit(rows, root, "b") and commits.read(spark, root, "id long").count() == 10
+    commits.batches, known = lambda *_: {}, commits.batches  # as another run that began before "b" was there sees it
+    try:
+        assert not commits.commit(rows, root, "b")
+    finally:
+        commits.batches = known
+    assert commits.read(spark, root, "id long").count() == 10 and len(list((tmp_path / "log" / "data").iterdir())) == 3  # one of them staged by the lost run
+
+
+def test_a_second_run_scores_only_what_is_new(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
 
-    def arrive(name, rows):
-        (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("baseline", "task_id", "sample_id", "k", "psq", "updated_at"), r, strict=True))) for r in rows))
-        leaderboard.follow(spark, paths["in"], schema, paths["state"], paths["out"], ["psq"], paths["check"]).awaitTermination()
-        return {(r["baseline"], r["task_id"]): (r["n_prompts"], r["psq_mean"]) for r in spark.read.parquet(paths["out"]).collect()}
+    @F.udf("double")
+    def counted(a, b):
+        calls.add(1)
+        return float(len(a or "") + 10 * len(b or ""))
 
-    assert arrive("1.json", [("m", "T1", "a", 0, 0.2, 1), ("m", "T1", "a", 1, 0.4, 1), ("m", "T2", "b", 0, 1.0, 1)]) == {("m", "T1"): (1, pytest.approx(0.3)), ("m", "T2"): (1, 1.0)}
-    got = arrive("2.json", [("m", "T1", "a", 1, 0.8, 2), ("m", "T1", "c", 0, 0.1, 2)])
-    assert got == {("m", "T1"): (2, pytest.approx(0.3)), ("m", "T2"): (1, 1.0)}
+    scoring.register("counted", counted)
+    rows = spark.createDataFrame([(i, f"a{i % 9}", None if i % 4 == 0 else "b" * (i % 3)) for i in range(60)], "i int, a string, b string")
+    distinct = lambda df: df.select("a", "b").distinct().count()
+    first = rows.filter("i < 20")
+    for df, run, new in ((first, "1", distinct(first)), (rows, "2", distinct(rows) - distinct(first)), (rows, "2", 0), (rows, "3", 0)):
+        before = calls.value
+        got = scoring.score_new(df, ["a", "b"], "counted", str(tmp_path / "store"), run).collect()
+        assert calls.value - before == new and len(got) == df.count() and all(r["score"] == len(r["a"]) + 10 * len(r["b"] or "") for r in got)
 
 
 def test_clusters_that_do_not_settle_are_an_error(spark):
@@ -189,12 +368,42 @@ def test_partitioned_results_are_pruned_by_task(spark, tmp_path):
     assert sorted(r["v"] for r in got.collect()) == [1, 4, 7] and "PartitionFilters: [isnotnull(task_id" in got._jdf.queryExecution().toString()
 
 
-def test_a_lost_stream_checkpoint_changes_nothing(spark, tmp_path):
-    schema = "baseline string, task_id string, sample_id string, k int, psq double, updated_at long"
-    (tmp_path / "in").mkdir()
-    for name, psq, at in (("1.json", 0.5, 5), ("2.json", 0.25, 4)):
-        (tmp_path / "in" / name).write_text(json.dumps({"baseline": "1", "task_id": "T1", "sample_id": "a", "k": 0, "psq": psq, "updated_at": at}))
-        for check in ("c1", "c2"):  # the second begins anew
-            leaderboard.follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "state"), str(tmp_path / "out"), ["psq"], str(tmp_path / f"{check}-{name}")).awaitTermination()
-            assert [(r["n_prompts"], r["psq_mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 0.5)]
-    assert spark.read.parquet(str(tmp_path / "state" / "rows")).count() == 1
+def test_advice_follows_the_exact_rate_and_the_detectors(spark):
+    def advice(exact, total, agree=9, available=10, one=0, more=0):
+        report = spark.createDataFrame([(exact, total, one, more, agree, available)], "exact long, total long, off_by_one long, off_more long, n_agree long, n_available long")
+        return [r[0] for r in quality.recommendations(report).collect()]
+
+    assert advice(8496, 10_000) == ["review"] and advice(17, 20) == ["ready"] and advice(0, 0, 0, 0) == ["retune"]
+    assert advice(7, 10, 6, 10, one=2, more=1) == ["review", "off by one dominates", "detectors disagree"] and advice(7, 10, 7, 10, one=1, more=1) == ["review"]
+    counts = quality.count_agreement(spark.createDataFrame([(3, 3), (3, 4), (3, None), (None, 3), (None, None)], "a int, b int"), "a", "b").first()
+    assert (counts["n_available"], counts["n_agree"]) == (3, 1)
+
+
+def test_captions_keep_their_tags(spark):
+    got = value(spark, scalars.multishot_prompt(F.lit("x [wide  shot\n] a\u3000 b\n[close] \n [] c [open")))
+    assert (got["prompt"], got["n_shots"]) == ("Shot 1: [wide  shot\n] a bShot 2: [close] Shot 3: [] c ", 3) or (got["prompt"], got["n_shots"]) == ("Shot 1: [wide  shot\n] a bShot 2: [close] Shot 3: [] c", 3)
+
+
+def test_messages_are_json_with_blanks(spark):
+    text = lambda x: F.lit(x).cast("string")
+    extra = {"op": text('a "b"\n'), "anchor": text(None), "new_order": F.array(F.lit(3), F.lit(1)), "transition_style": text("é/ü")}
+    got = value(spark, prompts.payload(text("T4"), text("do"), text(None), extra, F.array(F.lit(1), F.lit(2))))
+    want = {"task_id": "T4", "instruction": "do", "target_phrase": None, "extra": {"op": 'a "b"\n', "transition_style": "é/ü", "new_order": [3, 1]}, "applicable_shots": [1, 2]}
+    assert got == "Rewrite this:\n" + json.dumps(want, ensure_ascii=False)
+
+
+def test_rewritten_prompts_compile_and_leave_other_tasks_alone(spark, capfd):
+    rows = spark.createDataFrame([(i, f"T{i % 9}", "desc", f"do {i}", "a person with red hat") for i in range(40)], "i int, task_id string, description string, instruction string, target_phrase string")
+    out = promptgen.rewritten(rows, ["i"])
+    got = out.collect()
+    assert all((r["instruction"] == r["instruction_v1"]) == (r["task_id"] in ("T0", "T8")) for r in got) and "grows beyond 64 KB" not in "".join(capfd.readouterr())
+    assert [r["instruction"] for r in sorted(got) if r["task_id"] == "T2"][:2] == ["Put red on the person, in every shot.", "The person now wears red, throughout the video."]
+
+
+def test_missing_masks_are_named(spark):
+    from shotledger.operators import metrics
+
+    source = spark.createDataFrame([("a", 1, [1.0]), ("b", 1, [1.0]), ("b", 2, [1.0]), ("c", 1, [1.0])], "s string, shot int, v array<double>")
+    edit = spark.createDataFrame([("a", 1, [1.0], False), ("b", 1, [1.0], True), ("b", 2, [1.0], None)], "s string, shot int, v array<double>, m boolean")
+    got = {r["s"]: (r["nep"], r["nep_reason"]) for r in metrics.preservation(source, edit, ["s"], "shot", "v", "m").collect()}
+    assert got == {"a": (None, metrics.NO_MASKS), "b": (1.0, None), "c": (None, None)}
