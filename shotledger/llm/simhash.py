@@ -27,9 +27,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST_SENT = 200_000
 #: The pipeline's near copies: words in a shingle, least similarity of two sets of shingles, bands and least digests in each.
 COPY_SHINGLE, COPY_LEAST, BANDS, ROWS = 5, 0.8, 20, 4
-#: Rounds in which the nodes of a key are compared with the least of them, and places (of BANDS * ROWS) in which signatures must agree for
-#: texts to be compared: at a similarity of 0.8 fewer agree once in 500,000.
-TURNS, AGREE = 3, 48
+#: Places (of BANDS * ROWS) in which signatures must agree for texts to be compared: at a similarity of 0.8 fewer agree once in 500,000.
+AGREE = 48
+#: Pairs of two groups that a tile gives in the first round, four times as many in each further one, and rounds that no number of pairs needs.
+QUOTA, MOST_ROUNDS = 64, 40
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -203,62 +204,85 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(tidy(verified), both.select("a", "b").schema)
 
 
-def _agreeing(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Of one tile's pair of slices the pairs of nodes (key, same) whose signatures agree in so many places."""
+def _agreeing(pdf: pd.DataFrame, least: int, quota: int) -> pd.DataFrame:
+    """Of one tile's pair of slices the pairs of nodes (key, same) of different labels whose signatures agree in so many places: of each two labels the `quota` that agree most, and whether there are more."""
     sides = [pdf[pdf["side"] == x] for x in (0, 1)]
     left, right = sides[0], sides[1] if len(sides[1]) else sides[0]
     marks = [np.frombuffer(b"".join(x["sig"].tolist()), np.uint16).reshape(len(x), BANDS * ROWS) for x in (left, right)]
-    found = [(np.zeros(0, int), np.zeros(0, int))]
+    names, others = left["label"].to_numpy(np.int64), right["label"].to_numpy(np.int64)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
     for lo in range(0, len(left), 128):
         part = marks[0][lo : lo + 128]
         same = np.zeros((len(part), len(right)), np.uint8)
         for i in range(part.shape[1]):
             same += part[:, i, None] == marks[1][None, :, i]
+        same[names[lo : lo + 128, None] == others[None, :]] = 0
         x, y = np.nonzero(same >= least)
         good = lo + x < y if right is left else slice(None)
-        found.append(((lo + x)[good], y[good]))
-    x, y = (np.concatenate(f) for f in zip(*found, strict=True))
+        found.append(((lo + x)[good], y[good], same[x, y][good]))
+    x, y, agree = (np.concatenate(f) for f in zip(*found, strict=True))
     object_ = lambda df, c, at: pd.Series(df[c].to_numpy(object)[at], dtype=object)
-    return pd.DataFrame({"xk": object_(left, "key", x), "xs": object_(left, "same", x), "yk": object_(right, "key", y), "ys": object_(right, "same", y)})
+    out = pd.DataFrame({"xk": object_(left, "key", x), "xs": object_(left, "same", x), "yk": object_(right, "key", y), "ys": object_(right, "same", y)})
+    mine, yours = names[x], others[y]
+    order = np.lexsort((np.maximum(out["xs"], out["ys"]).to_numpy(np.int64), np.minimum(out["xs"], out["ys"]).to_numpy(np.int64), -agree))
+    by = pd.DataFrame({"l": np.minimum(mine, yours), "m": np.maximum(mine, yours)}).iloc[order].groupby(["l", "m"])
+    place, size = by.cumcount(), by["l"].transform("size")
+    out["more"] = (size > quota).reindex(out.index)
+    return out[(place < quota).reindex(out.index).to_numpy(bool)]
 
 
-def _candidates(held: DataFrame, signed: DataFrame, tile: int = TILE, agree: int = AGREE) -> DataFrame:
-    """Pairs (a, b) of nodes under one key of many nodes whose signatures agree: a key's nodes in slices that meet in tiles, without their texts."""
+def _candidates(held: DataFrame, signed: DataFrame, tile: int, quota: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels under one key of many nodes whose signatures agree, with more: a key's nodes in slices that meet in tiles, without their texts."""
     slices = F.ceil(F.col("_members") / tile).cast("int")
     own = held.join(signed, "node").withColumn("_slices", slices).withColumn("_slice", F.pmod(F.xxhash64("node"), F.col("_slices").cast("long")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("_slices") - 1), lambda j: F.struct(F.least("_slice", j).alias("i"), F.greatest("_slice", j).alias("j"), (F.col("_slice") > j).cast("int").alias("side")))
-    dealt = own.select("n", "v", F.col("node.key").alias("key"), F.col("node.same").alias("same"), "sig", F.explode(tiles).alias("t")).select("n", "v", "key", "same", "sig", "t.*")
+    dealt = own.select("n", "v", F.col("node.key").alias("key"), F.col("node.same").alias("same"), "sig", "label", F.explode(tiles).alias("t")).select("n", "v", "key", "same", "sig", "label", "t.*")
     kind = dealt.schema["key"].dataType.simpleString()
-    met = dealt.groupBy("n", "v", "i", "j").applyInPandas(lambda pdf: _agreeing(pdf, agree), f"xk {kind}, xs long, yk {kind}, ys long")
+    met = dealt.groupBy("n", "v", "i", "j").applyInPandas(lambda pdf: _agreeing(pdf, AGREE, quota), f"xk {kind}, xs long, yk {kind}, ys long, more boolean")
     x, y = (F.struct(F.col(f"{c}k").alias("key"), F.col(f"{c}s").alias("same")) for c in "xy")
-    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "more")
 
 
-def copy_links(nodes: DataFrame, texts: DataFrame, least: float = COPY_LEAST, few: int = FEW, turns: int = TURNS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between nodes (node, bands, sig) of similar texts, each verified; a is the lesser.
+def _agreed(pairs: DataFrame, signed: DataFrame, least: int = AGREE) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures agree in so many places."""
+    both = pairs.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("_x")), "a").join(signed.select(F.col("node").alias("b"), F.col("sig").alias("_y")), "b")
 
-    Nodes that share a band's key are candidates. In each of `turns` rounds the nodes of a key of more than `few` are
-    compared with its least node, which then leaves the key, and those that are like it are settled and leave all keys:
-    this takes out groups of copies in steps that grow with the nodes. What is left of such a key are mostly nodes that share a passage: their
-    signatures meet in tiles, and pairs whose signatures agree are verified. A key of few is joined with itself. So of
-    the nodes that are not settled no two that share a key are alike.
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), BANDS * ROWS) for c in ("_x", "_y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return both.select("a", "b", "_x", "_y").mapInArrow(good, both.select("a", "b").schema)
+
+
+def copy_links(nodes: DataFrame, texts: DataFrame, least: float = COPY_LEAST, few: int = FEW, tile: int = TILE, quota: int = QUOTA) -> DataFrame:
+    """Verified links (a < b) that join the same nodes (node, bands, sig) as all links do between nodes that share a band's key, whose signatures agree and whose texts' similarity is at least that.
+
+    Each node is first compared with the least of those that begin one of its keys and agree with it: that joins groups of
+    copies, whatever their size, by a text a node. Then nodes meet that no links join yet: those of a key of few by a join,
+    those of a larger one in tiles, where signatures alone decide who is compared. Of two groups that agree in many pairs
+    some are compared at first, and more in further rounds until they are joined or all are compared. So the sizes of keys,
+    tiles and rounds decide in which order pairs are looked at, never which groups come out.
     """
-    held = cut(nodes.select("node", F.posexplode("bands").alias("n", "v")))
-    links = None
-    for turn in range(turns + 1):
-        sizes = held.groupBy("n", "v").agg(F.count("*").alias("_members"), F.min("node").alias("_first")).filter("_members > 1")
-        held = cut(held.select("node", "n", "v").join(sizes, ["n", "v"]))
-        big = held.filter(F.col("_members") > few)
-        if turn == turns or big.isEmpty():
-            break
-        found = cut(_alike(big.filter("node <> _first").select(F.col("_first").alias("a"), F.col("node").alias("b")), texts, least))
-        links = found if links is None else links.union(found)
-        rest = held.filter((F.col("_members") <= few) | (F.col("node") != F.col("_first")))
-        held = cut(rest.select("node", "n", "v").join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
-    small = held.filter(F.col("_members") <= few)
-    pairs = small.select("n", "v", F.col("node").alias("a")).join(small.select("n", "v", F.col("node").alias("b")), ["n", "v"]).filter("a < b").select("a", "b")
-    found = _alike(pairs.union(_candidates(big, nodes.select("node", "sig"), tile)), texts, least)
-    return found if links is None else links.union(found)
+    signed = nodes.select("node", "sig")
+    held = nodes.select("node", F.posexplode("bands").alias("n", "v"))
+    held = cut(held.join(held.groupBy("n", "v").agg(F.count("*").alias("_members"), F.min("node").alias("_first")).filter("_members > 1"), ["n", "v"]))
+    stars = _agreed(held.filter("node <> _first").select(F.col("_first").alias("a"), F.col("node").alias("b")).distinct(), signed)
+    seen = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut(_alike(seen, texts, least))
+    for _ in range(MOST_ROUNDS):
+        joined = components(links).select("node", F.col("root.same").alias("label"))
+        named = cut(held.join(joined, "node", "left").select("node", "n", "v", "_members", F.coalesce("label", "node.same").alias("label")))
+        small = named.filter(F.col("_members") <= few)
+        a, b = (small.select("n", "v", F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
+        pairs = a.join(b, ["n", "v"]).filter("a < b AND _a <> _b").select("a", "b").distinct()
+        tiled = cut(_candidates(named.filter(F.col("_members") > few), signed, tile, quota))
+        new = cut(_agreed(pairs, signed).union(tiled.select("a", "b")).distinct().join(seen, ["a", "b"], "left_anti"))
+        links = links.union(cut(_alike(new, texts, least)))
+        if tiled.filter("more").isEmpty():
+            return links
+        seen, quota = cut(seen.union(new)), 4 * quota
+    raise RuntimeError(f"the copies did not settle in {MOST_ROUNDS} rounds")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = COPY_LEAST) -> DataFrame:
@@ -281,8 +305,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     wanted = _small(cut(met.select(F.col("node.key").alias("_key")).distinct()))
     near = named.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(wanted, F.col("_k") == F.col("_key"), "left_semi").select(F.struct(F.col("_k").alias("key"), _same(F.col("_text")).alias("same")).alias("node"), "_text")
     texts = cut(near.join(_small(cut(met.select("node"))), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")))
-    rooted = components(copy_links(met, texts, least))
-    copies = rooted.filter("node <> root").select("node")
+    copies = components(copy_links(met, texts, least)).filter("node <> root").select("node")
     kept = nodes.join(copies, "node", "left_anti").select(F.col("node.key").alias("_key"), F.col("node.same").alias("_same"))
     # The columns travel as one, whose names meet no others.
     whole = named.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), _same(F.col(text)).alias("_same"))
