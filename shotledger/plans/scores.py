@@ -163,6 +163,19 @@ def identity_clusters(spark, sf_dir):
     return out.withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
+@query("""WITH RECURSIVE t(least) AS (VALUES (0.3), (0.35), (0.45)), lk AS (SELECT a.label, least, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id, t WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= least),
+w(label, least, a, b) AS (SELECT label, least, vec_id, vec_id FROM embeddings, t UNION SELECT w.label, w.least, w.a, k.b FROM w JOIN lk k ON k.label = w.label AND k.least = w.least AND k.a = w.b),
+r AS (SELECT label, least, a, min(b) AS root FROM w GROUP BY ALL) SELECT label, least::DOUBLE AS least, count(DISTINCT root) AS n_clusters FROM r GROUP BY ALL""")
+def identity_cluster_counts(spark, sf_dir):
+    """How many clusters there are at several thresholds, from one spanning forest."""
+    e = read(spark, sf_dir, "embeddings")
+    forest = identity.spanning_forest(e, "label", "vec_id", "embedding", 0.3)
+    levels = F.explode(F.array(*(F.lit(x) for x in (0.3, 0.35, 0.45)))).alias("least")
+    links = forest.select("label", "similarity", levels).filter("similarity >= least").groupBy("label", "least").agg(F.count("*").alias("joined"))
+    sizes = e.groupBy("label").agg(F.count("*").alias("items")).select("label", "items", levels)
+    return sizes.join(links, ["label", "least"], "left").select("label", "least", (F.col("items") - F.coalesce("joined", F.lit(0))).alias("n_clusters"))
+
+
 @query(f"""WITH {FRAMES}, dims AS (SELECT sample_id, vec_id % 7 AS cluster, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM frames), m AS (SELECT sample_id, cluster, d, avg(x) AS x FROM dims GROUP BY ALL), c AS (SELECT sample_id, cluster, list(x ORDER BY d) AS v FROM m GROUP BY ALL),
 f AS (SELECT sample_id, vec_id % 7 AS cluster, list_sort(list(DISTINCT shot_id)) AS appears_in_shots, count(*) AS n_crops, list_sort(list(vec_id))[1:5] AS samples FROM frames GROUP BY ALL)
 SELECT sample_id, cluster, appears_in_shots, n_crops, samples, len(appears_in_shots) >= 2 AS recurring, list_transform(v, lambda x: round(x / (sqrt(list_dot_product(v, v)) + 1e-8), 6)) AS centroid FROM f JOIN c USING (sample_id, cluster)""")

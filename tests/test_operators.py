@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -407,3 +408,59 @@ def test_missing_masks_are_named(spark):
     edit = spark.createDataFrame([("a", 1, [1.0], False), ("b", 1, [1.0], True), ("b", 2, [1.0], None)], "s string, shot int, v array<double>, m boolean")
     got = {r["s"]: (r["nep"], r["nep_reason"]) for r in metrics.preservation(source, edit, ["s"], "shot", "v", "m").collect()}
     assert got == {"a": (None, metrics.NO_MASKS), "b": (1.0, None), "c": (None, None)}
+
+
+def plain_merges(angles, least):
+    """Of cosines of angles, from the largest down, those that join two clusters."""
+    root = list(range(len(angles)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    out = []
+    for c, a, b in sorted((-math.cos(angles[a] - angles[b]), a, b) for a in range(len(angles)) for b in range(a + 1, len(angles))):
+        if -c >= least and find(a) != find(b):
+            root[find(b)] = find(a)
+            out.append(1 + c)
+    return out
+
+
+def test_a_spanning_forest_holds_all_thresholds(spark):
+    rng = random.Random(9)
+    angles = {g: [rng.random() * 6 for _ in range(n)] for g, n in (("a", 40), ("b", 1), ("c", 25))}
+    rows = spark.createDataFrame([(g, i, [math.cos(x), math.sin(x)]) for g, xs in angles.items() for i, x in enumerate(xs)], "g string, i long, v array<double>")
+    for tile, least in ((7, -1.0), (1024, 0.9)):
+        forest = lineage.cut(identity.spanning_forest(rows, "g", "i", "v", least, tile=tile))
+        heights = {}
+        for r in identity.merge_heights(forest, "g").orderBy("step").collect():
+            heights.setdefault(r["g"], []).append(r["distance"])
+        for g, xs in angles.items():
+            assert heights.get(g, []) == pytest.approx(plain_merges(xs, least))
+    clusters = {(r["g"], r["i"]): r["cluster_id"] for r in identity.clusters_at(forest, rows, "g", "i", 0.95).collect()}
+    assert clusters == {(r["g"], r["i"]): r["cluster_id"] for r in identity.single_link(rows, "g", "i", "v", 0.95).collect()}
+
+
+def test_buckets_find_most_links_of_a_large_group(spark):
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((300, 32))
+    # Each second vector lies at an angle to the one before it whose cosine is about 0.9.
+    close = base / np.linalg.norm(base, axis=1, keepdims=True)
+    close = close + 0.484 * (lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))(rng.standard_normal((300, 32)))
+    every = np.concatenate([base, close])
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("hot:x" if i % 300 else "y", i, v.tolist()) for i, v in enumerate(every)], "g string, i long, v array<double>")
+    dots = every @ every.T
+    want = {(a, b) for a in range(600) for b in range(a + 1, 600) if dots[a, b] >= 0.85 and (a % 300 == 0) == (b % 300 == 0)}
+    found = {(r["a"], r["b"]): (r["g"], r["similarity"]) for r in identity.near_links(rows, "g", "i", "v", 0.85).collect()}
+    assert len(want) > 200 and set(found) <= want and len(found) / len(want) >= 0.9
+    assert all(g == ("y" if a % 300 == 0 else "hot:x") and s == pytest.approx(dots[a, b]) for (a, b), (g, s) in found.items())
+    sizes = [r["count"] for r in identity.in_buckets(rows, "g", "i", "v", identity.bands_for(0.85, 0.95, 12), 12, 2).groupBy("bucket").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < 600 * 599 // 4
+
+
+@pytest.mark.parametrize(("least", "recall", "bits"), [(0.85, 0.9, 8), (0.55, 0.95, 12), (1.0, 0.9, 16)])
+def test_bands_reach_their_recall(least, recall, bits):
+    p = (1 - math.acos(least) / math.pi) ** bits
+    assert 1 - (1 - p) ** identity.bands_for(least, recall, bits) >= recall
