@@ -56,6 +56,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def checked(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """ranks, if a fold's numbers can hold them: ids of 16 bits at most, and every byte a token."""
+    if not ranks or max(ranks.values()) > ID or min(ranks.values()) < 0:
+        raise ValueError(f"ids must lie in 0..{ID}")
+    if any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError("each byte must be a token")
+    return ranks
+
+
 def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     """The rank of each two tokens whose bytes together are a token."""
     return {(ranks[t[:i]], ranks[t[i:]]): rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
@@ -86,7 +95,7 @@ def _tables(path: str) -> str:
 
     Each token's row of followers is laid over the free places of one list, the longest rows first.
     """
-    ranks = load_ranks(path)
+    ranks = checked(load_ranks(path))
     pairs = pair_ranks(ranks)
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in pairs.items():
@@ -157,7 +166,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     known_words distinct words both ends start anew. Nothing is shuffled or broadcast but the vocabulary.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    ranks = load_ranks(path)
+    ranks = checked(load_ranks(path))
     kind = docs.schema[key].dataType
     context = docs.sparkSession.sparkContext
     merges = context.broadcast((pair_ranks(ranks), [ranks[bytes([i])] for i in range(256)]))

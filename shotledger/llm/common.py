@@ -18,6 +18,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """task, a function of batches, giving back what it held when it ends: Python workers are kept for the next stages."""
 
@@ -25,11 +34,7 @@ def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
         try:
             yield from task(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

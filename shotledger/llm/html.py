@@ -27,7 +27,6 @@ SIDE_WORDS = frozenset(
     "banner cookie cookies cookiebar consent gdpr notice notices alert popup modal overlay comment comments commentlist reply replies disqus respond discussion share sharing social related recommended recommendations "
     "subscribe subscription newsletter signup login search form pagination pager toolbar skip topbar copyright legal disclaimer".split()
 )
-MAIN_WORDS = frozenset("article post entry story content main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotledger.llm.common import tidy
+from shotledger.llm.common import give_back, tidy
 
 #: N-grams of one to so many code points.
 SPECTRUM = 3
@@ -63,7 +63,8 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     names = sorted(set(languages))
     if not names:
         return None
-    x = _unit(np.stack([presence(t) for t in texts]))
+    x = np.stack([presence(t) for t in texts])
+    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
     place = pd.Series(languages).groupby(languages).cumcount().to_numpy()
     chosen = np.lexsort((languages, place))[:landmarks]
     base = x[chosen]
@@ -93,7 +94,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # About twice as many as needed come here; the number that is wanted of each language is then exact.
     near = usable.withColumn("_mark", mark).filter(F.col("_mark") < F.try_element_at(share, F.col(lang))).distinct()
     rows = near.toPandas().sort_values(["_mark", text], kind="stable").groupby(lang, sort=True).head(each)
-    return fit(rows[text].tolist(), rows[lang].tolist())
+    model = fit(rows[text].tolist(), rows[lang].tolist())
+    del rows
+    give_back()  # the driver lives on
+    return model
 
 
 def predictor(docs: DataFrame, model: Model | None):

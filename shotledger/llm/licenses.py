@@ -81,8 +81,8 @@ def known_table(spark: SparkSession) -> DataFrame:
 
 
 def known_files(spark: SparkSession, path: str) -> DataFrame:
-    """Licence texts in files that are named after them, such as GPL-3.0.txt, as a table for scan()."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    """Licence texts in files that are named after them, such as GPL-3.0.txt or GPL-3.0, as a table for scan()."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.(txt|text|md|html?)$", "")
     return spark.read.text(path, wholetext=True).select(name.alias("license"), F.lit("text").alias("kind"), F.col("value").alias("text"))
 
 

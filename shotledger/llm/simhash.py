@@ -142,7 +142,10 @@ def shingle_set(text: str | None, size: int = COPY_SHINGLE) -> np.ndarray:
 
 def jaccard(a: str | None, b: str | None) -> float:
     """The similarity of two texts' shingle sets; 1 for two without words."""
-    x, y = shingle_set(a), shingle_set(b)
+    return likeness(shingle_set(a), shingle_set(b))
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -197,8 +200,15 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = texts.select(F.col("node").alias("b"), F.col("_text").alias("_y")).join(_small(salted), "b").join(left, ["a", "_salt"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs come sorted by their first text, whose set serves them all.
+        last, held = None, None
         for batch in batches:
-            good = [jaccard(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True)]
+            good = []
+            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
+                text = x.as_py()
+                if held is None or text != last:
+                    last, held = text, shingle_set(text)
+                good.append(likeness(held, shingle_set(y.as_py())) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "_x", "_y").mapInArrow(tidy(verified), both.select("a", "b").schema)

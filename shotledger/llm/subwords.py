@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotledger.llm.common import SPACE, tidy
+from shotledger.llm.common import SPACE, give_back, tidy
 
 #: Buckets of each kind of feature (a power of two), its n-grams' lengths in code points with the word's ends, and length of a vector.
 BITS, GRAMS, SIZE = 15, (2, 3, 4), 16
@@ -148,7 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not len(made):
         return None
     made = made.sort_values(["_mark", "_tie", "_label"], kind="stable").groupby("_label").head(each)
-    return fit([(np.asarray(i, np.int64), np.asarray(s, np.float32), int(y)) for i, s, y in zip(made["ids"], made["shares"], made["_label"], strict=True)])
+    model = fit([(np.asarray(i, np.int64), np.asarray(s, np.float32), int(y)) for i, s, y in zip(made["ids"], made["shares"], made["_label"], strict=True)])
+    del made
+    give_back()  # the driver lives on
+    return model
 
 
 def scorer(docs: DataFrame, model: Model | None):

@@ -5,9 +5,11 @@ import random
 import re
 import time
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pandas as pd
 import pyarrow as pa
 import pytest
 import tiktoken
@@ -420,6 +422,21 @@ def test_whole_texts_of_licences_are_known(spark, tmp_path):
     assert [r["license"] for r in own.collect()] == ["Own-1.0"]
 
 
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts on this machine")
+def test_long_licences_are_known_as_whole_texts(spark, tmp_path):
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0") if (COMMON / n).is_file()]
+    texts = {n: (COMMON / n).read_text() for n in names}
+    for n, t in texts.items():
+        (tmp_path / n).write_text(t)
+    respelt = {n: "(c) 2019 Some One\n\n" + t.upper().replace("LICENSE", "LICENCE").replace(",", " -").replace("\n", " \n\n") + "\nAll Rights Reserved." for n, t in texts.items()}
+    rows = [*((n, t) for n, t in respelt.items()), *((f"less {n}", t[: len(t) // 2]) for n, t in texts.items()), *((f"more {n}", t + "\nAnd one more term.") for n, t in texts.items())]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), licenses.known_files(spark, str(tmp_path))).collect()}
+    assert got == {k: (k if k in names else None) for k, _ in rows} and len(names) >= 4
+
+
 # 6 urls
 
 URLS = [None, "", "no scheme", "http://org", "HTTP://A.ORG/x?y", "http://example.org/es/1", "http://www.EXAMPLE.org/en/12#z", "http://notexample.org/en/1", "http://a.com/de/", "http://a.com/fr/x", "http://com/de/a/b", "http://x.net/fr/", "a://b://c.org/", "http://example.org/en/2", "http://org?/a"]
@@ -472,6 +489,35 @@ def test_tokens_are_the_librarys(spark, docs):
     assert all(",".join(map(str, np.frombuffer(bytes(r["ids"]), "<u4"))) in {w[1] for w in want[r["doc_id"]]} for r in packed)
 
 
+def test_words_beyond_the_fold_and_just_below_are_the_librarys(spark):
+    rng = random.Random(12)
+    n = bpe.MAX_FOLD_BYTES
+    words = ["x" * (n + 1), "é" * (n // 2 + 1), "".join(rng.choice("abcdeénst日") for _ in range(n)), "".join(rng.choice("etaoin") for _ in range(n - 1)), "".join(rng.choice("etaoin") for _ in range(n + 1)), "ab" * n]
+    texts = [f"one {w} two" for w in words] + words
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: ",".join(map(str, own.encode_ordinary(t))) for i, t in enumerate(texts)}
+
+
+def test_classes_of_characters_are_the_librarys_at_every_code_point(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame(pd.DataFrame({"c": every}))
+    byte = {bytes([i]): i for i in range(256)}
+    for java, theirs in ((f"[{bpe.LETTERS}]", r"\p{L}"), (f"[{bpe.NUMBERS}]", r"\p{N}"), (bpe.WHITE, r"\s")):
+        known = tiktoken.Encoding("own", pat_str=theirs, mergeable_ranks=byte, special_tokens={})
+        want = {c for c in every if known.encode_ordinary(c)}
+        assert {r["c"] for r in df.filter(F.col("c").rlike(f"(?s)^{java}\\z")).collect()} == want
+
+
+def test_vocabularies_that_a_fold_cannot_hold_are_refused():
+    byte = {bytes([i]): i for i in range(256)}
+    assert bpe.checked(byte) == byte
+    for wrong in ({}, byte | {b"ab": 1 << 16}, {b"a": 0}):
+        with pytest.raises(ValueError):
+            bpe.checked(wrong)
+
+
 # 8 pages
 
 BODY = "<article><h1>Title &amp; more</h1><p>First  part<br>of it with <a href='x'>a link</a>.<p>Short.</article>"
