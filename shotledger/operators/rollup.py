@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,6 +91,11 @@ def limited(rows: DataFrame, order: list[str], n: int, per: list[str] | None = N
     return first_of_each(rows, per, n, order) if per else rows.orderBy(*order).limit(n)
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, by the names of their columns; a column that a table lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def details(rows: DataFrame, keys: list[str], name: str, value: str, out: str = "details") -> DataFrame:
     """For each key a map from name to value, of rows in which names don't repeat, and the list of its values by name."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(name), F.col(value))))

@@ -53,9 +53,9 @@ def short_references(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", prompts.short_reference(d).alias("reference"), prompts.attribute_target(attribute, new).alias("target"))
 
 
-@query("""SELECT event_type, event_id, greatest(x0, 0) AS x0, least(x1, 640) AS x1, least(y1, 360) AS y1 FROM (SELECT event_type, event_id, (event_id * 31) % 700 - 20 AS x0, (event_id * 31) % 700 - 20 + value::INT % 60 AS x1, (event_id * 17) % 350 AS y0, (event_id * 17) % 350 + 24 AS y1 FROM events)
-WHERE least(x1, 640) - greatest(x0, 0) >= 16 AND least(y1, 360) - greatest(y0, 0) >= 16""")
+@query("""SELECT event_type, event_id, greatest(x0, 0) AS x0, least(x1, 640) AS x1, least(y1, 360) AS y1 FROM (SELECT event_type, event_id, (event_id * 31) % 700 - 20 AS x0, (event_id * 31) % 700 - 20 + value::INT % 60 AS x1, (event_id * 17) % 350 AS y0, (event_id * 17) % 350 + 24 AS y1, event_id % 10 / 10 AS score FROM events)
+WHERE score >= 0.3 AND least(x1, 640) - greatest(x0, 0) >= 16 AND least(y1, 360) - greatest(y0, 0) >= 16""")
 def clipped_faces(spark, sf_dir):
     i = F.col("event_id")
-    e = read(spark, sf_dir, "events").select("event_type", "event_id", (i * 31 % 700 - 20).alias("x0"), (i * 31 % 700 - 20 + F.bround("value").cast("long") % 60).alias("x1"), (i * 17 % 350).alias("y0"), (i * 17 % 350 + 24).alias("y1"))
-    return masks.clipped(e, 640, 360).select("event_type", "event_id", "x0", "x1", "y1")
+    e = read(spark, sf_dir, "events").select("event_type", "event_id", (i * 31 % 700 - 20).alias("x0"), (i * 31 % 700 - 20 + F.bround("value").cast("long") % 60).alias("x1"), (i * 17 % 350).alias("y0"), (i * 17 % 350 + 24).alias("y1"), (i % 10 / 10).alias("score"))
+    return masks.clipped(e, 640, 360, score="score").select("event_type", "event_id", "x0", "x1", "y1")

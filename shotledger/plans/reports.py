@@ -90,6 +90,20 @@ def limited_rows(spark, sf_dir):
     return rollup.limited(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_name", "n_nationkey"], 7)
 
 
+@query("""SELECT task, event_id FROM (SELECT event_type AS task, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 5""")
+def limited_rows_of_each_task(spark, sf_dir):
+    """The last five of each task."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("task"), "event_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("late"))
+    return rollup.limited(e, ["late", "event_id"], 5, ["task"]).select("task", "event_id")
+
+
+@query("""SELECT event_type AS task, user_id AS id, props AS note FROM events UNION ALL SELECT lang, doc_id, NULL FROM documents""")
+def rows_of_all_tasks(spark, sf_dir):
+    """Tables of several tasks as one; what a table lacks is null."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.col("user_id").alias("id"), F.col("props").alias("note"))
+    return rollup.together(e, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("task")))
+
+
 @query("""SELECT event_type AS task, event_id FROM events WHERE event_type IN ('click', 'error')""")
 def task_filter(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("event_type").alias("task"), "event_id").filter(F.col("task").isin("click", "error"))

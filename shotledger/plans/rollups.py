@@ -42,13 +42,17 @@ def operation_breakdown(spark, sf_dir):
     return rollup.with_totals(rows, ["task_id"], "op", [F.count("*").alias("n"), r6(F.avg("psq")).alias("psq")])
 
 
-SCORED = """s AS (SELECT *, CASE WHEN task_id = 'view' THEN ses_mean ELSE list_avg(list_filter([psq_mean, ee_v3_mean], lambda x: x IS NOT NULL)) END AS task_score FROM macro)"""
+FIVE = ["psq", "ee_v3", "csep_v3", "nep", "ses"]
+SCORED = "five AS (SELECT task_id, sample_id, psq, ee_v3, ses, CASE WHEN k % 4 > 0 THEN 0.5 * ee_v3 + 0.25 END AS csep_v3, CASE WHEN task_id <> 'click' THEN 1 - psq END AS nep FROM results), f AS (SELECT task_id, sample_id, " + ", ".join(f"avg({m}) AS {m}" for m in FIVE)
+SCORED += " FROM five GROUP BY ALL), m AS (SELECT task_id, " + ", ".join(f"avg({m}) AS {m}" for m in FIVE) + f" FROM f GROUP BY ALL), s AS (SELECT task_id, CASE WHEN task_id = 'view' THEN ses ELSE list_avg(list_filter([{', '.join(FIVE)}], lambda x: x IS NOT NULL)) END AS task_score FROM m)"
 
 
-@query(f"WITH {RESULTS}, {FOLD}, {MACRO}, {SCORED} SELECT task_id, round(task_score, 6) AS task_score, round(avg(task_score) OVER (), 6) AS overall FROM s")
+@query(f"WITH {RESULTS}, {SCORED} SELECT task_id, round(task_score, 6) AS task_score, round(avg(task_score) OVER (), 6) AS overall FROM s")
 def task_scores(spark, sf_dir):
-    macro = rollup.macro_mean(_fold(spark, sf_dir), ["task_id"], M)
-    scored = rollup.task_score(macro, ["psq_mean", "ee_v3_mean"], "ses_mean", structural_task="view")
+    """The mean of the five headline metrics, of which a task may have none of some, and the mean over tasks."""
+    rows = results(spark, sf_dir).withColumns({"csep_v3": F.when(F.col("k") % 4 > 0, 0.5 * F.col("ee_v3") + 0.25), "nep": F.when(F.col("task_id") != "click", 1 - F.col("psq"))})
+    macro = rollup.macro_mean(rollup.fold_samples(rows, ["task_id", "sample_id"], FIVE), ["task_id"], FIVE)
+    scored = rollup.task_score(macro, [f"{m}_mean" for m in FIVE], "ses_mean", structural_task="view")
     overall = scored.agg(F.avg("task_score"))
     return scored.select("task_id", r6("task_score").alias("task_score"), r6(overall.scalar()).alias("overall"))
 

@@ -94,7 +94,7 @@ def follow(spark: SparkSession, source: str, schema: str, out: str, metrics: lis
         known = commits.batches(spark, out)
         earlier = [folder for name, folder in known.items() if name < f"{number:012d}"]
         sums = batch.unionByName(spark.read.schema(batch.schema).parquet(earlier[-1])) if earlier else batch
-        if not commits.commit(_added(sums).coalesce(1), out, f"{number:012d}"):
+        if not commits.commit(_added(sums), out, f"{number:012d}"):
             batch.write.format("noop").mode("overwrite").save()  # the state must see all of a batch, even if its board is there
         for name, folder in list(known.items())[:-KEPT]:
             commits.delete(spark, f"{out}/commits/{name}")
