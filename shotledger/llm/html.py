@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is no text of the page.
-UNSEEN = frozenset("script style noscript template svg math head title textarea select option button iframe object canvas audio video map datalist".split())
+UNSEEN = frozenset("script style noscript template svg head title textarea select option button iframe canvas audio video map datalist annotation annotation-xml".split())
 #: Elements that stand in a line of text and don't end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mspace mstyle".split())
 #: Elements that are kept on the stack; the rest only end blocks.
 HELD = frozenset("html body nav header footer aside form article main section div ul ol dl menu table figure dialog details fieldset address blockquote".split())
 #: Elements, roles and words of class or id that mark what surrounds an article.
@@ -99,7 +99,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag, closes = m[2].lower(), bool(m[1])
         if tag in UNSEEN and not closes:
-            end() if tag not in ("svg", "math", "button") else None
+            end() if tag not in ("svg", "button", "annotation", "annotation-xml") else None
             if not m[3].endswith("/"):
                 close = None if tag in endless else CLOSES[tag].search(page, at)
                 if close:

@@ -536,8 +536,12 @@ def test_the_article_is_extracted(spark):
     assert all(by[i] == ("", 0) for i in range(len(SIDES) + 1, len(pages)) if pages[i] != "<")
 
 
+#: What the test tables' pages have of both: lists of the test's own.
+IN_LINE, AROUND = {"a", "b", "i", "em", "strong", "span", "code"}, {"nav", "footer", "aside", "form", "script", "style", "head", "button", "noscript"}
+
+
 class Plain(HTMLParser):
-    """An article's text by the standard library's parser: what stands in article or main, but not in an element of the sides."""
+    """An article's text by the standard library's parser: what stands in article or main, but not in an element of the sides or an advert."""
 
     def __init__(self):
         super().__init__()
@@ -546,7 +550,7 @@ class Plain(HTMLParser):
     def bad(self, tag, attrs):
         words = {w.lower() for k, v in attrs if k in ("class", "id") for w in re.findall("[a-z]+|[A-Z][a-z]*", v or "")}
         inside = any(t in ("article", "main") for t, _ in self.open)
-        return tag in ("nav", "footer", "aside", "form", "script", "style", "head", "button", "noscript") or bool(words & html.SIDE_WORDS) or (tag == "header" or "header" in words) and not inside
+        return tag in AROUND or "ad" in words or tag == "header" and not inside
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
@@ -554,13 +558,13 @@ class Plain(HTMLParser):
         self.out += [text] if text else []
 
     def handle_starttag(self, tag, attrs):
-        if tag not in html.INLINE:
+        if tag not in IN_LINE:
             self.flush()
         if tag not in ("br", "img", "meta", "link", "input", "hr", "p", "li", "td", "tr", "th"):
             self.open.append((tag, self.bad(tag, attrs)))
 
     def handle_endtag(self, tag):
-        if tag not in html.INLINE:
+        if tag not in IN_LINE:
             self.flush()
         if tag in [t for t, _ in self.open]:
             while self.open.pop()[0] != tag:
@@ -586,6 +590,13 @@ def test_pages_give_what_a_plain_parser_finds(spark):
     assert got == want
 
 
+def test_formulas_and_objects_of_an_article_stay():
+    rows = np.array(html.LABELLED, float)
+    tree = html.grow(rows[:, :-1], rows[:, -1].astype(int))
+    page = "<nav><a href=/>Home</a></nav><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>x=2</annotation></math> be so.</p><object data=a.pdf><p>The words of it.</p></object></article>"
+    assert html.main_text(page, tree) == "Let x=2 be so.\nThe words of it."
+
+
 def test_neighbours_decide_where_nothing_marks_an_article(spark):
     """Of two pages without an article only the neighbours of one short block differ."""
     long, short, links = "<p>" + "some words of a whole paragraph " * 12 + "</p>", "<p>Four words are here.</p>", "<p>" + "<a href=x>a b</a> " * 2 + "</p>"
