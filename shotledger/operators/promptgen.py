@@ -19,9 +19,10 @@ def mark(seed: str, *keys: Column) -> Column:
 
 
 def sampled(rows: DataFrame, group: list[str], keys: list[str], n: int, seed: str) -> DataFrame:
-    """n rows of each group, chosen by a digest: the same whatever the partitions and the other groups."""
-    order = W.partitionBy(*group).orderBy(mark(seed, *(F.col(k) for k in [*group, *keys])), *keys)
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    """n rows of each group with their rank from 1, chosen by a digest: the same whatever the partitions and the other groups. Parts of a group choose first."""
+    marked = rows.withColumn("_mark", mark(seed, *(F.col(k) for k in [*group, *keys])))
+    order = W.partitionBy(*group).orderBy("_mark", *keys)
+    return lineage.first_of_each(marked, group, n, ["_mark", *keys]).withColumn("rank", F.row_number().over(order)).drop("_mark")
 
 
 def permuted(place: Column, n: int, seed: str, *keys: Column) -> Column:

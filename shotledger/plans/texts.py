@@ -160,6 +160,12 @@ def _bank(spark, sf_dir):
     return promptgen.from_bank(items, read(spark, sf_dir, "part", F.col("p_type").alias("v")), "k", "v", 2, "s")
 
 
+@query("""SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('e|' || event_type || '|' || event_id), event_id) AS rank FROM events QUALIFY rank <= 20""")
+def sampled_events(spark, sf_dir):
+    """Twenty events of each type, whatever the order in which they lie."""
+    return promptgen.sampled(read(spark, sf_dir, "events", "event_type", "event_id"), ["event_type"], ["event_id"], 20, "e")
+
+
 @query(f"WITH RECURSIVE {BANK} SELECT k, v, rank FROM c")
 def bank_samples(spark, sf_dir):
     return _bank(spark, sf_dir)
