@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotledger.llm.common import SPACE, cut, tidy
+from shotledger.llm.common import SPACE, cut, let_go, tidy
 from shotledger.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -279,15 +279,19 @@ def copy_links(nodes: DataFrame, texts: DataFrame, least: float = COPY_LEAST, fe
     held = cut(held.join(held.groupBy("n", "v").agg(F.count("*").alias("_members"), F.min("node").alias("_first")).filter("_members > 1"), ["n", "v"]))
     stars = _agreed(held.filter("node <> _first").select(F.col("_first").alias("a"), F.col("node").alias("b")).distinct(), signed)
     seen = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    let_go(nodes.sparkSession)
     links = cut(_alike(seen, texts, least))
     for _ in range(MOST_ROUNDS):
+        let_go(nodes.sparkSession)
         joined = components(links).select("node", F.col("root.same").alias("label"))
         named = cut(held.join(joined, "node", "left").select("node", "n", "v", "_members", F.coalesce("label", "node.same").alias("label")))
         small = named.filter(F.col("_members") <= few)
         a, b = (small.select("n", "v", F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
         pairs = a.join(b, ["n", "v"]).filter("a < b AND _a <> _b").select("a", "b").distinct()
+        let_go(nodes.sparkSession)
         tiled = cut(_candidates(named.filter(F.col("_members") > few), signed, tile, quota))
         new = cut(_agreed(pairs, signed).union(tiled.select("a", "b")).distinct().join(seen, ["a", "b"], "left_anti"))
+        let_go(nodes.sparkSession)
         links = links.union(cut(_alike(new, texts, least)))
         if tiled.filter("more").isEmpty():
             return links
@@ -315,7 +319,10 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     wanted = _small(cut(met.select(F.col("node.key").alias("_key")).distinct()))
     near = named.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(wanted, F.col("_k") == F.col("_key"), "left_semi").select(F.struct(F.col("_k").alias("key"), _same(F.col("_text")).alias("same")).alias("node"), "_text")
     texts = cut(near.join(_small(cut(met.select("node"))), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")))
-    copies = components(copy_links(met, texts, least)).filter("node <> root").select("node")
+    links = copy_links(met, texts, least)
+    let_go(docs.sparkSession)
+    copies = components(links).filter("node <> root").select("node")
+    let_go(docs.sparkSession)
     kept = nodes.join(copies, "node", "left_anti").select(F.col("node.key").alias("_key"), F.col("node.same").alias("_same"))
     # The columns travel as one, whose names meet no others.
     whole = named.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), _same(F.col(text)).alias("_same"))

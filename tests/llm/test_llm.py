@@ -203,6 +203,16 @@ def test_low_scores_and_unknown_texts_are_rejected(spark, docs):
     assert kept.columns == df.columns
 
 
+def test_equal_scores_take_the_first_name_and_a_score_at_the_limit_stays(spark, docs):
+    model = language.Model(("aa", "bb"), np.ones((1 << language.BITS, 1), np.float32), np.full((1, 2), 0.01, np.float32))
+    got = language.identify(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), model).first()
+    assert got["lang_pred"] == "aa"
+    scores = sorted({r["score"] for r in language.identify(docs, language.train(docs)).collect() if r["lang_pred"] != "und"})
+    limit = scores[len(scores) // 2]
+    kept = {r["doc_id"] for r in language.keep_identified(docs, min_score=limit).collect()}
+    assert kept == {r["doc_id"] for r in language.identify(docs, language.train(docs)).collect() if r["lang_pred"] != "und" and r["score"] >= limit}
+
+
 # 3 suffix arrays
 
 
@@ -321,6 +331,20 @@ def test_near_copies_are_grouped(spark, docs):
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["fingerprint"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == brute_components(rows)
 
 
+def test_very_long_texts_are_read_whole(spark):
+    """Two texts of some 100,000 words that differ in their last words alone."""
+    rng = random.Random(13)
+    base = " ".join(rng.choice(["one", "two", "three", "four", "five", f"w{i}"]) for i in range(100_000))
+    texts = [base, base + " last", base + " " + " ".join(f"z{i}" for i in range(90_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(df).collect()}
+    assert prints == {i: f"{plain_fingerprint(t):016x}" for i, t in enumerate(texts)}
+    assert [r["doc_id"] for r in simhash.representatives(df).orderBy("doc_id").collect()] == [0, 2]
+    counts = {r["doc_id"]: r["n_words"] for r in quality.quality(df).collect()}
+    assert counts == {i: len(t.split()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["digest"] for r in licenses.scan(df, licenses.known_table(spark)).collect()}[1] == hashlib.sha256((base + " last").encode()).hexdigest()
+
+
 def test_keys_of_many_fingerprints_in_tiles(spark):
     rng = random.Random(4)
     prints = sorted({sum(1 << b for b in rng.sample(range(12), rng.randrange(5))) for _ in range(400)} | {1 << 60, 1 << 61 | 1 << 55 | 1 << 50 | 1 << 45})
