@@ -235,8 +235,8 @@ def followed(spark, folder, check="check", **options):
 
 def test_the_leaderboard_follows_what_arrives_late_again_and_tied(spark, tmp_path):
     rng = random.Random(7)
-    rows = [("m", rng.choice(["T1", "T2", None]), rng.choice("abc"), rng.choice([0, 1, None]), rng.choice([None, round(rng.random(), 3)]), rng.choice([1, 2, 2, 3, None])) for _ in range(120)]
-    for i in range(6):
+    rows = [("m", rng.choice(["T1", "T2", None]), rng.choice("abc"), rng.choice([0, 1, None]), rng.choice([None, round(rng.random(), 3)]), rng.choice([1, 2, 2, 3, None])) for _ in range(80)]
+    for i in range(4):
         arrive(spark, tmp_path, f"{i}.json", rows[i * 20 : i * 20 + 20] + rows[:5])
         got = followed(spark, tmp_path)
         seen = spark.createDataFrame(rows[: i * 20 + 20], ARRIVING)
