@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotledger.functions.vectors import doubles, mean_vectors, normalised
+from shotledger.functions.vectors import dot, doubles, mean_vectors, normalised
 from shotledger.operators.lineage import cut, first_of_each, numbered
 
 #: Vectors of a group that are compared with each other as one matrix.
@@ -93,7 +93,7 @@ def bands_for(least: float, recall: float, bits: int) -> int:
 
 
 def in_buckets(rows: DataFrame, group: str, item: str, vector: str, bands: int, bits: int, probes: int = 2, seed: int = 42) -> DataFrame:
-    """bucket, item and vector of each vector's buckets: for each band the sides of `bits` random hyperplanes that it lies on, and the
+    """bucket, group, item and vector of each vector's buckets: for each band the sides of `bits` random hyperplanes that it lies on, and the
     buckets that it would lie in but for one of the `probes` planes that it is nearest to."""
 
     @F.pandas_udf("array<string>")
@@ -110,19 +110,29 @@ def in_buckets(rows: DataFrame, group: str, item: str, vector: str, bands: int,
         return pd.Series(out, dtype=object)
 
     every = rows.select(group, item, doubles(F.col(vector)).alias(vector)).select(group, item, vector, F.explode(keys(F.col(vector))).alias("_key"))
-    return every.select(F.concat("_key", F.lit(":"), F.col(group).cast("string")).alias("bucket"), item, vector)
+    return every.select(F.concat("_key", F.lit(":"), F.col(group).cast("string")).alias("bucket"), group, item, vector)
 
 
-def near_links(rows: DataFrame, group: str, item: str, vector: str, least: float, recall: float = 0.95, bits: int = 12, probes: int = 2, tile: int = TILE) -> DataFrame:
-    """Most of similar_links(), where a group is too large for all of its vectors to meet: those of a bucket meet, in tiles, and only true links leave them.
+def near_links(rows: DataFrame, group: str, item: str, vector: str, least: float, recall: float = 0.95, bits: int = 12, probes: int = 2, few: int = 64, tile: int = TILE) -> DataFrame:
+    """Links (group, a, b, similarity) that join most of what all similar_pairs() join, where a group is too large for all of its vectors to meet: those of a bucket meet.
 
-    A pair at the threshold is found with a chance of `recall` or more, a closer one nearly always. With more bits buckets
-    are smaller and bands more: some log2 of a group's size over a tile's is enough.
+    A pair at the threshold is found with a chance of `recall` or more, a closer one nearly always. The vectors of a bucket of
+    few meet by a join, those of a larger one in tiles that only a forest leaves. With more bits buckets are smaller and bands
+    more: some log2 of a group's size over a tile's is enough.
     """
-    dealt = in_buckets(rows, group, item, vector, bands_for(least, recall, bits), bits, probes)
-    found = similar_links(dealt, "bucket", item, vector, least, tile)
+    dealt = cut(in_buckets(rows, group, item, vector, bands_for(least, recall, bits), bits, probes).distinct())
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
+    held = cut(dealt.join(sizes, "bucket"))
+    small = held.filter(F.col("_n") <= few).select("bucket", group, item)
+    a, b = (small.select("bucket", group, F.col(item).alias(x)) for x in "ab")
+    pairs = a.join(b.drop(group), "bucket").filter("a < b").select(group, "a", "b").distinct()
+    for x in "ab":
+        pairs = pairs.join(rows.select(group, F.col(item).alias(x), F.col(vector).alias(f"_{x}")), [group, x])
+    near = pairs.select(group, "a", "b", dot(F.col("_a"), F.col("_b")).alias("similarity")).filter(F.col("similarity") >= least)
     kind = rows.schema[group].dataType
-    return found.select(F.regexp_extract("bucket", r"(?s)^\d+:\d+:(.*)$", 1).cast(kind).alias(group), "a", "b", "similarity").groupBy(group, "a", "b").agg(F.max("similarity").alias("similarity"))
+    large = similar_links(held.filter(F.col("_n") > few), "bucket", item, vector, least, tile)
+    of = large.select(F.regexp_extract("bucket", r"(?s)^\d+:\d+:(.*)$", 1).cast(kind).alias(group), "a", "b", "similarity")
+    return near.union(of).groupBy(group, "a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def _topmost(parents: DataFrame, keys: list[str], rounds: int) -> DataFrame:
