@@ -23,9 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """A reliable checkpoint of df in the shared folder.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's is the product of its sides': over the rounds of
+    an iteration it becomes a number that fills the driver. So the rows are taken up anew, as a table of unknown size.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()._jdf
+    bare = spark._jsparkSession.internalCreateDataFrame(done.queryExecution().analyzed().rdd(), done.schema(), False)
+    return DataFrame(bare, spark)
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "number") -> DataFrame:
