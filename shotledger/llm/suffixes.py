@@ -415,7 +415,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     """docs, with the texts that remain and their lengths. A character that loses some of its bytes goes; a text may become empty."""
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from tidy(lambda parts: (left(*x) for x in parts))(batches)
+
+    def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_text(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     # The other columns travel as one, whose names meet no others; chars is counted anew.
