@@ -161,7 +161,7 @@ ELSE ['Replace every hard cut with ' || {A.format(x='anchor')} || '.', 'Use ' ||
 CASE task WHEN 'T1' THEN phrase WHEN 'T2' THEN 'a person with ' || old || ' hair' WHEN 'T3' THEN 'a ' || old || ' look' WHEN 'T4' THEN CASE WHEN op = 'remove' THEN 'a scene without the ' || old ELSE new END WHEN 'T5' THEN 'shots reordered to ' || shot || ', 1'
 WHEN 'T6' THEN {SHOT} || ' shot' ELSE {A.format(x='anchor')} || ' transition' END AS target_phrase FROM t""")
 def rewritten_prompts(spark, sf_dir):
-    return promptgen.rewritten(_prompts(spark, sf_dir), ["sample_id"]).select("sample_id", "instruction_v1", "target_phrase_v1", "instruction", "target_phrase")
+    return promptgen.rewritten(_prompts(spark, sf_dir), ["sample_id", "n"]).select("sample_id", "instruction_v1", "target_phrase_v1", "instruction", "target_phrase")
 
 
 @query(f"""WITH {PROMPTS} SELECT sample_id, 'Rewrite this:' || chr(10) || '{{"task_id": "' || task || '", "instruction": "' || instruction || '", "target_phrase": ' || CASE WHEN n % 2 = 0 THEN 'null' ELSE '"' || phrase || '"' END || ', "extra": {{' || array_to_string(list_filter(['"op": "' || op || '"',

@@ -467,3 +467,15 @@ def test_buckets_find_most_links_of_a_large_group(spark):
 def test_bands_reach_their_recall(least, recall, bits):
     p = (1 - math.acos(least) / math.pi) ** bits
     assert 1 - (1 - p) ** identity.bands_for(least, recall, bits) >= recall
+
+
+def test_prompts_whose_numbers_are_cut_short_take_turns_by_their_keys(spark, tmp_path):
+    """Keys of six digits share a sample_id of five; the rows lie in falling order."""
+    from shotledger.plans.reports import rewritten_prompts
+
+    keys = [k for k in range(100_000, 100_700) if k % 7 == 5]
+    rows = [(k, "red ring", "Brand#1", f"TYPE{k}", 3) for k in reversed(keys)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["target_phrase_v1"]: r["instruction"] for r in rewritten_prompts(spark, str(tmp_path)).collect()}
+    openings = ("Re-shoot shot 3", "Shot 3 should", "Re-frame shot 3", "Reshoot shot 3")
+    assert len(got) == 100 and all(got[f"TYPE{k}"].startswith(openings[i % 4]) for i, k in enumerate(keys))
