@@ -479,3 +479,15 @@ def test_prompts_whose_numbers_are_cut_short_take_turns_by_their_keys(spark, tmp
     got = {r["target_phrase_v1"]: r["instruction"] for r in rewritten_prompts(spark, str(tmp_path)).collect()}
     openings = ("Re-shoot shot 3", "Shot 3 should", "Re-frame shot 3", "Reshoot shot 3")
     assert len(got) == 100 and all(got[f"TYPE{k}"].startswith(openings[i % 4]) for i, k in enumerate(keys))
+
+
+def test_faces_of_every_event_are_clipped(spark):
+    from shotledger.plans.edits import clipped_faces
+
+    sizes = {r["k"]: r["count"] for r in clipped_faces(spark, "/root/testdata/sf0.001").groupBy((F.col("event_id") % 10).alias("k")).count().collect()}
+    assert set(sizes) == set(range(10))
+
+
+def test_boxes_under_a_score_go_where_it_is_asked_for(spark):
+    boxes = spark.createDataFrame([(1, -5, 20, 0, 30, 0.3), (2, 0, 20, 0, 30, 0.29), (3, 0, 15, 0, 30, 0.9)], "i int, x0 int, x1 int, y0 int, y1 int, s double")
+    assert [sorted(r["i"] for r in masks.clipped(boxes, 640, 360, score=s).collect()) for s in (None, "s")] == [[1, 2], [1]]
