@@ -17,8 +17,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: equal words, or five-word shingles alike by 0.8. Documents without words are one group; of the
-    repeated rows of a document one stays; rows without a doc_id stay."""
+    """One document of each group that links of SimHash fingerprints join, of three-word shingles and within three bits, as in operator 4. Documents
+    without words have one fingerprint; of the repeated rows of a document one stays; rows without a doc_id stay."""
     return simhash.representatives(docs)
 
 

@@ -27,12 +27,6 @@ def give_back() -> None:
         trim(0)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Shuffle files, broadcast tables and checkpoints that nothing refers to any more go when the driver collects its garbage: between the steps of a long loop it does so here."""
-    give_back()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """task, a function of batches, giving back what it held when it ends: Python workers are kept for the next stages."""
 

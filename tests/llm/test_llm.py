@@ -339,7 +339,7 @@ def test_very_long_texts_are_read_whole(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     prints = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(df).collect()}
     assert prints == {i: f"{plain_fingerprint(t):016x}" for i, t in enumerate(texts)}
-    assert [r["doc_id"] for r in simhash.representatives(df).orderBy("doc_id").collect()] == [0, 2]
+    assert [r["doc_id"] for r in simhash.representatives(df).orderBy("doc_id").collect()] == sorted({least for _, _, least in brute_components(list(enumerate(texts)))})
     counts = {r["doc_id"]: r["n_words"] for r in quality.quality(df).collect()}
     assert counts == {i: len(t.split()) for i, t in enumerate(texts)}
     assert {r["doc_id"]: r["digest"] for r in licenses.scan(df, licenses.known_table(spark)).collect()}[1] == hashlib.sha256((base + " last").encode()).hexdigest()
@@ -370,50 +370,64 @@ def test_one_document_of_a_group_stays(spark):
     assert 0 in ids and 1 not in ids and 2 not in ids and len(ids) == len(set(ids))
 
 
-def test_near_copies_that_are_not_exact_leave_the_pipeline(spark, monkeypatch):
+def apart(t, u):
+    return (plain_fingerprint(t) ^ plain_fingerprint(u)).bit_count()
+
+
+def edited(rng, text, least, most):
+    """The text with some words in other words' place, whose fingerprint is so many bits off."""
+    while True:
+        words = text.split()
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+        if least <= apart(text, " ".join(words)) <= most:
+            return " ".join(words)
+
+
+def test_near_copies_that_are_not_exact_leave_the_pipeline(spark):
+    """The middle one of each three is within three bits, the last just beyond."""
     rng = random.Random(5)
     rows = []
     for i in range(12):
-        words = [f"w{rng.randrange(9999)}" for _ in range(200)]
-        copy = list(words)
-        for at in range(20, 200, 60):
-            copy[at] = "changed"
-        half = words[:100] + [f"w{rng.randrange(9999)}" for _ in range(100)]
-        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(half))]
-    alike = [simhash.jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, 36, 3)]
-    assert min(alike) >= 0.8 and max(alike) < 1 and max(simhash.jaccard(rows[i][1], rows[i + 2][1]) for i in range(0, 36, 3)) < 0.8
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for few, tile, quota in ((32, 512, 64), (1, 512, 64), (1, 1, 1)):
-        monkeypatch.setattr(simhash.copy_links, "__defaults__", (0.8, few, tile, quota))
-        kept = sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, df, SF).collect())
-        assert kept == [i for i in range(36) if i % 3 != 1]
+        text = " ".join(f"w{rng.randrange(9999)}" for _ in range(200))
+        far = edited(rng, text, 4, 6)
+        rows += [(3 * i, text), (3 * i + 1, next(x for x in iter(lambda: edited(rng, text, 1, 3), None) if apart(x, far) > 3)), (3 * i + 2, far)]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
+    assert kept == [i for i in range(36) if i % 3 != 1]
+
+
+def test_the_pipelines_near_copies_are_those_of_operator_4(spark, docs):
+    """Texts of nearly the same shingles whose fingerprints are further apart are no near copies."""
+    rng = random.Random(17)
+    text = " ".join(f"w{rng.randrange(9999)}" for _ in range(300))
+    more = [edited(rng, text, 6, 12), *(edited(rng, text, 1, 3) for _ in range(6))]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([text, *more])], "doc_id long, text string"))
+    least = {r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    kept = [r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, df, SF).collect()]
+    assert sorted(kept) == sorted(least) and {10**6, 10**6 + 1} <= least
 
 
 def chain(seed, b_id):
     """A and C are not near copies, B is one of both, and sixty more of A fill every key that they have."""
     rng = random.Random(seed)
-    a = [f"w{rng.randrange(9999)}" for _ in range(300)]
-    b, c = list(a), list(a)
-    for at in (50, 100, 150, 200, 250):
-        b[at] = c[at] = f"b{at}"
-    for at in (20, 75, 125, 175, 225):
-        c[at] = f"c{at}"
-    rows = [(1, " ".join(a)), (b_id, " ".join(b)), (900, " ".join(c))]
-    for i in range(60):
-        copy = list(a)
-        copy[rng.choice([0, 299])] = f"x{i}"
-        rows.append((100 + i, " ".join(copy)))
+    a = " ".join(f"w{rng.randrange(9999)}" for _ in range(300))
+    b = edited(rng, a, 2, 3)
+    c = next(x for x in iter(lambda: edited(rng, b, 2, 3), None) if apart(a, x) > 3)
+    rows = [(1, a), (b_id, b), (900, c)]
+    while len(rows) < 63:
+        copy = edited(rng, a, 1, 3)
+        if apart(copy, c) > 3:
+            rows.append((100 + len(rows), copy))
     return rows + [(5000 + i, " ".join(f"z{rng.randrange(999)}" for _ in range(40))) for i in range(5)]
 
 
 @pytest.mark.parametrize("b_id", [0, 2, 800])
 def test_groups_do_not_hang_on_sizes_of_keys_or_on_ids(spark, monkeypatch, b_id):
     rows = chain(11, b_id)
-    near = lambda i, j: simhash.jaccard(rows[i][1], rows[j][1])
-    assert near(0, 1) >= 0.8 and near(1, 2) >= 0.8 and near(0, 2) < 0.8
+    assert apart(rows[0][1], rows[1][1]) <= 3 and apart(rows[1][1], rows[2][1]) <= 3 and apart(rows[0][1], rows[2][1]) > 3
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for few, tile, quota in ((1, 16, 1), (32, 512, 64), (1000, 512, 64)):
-        monkeypatch.setattr(simhash.copy_links, "__defaults__", (0.8, few, tile, quota))
+    for few, tile in ((1, 16), (32, 512), (1000, 512)):
+        monkeypatch.setattr(simhash.links, "__defaults__", (simhash.DISTANCE, simhash.BLOCKS, few, tile))
         kept = sorted(r["doc_id"] for r in simhash.representatives(df).collect())
         assert kept == [min(b_id, 1), *range(5000, 5005)]
 
@@ -722,11 +736,8 @@ def test_quality_of_odd_rows(spark):
 
 
 def keep_one(rows):
-    """One row of each group of near copies: components of equal words, or of five-word shingles alike by 0.8."""
-    sets = []
-    for _, t in rows:
-        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
-        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+    """One row of each group of near copies: components of fingerprints within three bits."""
+    prints = [plain_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -736,8 +747,7 @@ def keep_one(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if (both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)) and (sets[i] or not sets[j]):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {find(i) for i in range(len(rows))}, [find(i) for i in range(len(rows))]
