@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,9 @@ from shotledger.sources import commits
 
 KEYS = ["baseline", "task_id", "sample_id", "k"]
 TASK = ["baseline", "task_id"]
-#: What is held of a prompt: of each k the version, a digest that decides ties, and the metrics.
-STATE = "ks array<int>, versions array<double>, ties array<long>, rows array<array<double>>"
+#: Prompts are dealt to so many buckets, each with one state: an Arrow table of the latest row of each sample, its version and a digest that decides ties.
+BUCKETS = 512
+STATE = "rows binary"
 #: Boards that are kept, for readers that have begun to read one.
 KEPT = 3
 
@@ -44,37 +46,61 @@ def _number(results: DataFrame, version: str) -> Column:
     return (F.unix_micros(version) if isinstance(kind, T.TimestampType) else F.col(version)).cast("double")
 
 
-def _fold(rows: list[list[float | None]], metrics: int) -> list[float | None]:
-    """A prompt's mean of each metric over its samples that have it."""
-    have = [[r[i] for r in rows if r[i] is not None] for i in range(metrics)]
-    return [math.fsum(x) / len(x) if x else None for x in have]
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def deltas(arrived: DataFrame, metrics: list[str], version: str) -> DataFrame:
-    """For each prompt that rows arrive of, what its task's sums change by: the prompt's old mean goes, the new one comes.
+def _unpacked(state: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(state).read_all().to_pandas()
 
-    A streaming DataFrame with a state for each prompt, which holds the latest row of each of its samples: what arrives late, or
-    again, changes nothing. The cost follows what arrives.
+
+def _folded(rows: pd.DataFrame, metrics: list[str], name: str) -> pd.DataFrame:
+    """Of each prompt the number of its samples and of each metric the mean of those that have it. Equal rows, in whatever order, have equal means."""
+    prompts = rows.sort_values(["k", *metrics]).groupby(KEYS[:3], dropna=False, sort=False)
+    return prompts[metrics].mean().assign(size=prompts.size()).add_suffix(name)
+
+
+def _changes(held: pd.DataFrame | None, arrived: pd.DataFrame, metrics: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows that a bucket holds after some arrived, and what its prompts change of their tasks' sums. Of equal versions and digests the held row stays."""
+    both = pd.concat([arrived] if held is None else [arrived, held], ignore_index=True)
+    now = both.sort_values(["_version", "_tie"], kind="stable").drop_duplicates(KEYS, keep="last")
+    folded = _folded(now, metrics, "_now")
+    old = _folded(now.iloc[:0] if held is None else held, metrics, "_old").reindex(folded.index)
+    out = pd.DataFrame({"prompts": old["size_old"].isna().astype("int64"), "k_samples": folded["size_now"].astype("int64")})
+    for m in metrics:
+        new, gone = folded[f"{m}_now"].astype(float), old[f"{m}_old"].astype(float)
+        out[f"n_{m}"] = new.notna().astype(float) - gone.notna()
+        out[f"sum_{m}"] = new.fillna(0.0) - gone.fillna(0.0)
+        out[f"square_{m}"] = new.fillna(0.0) ** 2 - gone.fillna(0.0) ** 2
+    tasks = out.groupby(level=TASK, dropna=False, sort=False)
+    change = tasks.sum().assign(k_samples=tasks["k_samples"].max()).reset_index()
+    return now, change.astype({c: object for c in TASK}).where(change.notna(), None) if change[TASK].isna().any(axis=None) else change
+
+
+def deltas(arrived: DataFrame, metrics: list[str], version: str, buckets: int = BUCKETS) -> DataFrame:
+    """For each task that rows arrive of, in parts, what its sums change by: a prompt's old mean goes, the new one comes.
+
+    A streaming DataFrame with a state for each bucket of prompts, which holds the latest row of each of their samples: what
+    arrives late, or again, changes nothing. A batch costs what its buckets hold; a task of Python works on a bucket's rows at once.
     """
     sums = [f"{x}_{m}" for m in metrics for x in ("n", "sum", "square")]
+    columns = ["baseline", "task_id", "prompts", "k_samples", *sums]
     schema = "baseline string, task_id string, prompts long, k_samples long, " + ", ".join(f"{c} double" for c in sums)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {k: (at, tie, list(row)) for k, at, tie, row in zip(*state.get, strict=True)} if state.exists else {}
-        before, old = len(held), _fold([r[2] for r in held.values()], len(metrics))
-        for pdf in parts:
-            for k, at, tie, *row in pdf[["k", "_version", "_tie", *metrics]].itertuples(index=False, name=None):
-                k, new = (None if pd.isna(k) else int(k)), (-math.inf if pd.isna(at) else float(at), int(tie))
-                if k not in held or held[k][:2] < new:
-                    held[k] = (*new, [None if pd.isna(x) else float(x) for x in row])
-        state.update(tuple(list(x) for x in zip(*((k, *v) for k, v in held.items()), strict=True)))
-        now = _fold([r[2] for r in held.values()], len(metrics))
-        if now != old or len(held) != before:
-            change = [f(b) - f(a) for a, b in zip(old, now, strict=True) for f in (lambda x: float(x is not None), lambda x: x or 0.0, lambda x: (x or 0.0) ** 2)]
-            yield pd.DataFrame([[key[0], key[1], int(not before), len(held), *change]], columns=["baseline", "task_id", "prompts", "k_samples", *sums])
-
-    keyed = arrived.select(*KEYS, *(F.col(m).cast("double").alias(m) for m in metrics), _number(arrived, version).alias("_version"), _tie(arrived).alias("_tie"))
-    return keyed.groupBy("baseline", "task_id", "sample_id").applyInPandasWithState(step, schema, STATE, "update", GroupStateTimeout.NoTimeout)
+        came = pd.concat(list(parts), ignore_index=True)[[*KEYS, *metrics, "_version", "_tie"]]
+        # Numbers that are null, or of no rows but nulls, are NaN in both.
+        came = came.astype({"k": float, "_version": float} | {m: float for m in metrics}).fillna({"_version": -np.inf})
+        now, change = _changes(_unpacked(state.get[0]) if state.exists else None, came, metrics)
+        state.update((_packed(now),))
+        yield change[columns]
+
+    keyed = arrived.select(*KEYS[:3], F.col("k").cast("double").alias("k"), *(F.col(m).cast("double").alias(m) for m in metrics), _number(arrived, version).alias("_version"), _tie(arrived).alias("_tie"))
+    return keyed.withColumn("_bucket", F.pmod(F.xxhash64(*KEYS[:3]), F.lit(buckets))).groupBy("_bucket").applyInPandasWithState(step, schema, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def _added(sums: DataFrame) -> DataFrame:

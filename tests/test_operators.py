@@ -491,3 +491,13 @@ def test_faces_of_every_event_are_clipped(spark):
 def test_boxes_under_a_score_go_where_it_is_asked_for(spark):
     boxes = spark.createDataFrame([(1, -5, 20, 0, 30, 0.3), (2, 0, 20, 0, 30, 0.29), (3, 0, 15, 0, 30, 0.9)], "i int, x0 int, x1 int, y0 int, y1 int, s double")
     assert [sorted(r["i"] for r in masks.clipped(boxes, 640, 360, score=s).collect()) for s in (None, "s")] == [[1, 2], [1]]
+
+
+def test_prompts_of_a_bucket_share_one_state(spark, tmp_path):
+    rows = [("m", f"T{i % 3}", f"s{i}", k, float(i % 7 + k), 1) for i in range(600) for k in (0, 1)]
+    arrive(spark, tmp_path, "1.json", rows)
+    query = leaderboard.follow(spark, f"{tmp_path}/in", ARRIVING, f"{tmp_path}/out", ["psq"], f"{tmp_path}/check")
+    query.awaitTermination()
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress))
+    assert 0 < states <= leaderboard.BUCKETS
+    assert {r["task_id"]: r["n_prompts"] for r in leaderboard.current(spark, f"{tmp_path}/out", ["psq"]).collect()} == {f"T{i}": 200 for i in range(3)}
