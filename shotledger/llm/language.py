@@ -63,17 +63,19 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     names = sorted(set(languages))
     if not names:
         return None
-    x = np.stack([presence(t) for t in texts])
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    # Rows of bits; as numbers, four times their size, only BATCH of them at a time: the driver, which fits, has little memory.
+    found = np.empty((len(texts), 1 << BITS), bool)
+    for i, t in enumerate(texts):
+        found[i] = presence(t)
     place = pd.Series(languages).groupby(languages).cumcount().to_numpy()
     chosen = np.lexsort((languages, place))[:landmarks]
-    base = x[chosen]
+    base = _unit(found[chosen].astype(np.float32))
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ base.T).astype(np.float64) @ root
+    phi = np.concatenate([_unit(found[i : i + BATCH].astype(np.float32)) @ base.T for i in range(0, len(found), BATCH)]).astype(np.float64) @ root
     target = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
-    weights = root @ np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]) / phi.shape[1], phi.T @ target)
+    weights = root @ np.linalg.solve(phi.T @ phi + ridge * len(texts) * np.eye(phi.shape[1]) / phi.shape[1], phi.T @ target)
     return Model(tuple(names), np.ascontiguousarray(base.T, np.float32), weights.astype(np.float32))
 
 

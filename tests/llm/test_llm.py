@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -213,6 +214,16 @@ def test_equal_scores_take_the_first_name_and_a_score_at_the_limit_stays(spark,
     assert kept == {r["doc_id"] for r in language.identify(docs, language.train(docs)).collect() if r["lang_pred"] != "und" and r["score"] >= limit}
 
 
+def test_the_fit_holds_its_sample_in_little_memory():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghij klmno") for _ in range(60)) for _ in range(1000)]
+    tracemalloc.start()
+    model = language.fit(texts, [("aa", "bb")[i % 2] for i in range(1000)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ("aa", "bb") and most < 60_000_000
+
+
 # 3 suffix arrays
 
 
