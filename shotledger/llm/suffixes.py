@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -125,57 +125,89 @@ def common_prefixes(s: list[int], order: list[int]) -> list[int]:
     return best
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+def _sorted_sides(sides: list[bytes], away: str) -> tuple[list[int], list[int]]:
+    """The order of the strings, read from an anchor on, and how many bytes each shares with the next in it; away: big if the first byte is read first, else little."""
+    width = max(map(len, sides))
+    # As numbers of one width the strings sort alike, and what two share shows in their XOR. Of those that zeros alone tell apart the shorter comes first.
+    values = [int.from_bytes(x, away) << 8 * (width - len(x)) for x in sides]
+    order = sorted(range(len(sides)), key=lambda i: (values[i], len(sides[i])))
+    return order, [min(width - ((values[i] ^ values[j]).bit_length() + 7 >> 3), len(sides[i]), len(sides[j])) for i, j in zip(order, order[1:], strict=False)]
 
 
-def _cuts(sides: list[bytes], full: int) -> list[int]:
-    """Where any two of the strings begin to differ, or one ends: all lengths that two can share."""
-    ordered = sorted(sides)
-    return sorted({0, *(_shared(a, b) for a, b in zip(ordered, ordered[1:], strict=False)), *map(len, sides), full})
-
-
-def _reach(sides: list[bytes]) -> list[int]:
-    """Of each string the most bytes that it shares with another, from the start."""
-    order = sorted(range(len(sides)), key=sides.__getitem__)
-    best = [0] * len(sides)
-    for i, j in zip(order, order[1:], strict=False):
-        n = _shared(sides[i], sides[j])
-        best[i], best[j] = max(best[i], n), max(best[j], n)
+def _reach(order: list[int], shared: list[int]) -> list[int]:
+    """Of each string the most bytes that it shares with another."""
+    best = [0] * len(order)
+    for i, before, after in zip(order, [0, *shared], [*shared, 0], strict=True):
+        best[i] = max(before, after)
     return best
 
 
 def able(windows: list[tuple[int, bytes]], length: int) -> list[int]:
     """The windows that may share length bytes with another: what they share at the most to both sides of the anchor comes to that."""
-    right, left = _reach([w[a:] for a, w in windows]), _reach([w[:a][::-1] for a, w in windows])
+    right, left = _reach(*_sorted_sides([w[a:] for a, w in windows], "big")), _reach(*_sorted_sides([w[:a] for a, w in windows], "little"))
     return [i for i, (x, y) in enumerate(zip(right, left, strict=True)) if x + y >= length]
 
 
+def _branches(order: list[int], shared: list[int], other: list[int], length: int, first: int) -> tuple[list[list[int]], list[list[int]], int]:
+    """Of each string the places where it parts from others, from the deepest up, and numbers from first on of the pieces that end there:
+    strings have a number in common if they share all bytes up to that place. The next number.
+
+    other: what each can share to the other side of the anchor. Where that doesn't come to length for any that shares a place, no
+    string of length bytes can end; such places are left out."""
+    depth, parent, most, stack, last = [0], [0], [length], [0], [0] * len(order)
+    for i, h in zip(order, [*shared, 0], strict=True):
+        if depth[stack[-1]] < h:
+            depth.append(h)
+            parent.append(stack[-1])
+            most.append(0)
+            stack.append(len(depth) - 1)
+        last[i] = k = stack[-1]
+        if most[k] < other[i]:
+            most[k] = other[i]
+        while depth[stack[-1]] > h:
+            below = stack.pop()
+            if depth[stack[-1]] < h:
+                depth.append(h)
+                parent.append(stack[-1])
+                most.append(0)
+                parent[below] = len(depth) - 1
+                stack.append(len(depth) - 1)
+    down = sorted(range(len(depth)), key=depth.__getitem__)
+    for k in reversed(down[1:]):
+        if most[parent[k]] < most[k]:
+            most[parent[k]] = most[k]
+    places, numbers = [[] for _ in depth], [[] for _ in depth]
+    for k in down[1:]:
+        above = parent[k]
+        if depth[k] + most[k] >= length:
+            places[k], numbers[k] = [depth[k], *places[above]], [first + k, *numbers[above]]
+        else:
+            places[k], numbers[k] = places[above], numbers[above]
+    return [places[k] for k in last], [numbers[k] for k in last], first + len(depth)
+
+
 def by_suffix_array(windows: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """windows: (place of the anchor, bytes), all different. Of each, the parts that a string of length bytes or more
     covers which another window has at the same place from the anchor.
 
-    Strings that two windows share end where the two begin to differ. So each window is cut at all places from the
-    anchor where any two do, and the suffix array is one of pieces; it holds all that one of bytes would show.
+    Strings that two windows share end where the two begin to differ. So each window is cut where it itself parts from another, to
+    either side of the anchor, and what it shares with none falls away. Pieces are equal symbols if all between them and
+    the anchor is equal, too; the suffix array is one of these symbols, and holds all that one of bytes would show.
     """
-    rights, lefts = [w[a:] for a, w in windows], [w[:a][::-1] for a, w in windows]
-    # No string reaches further than what its window shares with another.
-    rights, lefts = ([x[:n] for x, n in zip(sides, _reach(sides), strict=True)] for sides in (rights, lefts))
-    right, left = _cuts(rights, 0), _cuts(lefts, 0)
-    places = [-x for x in reversed(left)] + right[1:]
-    numbers: dict = {}
-    text, owner, begin = [], [], []
-    for k, (a, w) in enumerate(windows):
-        low, high = a - len(lefts[k]), a + len(rights[k])
-        edges = [a + x for x in places[bisect_left(places, low - a) : bisect_right(places, high - a)]]
-        text += [numbers.setdefault((x - a, w[x:y]), len(numbers)) for x, y in zip(edges, edges[1:], strict=False)]
-        text.append(-1 - k)
+    right, left = _sorted_sides([w[a:] for a, w in windows], "big"), _sorted_sides([w[:a] for a, w in windows], "little")
+    rights, of_right, free = _branches(*right, _reach(*left), length, len(windows) + 1)
+    lefts, of_left, _ = _branches(*left, _reach(*right), length, free)
+    symbols, owner, begin = [], [], []
+    for k, (a, _) in enumerate(windows):
+        edges = [a - x for x in lefts[k]]
+        edges.append(a)
+        edges += [a + x for x in reversed(rights[k])]
+        symbols += of_left[k]
+        symbols += reversed(of_right[k])
+        symbols.append(k + 1)
         owner += [k] * len(edges)
         begin += edges
-    symbols = [x + len(windows) + 1 for x in text] + [0]
+    symbols.append(0)
     best = common_prefixes(symbols, suffix_array(symbols))
     out: list[list[tuple[int, int]]] = [[] for _ in windows]
     for i, k in enumerate(owner):
@@ -229,33 +261,70 @@ def _slid(x: np.ndarray, size: int, of) -> np.ndarray:
     return x if n == size else of(x[: len(x) - (size - n)], x[size - n :])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of a text's anchors: those that are least among the REACH + 1 of any string of LENGTH bytes."""
+def _marks(data: np.ndarray) -> np.ndarray:
+    """A number other than 0 for each string of ANCHOR bytes, from four words of eight. Equal numbers of different strings cost time, no more."""
+    words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)) * ODD
+    words ^= words >> np.uint64(32)
+    out = words[: len(data) - ANCHOR + 1] * np.uint64(0xD6E8FEB86659FD93)
+    for i, odd in enumerate((0xA0761D6478BD642F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 1):
+        out += words[8 * i :][: len(out)] * np.uint64(odd)
+    out ^= out >> np.uint64(32)
+    out *= ODD
+    out ^= out >> np.uint64(29)
+    out |= np.uint64(1)
+    return out
+
+
+def anchors(data: np.ndarray, ends: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Places and digests of the anchors of texts that stand in data without gaps, all but the last up to one of ends: those that are least
+    among the REACH + 1 of any string of LENGTH bytes of one text."""
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    digests = _rolled(data, ANCHOR)
+    digests = _marks(data)
     least = _slid(digests, REACH + 1, np.minimum)
+    for end in ends:
+        least[max(0, end - LENGTH + 1) : end] = 0  # such a string reaches into the next text
     edge = np.zeros(REACH, np.uint64)
     at = np.flatnonzero(_slid(np.concatenate([edge, least, edge]), REACH + 1, np.maximum) == digests)
     return at, digests[at]
 
 
+#: Texts are looked through together up to so many bytes, which a processor's cache holds.
+TOGETHER = 1 << 14
+
+
+def _anchors_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, where each begins and the last ends, and of all anchors the text, the place in it and the digest, in order."""
+    texts = column.cast(pa.large_binary())
+    texts = texts.fill_null(b"") if texts.null_count else texts
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    places, digests, i = [], [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TOGETHER, "right")) - 1)
+        at, found = anchors(data[offsets[i] : offsets[j]], (offsets[i + 1 : j] - offsets[i]).tolist())
+        places.append(at + offsets[i])
+        digests.append(found)
+        i = j
+    places = np.concatenate(places or [np.zeros(0, np.int64)])
+    rows = np.searchsorted(offsets, places, "right") - 1
+    return data, offsets, rows, places - offsets[rows], np.concatenate(digests or [np.zeros(0, np.uint64)]).view(np.int64)
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, found, times = [], [], []
-        for i, text in enumerate(b.column("_text")):
-            _, digests = anchors(np.frombuffer(_bytes(text.as_py()), np.uint8))
-            own, n = np.unique(digests, return_counts=True)
-            rows.append(np.full(len(own), i))
-            found.append(own.view(np.int64))
-            times.append(n)
-        if rows:
-            rows = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([b.column("_a").take(rows), b.column("_b").take(rows), pa.array(np.concatenate(found)), pa.array(np.concatenate(times).astype(np.int64))], ["_a", "_b", "anchor", "times"])
+        _, _, rows, _, found = _anchors_of(b.column("_text"))
+        order = np.lexsort((found, rows))
+        rows, found = rows[order], found[order]
+        new = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (found[1:] != found[:-1]))[: len(rows)])
+        times = np.diff(np.append(new, len(rows)))
+        own = pa.array(rows[new])
+        yield pa.RecordBatch.from_arrays([b.column("_a").take(own), b.column("_b").take(own), pa.array(found[new]), pa.array(times.astype(np.int64))], ["_a", "_b", "anchor", "times"])
 
 
 WINDOWS = "_a long, _b long, anchor long, core int, at int, window binary, starts array<int>"
@@ -274,49 +343,64 @@ def _cores(data: bytes, p: int, anchor: int) -> Iterator[tuple[int, int, int, by
             yield int.from_bytes(digest, "little", signed=True), y - x, x - before, data[before:x] + data[y:after], before
 
 
+def _listed(starts: list[list[int]]) -> pa.ListArray:
+    """starts as an Arrow array, without a look at each list's values by itself."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, starts)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(starts), np.int32), pa.int32()))
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("anchor", pa.int64()), ("core", pa.int32()), ("at", pa.int32()), ("window", pa.binary()), ("starts", pa.list_(pa.int32()))])
     for b in batches:
+        data, offsets, rows, places, found = _anchors_of(b.column("_text"))
+        repeated = b.column("repeated")
+        known, times = (repeated.flatten().field(c).to_numpy() for c in ("anchor", "times"))
+        upto = np.concatenate([[0], np.cumsum(repeated.value_lengths().fill_null(0).to_numpy())])
+        first = np.searchsorted(rows, np.arange(b.num_rows + 1))
         out: list[tuple] = []
-        for a, b_, text, repeated in zip(*(b.column(c).to_pylist() for c in ("_a", "_b", "_text", "repeated")), strict=True):
-            data = _bytes(text)
-            times = {r["anchor"]: r["times"] for r in repeated}
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            row, anchor, core, at, window, starts = zip(*out, strict=True)
+            row = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column("_a").take(row), b.column("_b").take(row), pa.array(anchor, pa.int64()), pa.array(core, pa.int32()), pa.array(at, pa.int32()), pa.array(window, pa.binary()), _listed(starts)], ["_a", "_b", "anchor", "core", "at", "window", "starts"])  # noqa: B023
+
+        for i in range(b.num_rows):
+            of = dict(zip(known[upto[i] : upto[i + 1]].tolist(), times[upto[i] : upto[i + 1]].tolist(), strict=True))
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
             own: dict[tuple, list[int]] = {}
-            for p, h in zip(*(x.tolist() for x in (lambda y: (y[0], y[1].view(np.int64)))(anchors(np.frombuffer(data, np.uint8)))), strict=True):
-                if times.get(h, 0) > FREQUENT:
-                    for digest, core, at, around, lo in _cores(data, p, h):
+            for p, h in zip(places[first[i] : first[i + 1]].tolist(), found[first[i] : first[i + 1]].tolist(), strict=True):
+                n = of.get(h, 0)
+                if n > FREQUENT:
+                    for digest, core, at, around, lo in _cores(text, p, h):
                         own.setdefault((digest, core, at, around), []).append(lo)
-                elif h in times:
+                elif n:
                     lo = max(0, p - REACH)
-                    own.setdefault((h, 0, p - lo, data[lo : p + LENGTH]), []).append(lo)
-            out += [(a, b_, *key, starts) for key, starts in own.items()]
+                    own.setdefault((h, 0, p - lo, text[lo : p + LENGTH]), []).append(lo)
+            out += [(i, *key, starts) for key, starts in own.items()]
             if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+                yield batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+            yield batch(out)
 
 
-def _covered(group: list[tuple], core: int) -> Iterator[tuple[int, int, int, int]]:
-    """group: (_a, _b, at, window, starts) around one anchor or, less its bytes, one core. (_a, _b, start, stop) of what to remove."""
-    held: dict[tuple[int, bytes], list[tuple[int, int, list[int]]]] = {}
-    for a, b, at, window, starts in group:
-        held.setdefault((at, window), []).append((a, b, starts))
+def _covered(at: list[int], window: list[bytes], several: list[bool], core: int) -> Iterator[tuple[int, int, int]]:
+    """Surroundings of one anchor or, less its bytes, one core; several: stands more than once in its text. (number, start, stop) of what to remove, from each one's start."""
+    held: dict[tuple[int, bytes], list[int]] = {}
+    for i, key in enumerate(zip(at, window, strict=True)):
+        held.setdefault(key, []).append(i)
     windows, length = list(held), LENGTH - core
-    alone = [len(m) == 1 and len(m[0][2]) == 1 for m in held.values()]
+    alone = [len(m) == 1 and not several[m[0]] for m in held.values()]
     parts: list[list[tuple[int, int]]] = [[] for _ in windows]
-    if any(alone) and len(windows) > 1:
+    if len(windows) > 1 and any(alone):
         some = able(windows, length)
         found = (by_suffix_array if len(some) <= MOST_SORTED else by_digests)([windows[i] for i in some], length) if any(alone[i] for i in some) else [[] for _ in some]
         for i, spans in zip(some, found, strict=True):
             parts[i] = spans
-    for (at, window), one, spans in zip(windows, alone, parts, strict=True):
-        if not one and len(window) >= length:
-            spans = [(0, len(window))]
+    for (_, around), members, one, spans in zip(windows, held.values(), alone, parts, strict=True):
+        if not one and len(around) >= length:
+            spans = [(0, len(around))]
         for x, y in merged(spans):
-            for a, b, starts in held[at, window]:
-                for lo in starts:
-                    yield a, b, lo + x, lo + y + core
+            for i in members:
+                yield i, x, y + core
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -329,24 +413,60 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups come sorted, and may go on in the next batch."""
+def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("anchor").to_numpy(), b.column("core").to_numpy()
+
+
+def _spans_of(b: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Of whole groups that follow each other, what to remove."""
+    anchor, core = _keys(b)
+    counts = b.column("starts").value_lengths().to_numpy()
+    begin = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (core[1:] != core[:-1])))
+    size = np.diff(np.append(begin, len(anchor)))
+    # A place alone meets nothing.
+    meets = (size > 1) | (counts[begin] > 1)
+    b = b.filter(pa.array(np.repeat(meets, size)))
+    size, core = size[meets].tolist(), core[begin[meets]].tolist()
+    counts = b.column("starts").value_lengths().to_numpy()
+    at, window, several = b.column("at").to_numpy().tolist(), b.column("window").to_pylist(), (counts > 1).tolist()
+    row, start, stop, i = [], [], [], 0
+    for n, c in zip(size, core, strict=True):
+        for k, x, y in _covered(at[i : i + n], window[i : i + n], several[i : i + n], c):
+            row.append(i + k)
+            start.append(x)
+            stop.append(y)
+        i += n
+    if not row:
+        return None
+    # Each span once for every place where its row's window starts.
+    row, upto = np.array(row), np.append(0, np.cumsum(counts))
+    times = counts[row]
+    which = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    lo = b.column("starts").flatten().to_numpy()[np.repeat(upto[row], times) + which]
+    rows = pa.array(np.repeat(row, times))
+    return pa.RecordBatch.from_arrays([b.column("_a").take(rows), b.column("_b").take(rows), *(pa.array((np.repeat(np.array(x), times) + lo).astype(np.int32)) for x in (start, stop))], ["_a", "_b", "start", "stop"])
 
-    def flush(group: list[tuple]) -> pa.RecordBatch | None:
-        found = [*_covered(group, of[1])] if len(group) > 1 or group and len(group[0][4]) > 1 else []
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["_a", "_b", "start", "stop"])
 
-    group, of = [], None
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups come sorted, and may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
-        for a, b_, h, core, at, window, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (h, core) != of:
-                if group and (out := flush(group)) is not None:
-                    yield out
-                group, of = [], (h, core)
-            group.append((a, b_, at, window, starts))
-    if group and (out := flush(group)) is not None:
+        if not b.num_rows:
+            continue
+        anchor, core = _keys(b)
+        now = anchor[-1], core[-1]
+        at = int(np.append(-1, np.flatnonzero((anchor != now[0]) | (core != now[1])))[-1]) + 1
+        # The last group waits, for it may go on.
+        if at:
+            held.append(b.slice(0, at))
+        if (at or now != last) and held:
+            if (out := _spans_of(pa.concat_batches(held))) is not None:
+                yield out
+            held = []
+        held.append(b.slice(at))
+        last = now
+    if held and (out := _spans_of(pa.concat_batches(held))) is not None:
         yield out
 
 

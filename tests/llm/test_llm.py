@@ -234,6 +234,28 @@ def test_suffix_arrays():
         assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_windows_are_cut_only_where_they_part_themselves(monkeypatch):
+    """Pairs that have nothing in common with other pairs need few symbols, however many places those part at."""
+    rng = random.Random(7)
+    windows = []
+    for i in range(60):
+        left, right = (bytes([i + 1]) + bytes(rng.randrange(65, 91) for _ in range(n)) for n in (140, 150))
+        windows += [(142, b"x" + left[::-1] + right + b"x"), (142, b"y" + left[::-1] + right[: 60 + i] + b"z" * 20)]
+    seen, built = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda s: seen.append(len(s)) or built(s))
+    got = [suffixes.merged(x) for x in suffixes.by_suffix_array(windows)]
+    assert got == [[(1, 202 + i)] for i in range(60) for _ in range(2)]
+    assert seen[0] < 6 * len(windows)
+
+
+def test_anchors_of_texts_side_by_side_are_those_of_each():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab é") for _ in range(n)) for n in (0, 30, 199, 200, 201, 900, 5, 40_000, 300)] + [None, "a" * 500]
+    _, _, rows, places, found = suffixes._anchors_of(pa.array(["skipped", *texts])[1:])
+    got = [(int(r), int(p), int(h)) for r, p, h in zip(rows, places, found, strict=True)]
+    assert got == [(i, int(p), int(h)) for i, t in enumerate(texts) for p, h in zip(*(x.astype(np.int64) for x in suffixes.anchors(np.frombuffer((t or "").encode(), np.uint8))), strict=True)]
+
+
 def brute_removed(rows, length=200):
     counts = {}
     for _, t in rows:
