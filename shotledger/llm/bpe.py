@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotledger.llm.common import let, tidy
@@ -90,8 +89,8 @@ def heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def _tables(path: str) -> str:
-    """The rank map as JSON: lists by which the rank of tokens a and b is rank[base[a] + b] where owner[base[a] + b] is a, ids of the bytes, and the ranks of two bytes.
+def _tables(path: str) -> pa.Table:
+    """The rank map as a row of lists, by which the rank of tokens a and b is rank[base[a] + b] where owner[base[a] + b] is a, ids of the bytes, and the ranks of two bytes.
 
     Each token's row of followers is laid over the free places of one list, the longest rows first.
     """
@@ -117,12 +116,15 @@ def _tables(path: str) -> str:
         free[at], owner[at], rank_at[at], base[a], top = False, a, own, fits[0] - followers[0], max(top, at[-1] + 1)
     byte = [ranks[bytes([i])] for i in range(256)]
     two = [[pairs.get((a, b), NONE) for b in byte] for a in byte]
-    return json.dumps({"base": base.tolist(), "owner": owner[:top].tolist(), "rank": rank_at[:top].tolist(), "byte": byte, "two": two}, separators=(",", ":"))
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = pa.schema({"base": ints, "owner": ints, "rank": longs, "byte": ints, "two": pa.list_(longs)})
+    return pa.Table.from_arrays([pa.array([x], kind) for x, kind in zip((base, owner[:top], rank_at[:top], byte, two), kinds.types, strict=True)], schema=kinds)
 
 
-def rank_map(path: str) -> Column:
-    """A literal: constant folding parses the text once, when the query is planned. Its size is the vocabulary's."""
-    return F.from_json(F.lit(_tables(path)), "struct<base:array<int>,owner:array<int>,rank:array<bigint>,byte:array<int>,two:array<array<bigint>>>")
+def rank_map(spark: SparkSession, path: str) -> Column:
+    """A subquery of one local row, whose size is the vocabulary's. Not a literal, whose whole value stands in every text that the driver makes and keeps of a plan."""
+    tables = spark.createDataFrame(_tables(path))
+    return tables.select(F.struct(*(F.col(c) for c in tables.columns)).alias("ranks")).scalar()
 
 
 def fold(word: Column, ranks: Column) -> Column:
@@ -235,8 +237,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
     grouped = docs.select(key, words.alias("_words")).mapInArrow(tidy(split), f"keys array<{kind.simpleString()}>, ends array<bigint>, at binary, words array<array<int>>, done array<boolean>, anew boolean")
-    ids = let(rank_map(path), lambda m: F.zip_with("words", "done", lambda w, done: F.when(done, w).otherwise(fold(w, m))))
-    merged = grouped.select("keys", "ends", ids.alias("ids"), "at", "anew")
+    ids = let(F.col("_ranks"), lambda m: F.zip_with("words", "done", lambda w, done: F.when(done, w).otherwise(fold(w, m))))
+    merged = grouped.withColumn("_ranks", rank_map(docs.sparkSession, path)).select("keys", "ends", ids.alias("ids"), "at", "anew")
     return merged.mapInArrow(tidy(assemble), f"`{key}` {kind.simpleString()}, n_tokens long, ids {'binary' if packed else 'string'}, decoded binary")
 
 

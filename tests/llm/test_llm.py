@@ -834,3 +834,10 @@ def test_each_stage_takes_odd_rows(spark, name):
     out = dict(corpus_pipeline.STAGES)[name](spark, df.withColumn("lang", F.coalesce("lang", F.lit("fr"))), SF)
     ids = {r["doc_id"] for r in out.collect()}
     assert ids <= {r["doc_id"] for r in df.collect()}
+
+
+def test_no_text_of_a_plan_spells_out_the_vocabulary(spark):
+    encoded = bpe.encode(spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_tokens"] for r in encoded.collect()} == {1: 3, 2: 0}
+    # The driver makes such texts for each query and its listeners keep them; the rank map as a literal came to millions of characters.
+    assert len(encoded._jdf.queryExecution().toString()) < 200_000
