@@ -44,8 +44,18 @@ def _summed(df: DataFrame, keys: list[str], vector: str, *metrics: str) -> DataF
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
-    """For each group the mean vector, from partial sums, so that no group's vectors are gathered. Vectors of a group are equally long; null ones don't count."""
-    return _summed(df, keys, vector, "mean").select(*keys, vector_to_array("_s.mean").alias(out))
+    """For each group the mean vector, from partial sums, so that no group's vectors are gathered. Vectors of a group are equally long; null ones don't count, nor do null components.
+
+    A summary's own mean is moved from row to row and gathers errors, which give a mean of zero a sign. Its L1 norms are plain
+    sums: of what lies above zero, of what lies below, and of a one for each component that isn't null.
+    """
+    v = doubles(F.col(vector))
+    above, below, there = F.transform(v, lambda x: F.greatest(x, F.lit(0.0))), F.transform(v, lambda x: F.greatest(-x, F.lit(0.0))), F.transform(v, lambda x: x.isNotNull().cast("double"))
+    sums = _summed(df.select(*keys, F.concat(above, below, there).alias("_parts")), keys, "_parts", "normL1").select(*keys, vector_to_array("_s.normL1").alias("_l"))
+    size = F.expr("size(_l) div 3").cast("int")
+    above, below, there = (F.slice("_l", size * i + 1, size) for i in range(3))
+    total = F.zip_with(above, below, lambda x, y: x - y)
+    return sums.select(*keys, F.zip_with(total, there, lambda x, n: x / F.nullif(n, F.lit(0.0))).alias(out))
 
 
 def spread(df: DataFrame, keys: list[str], vector: str, out: str = "spread") -> DataFrame:

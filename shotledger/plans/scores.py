@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shotledger.functions.vectors import cosine, cosine_or_zero, dot, doubles, mean_vectors, spread
 from shotledger.operators import align, identity, masks, metrics
-from shotledger.plans.base import CLIP, COS, FRAMES, MEANS, RESULTS, query, r6, read, results
+from shotledger.plans.base import CLIP, COS, FRAMES, MEANS, RESULTS, query, r6, r6_each, read, results
 from shotledger.plans.base import frames as frame_vectors
 
 K = ["sample_id"]
@@ -15,7 +15,7 @@ K = ["sample_id"]
 @query(f"WITH {FRAMES}, {MEANS} SELECT sample_id, shot_id, list_transform(v, lambda x: round(x, 6)) AS vector FROM means")
 def shot_mean_vectors(spark, sf_dir):
     m = mean_vectors(frame_vectors(spark, sf_dir), ["sample_id", "shot_id"], "v")
-    return m.select("sample_id", "shot_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return m.select("sample_id", "shot_id", r6_each("vector").alias("vector"))
 
 
 PAIRS = "pr AS (SELECT x.sample_id, x.shot_id AS a, y.shot_id AS b, x.v AS va, y.v AS vb FROM means x JOIN means y ON x.sample_id = y.sample_id AND x.shot_id < y.shot_id)"
@@ -182,7 +182,7 @@ SELECT sample_id, cluster, appears_in_shots, n_crops, samples, len(appears_in_sh
 def character_profiles(spark, sf_dir):
     f = frame_vectors(spark, sf_dir).withColumn("cluster", F.col("vec_id") % 7)
     p = identity.profiles(f, ["sample_id", "cluster"], "shot_id", "vec_id", "v")
-    return p.select("sample_id", "cluster", "appears_in_shots", "n_crops", "samples", "recurring", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return p.select("sample_id", "cluster", "appears_in_shots", "n_crops", "samples", "recurring", r6_each("centroid").alias("centroid"))
 
 
 RUNS = """rn AS (SELECT user_id, event_type, (event_id * 7919) % 5000 AS s, value::INT % 60 AS l FROM events), p AS (SELECT user_id, event_type, s, l, s + l AS e FROM rn WHERE l > 0),

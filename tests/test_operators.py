@@ -13,6 +13,7 @@ from shotledger.functions import prompts, scalars, vectors
 from shotledger.operators import align, identity, lineage, masks, promptgen, quality, scoring, segments
 from shotledger.sources import commits, documents
 from shotledger.streaming import leaderboard
+from tests.compare import duck
 
 
 def value(spark, column):
@@ -481,6 +482,29 @@ def test_prompts_whose_numbers_are_cut_short_take_turns_by_their_keys(spark, tmp
     assert len(got) == 100 and all(got[f"TYPE{k}"].startswith(openings[i % 4]) for i, k in enumerate(keys))
 
 
+def test_means_below_zero_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    """As their SQL has them. Vectors of label 0 add up to zero exactly, which has no sign."""
+    from shotledger.plans import ORACLE, QUERIES
+
+    rng = random.Random(11)
+    rows = [(0, [1.0, -4e-7, 1e-7], 1), (28, [1.0, 3e-7, 1e-7], 1)]
+    for i in range(50):
+        a, b = ([rng.randrange(-1000, 1000) / 4096 for _ in range(3)] for _ in range(2))
+        rows += [(28 * (3 * i + k), v, 0) for k, v in enumerate((a, b, [-x - y for x, y in zip(a, b, strict=True)]))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, column in (("shot_mean_vectors", "vector"), ("character_profiles", "centroid")):
+        # Lists as text, since -0.0 equals 0.0.
+        got = {r["sample_id"]: str(r[column]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {0: "[0.0, 0.0, 0.0]", 1: "[1.0, -0.0, 0.0]"}
+        assert got == {k: str(v) for k, v in duck(tmp_path).execute(f"SELECT sample_id, {column} FROM ({ORACLE[name]})").fetchall()}
+
+
+def test_null_components_do_not_count_in_means(spark):
+    inf = math.inf
+    rows = spark.createDataFrame([("a", [1.0, None, inf, None]), ("a", [3.0, -2.0, 1.0, None]), ("a", None), ("b", None)], "g string, v array<double>")
+    assert {r["g"]: r["vector"] for r in vectors.mean_vectors(rows, ["g"], "v").collect()} == {"a": [2.0, -2.0, inf, None]}
+
+
 def test_faces_of_every_event_are_clipped(spark):
     from shotledger.plans.edits import clipped_faces
 
